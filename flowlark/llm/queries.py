@@ -11,6 +11,7 @@ from flowlark.llm.bpe import bpe_round_trip
 from flowlark.llm.common import table
 from flowlark.llm.ngram_join import ngram_jaccard_join
 from flowlark.llm.token_counts import token_counts
+from flowlark.llm.warc import warc_round_trip
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +26,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), path=public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"), least=1000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op10_token_counts": op10_token_counts,
+    "op7_warc": op7_warc,
 }
 
-ORACLES: dict[str, str] = {}
+#: The archives must give back what the table holds. DuckDB reads UTF-8 text as the bytes that are hashed.
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
+FROM m
+"""
+
+ORACLES: dict[str, str] = {"op7_warc": OP7_SQL}
