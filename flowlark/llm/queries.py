@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowlark.llm.bpe import bpe_round_trip
 from flowlark.llm.common import table
+from flowlark.llm.decontaminate import contaminated_pairs
 from flowlark.llm.ngram_join import ngram_jaccard_join
 from flowlark.llm.token_counts import token_counts
 from flowlark.llm.warc import warc_round_trip
@@ -30,11 +31,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"), least=1000)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, num=1, den=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op10_token_counts": op10_token_counts,
     "op7_warc": op7_warc,
+    "op9_decontamination": op9_decontamination,
 }
 
 #: The archives must give back what the table holds. DuckDB reads UTF-8 text as the bytes that are hashed.

@@ -15,6 +15,9 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and ASCII punctuation: words then are runs of letters, digits and bytes beyond ASCII.
+WORD_BREAKS = _SPACE.copy()
+WORD_BREAKS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -63,10 +66,10 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def _words(data: np.ndarray, offsets: np.ndarray, lower: bool, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(data) == 0:
         return _EMPTY, np.zeros(len(offsets), dtype=np.int64)
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[offsets] = True
     begins = inside.copy()
@@ -86,17 +89,17 @@ def _words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarr
     return mix(np.add.reduceat(values, before)), bounds
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, *, lower: bool = True, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, *, lower: bool = True, breaks: np.ndarray = _SPACE, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, first word of each document and the end).
 
     Words are maximal runs outside of space, tab, LF, VT, FF and CR; with
-    ``lower`` A-Z count as a-z. Works in blocks of about ``block`` bytes (whole
+    ``lower`` A-Z count as a-z. ``breaks`` may give another set of bytes. Works in blocks of about ``block`` bytes (whole
     documents), which bounds the memory.
     """
     out, bounds, done, i, n = [], [np.zeros(1, dtype=np.int64)], 0, 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + block, side="right")) - 1)
-        words, at = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower)
+        words, at = _words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lower, breaks)
         out.append(words)
         bounds.append(at[1:] + done)
         done += len(words)
