@@ -142,3 +142,66 @@ def list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     if kind == pa.int64() and values.dtype == np.uint64:
         values = values.view(np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+# --- words with their prefixes, and tokens by character class ---------------------------------------------------
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WORD_BREAKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, document) of each word, in order."""
+    if len(data) == 0:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none, none
+    inside = ~breaks[data]
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[offsets] = True
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= first[1:-1] | ~inside[:-1]
+    ends[:-1] &= first[1:-1] | ~inside[1:]
+    start = np.flatnonzero(begins)
+    return start, np.flatnonzero(ends) + 1 - start, np.searchsorted(offsets, start, side="right") - 1
+
+
+def prefix_hashes(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the first ``size`` bytes from each start (A-Z as a-z); equal bytes, equal hashes for one size."""
+    total = np.zeros(len(start), dtype=np.uint64)
+    for k in range(size):
+        total += _BYTE_VALUE[_LOWER[data[start + k]]] * _MULTIPLIERS[k]
+    return mix(total ^ np.uint64(size * 0x51ED27))
+
+
+_CLASS = np.ones(256, dtype=np.uint8)  # letters in lower case and bytes beyond ASCII
+_CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
+_CLASS[48:58] = 3
+_CLASS[65:91] = 2
+_CLASS[[*range(0, 32), 32, 127]] = 0
+_CLASS[10] = 5
+_SHAPE_UPPER, _SHAPE_UPPERS, _SHAPE_DIGITS, _SHAPE_LINE = (np.uint64(x) for x in (0xA1, 0xA2, 0xA3, 0xA4))
+
+
+def class_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token, first token of each document and the end).
+
+    Tokens are maximal runs of one character class: small letters (with all
+    bytes beyond ASCII), capitals, digits, punctuation and line ends. Runs of
+    capitals count by their shape (one or more), digits and line ends by class.
+    """
+    if len(data) == 0:
+        return _EMPTY, np.zeros(len(offsets), dtype=np.int64)
+    kind = _CLASS[data]
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[offsets] = True
+    begins = np.ones(len(data), dtype=bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | first[1:-1]
+    start = np.flatnonzero(begins)
+    lengths = np.diff(np.append(start, len(data)))
+    power = _POWERS.upto(int(lengths.max()))
+    values = _BYTE_VALUE[data] * power[np.arange(len(data)) - np.repeat(start, lengths)]
+    hashes = mix(np.add.reduceat(values, start))
+    classes = kind[start]
+    hashes[(classes == 2) & (lengths == 1)] = _SHAPE_UPPER
+    hashes[(classes == 2) & (lengths > 1)] = _SHAPE_UPPERS
+    hashes[classes == 3] = _SHAPE_DIGITS
+    hashes[classes == 5] = _SHAPE_LINE
+    keep = classes > 0
+    return mix(hashes[keep]), np.searchsorted(start[keep], offsets)
