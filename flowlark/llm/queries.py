@@ -11,7 +11,9 @@ from flowlark.llm.bpe import bpe_round_trip
 from flowlark.llm.common import table
 from flowlark.llm.decontaminate import contaminated_pairs
 from flowlark.llm.ngram_join import ngram_jaccard_join
+from flowlark.llm.quality_classifier import quality_scores
 from flowlark.llm.token_counts import token_counts
+from flowlark.llm.toxicity import toxicity_scores
 from flowlark.llm.warc import warc_round_trip
 
 
@@ -35,12 +37,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, num=1, den=2)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rows=12_000)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rows=20_000, threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op10_token_counts": op10_token_counts,
     "op7_warc": op7_warc,
     "op9_decontamination": op9_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op4_quality_classifier": op4_quality_classifier,
 }
 
 #: The archives must give back what the table holds. DuckDB reads UTF-8 text as the bytes that are hashed.
