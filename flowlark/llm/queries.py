@@ -12,6 +12,7 @@ from flowlark.llm.common import table
 from flowlark.llm.decontaminate import contaminated_pairs
 from flowlark.llm.ngram_join import ngram_jaccard_join
 from flowlark.llm.quality_classifier import quality_scores
+from flowlark.llm.rules import quality_report
 from flowlark.llm.token_counts import token_counts
 from flowlark.llm.toxicity import toxicity_scores
 from flowlark.llm.warc import warc_round_trip
@@ -45,6 +46,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rows=20_000, threshold=0.3)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_byte_level_bpe": op6_byte_level_bpe,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op2_toxicity": op2_toxicity,
     "op4_quality_classifier": op4_quality_classifier,
+    "op3_quality_rules": op3_quality_rules,
 }
 
 #: The archives must give back what the table holds. DuckDB reads UTF-8 text as the bytes that are hashed.
@@ -66,4 +72,26 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 
-ORACLES: dict[str, str] = {"op7_warc": OP7_SQL}
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) > 0) AS ls FROM d),
+windows AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, i AS p FROM twice UNION ALL SELECT doc_id, i + 1 FROM twice UNION ALL SELECT doc_id, i + 2 FROM twice) GROUP BY doc_id),
+s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+             CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(ls) AS BIGINT) AS n_lines,
+             CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
+            OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 2 * n_dup_lines > n_lines) AS kept
+FROM s
+"""
+
+ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL}
