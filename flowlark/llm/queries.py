@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlark.llm.bpe import bpe_round_trip
+from flowlark.llm.chat import format_conversations
 from flowlark.llm.common import table
 from flowlark.llm.decontaminate import contaminated_pairs
+from flowlark.llm.licenses import CUES, TEMPLATES, license_scan
 from flowlark.llm.ngram_join import ngram_jaccard_join
 from flowlark.llm.quality_classifier import quality_scores
 from flowlark.llm.rules import quality_report
@@ -50,6 +53,15 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_conversations(table(spark, sf_dir, "conversations")).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
+
+
+def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/d"), F.expr("CAST(doc_id DIV 1000 AS STRING)"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return license_scan(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_byte_level_bpe": op6_byte_level_bpe,
@@ -59,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_quality_classifier": op4_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op8_license_scans": op8_license_scans,
 }
 
 #: The archives must give back what the table holds. DuckDB reads UTF-8 text as the bytes that are hashed.
