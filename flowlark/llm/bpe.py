@@ -76,7 +76,7 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
 class ByteBpe:
     """Encoder and decoder of one vocabulary; keeps a bounded memory of pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 200_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 100_000) -> None:
         self.ranks, self.remember = ranks, remember
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
@@ -142,7 +142,7 @@ def _batches(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def _encoder(path: str, pattern: str, most: int = 1 << 20):
+def _encoder(path: str, pattern: str, decode: bool, most: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
         for batch in batches:
@@ -153,7 +153,12 @@ def _encoder(path: str, pattern: str, most: int = 1 << 20):
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 flat = np.fromiter((k for x in ids for k in x), dtype=np.int32, count=int(offsets[-1]))
                 columns = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*batch.schema.names[:-1], "ids"])
+                names = [*batch.schema.names[:-1], "ids"]
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                if decode:
+                    names.append("decoded")
+                    columns.append(pa.array([coder.decode(flat[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -170,16 +175,18 @@ def _decoder(path: str, pattern: str):
     return run
 
 
-def bpe_encode(docs: DataFrame, *, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def bpe_encode(docs: DataFrame, *, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decode: bool = False) -> DataFrame:
     """``keep`` columns and ``ids`` (array of int) of each text; ids are ranks.
 
+    With ``decode`` the same worker turns the ids back to bytes (``decoded``).
+
     Null and empty texts have no ids. Whole texts are encoded, without special
     tokens. Every row is its own result, so repeated rows repeat; other columns
     are dropped, whatever their names; an empty table gives an empty result.
     """
     rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes[:-1]), "ids array<int>"])
-    return rows.mapInArrow(_encoder(path, pattern), schema)
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes[:-1]), "ids array<int>", *["decoded binary"] * decode])
+    return rows.mapInArrow(_encoder(path, pattern, decode), schema)
 
 
 def bpe_decode(encoded: DataFrame, *, path: str, pattern: str) -> DataFrame:
@@ -191,6 +198,6 @@ def bpe_decode(encoded: DataFrame, *, path: str, pattern: str) -> DataFrame:
 
 def bpe_round_trip(docs: DataFrame, *, path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of each text, out of the encoder's ids and the decoder's bytes."""
-    both = bpe_decode(bpe_encode(docs, path=path, pattern=pattern, text_col=text_col, keep=keep), path=path, pattern=pattern)
+    both = bpe_encode(docs, path=path, pattern=pattern, text_col=text_col, keep=keep, decode=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return both.select(*keep, F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
