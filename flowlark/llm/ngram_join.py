@@ -231,9 +231,33 @@ def _search(num: int, den: int, block: int = 256):
     return run
 
 
-def _sets(size: int):
+def id_bitmap(ids: DataFrame, column: str, most_bits: int = 1 << 26) -> np.ndarray:
+    """A bitmap of the hashes of ``ids``: 16 cells for each id, ``most_bits`` at most, whatever the input.
+
+    It only spares work: a join with the ids must follow, as some others pass.
+    """
+    bits = 1 << 16
+    n = ids.count()
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    cells = ids.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("cell"))
+    words = cells.groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(cell % 64 AS INT)))").alias("bits")).toPandas()
+    bitmap = np.zeros(bits // 64, dtype=np.int64)
+    bitmap[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64)
+    return bitmap
+
+
+def _in_bitmap(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes % np.int64(len(bitmap) * 64)
+    return (bitmap[cell >> 6] >> (cell & 63)) & 1 == 1
+
+
+def _sets(size: int, shared):
+    """Sets of the documents (id, hash of the id, text) whose hash the broadcast bitmap holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole in batches:
+            batch = whole.filter(pa.array(_in_bitmap(shared.value, whole.column(1).to_numpy(zero_copy_only=False)))).drop_columns([whole.schema.names[1]])
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(part.column(1), size)], pa.binary())], names=["cls", "tokens"])
@@ -282,8 +306,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     several = entries.groupBy("list", F.pmod("list", F.lit(2)).alias("h")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     entries = stage_table(entries.join(several.select("list", "m"), "list"), "entries")
 
-    wanted = entries.select(F.col("cls").alias("doc_id")).distinct()
-    sets = stage_table(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(size), "cls long, tokens binary"), "sets")
+    wanted = stage_table(entries.select("cls").distinct(), "wanted")
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "cls"))
+    sets = texts.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(size, bitmap), "cls long, tokens binary")
+    sets = stage_table(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     def candidates(comps: DataFrame | None, nearest: bool) -> DataFrame:
         rows = entries.withColumn("comp", F.col("cls"))
