@@ -120,4 +120,6 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...
     """The rows of ``docs`` that no rule rejects, with their own columns."""
     ordered = order_rules(docs, rules, text_col=text_col)
     judged = cascade(with_statistics(docs, tuple({n for r in rules for n in r.needs}), text_col=text_col), ordered, name="_q_rejected_by")
-    return judged.where(F.col("_q_rejected_by").isNull()).select(*[f"`{c}`" for c in docs.columns])
+    # a generator keeps the filter above it: pushed down, it would compute the statistics again for each mention
+    judged = judged.withColumn("_q_verdict", F.explode(F.array("_q_rejected_by")))
+    return judged.where(F.col("_q_verdict").isNull()).select(*[f"`{c}`" for c in docs.columns])
