@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlark.plans import flow_queries
+from flowlark.plans import flow_queries, wire_queries
 
-QUERIES = dict(flow_queries.QUERIES)
-ORACLES = dict(flow_queries.ORACLES)
+QUERIES = flow_queries.QUERIES | wire_queries.QUERIES
+ORACLES = flow_queries.ORACLES | wire_queries.ORACLES
