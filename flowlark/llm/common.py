@@ -56,7 +56,15 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Remove tables of ``stage_table`` that nothing will read again."""
+    for df in staged:
+        remove_path(df.sparkSession, df.staged_path)
 
 
 def non_null_text(column: str = "text") -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import stage_table
+from flowlark.llm.common import discard, stage_table
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _least_neighbour(large)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(large.groupBy("u").agg(F.min("v").alias("v")))
-        edges = stage_table(small.distinct(), "edges")
+        old, edges = edges, stage_table(small.distinct(), "edges")
+        discard(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before:
             break

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import binary_values, grouped, stage_table
+from flowlark.llm.common import binary_values, discard, grouped, stage_table
 from flowlark.llm.components import connected_components
 from flowlark.llm.textkernel import list_column, shingle_sets
 
@@ -293,6 +293,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     reps = members.where("n_shingles > 0 AND doc_id = class_id").select("doc_id").distinct()
     heads = index.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls")
     heads = stage_table(heads.select("cls", "n_shingles", "keep", "tokens", "bits"), "heads")
+    discard(index)
 
     postings = heads.select("cls", F.explode("tokens").alias("token"))
     lists = postings.groupBy("token", F.pmod("token", F.lit(2)).alias("h")).agg(F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("cls")).alias("list")).where("df > 1")
@@ -305,11 +306,12 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     entries = picked.select("cls", "n_shingles", "bits", F.explode("lists").alias("l")).select("cls", "n_shingles", "bits", "l.df", "l.list")
     several = entries.groupBy("list", F.pmod("list", F.lit(2)).alias("h")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     entries = stage_table(entries.join(several.select("list", "m"), "list"), "entries")
+    discard(heads)
 
-    wanted = stage_table(entries.select("cls").distinct(), "wanted")
-    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(wanted, "cls"))
+    searched = stage_table(entries.select("cls").distinct(), "searched")
+    bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(searched, "cls"))
     sets = texts.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(size, bitmap), "cls long, tokens binary")
-    sets = stage_table(sets.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    sets = stage_table(sets.join(searched, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     def candidates(comps: DataFrame | None, nearest: bool) -> DataFrame:
         rows = entries.withColumn("comp", F.col("cls"))
@@ -328,6 +330,7 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     first = connected_components(near).select(F.col("node").alias("cls"), "component")
     first = stage_table(first, "components")
     rest = stage_table(_verified(candidates(first, False), sets, num, den), "links")
+    discard(near, entries, sets, searched)
     merged = rest.join(first.select(F.col("cls").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("cls").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = connected_components(merged.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     merged = stage_table(merged.select(F.col("node").alias("component"), F.col("component").alias("final")), "components")
