@@ -2,9 +2,9 @@
 
 Logistic regression over hashed words and word beginnings that occur in a text.
 Where a labelled text names a group, the name is swapped for those of other
-groups of its kind, and the squared change of the score is added to the loss:
-a name alone then cannot carry weight, which keeps neutral mentions from being
-taken for toxic.
+groups of its kind, and the squared change of the score (its logit) is added to the
+loss: a name alone then cannot carry weight, which keeps neutral mentions from
+being taken for toxic.
 """
 
 from __future__ import annotations
@@ -57,7 +57,10 @@ def _once(doc: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def counterfactuals(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> list[str]:
-    """The text with its group names swapped: the k-th result has each name replaced by the k-th next of its kind."""
+    """The text with its group names swapped: for the next and the next but one of their kind, and for none.
+
+    Swaps among names alone would let all names carry the same weight.
+    """
     kind = {t: (k, i) for k, group in enumerate(terms) for i, t in enumerate(group)}
     pattern = re.compile(r"\b(?:" + "|".join(sorted(map(re.escape, kind), key=len, reverse=True)) + r")\b", re.IGNORECASE)
     if not pattern.search(text):
@@ -65,12 +68,15 @@ def counterfactuals(text: str, terms: tuple[tuple[str, ...], ...] = IDENTITY_TER
 
     def swapped(step: int):
         def put(m: re.Match) -> str:
+            if not step:
+                return ""
             k, i = kind[m[0].lower()]
-            return terms[k][(i + step) % len(terms[k])]
+            other = terms[k][(i + step) % len(terms[k])]
+            return m[0] if other == m[0].lower() else other
 
         return put
 
-    return list(dict.fromkeys(x for step in (1, 2) if (x := pattern.sub(swapped(step), text)) != text))
+    return list(dict.fromkeys(x for step in (1, 2, 0) if (x := pattern.sub(swapped(step), text)) != text))
 
 
 @dataclass(frozen=True)
@@ -129,7 +135,7 @@ def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(labels: np.ndarray, own: list[list[int]], swapped: list[list[list[int]]], size: int, *, penalty: float = 5.0, ridge: float = 3e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and intercept by full-batch Adam on the balanced log loss, ``ridge`` |w|^2 and ``penalty`` times the mean squared change of scores."""
+    """Weights and intercept by full-batch Adam on the balanced log loss, ``ridge`` |w|^2 and ``penalty`` times the mean squared change of logits."""
     weights, bias = np.zeros(size), 0.0
     if len(labels) == 0:
         return weights, bias
@@ -141,14 +147,13 @@ def fit(labels: np.ndarray, own: list[list[int]], swapped: list[list[list[int]]]
     cost /= cost.sum()
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
-        score = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights[col], n) + bias, -30, 30)))
-        at = cost * (score - labels)
+        logit = np.bincount(row, weights[col], n) + bias
+        at = cost * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels)
         extra = np.zeros(0)
         if len(of):
-            other = 1 / (1 + np.exp(-np.clip(np.bincount(row2, weights[col2], len(of)) + bias, -30, 30)))
-            gap = 2 * penalty * (score[of] - other) / len(of)
-            at = at + np.bincount(of, gap * (score * (1 - score))[of], n)
-            extra = -gap * other * (1 - other)
+            gap = 2 * penalty * (logit[of] - np.bincount(row2, weights[col2], len(of)) - bias) / len(of)
+            at = at + np.bincount(of, gap, n)
+            extra = -gap
         slope = np.bincount(col, at[row], size) + 2 * ridge * weights
         if len(of):
             slope += np.bincount(col2, extra[row2], size)
