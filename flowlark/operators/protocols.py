@@ -223,5 +223,9 @@ def tls_hello_histograms(events: DataFrame, kind: int) -> DataFrame:
     """(what, value, count) over versions, cipher suites, compression methods and extension types of complete hellos."""
     rows = with_hello(events.where((F.col("kind") == "tls_handshake") & (F.col("code") == kind)).select(*DIRECTION, "raw"), kind).where("hello.status = 'complete'")
     parts = {"version": F.array("hello.version"), "cipher_suite": F.col("hello.cipher_suites"), "compression_method": F.col("hello.compression_methods"), "extension_type": F.transform("hello.extensions", lambda e: e["type"])}
-    tagged = F.flatten(F.array(*[F.transform(v, lambda x, w=w: F.struct(F.lit(w).alias("what"), x.alias("value"))) for w, v in parts.items()]))
+
+    def tag(what: str):
+        return lambda x: F.struct(F.lit(what).alias("what"), x.alias("value"))
+
+    tagged = F.flatten(F.array(*[F.transform(v, tag(w)) for w, v in parts.items()]))
     return rows.select(*DIRECTION, F.explode(tagged).alias("v")).groupBy(*DIRECTION, "v.what", "v.value").agg(F.count(F.lit(1)).alias("count"))

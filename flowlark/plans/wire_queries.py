@@ -254,3 +254,111 @@ def tcp_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("b8_tcp_option_statistics", _ENCODED + "SELECT CAST(count(*) AS BIGINT) AS packets, CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS with_options, CAST(0 AS BIGINT) AS option_bytes FROM o WHERE failure_classification IS NULL AND NOT udp")
 def tcp_option_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.tcp_option_statistics(_decoded(spark, sf_dir), by=("session",)).select("packets", "malformed", "with_options", "option_bytes")
+
+
+# --- LDAP and TLS over IPv6, where segments carry no checksum that has to hold ---------------------------------------
+
+
+def _segments_v6(rows: DataFrame, key: str, server_port: int) -> DataFrame:
+    """Raw IPv6 packets of (key, ord, forward, seq, data as hex): client 2001:db8::key, port 40000 + key % 20000."""
+    client, server = F.concat(F.lit("20010DB8" + "0" * 16), _hex(F.col(key), 4)), F.lit("20010DB9" + "0" * 16 + "00000001")
+    port, own = _hex(40000 + F.col(key) % 20000, 2), F.lit(f"{server_port:04X}")
+    ends = lambda a, b: F.when(F.col("forward"), F.concat(a, b)).otherwise(F.concat(b, a))
+    size = F.length("data") / 2
+    raw = F.unhex(F.concat(F.lit("60000000"), _hex(20 + size, 2), F.lit("0640"), ends(client, server), ends(port, own), _hex(F.col("seq"), 4), F.lit("00000000" + "5018" + "1000" + "00000000"), F.col("data")))
+    n = F.octet_length("raw_bytes").cast("bigint")
+    rows = rows.withColumn("raw_bytes", raw)
+    return rows.select(F.lit("capture").alias("session"), (F.col(key) * 16 + F.col("ord")).alias("packet_index"), (F.col(key) * 1_000_000 + F.col("ord")).alias("ts_us"), F.lit(101).alias("link_type"), n.alias("captured_length"), n.alias("original_length"), "raw_bytes", F.lit(key).alias("source"))
+
+
+def _in_windows(frames: DataFrame) -> DataFrame:
+    return W.sessionize(W.with_identity(admitted(decode_packets(frames))), timeout_us=10**12, max_active=None)[0]
+
+
+def directory_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` as LDAP: bind, then a search with key % 4 entries whose end is missing if the key is divisible by 5."""
+    t = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    message = lambda ident, tag: f"30050201{ident:02X}{tag:02X}00"
+    steps = [(0, True, 0, message(1, 0x60), F.lit(True)), (1, False, 0, message(1, 0x61), F.lit(True)), (2, True, 7, message(2, 0x63), F.lit(True))]
+    steps += [(3 + k, False, 7 + 7 * k, message(2, 0x64), F.col("c_custkey") % 4 > k) for k in range(3)]
+    rows = t.select("c_custkey", F.explode(F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(f).alias("forward"), F.lit(q).cast("bigint").alias("seq"), F.lit(d).alias("data"), ok.alias("ok")) for o, f, q, d, ok in steps], F.struct(F.lit(6).alias("ord"), F.lit(False).alias("forward"), (7 + 7 * (F.col("c_custkey") % 4)).cast("bigint").alias("seq"), F.lit(message(2, 0x65)).alias("data"), (F.col("c_custkey") % 5 != 0).alias("ok")))).alias("s"))
+    return _in_windows(_segments_v6(rows.select("c_custkey", "s.*").where("ok"), "c_custkey", 389))
+
+
+_CUSTOMERS = "WITH c AS (SELECT c_custkey AS k, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS sequence_number FROM customer) "
+
+
+@query("p6_ldap_correlation", _CUSTOMERS + "SELECT sequence_number, 'bind_request' AS operation, 'completed' AS status, CAST(1 AS BIGINT) AS response_count FROM c UNION ALL SELECT sequence_number, 'search_request', CASE WHEN k % 5 = 0 THEN 'unresolved' ELSE 'completed' END, CAST(k % 4 + CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) FROM c")
+def ldap_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.fold_windows(directory_windows(spark, sf_dir)).where("kind = 'ldap_summary'").select("sequence_number", "operation", "status", "response_count")
+
+
+@query("b11_ldap_flow_statistics", _CUSTOMERS + "SELECT sequence_number, CAST(2 + 1 + k % 4 + CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) AS complete_count, CAST(2 AS BIGINT) AS request_count, CAST(1 + k % 4 + CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS BIGINT) AS response_count, CAST(0 AS BIGINT) AS malformed_count FROM c")
+def ldap_flow_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.ldap_flow_statistics(directory_windows(spark, sf_dir)).select("sequence_number", "complete_count", "request_count", "response_count", "malformed_count")
+
+
+@query("k3_ldap_summary_lines")
+def ldap_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlark.plans.export import ldap_summary_lines as lines
+
+    packets = directory_windows(spark, sf_dir)
+    windows = packets.groupBy("session", "sequence_number").agg(*[F.first(c).alias(c) for c in ("a_addr", "b_addr", "a_port", "b_port", "protocol")])
+    return lines(P.fold_windows(packets), windows)
+
+
+def secure_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``supplier`` as TLS: a ClientHello with 1 + key % 3 suites and, for even keys, groups; cut in two segments; a ServerHello."""
+    t = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
+    key = F.col("s_suppkey")
+    n = key % 3 + 1
+    extensions = F.when(key % 2 == 0, F.lit("0008" + "000A0004" + "0002001D")).otherwise(F.lit(""))
+    suites = F.expr("repeat('1301', CAST(s_suppkey % 3 + 1 AS INT))")
+    client = F.concat(F.lit("0303" + "00" * 32 + "00"), _hex(2 * n, 2), suites, F.lit("0100"), extensions)
+    server = F.lit("0303" + "11" * 32 + "02ABCD" + "1302" + "00")
+    shake = lambda kind, body: F.concat(F.lit(kind), _hex(F.length(body) / 2, 3), body)
+    record = lambda body: F.concat(F.lit("160303"), _hex(F.length(body) / 2, 2), body)
+    ch, sh = record(shake("01", client)), record(shake("02", server))
+    steps = F.array(F.struct(F.lit(0).alias("ord"), F.lit(True).alias("forward"), F.lit(0).cast("bigint").alias("seq"), F.substring(ch, 1, 40).alias("data")), F.struct(F.lit(1).alias("ord"), F.lit(True).alias("forward"), F.lit(20).cast("bigint").alias("seq"), F.substring(ch, 41, 2147483647).alias("data")), F.struct(F.lit(2).alias("ord"), F.lit(False).alias("forward"), F.lit(0).cast("bigint").alias("seq"), sh.alias("data")))
+    return _in_windows(_segments_v6(t.select("s_suppkey", F.explode(steps).alias("s")).select("s_suppkey", "s.*"), "s_suppkey", 443))
+
+
+_SUPPLIERS = "WITH c AS (SELECT s_suppkey AS k, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS sequence_number FROM supplier) "
+
+
+@query("b17_tls_handshake_statistics", _SUPPLIERS + "SELECT sequence_number, TRUE AS is_forward, CAST(1 AS BIGINT) AS messages, CAST(39 + 2 * (k % 3 + 1) + CASE WHEN k % 2 = 0 THEN 10 ELSE 0 END AS BIGINT) AS total_length FROM c UNION ALL SELECT sequence_number, FALSE, CAST(1 AS BIGINT), CAST(40 AS BIGINT) FROM c")
+def tls_handshake_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.tls_handshake_statistics(P.fold_windows(secure_windows(spark, sf_dir))).select("sequence_number", "is_forward", "messages", "total_length")
+
+
+@query("b18_tls_client_hello_statistics", _SUPPLIERS + "SELECT sequence_number, CAST(1 AS BIGINT) AS hellos, CAST(k % 3 + 1 AS BIGINT) AS cipher_suites, CAST(CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS extensions, CAST(CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS supported_groups, CAST(0 AS BIGINT) AS unknown_extensions FROM c")
+def tls_client_hello_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.tls_hello_statistics(P.fold_windows(secure_windows(spark, sf_dir)), 1).select("sequence_number", "hellos", "cipher_suites", "extensions", "supported_groups", "unknown_extensions")
+
+
+@query("b19_tls_server_hello_statistics", _SUPPLIERS + "SELECT sequence_number, CAST(1 AS BIGINT) AS hellos, CAST(1 AS BIGINT) AS with_session_id, CAST(1 AS BIGINT) AS cipher_suites, CAST(0 AS BIGINT) AS extensions FROM c")
+def tls_server_hello_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.tls_hello_statistics(P.fold_windows(secure_windows(spark, sf_dir)), 2).select("sequence_number", "hellos", "with_session_id", "cipher_suites", "extensions")
+
+
+@query("b19_tls_server_hello_histograms", "SELECT what, CAST(value AS INTEGER) AS value, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS count FROM (VALUES ('version', 771), ('cipher_suite', 4866), ('compression_method', 0)) AS v(what, value)")
+def tls_server_hello_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = P.tls_hello_histograms(P.fold_windows(secure_windows(spark, sf_dir)), 2)
+    return h.groupBy("what", "value").agg(F.sum("count").alias("count"))
+
+
+@query("p7_tls_records", _SUPPLIERS + "SELECT sequence_number, is_forward, CAST(22 AS BIGINT) AS code, CAST(CASE WHEN is_forward THEN 43 + 2 * (k % 3 + 1) + CASE WHEN k % 2 = 0 THEN 10 ELSE 0 END ELSE 44 END AS BIGINT) AS length FROM c CROSS JOIN (VALUES (TRUE), (FALSE)) AS v(is_forward)")
+def tls_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.fold_windows(secure_windows(spark, sf_dir)).where("kind = 'tls_record'").select("sequence_number", "is_forward", "code", "length")
+
+
+@query("b14_dns_resource_record_histograms", _LOOKUP_WINDOWS + "SELECT sequence_number, code_kind, CAST(1 AS INTEGER) AS value, CAST(count(*) AS BIGINT) AS count FROM o CROSS JOIN (VALUES ('type'), ('class')) AS v(code_kind) WHERE answered GROUP BY 1, 2")
+def dns_record_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.dns_record_histograms(P.dns_messages(_lookup_events(spark, sf_dir))).select("sequence_number", "code_kind", "value", "count")
+
+
+@query("k1_finding_lines")
+def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from flowlark.plans.export import packet_finding_json
+
+    return packet_finding_json(C.packet_findings(_decoded(spark, sf_dir), C.Detector("packet", "p1")))
