@@ -75,6 +75,68 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scans": op8_license_scans,
 }
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3)
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) IN (1, 2)),
+n AS (SELECT w.doc_id, CAST(count(sh.g) AS BIGINT) AS n FROM w LEFT JOIN sh ON w.doc_id = sh.doc_id GROUP BY 1),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * o >= 90 * (a.n + b.n - o)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS s, doc_id AS t FROM n UNION SELECT r.s, e.y FROM reach r JOIN edges e ON r.t = e.x),
+sets AS (SELECT doc_id, string_agg(g, '|' ORDER BY g) AS k FROM sh GROUP BY 1),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM sets)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(c.class_id, n.doc_id) AS class_id, r.component_id
+FROM n JOIN (SELECT s, min(t) AS component_id FROM reach GROUP BY 1) r ON n.doc_id = r.s LEFT JOIN classes c ON n.doc_id = c.doc_id
+"""
+
+#: Lines, passages (runs of lines of one level), links to first messages, and paths by recursion.
+OP5_SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, 'unknown') AS role, string_split_regex(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+l AS (SELECT r, conv_id, turn, i, ls[i] AS line, regexp_extract(ls[i], '^(?:[ \t]*>)+') AS mark FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM m)),
+v AS (SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, regexp_replace(line, '^(?:[ \t]*>)+ ?', '') AS txt FROM l),
+g AS (SELECT *, sum(CASE WHEN level IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT *, lag(level) OVER (PARTITION BY r ORDER BY i) AS prev FROM v)),
+p AS (SELECT r, conv_id, turn, level, run, string_agg(txt, chr(10) ORDER BY i) AS txt FROM g GROUP BY 1, 2, 3, 4, 5),
+bodies AS (SELECT r, regexp_replace(string_agg(txt, chr(10) ORDER BY run), '^\n+|\n+$', '', 'g') AS body FROM p WHERE level = 0 GROUP BY 1),
+b AS (SELECT m.r, m.conv_id, m.turn, m.role, coalesce(bodies.body, '') AS body FROM m LEFT JOIN bodies ON m.r = bodies.r),
+q AS (SELECT r, conv_id, turn, level, txt FROM p WHERE level > 0 AND length(trim(txt)) > 0),
+qk AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS k FROM (SELECT conv_id, turn, level, txt AS u FROM q UNION ALL SELECT conv_id, turn, level, unnest(string_split(txt, chr(10))) FROM q) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+ok AS (SELECT conv_id, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS k, min(turn) AS original FROM (SELECT conv_id, turn, body AS u FROM b UNION ALL SELECT conv_id, turn, unnest(string_split(body, chr(10))) FROM b) WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
+links AS (SELECT qk.conv_id, qk.turn, level, max(original) AS original FROM qk JOIN ok ON qk.conv_id = ok.conv_id AND qk.k = ok.k WHERE qk.k <> '' AND original < qk.turn GROUP BY 1, 2, 3),
+parents AS (SELECT conv_id, turn, arg_min(original, level) AS parent, CAST(count(*) AS BIGINT) AS n FROM links GROUP BY 1, 2),
+roots AS (SELECT DISTINCT b.conv_id, b.turn FROM b LEFT JOIN parents ON b.conv_id = parents.conv_id AND b.turn = parents.turn WHERE parents.turn IS NULL AND b.conv_id IS NOT NULL AND b.turn IS NOT NULL),
+paths AS (SELECT conv_id, turn, CAST(turn AS VARCHAR) AS path, turn AS root, CAST(0 AS BIGINT) AS depth FROM roots UNION ALL SELECT c.conv_id, c.turn, a.path || '/' || CAST(c.turn AS VARCHAR), a.root, a.depth + 1 FROM paths a JOIN parents c ON c.conv_id = a.conv_id AND c.parent = a.turn)
+SELECT b.conv_id, b.turn, b.role, parents.parent AS parent_turn, coalesce(paths.root, b.turn) AS root_turn, coalesce(paths.depth, 0) AS depth, coalesce(paths.path, CAST(b.turn AS VARCHAR), '') AS path,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n_quotes, coalesce(parents.n, 0) AS n_linked_levels, b.body, '<|' || b.role || '|>' || chr(10) || b.body || chr(10) || '<|end|>' AS formatted
+FROM b LEFT JOIN parents ON b.conv_id = parents.conv_id AND b.turn = parents.turn LEFT JOIN paths ON b.conv_id = paths.conv_id AND b.turn = paths.turn
+LEFT JOIN (SELECT r, count(*) AS n FROM q GROUP BY 1) c ON b.r = c.r
+"""
+
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+OP8_SQL = rf"""
+WITH tpl(template, license, body) AS (VALUES {_TEMPLATE_ROWS}),
+tw AS (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:\.[0-9]+)*')) AS word FROM tpl),
+df AS (SELECT word, count(DISTINCT template) AS df FROM tw GROUP BY 1),
+ttf AS (SELECT template, license, tw.word, count(*) * (ln(({len(TEMPLATES)} + 1.0) / (1.0 + any_value(df.df))) + 1.0) AS w FROM tw JOIN df ON tw.word = df.word GROUP BY 1, 2, 3),
+tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM ttf GROUP BY 1),
+files AS (SELECT doc_id, coalesce(source, '') || '/d' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents),
+cue AS (SELECT * FROM files WHERE regexp_matches(text, '{CUES}')),
+units AS (SELECT doc_id, i AS unit, ls[i + 1] AS body FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM cue)) WHERE regexp_matches(ls[i + 1], '{CUES}')
+          UNION ALL SELECT doc_id, -1, text FROM cue),
+tf AS (SELECT doc_id, unit, word, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:\.[0-9]+)*')) AS word FROM units) GROUP BY 1, 2, 3),
+wt AS (SELECT doc_id, unit, tf.word, tf * (ln(({len(TEMPLATES)} + 1.0) / (1.0 + coalesce(df.df, 0))) + 1.0) AS w FROM tf LEFT JOIN df ON tf.word = df.word),
+un AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM wt GROUP BY 1, 2),
+dot AS (SELECT wt.doc_id, wt.unit, ttf.template, ttf.license, sum(wt.w * ttf.w / tn.norm) AS dot FROM wt JOIN ttf ON wt.word = ttf.word JOIN tn ON ttf.template = tn.template GROUP BY 1, 2, 3, 4),
+sc AS (SELECT dot.doc_id, dot.unit, license, round(dot / norm, 9) AS score FROM dot JOIN un ON dot.doc_id = un.doc_id AND dot.unit = un.unit WHERE round(dot / norm, 9) >= 0.75),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k, max(CASE WHEN unit = -1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS whole FROM sc),
+own AS (SELECT files.doc_id, files.path, regexp_replace(files.path, '/?[^/]*$', '') AS dir, r.license AS own_license, r.score AS own_score, coalesce(r.whole = 1, FALSE) AS is_license_file FROM files LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r ON files.doc_id = r.doc_id),
+keeps AS (SELECT dir, arg_min(own_license, (1 - own_score, path)) AS handed FROM own WHERE is_license_file GROUP BY 1),
+near AS (SELECT own.doc_id, arg_max(keeps.handed, length(keeps.dir)) AS handed, arg_max(keeps.dir, length(keeps.dir)) AS inherited_from FROM own JOIN keeps ON own.dir = keeps.dir OR starts_with(own.dir, keeps.dir || '/') WHERE own_license IS NULL GROUP BY 1)
+SELECT own.doc_id, path, own_license, round(own_score, 6) AS own_score, is_license_file, coalesce(own_license, handed) AS license, inherited_from FROM own LEFT JOIN near ON own.doc_id = near.doc_id
+"""
+
 #: The archives must give back what the table holds. DuckDB reads UTF-8 text as the bytes that are hashed.
 OP7_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -108,4 +170,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s
 """
 
-ORACLES: dict[str, str] = {"op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_license_scans": OP8_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL}
