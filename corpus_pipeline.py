@@ -12,6 +12,7 @@ from flowlark.llm.decontaminate import decontaminated
 from flowlark.llm.ngram_join import ngram_jaccard_join
 from flowlark.llm.rules import keep_good
 from flowlark.llm.toxicity import score_toxicity, train_toxicity
+from flowlark.shipping import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +44,20 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return bpe_round_trip(docs, path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
+def _shipped(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("toxicity", toxicity),
-    ("ngram_jaccard_join", near_duplicates),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("byte_level_bpe", byte_level_bpe),
+    ("quality_rules", _shipped(quality_rules)),
+    ("toxicity", _shipped(toxicity)),
+    ("ngram_jaccard_join", _shipped(near_duplicates)),
+    ("benchmark_decontamination", _shipped(benchmark_decontamination)),
+    ("byte_level_bpe", _shipped(byte_level_bpe)),
 ]
 
 #: No SQL can train the classifier or run the tokenizer; the stages are tested against brute force instead.
