@@ -134,8 +134,8 @@ def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.fromiter((k for r in rows for k in r), dtype=np.int64)
 
 
-def fit(labels: np.ndarray, own: list[list[int]], swapped: list[list[list[int]]], size: int, *, penalty: float = 5.0, ridge: float = 3e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and intercept by full-batch Adam on the balanced log loss, ``ridge`` |w|^2 and ``penalty`` times the mean squared change of logits."""
+def fit(labels: np.ndarray, own: list[list[int]], swapped: list[list[list[int]]], size: int, *, penalty: float = 5.0, ridge: float = 0.1, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and intercept by full-batch Adam on the balanced log loss, ``ridge`` / rows |w|^2 and ``penalty`` times the mean squared change of logits."""
     weights, bias = np.zeros(size), 0.0
     if len(labels) == 0:
         return weights, bias
@@ -143,7 +143,7 @@ def fit(labels: np.ndarray, own: list[list[int]], swapped: list[list[list[int]]]
     pairs = [(i, s) for i, group in enumerate(swapped) for s in group]
     of, (row2, col2) = np.array([i for i, _ in pairs], dtype=np.int64), _csr([s for _, s in pairs])
     n, share = len(labels), labels.mean()
-    cost = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)) ** 0.5
+    cost = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
     cost /= cost.sum()
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
@@ -154,7 +154,7 @@ def fit(labels: np.ndarray, own: list[list[int]], swapped: list[list[list[int]]]
             gap = 2 * penalty * (logit[of] - np.bincount(row2, weights[col2], len(of)) - bias) / len(of)
             at = at + np.bincount(of, gap, n)
             extra = -gap
-        slope = np.bincount(col, at[row], size) + 2 * ridge * weights
+        slope = np.bincount(col, at[row], size) + 2 * ridge / n * weights
         if len(of):
             slope += np.bincount(col2, extra[row2], size)
         slope = np.append(slope, at.sum() + extra.sum())
