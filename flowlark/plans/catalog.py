@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flowlark.plans import flow_queries, wire_queries
+from flowlark.plans import edge_queries, flow_queries, wire_queries
 
-QUERIES = flow_queries.QUERIES | wire_queries.QUERIES
-ORACLES = flow_queries.ORACLES | wire_queries.ORACLES
+QUERIES = flow_queries.QUERIES | wire_queries.QUERIES | edge_queries.QUERIES
+ORACLES = flow_queries.ORACLES | wire_queries.ORACLES | edge_queries.ORACLES
