@@ -58,26 +58,77 @@ def frontier_violations(packets: DataFrame) -> DataFrame:
     return sliced.join(tops, ["session", "_slice"]).withColumn("frontier_us", reached).where("ts_us < frontier_us").drop("_slice", "_before")
 
 
-def _segmented(packets: DataFrame, timeout_us: int, controls: DataFrame | None) -> DataFrame:
-    """``segment``: number of the window within its identity, and gaps to the packet before in the window."""
+#: Packets of a capture that are numbered together; a flow is cut at these places while its windows are found.
+SLICE = 1 << 22
+
+
+def _local(packets: DataFrame, timeout_us: int, controls: DataFrame | None, slice_packets: int) -> DataFrame:
+    """Gaps, breaks and the last packet of the same direction, within each flow's slice.
+
+    ``_seg`` counts the breaks after the slice's first row; ``_own`` is the
+    (``_seg``, time) of the last packet of the row's direction.
+    """
     rows = packets.withColumn("_control", F.lit(False))
     if controls is not None:
         rows = rows.unionByName(controls.withColumn("_control", F.lit(True)), allowMissingColumns=True)
-    order = Window.partitionBy("session", *IDENTITY).orderBy("packet_index", "_control")
+    rows = rows.withColumn("_slice", F.floor(F.col("packet_index") / slice_packets))
+    order = Window.partitionBy("session", *IDENTITY, "_slice").orderBy("packet_index", "_control")
     last_ts, after_control = F.lag("ts_us").over(order), F.lag("_control").over(order)
-    fresh = ~F.col("_control") & (last_ts.isNull() | after_control | (F.col("ts_us") - last_ts >= timeout_us))
-    rows = rows.withColumn("_new", fresh.cast("int")).withColumn("segment", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    state = F.struct("segment", "ts_us", "_control")
-    before = F.lag(state).over(order)
-    same = F.last(F.when(F.col("is_forward") & ~F.col("_control"), state), ignorenulls=True).over(upto)
-    other = F.last(F.when(~F.col("is_forward") & ~F.col("_control"), state), ignorenulls=True).over(upto)
-    own = F.when(F.col("is_forward"), same).otherwise(other)
-    since = lambda s: F.when(s["segment"] == F.col("segment"), F.col("ts_us") - s["ts_us"])
-    return rows.withColumn("gap_us", F.when(F.col("_new") == 0, since(before))).withColumn("direction_gap_us", since(own))
-
-
-def sessionize(packets: DataFrame, *, timeout_us: int, max_active: int | None = MAX_ACTIVE_WINDOWS, controls: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    first = F.lag("packet_index").over(order).isNull()
+    rows = rows.withColumn("_first", first).withColumn("_break", ~F.col("_control") & ~first & (after_control | last_ts.isNull() | (F.col("ts_us") - last_ts >= timeout_us)))
+    rows = rows.withColumn("_gap", F.col("ts_us") - last_ts)
+    rows = rows.withColumn("_seg", F.sum(F.col("_break").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    upto, state = order.rowsBetween(Window.unboundedPreceding, -1), F.struct("_seg", "ts_us")
+    seen = [F.last(F.when(side & ~F.col("_control"), state), ignorenulls=True).over(upto) for side in (F.col("is_forward"), ~F.col("is_forward"))]
+    return rows.withColumn("_own", F.when(F.col("is_forward"), seen[0]).otherwise(seen[1]))
+
+
+def _carried(local: DataFrame, timeout_us: int) -> DataFrame:
+    """What each slice of a flow takes over from those before: its first segment, the row before and the last packet of each direction.
+
+    One narrow row for each flow and slice, so that even a flow with most packets of a capture is a short list here.
+    """
+    keys = ["session", *IDENTITY, "_slice"]
+    at = F.struct("packet_index", "_control")
+    side = lambda c: F.max_by(F.struct("_seg", "ts_us"), F.when(c & ~F.col("_control"), at))
+    slices = local.groupBy(*keys).agg(F.max("_seg").alias("breaks"), F.min_by(F.struct("ts_us", "_control"), at).alias("head"), F.max_by(F.struct("ts_us", "_control"), at).alias("tail"), side(F.col("is_forward")).alias("fwd"), side(~F.col("is_forward")).alias("rev"))
+    order = Window.partitionBy("session", *IDENTITY).orderBy("_slice")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.lag("tail").over(order)
+    fresh = ~F.col("head")["_control"] & (last.isNull() | last["_control"] | (F.col("head")["ts_us"] - last["ts_us"] >= timeout_us))
+    slices = slices.withColumn("_fresh", fresh).withColumn("_before_us", F.when(~last["_control"], last["ts_us"]))
+    slices = slices.withColumn("_base", F.coalesce(F.sum(F.col("_fresh").cast("bigint") + F.col("breaks")).over(before), F.lit(0)) + F.col("_fresh").cast("bigint"))
+    shifted = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col("_base") + F.col(c)["_seg"]).alias("_seg"), F.col(c)["ts_us"].alias("ts_us")))
+    return slices.select(*keys, "_fresh", "_before_us", "_base", F.last(shifted("fwd"), ignorenulls=True).over(before).alias("_fwd"), F.last(shifted("rev"), ignorenulls=True).over(before).alias("_rev"))
+
+
+def _segmented(packets: DataFrame, timeout_us: int, controls: DataFrame | None, slice_packets: int = SLICE) -> DataFrame:
+    """``segment``: number of the window within its identity (from 1), and gaps to the packets before in the window."""
+    local = _local(packets, timeout_us, controls, slice_packets)
+    ends = packets.agg(F.min("packet_index"), F.max("packet_index")).first()
+    helpers = ("_slice", "_first", "_break", "_gap", "_seg", "_own")
+    if ends[0] is None or ends[0] // slice_packets == ends[1] // slice_packets:
+        fresh, before, base = ~F.col("_control"), F.lit(None).cast("bigint"), F.lit(1).cast("bigint")
+        earlier = F.lit(None).cast("struct<_seg:bigint,ts_us:bigint>")
+    else:
+        local = written(local, "slices")
+        carried, match = _carried(local, timeout_us), F.lit(True)
+        keys = ["session", *IDENTITY, "_slice"]
+        carried = carried.select(*[F.col(k).alias(f"_c{k}") for k in keys], "_fresh", "_before_us", "_base", "_fwd", "_rev")
+        for k in keys:
+            match = match & F.col(k).eqNullSafe(F.col(f"_c{k}"))
+        local = local.join(carried, match).drop(*[f"_c{k}" for k in keys])
+        helpers += ("_fresh", "_before_us", "_base", "_fwd", "_rev")
+        fresh, before, base = F.col("_fresh"), F.col("_before_us"), F.col("_base")
+        earlier = F.when(F.col("is_forward"), F.col("_fwd")).otherwise(F.col("_rev"))
+    segment = base + F.col("_seg")
+    gap = F.when(F.col("_first"), F.when(~fresh, F.col("ts_us") - before)).when(~F.col("_break"), F.col("_gap"))
+    own = F.when(F.col("_own").isNotNull(), F.struct((base + F.col("_own")["_seg"]).alias("_seg"), F.col("_own")["ts_us"].alias("ts_us"))).otherwise(earlier)
+    out = local.withColumn("segment", segment).withColumn("gap_us", gap).withColumn("direction_gap_us", F.when(own["_seg"] == segment, F.col("ts_us") - own["ts_us"]))
+    return out.drop(*helpers)
+
+
+def sessionize(packets: DataFrame, *, timeout_us: int, max_active: int | None = MAX_ACTIVE_WINDOWS, controls: DataFrame | None = None, slice_packets: int = SLICE) -> tuple[DataFrame, DataFrame]:
     """(packets with ``sequence_number`` and gaps, windows with closing).
 
     A window of an identity ends when its next packet comes ``timeout_us`` or
@@ -93,20 +144,23 @@ def sessionize(packets: DataFrame, *, timeout_us: int, max_active: int | None =
     nothing can be evicted and windows of different flows are independent.
     Otherwise a narrow scan of each session in packet order, with a state of
     ``max_active`` entries, finds the evictions; they become control rows.
+
+    Flows are followed in slices of ``slice_packets`` packets of the capture, so
+    that a flow with most of them is the work of many tasks.
     """
     if max_active is not None:
         many = packets.select("session", *IDENTITY).distinct().groupBy("session").count().where(F.col("count") > max_active).limit(1).count()
         if many:
             evicted = written(evictions(packets, timeout_us=timeout_us, max_active=max_active, controls=controls), "evictions")
             both = evicted if controls is None else evicted.unionByName(controls.withColumn("reason", F.lit(CLOSED_BY_REQUEST)).withColumn("closed_at", F.col("packet_index")), allowMissingColumns=True)
-            return _windows(packets, timeout_us, both)
+            return _windows(packets, timeout_us, both, slice_packets)
     marked = None if controls is None else controls.withColumn("reason", F.lit(CLOSED_BY_REQUEST)).withColumn("closed_at", F.col("packet_index"))
-    return _windows(packets, timeout_us, marked)
+    return _windows(packets, timeout_us, marked, slice_packets)
 
 
-def _windows(packets: DataFrame, timeout_us: int, controls: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _windows(packets: DataFrame, timeout_us: int, controls: DataFrame | None, slice_packets: int) -> tuple[DataFrame, DataFrame]:
     rows = packets.withColumn("reason", F.lit(None).cast("string")).withColumn("closed_at", F.lit(None).cast("bigint"))
-    segmented = written(_segmented(rows, timeout_us, controls), "segments")
+    segmented = written(_segmented(rows, timeout_us, controls, slice_packets), "segments")
     keys = ["session", *IDENTITY, "segment"]
     closing = F.when(F.col("_control"), F.struct("packet_index", "reason", "closed_at"))
     firsts = segmented.where("segment > 0").groupBy(*keys).agg(F.min(F.when(~F.col("_control"), F.col("packet_index"))).alias("first_packet_index"), F.max(F.when(~F.col("_control"), F.col("packet_index"))).alias("last_packet_index"), F.min("ts_us").alias("first_us"), F.max(F.when(~F.col("_control"), F.col("ts_us"))).alias("last_us"), F.min(closing).alias("closing"))
@@ -121,7 +175,7 @@ def _windows(packets: DataFrame, timeout_us: int, controls: DataFrame | None) ->
     match = F.lit(True)
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    placed = segmented.where("NOT _control").join(numbers, match).drop(*[f"_{k}" for k in keys], "_control", "_new", "reason", "closed_at")
+    placed = segmented.where("NOT _control").join(numbers, match).drop(*[f"_{k}" for k in keys], "_control", "reason", "closed_at")
     return placed, windows
 
 

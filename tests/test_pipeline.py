@@ -206,3 +206,40 @@ def test_udp_checksum_rules(spark):
     assert [tuple(r) for r in got] == [(None, None, False), ("integrity_failure", "Checksum validation failed for UDP", None), ("unsupported", "TCP decoding requires an initial IPv4 fragment", None)]
     assert ACK == 16
     assert FIN == 1
+
+
+def plain_windows(packets, timeout, closes):
+    """(sequence, index, gap, direction gap) of packets (index, ts, flow, forward), one after the other."""
+    open_, out, created = {}, [], 0
+    for index, ts, flow, forward in packets:
+        w = open_.get(flow)
+        if w is None or ts - w["ts"] >= timeout:
+            w = open_[flow] = {"n": created, "ts": None, True: None, False: None}
+            created += 1
+        gap = None if w["ts"] is None else ts - w["ts"]
+        own = None if w[forward] is None else ts - w[forward]
+        out.append((index, w["n"], gap, own))
+        w["ts"] = w[forward] = ts
+        if index in closes:
+            del open_[flow]
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_slices_do_not_show(spark, size):
+    import random
+
+    rng = random.Random(size)
+    rows, ts = [], 0
+    for k in range(150):
+        ts += rng.randrange(4)
+        rows.append((k, ts, rng.choice((0, 0, 0, 1, 2)), rng.random() < 0.5))
+    closes = {k for k in range(150) if rng.random() < 0.05}
+    data = [("s", k, t, bytes([f]) * 4, b"\xff" * 4, 1, 2, 17, None, fwd, 1, 1) for k, t, f, fwd in rows]
+    packets = spark.createDataFrame(data, "session string, packet_index bigint, ts_us bigint, a_addr binary, b_addr binary, a_port int, b_port int, protocol int, icmp_echo_id int, is_forward boolean, captured_length bigint, original_length bigint")
+    controls = packets.where(packets.packet_index.isin(*closes)).select("session", "packet_index", *flows.IDENTITY)
+    for asked in (None, controls):
+        placed, windows = flows.sessionize(packets, timeout_us=6, max_active=None, controls=asked, slice_packets=size)
+        got = sorted((r.packet_index, r.sequence_number, r.gap_us, r.direction_gap_us) for r in placed.collect())
+        assert got == plain_windows(rows, 6, closes if asked is not None else set())
+        assert windows.count() == len({g[1] for g in got})
