@@ -245,9 +245,36 @@ def directional_gap_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _state(spark, sf_dir).select("sequence_number", *[F.round(f[f"{d}_{k}_inter_arrival_seconds"], n).alias(f"{d}_{k}_inter_arrival_seconds") for k, n in places.items() for d in ("forward", "reverse")])
 
 
-@query("m9_feature_projection")
+def _feature_sql() -> dict[str, tuple[str, int]]:
+    """Each feature's SQL over ``s`` and the places it is compared to."""
+    seconds = "(CAST(last_us - first_us AS DOUBLE) / 1000000.0)"
+    out = {n: (n, 0) for n in ("packet_count", "captured_bytes", "original_bytes", "forward_packet_count", "reverse_packet_count", "forward_captured_bytes", "reverse_captured_bytes", "forward_original_bytes", "reverse_original_bytes")}
+    out |= {f"{d}_{n}": (_sql_ratio(d, x), 6) for n, x in (("packet_ratio", "packet_count"), ("captured_byte_ratio", "captured_bytes"), ("original_byte_ratio", "original_bytes")) for d in ("forward", "reverse")}
+    out["capture_ratio"] = ("CASE WHEN original_bytes <> 0 THEN CAST(captured_bytes AS DOUBLE) / original_bytes ELSE 0.0 END", 6)
+    for size, v in (("captured", "var_c"), ("original", "var_o")):
+        out |= {f"min_{size}_length": (f"min_{size}_length", 0), f"max_{size}_length": (f"max_{size}_length", 0), f"mean_{size}_length": (f"mean_{size}_length", 6), f"variance_{size}_length": (v, 4), f"standard_deviation_{size}_length": (f"sqrt({v})", 4)}
+    out |= {f"{d}_mean_captured_length": (f"coalesce({d}_mean_c, 0.0)", 6) for d in ("forward", "reverse")}
+    out |= {f"{d}_variance_captured_length": (f"coalesce({d}_var_c, 0.0)", 4) for d in ("forward", "reverse")}
+    out["duration_seconds"] = (seconds, 6)
+    out |= {n: (f"CASE WHEN last_us > first_us THEN {x} / {seconds} END", 6) for n, x in (("packets_per_second", "packet_count"), ("captured_bytes_per_second", "captured_bytes"), ("original_bytes_per_second", "original_bytes"))}
+    gaps = {"mean": ("CAST(gap_sum AS DOUBLE) / n_gap / 1000000.0", 8), "variance": ("gap_var", -1), "standard_deviation": ("sqrt(gap_var)", 2), "min": ("gap_min / 1000000.0", 6), "max": ("gap_max / 1000000.0", 6)}
+    out |= {f"{k}_inter_arrival_seconds": (f"CASE WHEN n_gap > 0 THEN {e} ELSE 0.0 END", n) for k, (e, n) in gaps.items()}
+    sides = {"mean": ("{d}_mean", 8), "variance": ("{d}_var", -1), "standard_deviation": ("sqrt({d}_var)", 2), "min": ("{d}_min", 6), "max": ("{d}_max", 6)}
+    return out | {f"{d}_{k}_inter_arrival_seconds": (e.format(d=d), n) for d in ("forward", "reverse") for k, (e, n) in sides.items()}
+
+
+_FEATURE_SQL = _feature_sql()
+
+
+def _rounded_sql(name: str) -> str:
+    expression, places = _FEATURE_SQL[name]
+    return f"CAST({expression} AS BIGINT) AS {name}" if places == 0 else f"round({expression}, {places}) AS {name}"
+
+
+@query("m9_feature_projection", _SUMS + "SELECT 'capture' AS session, sequence_number, " + ", ".join(map(_rounded_sql, _FEATURE_SQL)) + " FROM s")
 def feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.project_features(_state(spark, sf_dir), dotted=False).drop("provenance")
+    f = M.project_features(_state(spark, sf_dir), dotted=False).drop("provenance")
+    return f.select("session", "sequence_number", *[F.col(n) if p == 0 else F.round(n, p).alias(n) for n, (_, p) in _FEATURE_SQL.items()])
 
 
 VOLUME = C.VolumeDetector("volume", "v1", "packet_count", 2)

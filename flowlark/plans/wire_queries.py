@@ -244,11 +244,11 @@ def dns_flag_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dns_flag_statistics(P.dns_messages(_lookup_events(spark, sf_dir))).select("sequence_number", "messages", "responses", "recursion_desired", "recursion_available", "queries")
 
 
-@query("p1_tcp_stream_state")
+@query("p1_tcp_stream_state", _ENCODED + "SELECT CASE WHEN (l_linenumber // 4) % 2 = 1 THEN 'reset' WHEN l_linenumber % 2 = 1 THEN 'fin' ELSE 'open' END AS status, CAST(q AS BIGINT) AS stream_bytes, CAST(0 AS BIGINT) AS consumed_bytes, CAST(count(*) AS BIGINT) AS streams FROM o WHERE failure_classification IS NULL AND NOT udp GROUP BY 1, 2")
 def tcp_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = W.with_identity(admitted(_decoded(spark, sf_dir)))
     placed, _ = W.sessionize(packets, timeout_us=10**15, max_active=None)
-    return P.tcp_streams(P.fold_windows(placed))
+    return P.tcp_streams(P.fold_windows(placed)).groupBy("status", "stream_bytes", "consumed_bytes").agg(F.count(F.lit(1)).alias("streams"))
 
 
 @query("b8_tcp_option_statistics", _ENCODED + "SELECT CAST(count(*) AS BIGINT) AS packets, CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS with_options, CAST(0 AS BIGINT) AS option_bytes FROM o WHERE failure_classification IS NULL AND NOT udp")
@@ -298,7 +298,13 @@ def ldap_flow_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ldap_flow_statistics(directory_windows(spark, sf_dir)).select("sequence_number", "complete_count", "request_count", "response_count", "malformed_count")
 
 
-@query("k3_ldap_summary_lines")
+def _line(ident: str, tag: int, operation: str, status: str, count: str, terminal: str) -> str:
+    """SQL of a summary line."""
+    identity = """'{"identity":{"ip_version":6,"source_address":"20010db80000000000000000' || lower(printf('%08X', k)) || '","destination_address":"20010db9000000000000000000000001","source_port":' || CAST(40000 + k % 20000 AS VARCHAR) || ',"destination_port":389,"protocol":6},"direction":"forward","request":{"message_id":"""
+    return identity + f"""{ident},"operation_tag":{tag},"operation":"{operation}","message_length":7}},"status":"' || {status} || '","response_count":' || CAST({count} AS VARCHAR) || ',"terminal_response":' || {terminal} || '}}'"""
+
+
+@query("k3_ldap_summary_lines", _CUSTOMERS + "SELECT " + _line("1", 0x60, "bind_request", "'completed'", "1", """'"bind_response"'""") + " AS value FROM c UNION ALL SELECT " + _line("2", 0x63, "search_request", "CASE WHEN k % 5 = 0 THEN 'unresolved' ELSE 'completed' END", "k % 4 + CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END", """CASE WHEN k % 5 = 0 THEN 'null' ELSE '"search_result_done"' END""") + " FROM c")
 def ldap_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlark.plans.export import ldap_summary_lines as lines
 
@@ -357,7 +363,17 @@ def dns_record_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dns_record_histograms(P.dns_messages(_lookup_events(spark, sf_dir))).select("sequence_number", "code_kind", "value", "count")
 
 
-@query("k1_finding_lines")
+_FINDING_LINE = """
+SELECT l_orderkey * 8 + l_linenumber AS finding_index,
+  '{"detector_id":"packet","detector_version":"p1","decision":"' || CASE WHEN cut THEN 'not_evaluable' WHEN corrupt THEN 'match' ELSE 'no_match' END
+  || '","raw_evidence":{"captured_at":"' || strftime(make_timestamp(l_orderkey * 1000 + l_linenumber), '%Y-%m-%dT%H:%M:%S.%f') || '+00:00","capture_source":"lineitem","link_type":1,"captured_length":'
+  || CAST(34 + CASE WHEN udp THEN 8 ELSE 20 END + q - CASE WHEN cut THEN 1 ELSE 0 END AS VARCHAR) || ',"original_length":' || CAST(34 + CASE WHEN udp THEN 8 ELSE 20 END + q AS VARCHAR)
+  || ',"protocol":' || CASE WHEN cut OR corrupt THEN 'null' WHEN udp THEN '17' ELSE '6' END || ',"failure_classification":' || coalesce('"' || failure_classification || '"', 'null') || ',"failure_description":' || coalesce('"' || failure_description || '"', 'null')
+  || '},"security_interpretation":"' || CASE WHEN cut THEN 'The packet analysis outcome was incomplete or unsupported.' WHEN corrupt THEN 'A supported structural or integrity violation was observed.' ELSE 'No supported integrity or structural violation was observed.' END || '"}' AS json FROM o
+"""
+
+
+@query("k1_finding_lines", _ENCODED + _FINDING_LINE)
 def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowlark.plans.export import packet_finding_json
 
