@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from flowlark.operators import aggregates, detectors, evaluation, flows
 from flowlark.operators.decoding import admitted, decode_packets
 from flowlark.plans.pipeline import DetectionSettings
-from flowlark.runtime import written
+from flowlark.runtime import with_rank, written
 from flowlark.schemas import CLOSED_BY_END, IDENTITY, TCP_FLAGS
 
 Consumer = Callable[[DataFrame], None]
@@ -122,14 +122,14 @@ class StreamingEvaluation:
         self.metrics.add("packet", entries)
 
     def flow_findings(self, findings: DataFrame) -> None:
-        self.flows.append(written(findings.withColumn("_order", F.struct(*detectors.finding_order())), "flow-findings"))
+        self.flows.append(written(findings.withColumn("_batch", F.lit(len(self.flows))), "flow-findings"))
 
     def finish(self) -> dict[str, dict[str, int]]:
         if self.flows:
             every = self.flows[0]
             for more in self.flows[1:]:
                 every = every.unionByName(more)
-            indexed = every.withColumn("finding_index", F.monotonically_increasing_id())
+            indexed = with_rank(every, "finding_index", "_batch", *detectors.finding_order())
             found = evaluation.finding_identities(indexed, packet=False, index="finding_index")
             self.metrics.add("flow", evaluation.evaluate_channel(found, self.flow_expectations, evaluation.FLOW_IDENTITY))
         missed = self.packet_expectations

@@ -159,7 +159,13 @@ def test_stream_gives_the_findings_of_the_batch(spark):
     ev = StreamingEvaluation(truth, J.finding_identities(whole.flow_findings.limit(0), packet=False, index="finding_index").selectExpr("actual_index AS expectation_index", "true AS positive", *J.FLOW_IDENTITY))
     ev.packets(whole.packet_findings.where("finding_index < 4"))
     ev.packets(whole.packet_findings.where("finding_index >= 4 AND finding_index < 7"))
-    got = ev.finish()["packet"]
+    flows_truth = J.finding_identities(whole.flow_findings, packet=False, index="finding_index").selectExpr("actual_index AS expectation_index", "decision = 'match' AS positive", *J.FLOW_IDENTITY)
+    ev.flow_expectations = flows_truth
+    ev.flow_findings(whole.flow_findings.where("finding_index < 3").drop("finding_index"))
+    ev.flow_findings(whole.flow_findings.where("finding_index >= 3").drop("finding_index"))
+    done = ev.finish()
+    got, flow_got = done["packet"], done["flow"]
+    assert flow_got["true_positives"] + flow_got["true_negatives"] == whole.flow_findings.count()
     assert (got["false_negatives"], got["true_negatives"], got["unclassified"]) == (4, 3, 1)
 
 
