@@ -322,3 +322,31 @@ def test_held_out_is_the_stated_remainder(spark):
 
     rows = spark.range(200).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_chat_sql_says_the_same(spark):
+    import duckdb
+
+    from flowlark.llm.queries import OP5_SQL
+
+    rng = random.Random(7)
+    rows = []
+    for conv in range(30):
+        said = []
+        for turn in range(rng.randrange(1, 8)):
+            lines = []
+            for _ in range(rng.randrange(3)):
+                quoted = rng.choice(said) if said and rng.random() < 0.8 else f"never said {rng.randrange(9)}"
+                lines.append(">" * rng.randint(1, 3) + rng.choice(["", " "]) + quoted.upper())
+            own = f"conv {conv} turn {turn} {rng.randrange(3)}"
+            said.append(own)
+            lines.insert(rng.randrange(len(lines) + 1), own)
+            rows.append((conv, turn, rng.choice(["user", "assistant", None]), "\n".join(lines)))
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = con.sql(OP5_SQL)
+    expected = sorted(map(str, (sorted(dict(zip(found.columns, r)).items()) for r in found.fetchall())))
+    assert sorted(map(str, (sorted((r.asDict() | {"path": "/".join(map(str, r.path))}).items()) for r in got))) == expected
+    assert any(r.depth > 1 for r in got)
