@@ -21,9 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; the classifier learns from the labels of what is left."""
+    """Documents that score below one half; the classifier learns from the labelled rows of ``documents``."""
     names = docs.columns
-    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    model = train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return score_toxicity(docs.withColumn("_text", F.col("text")), model, text_col="_text", keep=tuple(names)).where("score < 0.5").select(*names)
 
 

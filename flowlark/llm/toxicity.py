@@ -138,7 +138,7 @@ def fit(labels: np.ndarray, own: list[list[int]], swapped: list[list[list[int]]]
     """Weights and intercept by full-batch Adam on the balanced log loss, ``ridge`` / rows |w|^2 and ``penalty`` times the mean squared change of logits."""
     weights, bias = np.zeros(size), 0.0
     if len(labels) == 0:
-        return weights, bias
+        return weights, -1.0
     row, col = _csr(own)
     pairs = [(i, s) for i, group in enumerate(swapped) for s in group]
     of, (row2, col2) = np.array([i for i, _ in pairs], dtype=np.int64), _csr([s for _, s in pairs])
@@ -169,7 +169,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
 
     Of the buckets that three documents or more hold, the ``kept_features``
     that tell the labels apart best (by z score) are used, and those of the
-    group names. Without labelled documents every score is one half.
+    group names. Without labelled documents every score is that of an intercept
+    of -1: nothing is taken for toxic.
     """
     sample = training_rows(docs, labels, label, rows, **columns).select("text", "label")
     totals = sample.groupBy("label").count().collect()
