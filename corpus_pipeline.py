@@ -28,10 +28,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect, the one with the smallest id (of five-word shingles, similarity 0.8)."""
-    found = ngram_jaccard_join(docs, size=5, num=80, den=100)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """Of each group of documents that links connect, the one with the smallest id (of five-word shingles, similarity 0.8).
+
+    Of rows with one id one stays; rows without an id are in no group.
+    """
+    known = docs.where("doc_id IS NOT NULL")
+    found = ngram_jaccard_join(known, size=5, num=80, den=100)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    stay = known.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return stay.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

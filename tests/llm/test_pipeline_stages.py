@@ -53,3 +53,21 @@ def test_queries_give_a_row_for_each_row(spark, sf_dir, name):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
     if table == "documents":
         assert max(Counter(r.doc_id for r in rows).values()) == 1
+
+
+def test_stages_take_nulls_empty_tables_and_repeats(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    good = " ".join(f"word{k}" for k in range(80))
+    other = " ".join(f"other{k}" for k in range(80))
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (2, good + " x", None, None, None), (None, other, None, None, None), (None, good, None, None, None), (3, None, None, None, None), (4, "", "en", "s", 0), (5, other + " y", "en", "s", 1)]
+    docs = spark.createDataFrame([r[: len(schema)] for r in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda d: sorted(-1 if r.doc_id is None else r.doc_id for r in d.collect())
+    kept = stages["quality_rules"](spark, docs, sf_dir)
+    assert ids(kept) == [-1, -1, 1, 1, 2, 5]
+    assert ids(stages["toxicity"](spark, docs, sf_dir)) == [-1, -1, 1, 1, 2, 3, 4, 5]
+    assert ids(stages["ngram_jaccard_join"](spark, docs, sf_dir)) == [-1, -1, 1, 3, 4, 5]
+    assert ids(stages["benchmark_decontamination"](spark, docs, sf_dir)) == [-1, -1, 1, 1, 2, 3, 4, 5]
+    assert ids(stages["byte_level_bpe"](spark, docs, sf_dir)) == [-1, -1, 1, 1, 2, 3, 4, 5]
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), sf_dir).collect() == []
