@@ -273,7 +273,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return dealt.mapInArrow(_search(num, den), "a long, b long, overlap long")
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, factor: int = 2, block: int = 1024) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, factor: int = 2, block: int = 512) -> DataFrame:
     """Classes and components of the documents whose n-gram sets have a Jaccard similarity of num / den or more.
 
     Returns one row per input row: ``doc_id``, ``n_shingles``, ``class_id`` (the
