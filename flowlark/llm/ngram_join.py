@@ -334,7 +334,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     merged = rest.join(first.select(F.col("cls").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("cls").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = connected_components(merged.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     merged = stage_table(merged.select(F.col("node").alias("component"), F.col("component").alias("final")), "components")
-    labels = first.join(merged, "component", "full").select(F.coalesce("cls", "component").alias("class_id"), F.coalesce("final", "component").alias("component_id"))
+    # a left join, unlike a full one, lets Spark split the members of a large component
+    labels = first.join(merged, "component", "left").select(F.col("cls").alias("class_id"), F.coalesce("final", "component").alias("component_id"))
+    later = merged.join(first.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("class_id"), F.col("final").alias("component_id"))
+    labels = labels.unionByName(later)
     labels = labels.groupBy("class_id", F.pmod("class_id", F.lit(2)).alias("h")).agg(F.min("component_id").alias("component_id"))
     out = members.join(labels.select("class_id", "component_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
