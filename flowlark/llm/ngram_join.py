@@ -8,8 +8,9 @@ never meet each other. The search runs in three distributed steps:
    the index: ``factor`` times as many as the prefix that the threshold asks
    for. Two linked sets share so many of them that, whatever the order, they
    share one of the rarest tokens; so only the shortest inverted lists (by
-   list length over the whole corpus) are kept of each document. Lists with the
-   same members (equal count and xor of members) are one list.
+   their number of index entries over the whole corpus) are kept of each
+   document, as many as the worst pair of sizes needs (``_picks``). Lists with
+   the same members (equal count and xor of members) are one list.
 2. *Candidates.* A task sees whole lists, longer ones in pairs of blocks.
    Lengths, and the Hamming distance of parity bitmaps (a lower bound of the
    symmetric difference), rule out pairs without error. In the first round each
@@ -27,6 +28,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +95,24 @@ def _prefix(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+@lru_cache(maxsize=1 << 16)
+def _picks(n: int, num: int, den: int, factor: int) -> int:
+    """How many of the rarest tokens of a set's index must be kept, so that each linked pair keeps a common one.
+
+    Take any order of tokens. Those before the first common token of two
+    indexes are in one index only, so a set needs one more than it can have of
+    them. If the index of the smaller set a ends first, all its tokens but the
+    a - overlap that b lacks are in b's index, and what else is there may be
+    in a beyond a's index. If b's ends first, ``_prefix`` is enough for both.
+    """
+    a = np.arange(max(1, -(-num * n // den)), n + 1)
+    overlap = _needed(a, n, num, den)
+    a, overlap = a[overlap <= a], overlap[overlap <= a]
+    indexed = np.minimum(a, factor * (a - -(-num * a // den) + 1))
+    alone = min(n, factor * _prefix(n, num, den)) - (indexed - (a - overlap))
+    return max(_prefix(n, num, den), int(alone.max()) + 1)
+
+
 def _bitmap(tokens: np.ndarray) -> bytes:
     """Parities of the tokens' counts in 2**k cells, about one cell or two for each token, 512 at least."""
     width = 512
@@ -112,8 +132,8 @@ def _index(size: int, num: int, den: int, factor: int):
                     n.append(len(s))
                     s1.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                     s2.append(int(np.bitwise_xor.reduce(s * (s | np.uint64(1))).view(np.int64)) if len(s) else 0)
-                    keep.append(_prefix(len(s), num, den) if len(s) else 0)
-                    tokens.append(s[: factor * keep[-1]])
+                    keep.append(_picks(len(s), num, den, factor) if len(s) else 0)
+                    tokens.append(s[: factor * _prefix(len(s), num, den)] if len(s) else s)
                     bits.append(_bitmap(s) if len(s) else b"")
                 yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(keep, pa.int32()), list_column(tokens, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "keep", "tokens", "bits"])
 

@@ -66,6 +66,30 @@ def test_join_equals_brute_force(spark, size, num, den, block):
     assert got == brute(rows, size, num, den)
 
 
+@pytest.mark.parametrize(("size", "num", "den", "most"), [(3, 90, 100, 90), (5, 80, 100, 45), (2, 70, 100, 30)])
+def test_pairs_of_all_sizes_at_the_threshold(spark, size, num, den, most):
+    rows, linked = [], {}
+    for b in range(1, most + 1):
+        for a in range(1, b + 1):
+            o = -(-num * (a + b) // (num + den))
+            if o > a:
+                continue
+            base = [f"p{len(rows)}x{k}" for k in range(o + size - 1)]
+            i = len(rows)
+            rows += [(i, " ".join(base + [f"a{i}x{k}" for k in range(a - o)])), (i + 1, " ".join(base + [f"b{i}x{k}" for k in range(b - o)]))]
+            linked[i] = linked[i + 1] = i
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(docs, size=size, num=num, den=den).collect()}
+    assert got == linked
+
+
+def test_eleven_words_and_one_more(spark):
+    words = [[f"e{k}x{i}" for i in range(12)] for k in range(20)]
+    rows = [(2 * k + more, " ".join(w[: 11 + more])) for k, w in enumerate(words) for more in (0, 1)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_a_large_group_of_near_copies_and_of_copies(spark):
     rng = random.Random(9)
     base = [f"b{k}" for k in range(150)]
