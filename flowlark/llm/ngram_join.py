@@ -293,17 +293,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return dealt.mapInArrow(_search(num, den), "a long, b long, overlap long")
 
 
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, factor: int = 2, block: int = 512) -> DataFrame:
-    """Classes and components of the documents whose n-gram sets have a Jaccard similarity of num / den or more.
-
-    Returns one row per input row: ``doc_id``, ``n_shingles``, ``class_id`` (the
-    smallest id with an equal set) and ``component_id`` (the smallest id
-    reachable by links). Null and empty texts, or texts without a word, have
-    empty sets and are linked with nothing. Texts of fewer than ``size`` words
-    are one shingle. Long texts are taken whole; other columns are ignored. Ids
-    must not repeat with different texts; repeated equal rows stay repeated.
-    An empty table gives an empty result. Rows with a null id give null ids.
-    """
+def _searchable(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, factor: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Tables of the rows with their classes, of the lists' entries, of the ids in them and of these ids' sets."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     index = stage_table(texts.mapInArrow(_index(size, num, den, factor), INDEX_SCHEMA), "ngrams")
     # grouped by three keys, joined by two: both sides are dealt anew, and a hot class can be split
@@ -332,24 +323,39 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(searched, "cls"))
     sets = texts.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(size, bitmap), "cls long, tokens binary")
     sets = stage_table(sets.join(searched, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    return members, entries, searched, sets
+
 
-    def candidates(comps: DataFrame | None, nearest: bool) -> DataFrame:
-        rows = entries.withColumn("comp", F.col("cls"))
-        if comps is not None:
-            rows = entries.join(comps, "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-            mixed = rows.groupBy("list", F.pmod("list", F.lit(2)).alias("h")).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
-            rows = rows.join(mixed.select("list"), "list", "left_semi")
-        blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-        rows = rows.select("list", "cls", "n_shingles", "comp", "bits", blocks.alias("k"), F.pmod(F.xxhash64("cls", F.lit(5)), blocks).cast("int").alias("blk"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        rows = rows.select("list", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "cls", "n_shingles", "comp", "bits", "blk")
-        rows = rows.repartition("list", "b1", "b2").sortWithinPartitions("list", "b1", "b2")
-        return rows.mapInArrow(_candidates(num, den, nearest), "a long, b long")
-
-    near = stage_table(_verified(candidates(None, True), sets, num, den), "links")
+def _candidate_pairs(entries: DataFrame, comps: DataFrame | None, nearest: bool, num: int, den: int, block: int) -> DataFrame:
+    rows = entries.withColumn("comp", F.col("cls"))
+    if comps is not None:
+        rows = entries.join(comps, "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
+        mixed = rows.groupBy("list", F.pmod("list", F.lit(2)).alias("h")).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
+        rows = rows.join(mixed.select("list"), "list", "left_semi")
+    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    rows = rows.select("list", "cls", "n_shingles", "comp", "bits", blocks.alias("k"), F.pmod(F.xxhash64("cls", F.lit(5)), blocks).cast("int").alias("blk"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("list", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "cls", "n_shingles", "comp", "bits", "blk")
+    rows = rows.repartition("list", "b1", "b2").sortWithinPartitions("list", "b1", "b2")
+    return rows.mapInArrow(_candidates(num, den, nearest), "a long, b long")
+
+
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, factor: int = 2, block: int = 512) -> DataFrame:
+    """Classes and components of the documents whose n-gram sets have a Jaccard similarity of num / den or more.
+
+    Returns one row per input row: ``doc_id``, ``n_shingles``, ``class_id`` (the
+    smallest id with an equal set) and ``component_id`` (the smallest id
+    reachable by links). Null and empty texts, or texts without a word, have
+    empty sets and are linked with nothing. Texts of fewer than ``size`` words
+    are one shingle. Long texts are taken whole; other columns are ignored. Ids
+    must not repeat with different texts; repeated equal rows stay repeated.
+    An empty table gives an empty result. Rows with a null id give null ids.
+    """
+    members, entries, searched, sets = _searchable(docs, id_col, text_col, size, num, den, factor)
+    near = stage_table(_verified(_candidate_pairs(entries, None, True, num, den, block), sets, num, den), "links")
     first = connected_components(near).select(F.col("node").alias("cls"), "component")
     first = stage_table(first, "components")
-    rest = stage_table(_verified(candidates(first, False), sets, num, den), "links")
+    rest = stage_table(_verified(_candidate_pairs(entries, first, False, num, den, block), sets, num, den), "links")
     discard(near, entries, sets, searched)
     merged = rest.join(first.select(F.col("cls").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("cls").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = connected_components(merged.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
@@ -361,3 +367,16 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     labels = labels.groupBy("class_id", F.pmod("class_id", F.lit(2)).alias("h")).agg(F.min("component_id").alias("component_id"))
     out = members.join(labels.select("class_id", "component_id"), "class_id", "left")
     return out.select("doc_id", "n_shingles", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+
+
+def ngram_jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, factor: int = 2, block: int = 512) -> DataFrame:
+    """Every link of ``ngram_jaccard_join``: ``a`` < ``b``, class ids of different sets, and the ``overlap`` of these.
+
+    All candidate pairs are verified, those within one component too, so a
+    group of m mutually linked sets gives m (m - 1) / 2 rows. Documents of one
+    class have equal links and are not paired with each other.
+    """
+    members, entries, searched, sets = _searchable(docs, id_col, text_col, size, num, den, factor)
+    links = stage_table(_verified(_candidate_pairs(entries, None, False, num, den, block), sets, num, den), "links")
+    discard(members, entries, sets, searched)
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")

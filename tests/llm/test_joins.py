@@ -99,6 +99,17 @@ def test_a_large_group_of_near_copies_and_of_copies(spark):
     assert got == brute(rows, 3, 90, 100)
 
 
+def test_links_are_all_pairs_of_classes(spark):
+    rows = near_corpus(3)
+    sets = {}
+    for i, t in sorted(rows):
+        sets.setdefault(frozenset(shingles(t, 3)), i)
+    want = {(i, j, len(s & t)) for s, i in sets.items() for t, j in sets.items() if i < j and 100 * len(s & t) >= 90 * len(s | t) and s and t}
+    assert len(want) > len({j for _, j, _ in want})  # more links than a forest has
+    got = [tuple(r) for r in ngram_join.ngram_jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), block=4).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_empty_repeated_and_clashing(spark):
     schema = "doc_id long, text string, component_id string, cls int, tokens string"
     assert ngram_join.ngram_jaccard_join(spark.createDataFrame([], schema)).collect() == []
