@@ -76,25 +76,24 @@ def _page(value: str) -> int | None:
     return int(found[1]) if found else None
 
 
-def _parse(data: memoryview | bytes, at: int) -> tuple[dict, int]:
+def _parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record that begins at ``at`` and the place after its end."""
-    view = bytes(data[at : at + 65536])
-    end = view.find(_END)
-    if not view.startswith(_VERSION) or end < 0:
+    end = data.find(_END, at) if data.startswith(_VERSION, at) else -1
+    if end < 0:
         raise DamagedRecord("no record header")
     fields = {}
-    for line in view[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
         if not colon:
             raise DamagedRecord("a header line without a colon")
         fields[name.strip().lower()] = value.strip()
     if not fields.get("content-length", "").isdigit():
         raise DamagedRecord("no content length")
-    start = at + end + 4
+    start = end + 4
     stop = start + int(fields["content-length"])
-    if stop > len(data) or bytes(data[stop : stop + 4]) not in (_END, b""):
+    if stop > len(data) or data[stop : stop + 4] not in (_END, b""):
         raise DamagedRecord("the block has not the stated length")
-    block = bytes(data[start:stop])
+    block = data[start:stop]
     wanted = fields.get("warc-block-digest", "").removeprefix("sha1:")
     if wanted and wanted != hashlib.sha1(block).hexdigest():
         raise DamagedRecord("block digest")
@@ -157,7 +156,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, dict | tuple[int, int, str]]]:
                         gap = None
                     yield "gap", (at, after - at, bad)
             else:
-                record, after = _parse(view, at)
+                record, after = _parse(data, at)
                 got.append(record)
         except DamagedRecord as error:
             if gap is None:

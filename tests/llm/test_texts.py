@@ -176,6 +176,14 @@ def test_contaminated_pairs(spark):
     assert decontaminate.contaminated_pairs(d, b.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_salvage_takes_headers_of_any_length(pack):
+    body = b"payload"
+    url = "http://x/" + "u" * 100_000
+    data = pack(warc.record_bytes(1, url, body, hashlib.sha1(body).hexdigest(), len(body), None, "2024-01-01T00:00:00Z") + b"\r\n\r\n")
+    assert [(kind, got["page_id"], got["url"]) for kind, got in warc.salvage(data)] == [("record", 1, url)]
+
+
 # --- rules, chat, licences (native) -------------------------------------------------------------------------------
 
 
