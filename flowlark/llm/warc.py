@@ -15,6 +15,7 @@ between as a gap.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -76,6 +77,31 @@ def _page(value: str) -> int | None:
     return int(found[1]) if found else None
 
 
+def _labelled(stated: str) -> tuple[str, str]:
+    """Algorithm (SHA-1 if none is named) and value of a digest field."""
+    name, colon, value = stated.partition(":")
+    return (name.strip().lower().replace("-", ""), value.strip()) if colon else ("sha1", stated)
+
+
+def _fails(stated: str, content: bytes) -> bool:
+    """Whether a stated digest, hex of any case or base32, is not that of ``content``; unknown algorithms are not checked."""
+    name, value = _labelled(stated)
+    if not value or name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return False
+    found = hashlib.new(name, content).digest()
+    return value.lower() != found.hex() and value.upper().rstrip("=") != base64.b32encode(found).decode().rstrip("=")
+
+
+def _as_hex(stated: str) -> str | None:
+    """A stated SHA-1 as lower-case hex without its label, others as they are."""
+    name, value = _labelled(stated)
+    if name != "sha1":
+        return stated or None
+    if re.fullmatch(r"[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    return value.lower() or None
+
+
 def _parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record that begins at ``at`` and the place after its end."""
     end = data.find(_END, at) if data.startswith(_VERSION, at) else -1
@@ -94,23 +120,21 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     if stop > len(data) or data[stop : stop + 4] not in (_END, b""):
         raise DamagedRecord("the block has not the stated length")
     block = data[start:stop]
-    wanted = fields.get("warc-block-digest", "").removeprefix("sha1:")
-    if wanted and wanted != hashlib.sha1(block).hexdigest():
+    if _fails(fields.get("warc-block-digest", ""), block):
         raise DamagedRecord("block digest")
     kind = fields.get("warc-type", "")
     payload = block
     if fields.get("content-type", "").startswith("application/http"):
         payload = block[block.find(_END) + 4 :] if _END in block else b""
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+    stated = fields.get("warc-payload-digest", "")
     size = fields.get("x-payload-length", "")
     if kind == "revisit":
-        size = int(size) if size.isdigit() else None
+        digest, size = _as_hex(stated), int(size) if size.isdigit() else None
     else:
-        found = hashlib.sha1(payload).hexdigest()
-        if digest and digest != found:
+        if _fails(stated, payload):
             raise DamagedRecord("payload digest")
-        digest, size = found, len(payload)
-    out = {"record_type": kind, "page_id": _page(fields.get("x-page-id", "")), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest or None, "refers_to": _page(fields.get("warc-refers-to", "")), "payload": payload if kind != "revisit" else None}
+        digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
+    out = {"record_type": kind, "page_id": _page(fields.get("x-page-id", "")), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "refers_to": _page(fields.get("warc-refers-to", "")), "payload": payload if kind != "revisit" else None}
     return out, min(stop + 4, len(data))
 
 

@@ -184,6 +184,19 @@ def test_salvage_takes_headers_of_any_length(pack):
     assert [(kind, got["page_id"], got["url"]) for kind, got in warc.salvage(data)] == [("record", 1, url)]
 
 
+def test_salvage_takes_digests_of_other_crawlers():
+    body = b"payload"
+    right, wrong = hashlib.sha1(body), hashlib.sha1(b"other")
+    plain = warc.record_bytes(1, "http://x", body, right.hexdigest(), len(body), None, "2024-01-01T00:00:00Z") + b"\r\n\r\n"
+    b32 = lambda h: base64.b32encode(h.digest()).decode()
+    read = lambda digest, kind=b"response": list(warc.salvage(plain.replace(b"sha1:" + right.hexdigest().encode(), digest.encode(), 1).replace(b"Type: response", b"Type: " + kind, 1)))
+    for digest in ("sha1:" + b32(right), "SHA1:" + right.hexdigest().upper(), "sha-1:" + b32(right).lower(), "md5:" + hashlib.md5(body).hexdigest(), "sha256:" + hashlib.sha256(body).hexdigest(), "sha256:" + b32(hashlib.sha256(body)), "whirlpool:00"):
+        assert [(kind, got["payload_digest"]) for kind, got in read(digest)] == [("record", right.hexdigest())]
+    for digest in ("sha1:" + b32(wrong), "sha1:" + wrong.hexdigest(), "md5:" + hashlib.md5(b"other").hexdigest()):
+        assert [kind for kind, _ in read(digest)] == ["gap"]
+    assert [got["payload_digest"] for _, got in read("sha1:" + b32(right), b"revisit")] == [right.hexdigest()]
+
+
 # --- rules, chat, licences (native) -------------------------------------------------------------------------------
 
 
