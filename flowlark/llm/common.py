@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (single-machine tests) a temporary folder is taken.
+    Only where it is unset and the master is local, as in tests, a temporary
+    folder is taken; on a cluster executors could not read it.
     """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir")
@@ -28,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='flowlark-')}"
         context.setCheckpointDir(found)
     return found
@@ -97,6 +101,17 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` bytes of a text column, a longer text alone."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = int(sizes[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def binary_values(column: pa.ChunkedArray | pa.Array, kind: type) -> list[np.ndarray]:
     """One numpy array for each binary value."""
     return [np.frombuffer(x.as_buffer(), dtype=kind) if x.is_valid else np.zeros(0, dtype=kind) for x in column]

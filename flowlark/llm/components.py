@@ -23,7 +23,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
 
     ``links`` may hold repeated, reversed and self links and nulls (which count as
     no link). Each round writes its edges to the shared folder; only two numbers
-    a round reach the driver. Rounds grow with the logarithm of the diameter.
+    a round reach the driver. Rounds grow with the logarithm of the diameter; a
+    graph that is not done after ``max_rounds`` raises an error.
     """
     kind = dict(links.dtypes)[a]
     edges = links.select(F.col(a).cast(kind).alias("u"), F.col(b).cast(kind).alias("v")).where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
@@ -41,6 +42,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components are not complete after {max_rounds} rounds")
     nodes = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return nodes.unionByName(roots.join(nodes.select("node"), "node", "left_anti"))

@@ -11,16 +11,18 @@ never meet each other. The search runs in three distributed steps:
    their number of index entries over the whole corpus) are kept of each
    document, as many as the worst pair of sizes needs (``_picks``). Lists with
    the same members (equal count and xor of members) are one list.
-2. *Candidates.* A task sees whole lists, longer ones in pairs of blocks.
-   Lengths, and the Hamming distance of parity bitmaps (a lower bound of the
-   symmetric difference), rule out pairs without error. In the first round each
-   document keeps its nearest partner of each list; in the second, all pairs
-   that are not yet in one component remain.
-3. *T-occurrence search.* For each query set, the lists of its tokens over the
-   candidates are searched by DivideSkip: the short lists are heap-merged with
-   the threshold T - L, the L longest are probed by binary search, and the
-   documents that reach T are kept. The counts are then exact, and the Jaccard
-   threshold is applied to them.
+2. *Candidates.* Lengths, and the Hamming distance of parity bitmaps (a lower
+   bound of the symmetric difference), rule out pairs without error. First,
+   lists are cut into small blocks, long ones in two different ways, and each
+   document keeps its nearest earlier partner of each block: one row for each
+   entry, one candidate at most, and near copies grow together. Then all pairs
+   of a list that are not in one component yet remain; of a long list, the
+   members outside of its largest component visit the blocks of the others.
+3. *T-occurrence search.* The candidates of a query set form blocks of bounded
+   size with inverted lists of their own. Of the lists of the query's tokens
+   DivideSkip heap-merges the short ones with the threshold T - L, probes the L
+   longest by binary search, and keeps the documents that reach T. These counts
+   are the overlaps; the Jaccard threshold is applied to them.
 """
 
 from __future__ import annotations
@@ -35,55 +37,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import binary_values, discard, grouped, stage_table
+from flowlark.llm.common import binary_values, byte_slices, discard, grouped, stage_table
 from flowlark.llm.components import connected_components
 from flowlark.llm.textkernel import list_column, shingle_sets
 
 
-def divide_skip(lists: list[np.ndarray], threshold: int, mu: float = 0.01) -> dict[int, int]:
+def divide_skip(lists: list[np.ndarray], threshold: int, mu: float = 0.01, probes: int = 1 << 18) -> dict[int, int]:
     """Ids that occur in at least ``threshold`` of the sorted ``lists``, with their counts.
 
     The L longest lists, L = T / (mu log M + 1) and at most T - 1, are set
     aside. The others are heap-merged; ids that occur there T - L times or more
-    are looked for in the long lists by binary search, longest last, until the
-    threshold is reached or out of reach. An empty input gives no ids; a
-    threshold below 1 counts as 1.
+    are looked for in the long lists by binary search, some lists at a time
+    (about ``probes`` searches), until the threshold is out of reach. An empty
+    input gives no ids; a threshold below 1 counts as 1.
     """
     lists = sorted((x for x in lists if len(x)), key=len)
     threshold = max(1, threshold)
     if len(lists) < threshold:
         return {}
-    longest = len(lists[-1])
-    apart = min(threshold - 1, int(threshold / (mu * math.log(longest + 1) + 1)))
+    apart = min(threshold - 1, int(threshold / (mu * math.log(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - apart], lists[len(lists) - apart :]
-    least, found = threshold - apart, {}
-    candidates: list[tuple[int, int]] = []
-    last, count = None, 0
-    for x in heapq.merge(*(s.tolist() for s in short)):
-        if x == last:
-            count += 1
-            continue
-        if last is not None and count >= least:
-            candidates.append((last, count))
-        last, count = x, 1
-    if last is not None and count >= least:
-        candidates.append((last, count))
-    if not long or not candidates:
-        return {x: n for x, n in candidates if n >= threshold}
-    ids = np.array([x for x, _ in candidates])
-    counts = np.array([n for _, n in candidates])
-    alive = np.ones(len(ids), dtype=bool)
-    for k, values in enumerate(long):
-        at = np.searchsorted(values, ids[alive])
-        hit = values[np.minimum(at, len(values) - 1)] == ids[alive]
-        counts[alive] += hit
-        alive &= counts + (len(long) - k - 1) >= threshold
-        if not alive.any():
-            break
-    for x, n in zip(ids[alive].tolist(), counts[alive].tolist()):
-        if n >= threshold:
-            found[x] = n
-    return found
+    merged = np.fromiter(heapq.merge(*(s.tolist() for s in short)), dtype=np.int64)
+    starts = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+    counts = np.diff(np.append(starts, len(merged)))
+    enough = counts >= threshold - apart
+    ids, counts = merged[starts[enough]], counts[enough]
+    done = 0
+    while done < apart and len(ids):
+        part = long[done : done + max(1, probes // len(ids))]
+        span = int(max(ids[-1], max(x[-1] for x in part))) + 1
+        held = np.concatenate(part) + np.repeat(np.arange(len(part)) * span, [len(x) for x in part])
+        wanted = (np.arange(len(part)) * span)[:, None] + ids
+        at = np.searchsorted(held, wanted)
+        counts = counts + (held[np.minimum(at, len(held) - 1)] == wanted).sum(axis=0)
+        done += len(part)
+        alive = counts + (apart - done) >= threshold
+        ids, counts = ids[alive], counts[alive]
+    return {x: n for x, n in zip(ids.tolist(), counts.tolist()) if n >= threshold}
+
+
+class InvertedLists:
+    """The inverted lists of a block of sets: for each token the places of the sets that hold it."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        self.places = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order]
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1])) if len(tokens) else order
+        self.tokens, self.bounds = tokens[first], np.append(first, len(tokens))
+
+    def of(self, query: np.ndarray) -> list[np.ndarray]:
+        """The lists of the query's tokens; tokens that no set holds have none."""
+        if len(self.tokens) == 0:
+            return []
+        at = np.searchsorted(self.tokens, query)
+        at = at[self.tokens[np.minimum(at, len(self.tokens) - 1)] == query]
+        return [self.places[a:b] for a, b in zip(self.bounds[at].tolist(), self.bounds[at + 1].tolist())]
 
 
 def _needed(a: int | np.ndarray, b: int | np.ndarray, num: int, den: int) -> int | np.ndarray:
@@ -113,10 +123,10 @@ def _picks(n: int, num: int, den: int, factor: int) -> int:
     return max(_prefix(n, num, den), int(alone.max()) + 1)
 
 
-def _bitmap(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens' counts in 2**k cells, about one cell or two for each token, 512 at least."""
-    width = 512
-    while width < len(tokens):
+def _bitmap(tokens: np.ndarray, least: int = 512, most: int = 2048) -> bytes:
+    """Parities of the tokens' counts in a power of two of cells, about one or two for each token within ``least`` and ``most``."""
+    width = least
+    while width < min(len(tokens), most):
         width *= 2
     parity = np.bincount((tokens & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").tobytes()
@@ -125,8 +135,7 @@ def _bitmap(tokens: np.ndarray) -> bytes:
 def _index(size: int, num: int, den: int, factor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in byte_slices(batch, 1):
                 n, s1, s2, keep, tokens, bits = [], [], [], [], [], []
                 for s in shingle_sets(part.column(1), size):
                     n.append(len(s))
@@ -144,108 +153,108 @@ INDEX_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, keep int, tokens
 
 
 def _folded(bits: list[np.ndarray], width: int) -> np.ndarray:
-    """Bitmaps as rows of uint64, those twice as wide folded to ``width`` bytes."""
-    return np.stack([b if len(b) == width else b[:width] ^ b[width:] for b in bits]).view(np.uint64)
+    """Bitmaps as rows of uint64, wider ones folded to ``width`` bytes: parities of the coarser cells."""
+    return np.stack([b if len(b) == width else np.bitwise_xor.reduce(b.reshape(-1, width), axis=0) for b in bits]).view(np.uint64)
 
 
-def _pairs_of(group: pa.Table, num: int, den: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    ids = group.column("cls").to_numpy()
-    sizes = group.column("n_shingles").to_numpy()
-    comp = group.column("comp").to_numpy()
-    blk = group.column("blk").to_numpy()
-    if len(ids) < 2 or (not nearest and (comp == comp[0]).all()):
-        return ids[:0], ids[:0]
-    order = np.lexsort((ids, sizes))
-    ids, sizes, comp, blk = ids[order], sizes[order], comp[order], blk[order]
-    bits = binary_values(group.column("bits").take(pa.array(order)), np.uint8)
+def _close(sizes: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, later rows, distances, which pairs may be linked), in bounded pieces, of sets in ascending order of size.
+
+    A pair counts at the narrower bitmap; widths grow with size.
+    """
     wide = np.array([len(b) for b in bits])
-    split = bool((blk != blk[0]).any())
-    best, partner = np.full(len(ids), np.iinfo(np.int64).max), np.full(len(ids), -1)
-    left, right = [], []
     for width in np.unique(wide).tolist():
-        rows = np.flatnonzero((wide == width) | (wide == 2 * width))
-        own = np.flatnonzero(wide[rows] == width)
-        matrix = _folded([bits[i] for i in rows], width)
-        # a pair counts at the narrower bitmap; rows are sorted by size, and width grows with size
-        upto = np.searchsorted(sizes[rows], sizes[rows][own] * den // num, side="right")
-        step = max(1, (1 << 22) // (matrix.shape[1] * max(1, len(rows))))
+        first = int(np.searchsorted(wide, width))
+        own = np.arange(first, int(np.searchsorted(wide, width, side="right")))
+        matrix = _folded(bits[first:], width)
+        upto = np.searchsorted(sizes, sizes[own] * den // num, side="right")
+        step = max(1, (1 << 21) // (matrix.shape[1] * max(1, len(matrix))))
         for k in range(0, len(own), step):
             mine = own[k : k + step]
-            lo, hi = int(mine[0]) + 1, int(upto[k : k + step].max())
-            if hi <= lo:
+            later = np.arange(int(mine[0]) + 1, int(upto[k : k + step].max()))
+            if len(later) == 0:
                 continue
-            away = np.bitwise_count(matrix[mine, None, :] ^ matrix[None, lo:hi, :]).sum(axis=2, dtype=np.int64)
-            a, b = rows[mine][:, None], rows[lo:hi][None, :]
-            total = sizes[a] + sizes[b]
-            ok = (b > a) & (away <= total - 2 * _needed(sizes[a], sizes[b], num, den)) & (sizes[b] * num <= sizes[a] * den)
-            if split:
-                ok &= blk[a] != blk[b]
-            if not nearest:
-                ok &= comp[a] != comp[b]
+            away = np.bitwise_count(matrix[mine - first, None, :] ^ matrix[None, later - first, :]).sum(axis=2, dtype=np.int64)
+            a, b = sizes[mine][:, None], sizes[later][None, :]
+            yield mine, later, away, (later > mine[:, None]) & (away <= a + b - 2 * _needed(a, b, num, den)) & (b * num <= a * den)
+
+
+def _ordered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    ids, sizes = group.column("cls").to_numpy(), group.column("n_shingles").to_numpy()
+    order = np.lexsort((ids, sizes))
+    return order, ids[order], sizes[order], binary_values(group.column("bits").take(pa.array(order)), np.uint8)
+
+
+def _earlier(group: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each member with the nearest one before it in order of size and id, if any may be linked to it."""
+    _, ids, sizes, bits = _ordered(group)
+    best, partner = np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), dtype=np.int64)
+    for mine, later, away, ok in _close(sizes, bits, num, den):
+        away = np.where(ok, away, np.iinfo(np.int64).max)
+        at = away.argmin(axis=0)
+        least = away[at, np.arange(len(later))]
+        better = least < best[later]
+        best[later[better]], partner[later[better]] = least[better], mine[at[better]]
+    has = best < np.iinfo(np.int64).max
+    return ids[has], ids[partner[has]]
+
+
+def _apart(group: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs that may be linked and are not in one component; of a cut list, those of a visitor and a resident."""
+    order, ids, sizes, bits = _ordered(group)
+    comp, side = group.column("comp").to_numpy()[order], group.column("side").to_numpy()[order]
+    left, right = [ids[:0]], [ids[:0]]
+    if len(ids) > 1 and (comp != comp[0]).any():
+        for mine, later, _, ok in _close(sizes, bits, num, den):
+            ok &= (comp[mine][:, None] != comp[later]) & ((side[mine][:, None] == 0) | (side[mine][:, None] != side[later]))
             i, j = np.nonzero(ok)
-            i, j, d = rows[mine][i], rows[lo:hi][j], away[i, j]
-            if nearest:
-                for x, y in ((i, j), (j, i)):
-                    o = np.lexsort((ids[y], d))[::-1]
-                    near = np.full(len(ids), np.iinfo(np.int64).max)
-                    who = np.full(len(ids), -1)
-                    near[x[o]], who[x[o]] = d[o], y[o]
-                    better = (near < best) | (near == best) & (who >= 0) & (ids[who] < ids[partner])
-                    best[better], partner[better] = near[better], who[better]
-            else:
-                left.append(ids[i])
-                right.append(ids[j])
-    if nearest:
-        has = np.flatnonzero(partner >= 0)
-        return ids[has], ids[partner[has]]
-    return (np.concatenate(left), np.concatenate(right)) if left else (ids[:0], ids[:0])
-
-
-def _candidates(num: int, den: int, nearest: bool):
+            left.append(ids[mine[i]])
+            right.append(ids[later[j]])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _candidates(find, keys: list[str], num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["list", "b1", "b2"]):
-            a, b = _pairs_of(group, num, den, nearest)
+        for group in grouped(batches, keys):
+            a, b = find(group, num, den)
             for at in range(0, len(a), 50_000):
-                yield pa.record_batch([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], names=["a", "b"])
+                x, y = a[at : at + 50_000], b[at : at + 50_000]
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return run
 
 
-def _search(num: int, den: int, block: int = 256):
-    """T-occurrence search of the candidates of each query set; the query's own row comes first."""
+def linked_sets(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """(place, overlap) of the sets whose Jaccard similarity with the query is num / den or more."""
+    least = min((_needed(len(query), len(s), num, den) for s in sets), default=1)
+    found = divide_skip(InvertedLists(sets).of(query), int(least)) if sets else {}
+    return [(k, o) for k, o in sorted(found.items()) if den * o >= num * (len(query) + len(sets[k]) - o)]
+
+
+def _search(num: int, den: int, most: int = 1 << 20):
+    """T-occurrence search of the candidates of each query set, in blocks of about ``most`` tokens; the query's own row comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query, own, held = None, None, []
+        query, own, ids, sets, size = None, None, [], [], 0
 
         def links() -> pa.RecordBatch:
-            (_, ids, sets), n = (None, [x for x, _ in held], [s for _, s in held]), len(own)
-            at, who = [], []
-            for k, s in enumerate(sets):
-                place = np.searchsorted(own, s)
-                hit = own[np.minimum(place, n - 1)] == s
-                at.append(place[hit])
-                who.append(np.full(int(hit.sum()), k))
-            at, who = np.concatenate(at), np.concatenate(who)
-            order = np.lexsort((who, at))
-            at, who = at[order], who[order]
-            lists = np.split(who, np.flatnonzero(np.diff(at)) + 1) if len(at) else []
-            least = min(_needed(n, len(s), num, den) for s in sets)
-            found = divide_skip(lists, least)
-            got = [(ids[k], o) for k, o in found.items() if den * o >= num * (n + len(sets[k]) - o)]
-            return pa.record_batch([pa.array([query] * len(got), pa.int64()), pa.array([x for x, _ in got], pa.int64()), pa.array([o for _, o in got], pa.int64())], names=["a", "b", "overlap"])
+            got = linked_sets(own, sets, num, den)
+            return pa.record_batch([pa.array([query[0]] * len(got), pa.int64()), pa.array([ids[k] for k, _ in got], pa.int64()), pa.array([o for _, o in got], pa.int64())], names=["a", "b", "overlap"])
 
         for batch in batches:
-            for q, role, y, s in zip(batch.column("a").to_pylist(), batch.column("role").to_pylist(), batch.column("b").to_pylist(), binary_values(batch.column("tokens"), np.uint64)):
-                if role == 0:
-                    if held:
+            columns = [batch.column(c).to_pylist() for c in ("a", "chunk", "role", "b")]
+            for a, chunk, role, b, tokens in zip(*columns, binary_values(batch.column("tokens"), np.uint64)):
+                if role == 0 or size >= most:
+                    if ids:
                         yield links()
-                    query, own, held = q, s, []
-                elif q == query:
-                    held.append((y, s))
-                    if len(held) >= block:
-                        yield links()
-                        held = []
-        if held:
+                    ids, sets, size = [], [], 0
+                if role == 0:
+                    query, own = (a, chunk), tokens
+                elif (a, chunk) == query:
+                    ids.append(b)
+                    sets.append(tokens)
+                    size += len(tokens)
+        if ids:
             yield links()
 
     return run
@@ -278,19 +287,24 @@ def _sets(size: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             batch = whole.filter(pa.array(_in_bitmap(shared.value, whole.column(1).to_numpy(zero_copy_only=False)))).drop_columns([whole.schema.names[1]])
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in byte_slices(batch, 1):
                 yield pa.record_batch([part.column(0).cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(part.column(1), size)], pa.binary())], names=["cls", "tokens"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, most: int = 1024) -> DataFrame:
+    """The links among ``pairs``. A query with more than ``most`` candidates is searched in chunks, in several tasks."""
     pairs = pairs.where("a <> b").distinct()
-    own = pairs.select("a").distinct().join(sets.withColumnRenamed("cls", "a"), "a").select("a", F.lit(0).alias("role"), F.col("a").alias("b"), "tokens")
-    others = pairs.join(sets.withColumnRenamed("cls", "b"), "b").select("a", F.lit(1).alias("role"), "b", "tokens")
-    dealt = own.unionByName(others).repartition("a").sortWithinPartitions("a", "role", "b")
-    return dealt.mapInArrow(_search(num, den), "a long, b long, overlap long")
+    many = pairs.groupBy("a", F.pmod(F.xxhash64("a"), F.lit(2)).alias("h")).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("chunks")).where("chunks > 1").select("a", "chunks")
+    pairs = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("chunks")), F.lit(0).cast("bigint")).alias("chunk"))
+    pairs = stage_table(pairs, "pairs")
+    own = pairs.select("a", "chunk").distinct().join(sets.withColumnRenamed("cls", "a"), "a").select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("b"), "tokens")
+    others = pairs.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "chunk", F.lit(1).alias("role"), "b", "tokens")
+    dealt = own.unionByName(others).repartition("a", "chunk").sortWithinPartitions("a", "chunk", "role", "b")
+    links = stage_table(dealt.mapInArrow(_search(num, den), "a long, b long, overlap long"), "links")
+    discard(pairs)
+    return links
 
 
 def _searchable(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, factor: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -326,21 +340,43 @@ def _searchable(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     return members, entries, searched, sets
 
 
-def _candidate_pairs(entries: DataFrame, comps: DataFrame | None, nearest: bool, num: int, den: int, block: int) -> DataFrame:
+def _near_pairs(entries: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """A candidate for each entry: as many rows as entries, twice as many of lists that are cut."""
+    parts = F.ceil(F.col("m") / F.lit(block))
+    rows = entries.select("list", "cls", "n_shingles", "bits", "m", F.explode(F.when(F.col("m") > block, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("way"))
+    rows = rows.select("list", (F.pmod(F.xxhash64("cls", "list", "way"), parts) + F.col("way") * parts).alias("blk"), "cls", "n_shingles", "bits")
+    dealt = rows.repartition("list", "blk").sortWithinPartitions("list", "blk")
+    return dealt.mapInArrow(_candidates(_earlier, ["list", "blk"], num, den), "a long, b long")
+
+
+def _other_pairs(entries: DataFrame, comps: DataFrame | None, num: int, den: int, block: int) -> DataFrame:
+    """All pairs that may be linked and are not in one component of ``comps`` (null: each is its own).
+
+    A list of up to ``block`` members is one group. In a longer one, members
+    are residents of blocks, and those outside of the list's largest component
+    visit every block, in blocks as well: few of them cost few rows.
+    """
     rows = entries.withColumn("comp", F.col("cls"))
     if comps is not None:
-        rows = entries.join(comps, "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-        mixed = rows.groupBy("list", F.pmod("list", F.lit(2)).alias("h")).agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2")
-        rows = rows.join(mixed.select("list"), "list", "left_semi")
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    rows = rows.select("list", "cls", "n_shingles", "comp", "bits", blocks.alias("k"), F.pmod(F.xxhash64("cls", F.lit(5)), blocks).cast("int").alias("blk"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("list", F.least("blk", "other").alias("b1"), F.greatest("blk", "other").alias("b2"), "cls", "n_shingles", "comp", "bits", "blk")
-    rows = rows.repartition("list", "b1", "b2").sortWithinPartitions("list", "b1", "b2")
-    return rows.mapInArrow(_candidates(num, den, nearest), "a long, b long")
-
-
-def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, factor: int = 2, block: int = 512) -> DataFrame:
+        rows = entries.join(comps, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+    shares = rows.groupBy("list", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = shares.groupBy("list", F.pmod("list", F.lit(2)).alias("h")).agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.max("n").alias("top"), F.sum("n").alias("total")).where("top < total")
+    rows = rows.join(mixed.select("list", "major", "top"), "list")
+    parts, guests = F.ceil(F.col("m") / F.lit(block)).cast("int"), F.ceil((F.col("m") - F.col("top")) / F.lit(block)).cast("int")
+    place = F.struct(F.pmod(F.xxhash64("cls", F.lit(5)), parts).cast("int").alias("r"), F.pmod(F.xxhash64("cls", F.lit(7)), guests).cast("int").alias("v"))
+    rows = rows.select("list", "cls", "n_shingles", "comp", "bits", "m", parts.alias("k"), guests.alias("g"), (F.col("comp") != F.col("major")).alias("guest"), place.alias("p"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    group = lambda r, v, side: F.struct(r.alias("rb"), v.alias("vb"), F.lit(side).alias("side"))
+    resident = F.transform(upto("g"), lambda v: group(F.col("p")["r"], v, 1))
+    visitor = F.when(F.col("guest"), F.transform(upto("k"), lambda r: group(r, F.col("p")["v"], 2))).otherwise(F.array().cast("array<struct<rb:int,vb:int,side:int>>"))
+    alone = F.array(group(F.lit(0), F.lit(0), 0))
+    rows = rows.select("list", "cls", "n_shingles", "comp", "bits", F.explode(F.when(F.col("m") <= block, alone).otherwise(F.concat(resident, visitor))).alias("at"))
+    rows = rows.select("list", "at.rb", "at.vb", "at.side", "cls", "n_shingles", "comp", "bits")
+    dealt = rows.repartition("list", "rb", "vb").sortWithinPartitions("list", "rb", "vb")
+    return dealt.mapInArrow(_candidates(_apart, ["list", "rb", "vb"], num, den), "a long, b long")
+
+
+def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, num: int = 90, den: int = 100, factor: int = 2, block: int = 512, near_block: int = 128) -> DataFrame:
     """Classes and components of the documents whose n-gram sets have a Jaccard similarity of num / den or more.
 
     Returns one row per input row: ``doc_id``, ``n_shingles``, ``class_id`` (the
@@ -352,10 +388,10 @@ def ngram_jaccard_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     An empty table gives an empty result. Rows with a null id give null ids.
     """
     members, entries, searched, sets = _searchable(docs, id_col, text_col, size, num, den, factor)
-    near = stage_table(_verified(_candidate_pairs(entries, None, True, num, den, block), sets, num, den), "links")
+    near = _verified(_near_pairs(entries, num, den, near_block), sets, num, den)
     first = connected_components(near).select(F.col("node").alias("cls"), "component")
     first = stage_table(first, "components")
-    rest = stage_table(_verified(_candidate_pairs(entries, first, False, num, den, block), sets, num, den), "links")
+    rest = _verified(_other_pairs(entries, first, num, den, block), sets, num, den)
     discard(near, entries, sets, searched)
     merged = rest.join(first.select(F.col("cls").alias("a"), F.col("component").alias("ca")), "a", "left").join(first.select(F.col("cls").alias("b"), F.col("component").alias("cb")), "b", "left")
     merged = connected_components(merged.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
@@ -377,6 +413,6 @@ def ngram_jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     class have equal links and are not paired with each other.
     """
     members, entries, searched, sets = _searchable(docs, id_col, text_col, size, num, den, factor)
-    links = stage_table(_verified(_candidate_pairs(entries, None, False, num, den, block), sets, num, den), "links")
+    links = _verified(_other_pairs(entries, None, num, den, block), sets, num, den)
     discard(members, entries, sets, searched)
-    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
+    return links.select("a", "b", "overlap")
