@@ -186,7 +186,7 @@ def _ordered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[
 
 
 def _earlier(group: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each member with the nearest one before it in order of size and id, if any may be linked to it."""
+    """(nearest one before it in order of size and id, member) of each member that has one that may be linked to it."""
     _, ids, sizes, bits = _ordered(group)
     best, partner = np.full(len(ids), np.iinfo(np.int64).max), np.zeros(len(ids), dtype=np.int64)
     for mine, later, away, ok in _close(sizes, bits, num, den):
@@ -196,7 +196,7 @@ def _earlier(group: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarra
         better = least < best[later]
         best[later[better]], partner[later[better]] = least[better], mine[at[better]]
     has = best < np.iinfo(np.int64).max
-    return ids[has], ids[partner[has]]
+    return ids[partner[has]], ids[has]
 
 
 def _apart(group: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,8 +218,7 @@ def _candidates(find, keys: list[str], num: int, den: int):
         for group in grouped(batches, keys):
             a, b = find(group, num, den)
             for at in range(0, len(a), 50_000):
-                x, y = a[at : at + 50_000], b[at : at + 50_000]
-                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                yield pa.record_batch([pa.array(a[at : at + 50_000]), pa.array(b[at : at + 50_000])], names=["a", "b"])
 
     return run
 
@@ -293,8 +292,12 @@ def _sets(size: int, shared):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, most: int = 1024) -> DataFrame:
-    """The links among ``pairs``. A query with more than ``most`` candidates is searched in chunks, in several tasks."""
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, most: int = 128) -> DataFrame:
+    """The links among ``pairs``. A query with more than ``most`` candidates is searched in chunks, in several tasks.
+
+    Pairs have their earlier member, by size and id, as query: that one may be
+    the nearest of many, while each later one has few.
+    """
     pairs = pairs.where("a <> b").distinct()
     many = pairs.groupBy("a", F.pmod(F.xxhash64("a"), F.lit(2)).alias("h")).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).alias("chunks")).where("chunks > 1").select("a", "chunks")
     pairs = pairs.join(many, "a", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), F.col("chunks")), F.lit(0).cast("bigint")).alias("chunk"))
@@ -415,4 +418,4 @@ def ngram_jaccard_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     members, entries, searched, sets = _searchable(docs, id_col, text_col, size, num, den, factor)
     links = _verified(_other_pairs(entries, None, num, den, block), sets, num, den)
     discard(members, entries, sets, searched)
-    return links.select("a", "b", "overlap")
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap")
