@@ -72,9 +72,15 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes | None, di
     return "\r\n".join(head).encode() + _END + block
 
 
+def _whole(value: str) -> int | None:
+    """A number of up to 18 ASCII digits, which fits 64 bits; anything else is none."""
+    return int(value) if re.fullmatch(r"[0-9]{1,18}", value) else None
+
+
 def _page(value: str) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", value)
-    return int(found[1]) if found else None
+    """The id of a page as it was written; one that does not fit 64 bits is none."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", value)
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
 
 
 def _labelled(stated: str) -> tuple[str, str]:
@@ -113,10 +119,11 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
         if not colon:
             raise DamagedRecord("a header line without a colon")
         fields[name.strip().lower()] = value.strip()
-    if not fields.get("content-length", "").isdigit():
+    length = _whole(fields.get("content-length", ""))
+    if length is None:
         raise DamagedRecord("no content length")
     start = end + 4
-    stop = start + int(fields["content-length"])
+    stop = start + length
     if stop > len(data) or data[stop : stop + 4] not in (_END, b""):
         raise DamagedRecord("the block has not the stated length")
     block = data[start:stop]
@@ -129,7 +136,7 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     stated = fields.get("warc-payload-digest", "")
     size = fields.get("x-payload-length", "")
     if kind == "revisit":
-        digest, size = _as_hex(stated), int(size) if size.isdigit() else None
+        digest, size = _as_hex(stated), _whole(size)
     else:
         if _fails(stated, payload):
             raise DamagedRecord("payload digest")
@@ -285,9 +292,10 @@ def read_warc(spark: SparkSession, path: str, *, with_payload: bool = True) -> D
 
 
 def warc_round_trip(pages: DataFrame, *, least: int = 1000, compression: str = "gzip") -> DataFrame:
-    """The pages' records as read back from archives in the shared folder."""
+    """The pages' records as read back from archives in the shared folder; a gap in them raises an error."""
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_warc(pages, path, least=least, compression=compression)
-    records = read_warc(spark, path, with_payload=False).where("kind = 'record'")
+    gap = F.raise_error(F.concat(F.lit("bytes of an own archive cannot be read: "), F.coalesce("gap_reason", F.lit("?"))))
+    records = read_warc(spark, path, with_payload=False).where(F.when(F.col("kind") == "record", F.lit(True)).otherwise(gap.cast("boolean")))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
