@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import base64
 import struct
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlark.llm.common import byte_slices
+
 _SHIFT = {b: 0x100 + b for b in range(256)}
 _BPE, _NORMAL, _UNKNOWN = 2, 1, 2
 
@@ -74,10 +76,10 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class ByteBpe:
-    """Encoder and decoder of one vocabulary; keeps a bounded memory of pre-tokens."""
+    """Encoder and decoder of one vocabulary; remembers pre-tokens up to about ``remember`` bytes, and one batch more."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 100_000) -> None:
-        self.ranks, self.remember = ranks, remember
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remember: int = 1 << 26) -> None:
+        self.ranks, self.remember, self.held = ranks, remember, 0
         self.split = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self.known: dict[str, tuple[int, ...]] = {}
@@ -101,17 +103,19 @@ class ByteBpe:
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         cut = [self.split(t) for t in texts]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        new = set().union(*cut).difference(self.known) if cut else set()
+        new = set().union(*cut).difference(self.known)
         if new:
             self.learn(list(new))
+            self.held += sum(sys.getsizeof(w) + 40 * len(self.known[w]) + 160 for w in new)
         known, out = self.known, []
         for words in cut:
             ids: list[int] = []
             for part in map(known.__getitem__, words):
                 ids += part
             out.append(ids)
+        if self.held > self.remember:
+            self.known.clear()
+            self.held = 0
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -129,32 +133,17 @@ def _coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(read_ranks(path), pattern)
 
 
-def _batches(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes of text each."""
-    sizes = np.array([0 if v is None else v for v in pa.compute.binary_length(column).to_pylist()], dtype=np.int64)
-    start, total = 0, 0
-    for k, s in enumerate(sizes.tolist()):
-        total += s
-        if total >= most:
-            yield start, k + 1
-            start, total = k + 1, 0
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def _encoder(path: str, pattern: str, decode: bool, most: int = 1 << 19):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, pattern)
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            for a, b in _batches(text, most):
-                ids = coder.encode_batch([t or "" for t in text.slice(a, b - a).to_pylist()])
+            for part in byte_slices(batch, batch.num_columns - 1, most):
+                ids = coder.encode_batch([t or "" for t in part.column(part.num_columns - 1).to_pylist()])
                 offsets = np.zeros(len(ids) + 1, dtype=np.int32)
                 np.cumsum([len(x) for x in ids], out=offsets[1:])
                 flat = np.fromiter((k for x in ids for k in x), dtype=np.int32, count=int(offsets[-1]))
-                columns = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)]
+                columns = [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
                 names = [*batch.schema.names[:-1], "ids"]
-                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 if decode:
                     names.append("decoded")
                     columns.append(pa.array([coder.decode(flat[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist())], pa.binary()))
