@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlark.llm.common import byte_slices, stage_table
 from flowlark.llm.textkernel import WORD_BREAKS, text_buffer, window_hash, word_hashes
 
 _BASE = 0x9E3779B97F4A7C15
@@ -149,21 +150,54 @@ def coverage_of(words: np.ndarray, items: list[tuple[int, np.ndarray]], index: d
             yield item, sum(n for _, _, n in tiles), len(tiles), len(pattern)
 
 
-def _scan(shared, min_match: int, num: int, den: int):
+def _found(column: pa.Array, items: tuple, min_match: int, num: int, den: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, words of the item, covered words, tiles) of texts and items of which num / den or more is covered."""
+    words, bounds = word_hashes(*text_buffer(column), breaks=WORD_BREAKS)
+    for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        for item, covered, tiles, n in coverage_of(words[a:b], *items, min_match):
+            if covered * den >= num * n:
+                yield row, item, n, covered, tiles
+
+
+def _scan(shared, *rule: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in byte_slices(batch, 1):
+                out = list(_found(part.column(1), shared.value, *rule))
+                docs = part.column(0).take(pa.array([x[0] for x in out], pa.int64()))
+                yield pa.record_batch([docs, *(pa.array([x[k] for x in out], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32())))], names=["doc_id", "item_id", "item_words", "covered_words", "n_tiles"])
+
+    return run
+
+
+def _kept(shared, text: int, *rule: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, index = shared.value
         for batch in batches:
-            words, bounds = word_hashes(*text_buffer(batch.column(1)), breaks=WORD_BREAKS)
-            out = []
-            for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:]):
-                for item, covered, tiles, n in coverage_of(words[a:b], items, index, min_match):
-                    if covered * den >= num * n:
-                        out.append((doc, item, n, covered, tiles))
-            yield pa.record_batch([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "item_id", "item_words", "covered_words", "n_tiles"])
+            for part in byte_slices(batch, text):
+                stays = np.ones(part.num_rows, dtype=bool)
+                stays[[x[0] for x in _found(part.column(text), shared.value, *rule)]] = False
+                yield part.filter(pa.array(stays))
 
     return run
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, min_match: int, block_chars: int) -> tuple[int, Iterator]:
+    """Number of blocks of test items, and the broadcast of each; one is gone before the next comes."""
+    spark = benchmark.sparkSession
+    tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    blocks = max(1, -(-int(tests.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars))
+
+    def each() -> Iterator:
+        for k in range(blocks):
+            own = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
+            shared = spark.sparkContext.broadcast(_items([(r["item"], r["text"]) for r in own], min_match))
+            yield shared
+            if blocks > 1:
+                shared.unpersist()
+
+    return blocks, each()
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = 5, num: int = 1, den: int = 2, block_chars: int = 16_000_000) -> DataFrame:
     """Pairs of a document and a test item of which num / den of the words or more are covered by tiles.
 
@@ -172,23 +206,29 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     must stand there whole. Null and empty texts, on either side, have no pairs;
     so have empty tables. Repeated rows give repeated pairs. Texts are taken
     whole; other columns are ignored. The benchmark is broadcast in blocks of
-    about ``block_chars`` characters, each held against all documents.
+    about ``block_chars`` characters, each held against all documents; of
+    several, each block's pairs are written before the next is read.
     """
-    spark = docs.sparkSession
-    tests = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    total = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // block_chars))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    blocks, each = _blocks(benchmark, item_col, item_text_col, min_match, block_chars)
     out = None
-    for k in range(blocks):
-        own = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        shared = spark.sparkContext.broadcast(_items([(r["item"], r["text"]) for r in own], min_match))
+    for shared in each:
         found = rows.mapInArrow(_scan(shared, min_match, num, den), "doc_id long, item_id long, item_words int, covered_words int, n_tiles int")
+        found = found if blocks == 1 else stage_table(found, "tiles")
         out = found if out is None else out.unionByName(found)
     return out.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that are in no contaminated pair, all columns as they are; null ids are kept."""
-    bad = contaminated_pairs(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = 5, num: int = 1, den: int = 2, block_chars: int = 16_000_000) -> DataFrame:
+    """The rows of ``docs`` that are in no contaminated pair, all columns as they are, whatever these are called.
+
+    Each row is judged by its own text where it lies, so ids may be null or
+    repeated. Null and empty texts stay. Empty tables have no pairs.
+    """
+    blocks, each = _blocks(benchmark, item_col, item_text_col, min_match, block_chars)
+    names, text = docs.columns, docs.columns.index(text_col)
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    for shared in each:
+        rows = rows.mapInArrow(_kept(shared, text, min_match, num, den), rows.schema)
+        rows = rows if blocks == 1 else stage_table(rows, "tiles")
+    return rows.toDF(*names)
