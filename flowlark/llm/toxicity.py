@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlark.llm.common import byte_slices
 from flowlark.llm.labelled import held_out, training_rows
 from flowlark.llm.textkernel import WORD_BREAKS, prefix_hashes, text_buffer, word_hashes, word_spans
 
@@ -96,11 +97,11 @@ class ToxicityModel:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, BUCKETS), dtype=np.int64)
     for batch in batches:
-        label = batch.column(1).to_numpy(zero_copy_only=False)
-        for at in range(0, batch.num_rows, 500):
-            doc, bucket = _once(*features(batch.column(0).slice(at, 500)))
+        for part in byte_slices(batch, 0):
+            label = part.column(1).to_numpy(zero_copy_only=False)
+            doc, bucket = _once(*features(part.column(0)))
             for k in (0, 1):
-                counts[k] += np.bincount(bucket[label[at : at + 500][doc] == k], minlength=BUCKETS)
+                counts[k] += np.bincount(bucket[label[doc] == k], minlength=BUCKETS)
     seen = np.flatnonzero(counts.sum(axis=0))
     for at in range(0, len(seen), 100_000):
         part = seen[at : at + 100_000]
@@ -119,9 +120,9 @@ def _examples(chosen: np.ndarray, terms: tuple[tuple[str, ...], ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                texts = [t or "" for t in batch.column(0).slice(at, 200).to_pylist()]
-                labels = batch.column(1).slice(at, 200).to_pylist()
+            for part in byte_slices(batch, 0, 1 << 19):
+                texts = [t or "" for t in part.column(0).to_pylist()]
+                labels = part.column(1).to_pylist()
                 swaps = [counterfactuals(t, terms) for t in texts]
                 flat = [s for group in swaps for s in group]
                 found = iter(of(flat)) if flat else iter(())
@@ -192,8 +193,7 @@ def _scored(shared, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in byte_slices(batch, batch.num_columns - 1, 1 << 20):
                 doc, bucket = features(part.column(part.num_columns - 1))
                 hit = np.flatnonzero(table[bucket])
                 doc, bucket = _once(doc[hit], bucket[hit])
@@ -217,6 +217,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 from one half on) of all documents, by a model of the others' labels."""
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 from one half on) of all documents, by a model of the others' labels.
+
+    Null and empty texts get the score of the intercept alone; repeated rows
+    repeat; an empty table gives an empty result; other columns are dropped.
+    """
     scored = score_toxicity(docs, train_toxicity(docs, labels, **options))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
