@@ -1,11 +1,15 @@
 """A quality classifier: random-indexing word vectors, pooled, and a small network with calibrated output.
 
-Words (runs of one character class) are hashed to a fixed vocabulary. Each has
-a sparse random index vector; its word vector is the sum of its neighbours'
-index vectors over all documents. A document is the mean of its words' vectors,
-over all and over its distinct words. A two-layer network in numpy reads that,
-and one temperature, fitted on rows the network did not learn from, scales its
-output to probabilities.
+Each word has a sparse random index vector, drawn from its 64-bit hash; its
+word vector is the sum of its neighbours' index vectors over all documents. The
+word vectors are kept in a sketch of fixed size, whatever the vocabulary: two
+tables of ``CELLS`` rows, in each of which a word is added, with a random sign,
+to a row of its own hash. A word reads the shorter of its two rows, the one that
+other words disturb less, so that words share a vector only if both hashes
+collide. A document is the mean of its words' vectors, over all and over its
+distinct words. A two-layer network in numpy reads that, and one temperature,
+fitted on rows the network did not learn from, scales its output to
+probabilities.
 """
 
 from __future__ import annotations
@@ -15,97 +19,118 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlark.llm.common import byte_slices
 from flowlark.llm.labelled import held_out, training_rows
-from flowlark.llm.textkernel import class_tokens, text_buffer
+from flowlark.llm.textkernel import text_buffer, word_tokens
 
-VOCABULARY, DIMENSION, NONZERO = 1 << 13, 32, 2
+CELL_BITS, TABLES, DIMENSION, NONZERO = 14, 2, 32, 2
+CELLS = 1 << CELL_BITS
+_SIZE = TABLES * CELLS * DIMENSION
 _PARTS = 16
-_RANDOM = np.random.Generator(np.random.PCG64(4))
-_PLACES = _RANDOM.integers(0, DIMENSION, (VOCABULARY, NONZERO))
-_SIGNS = _RANDOM.integers(0, 2, (VOCABULARY, NONZERO)) * 2.0 - 1
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    hashes, bounds = class_tokens(*text_buffer(column))
-    return (hashes >> np.uint64(51)).astype(np.int64), bounds
+def _bits(words: np.ndarray, at: int, n: int) -> np.ndarray:
+    return (words >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)
+
+
+def _cells(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row, sign) of each word in each table; the tables stand one after the other."""
+    return [(_bits(words, 64 - CELL_BITS * (k + 1), CELL_BITS) + k * CELLS, 1.0 - 2 * _bits(words, k, 1)) for k in range(TABLES)]
+
+
+def _index(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(place, sign) of each number of the words' index vectors that is not zero."""
+    return [(_bits(words, 4 + 5 * k, 5), 1.0 - 2 * _bits(words, 20 + k, 1)) for k in range(NONZERO)]
 
 
 def context_sums(column: pa.Array) -> np.ndarray:
-    """Sums of the neighbours' index vectors of each word, over the texts of the column."""
-    words, bounds = _tokens(column)
-    total = np.zeros(VOCABULARY * DIMENSION)
+    """The sketch of the neighbours' index vectors of each word, over the texts of the column."""
+    words, bounds = word_tokens(*text_buffer(column))
+    total = np.zeros(_SIZE, dtype=np.float32)
     if len(words) < 2:
         return total
     apart = np.zeros(len(words) + 1, dtype=bool)
     apart[bounds] = True
     left = np.flatnonzero(~apart[1:-1])  # words whose next one is of the same text
-    a, b = words[left], words[left + 1]
-    for k in range(NONZERO):
-        total += np.bincount(a * DIMENSION + _PLACES[b, k], _SIGNS[b, k], VOCABULARY * DIMENSION)
-        total += np.bincount(b * DIMENSION + _PLACES[a, k], _SIGNS[a, k], VOCABULARY * DIMENSION)
+    cells, index = _cells(words), _index(words)
+    for row, sign in cells:
+        for place, value in index:
+            for a, b in ((left, left + 1), (left + 1, left)):
+                total += np.bincount(row[a] * DIMENSION + place[b], sign[a] * value[b], _SIZE).astype(np.float32)
     return total
 
 
-def _rows_of(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(sizes, (int(sizes[start - 1]) if start else 0) + most)))
-        yield batch.slice(start, stop - start)
-        start = stop
-
-
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, any_row = np.zeros(VOCABULARY * DIMENSION), False
+    total, any_row = np.zeros(_SIZE), False
     for batch in batches:
-        for part in _rows_of(batch, 0):
+        for part in byte_slices(batch, 0):
             total += context_sums(part.column(0))
             any_row = True
     if any_row:
-        salt = int(np.abs(total).sum()) % 8
-        yield pa.record_batch([pa.array(np.full(_PARTS, salt)), pa.array(np.arange(_PARTS)), pa.array([x.tobytes() for x in np.split(total, _PARTS)], pa.binary())], names=["salt", "part", "sums"])
+        yield _in_parts({k: x for k, x in enumerate(np.split(total, _PARTS))}, int(np.abs(total).sum()) % 8)
+
+
+def _in_parts(sums: dict[int, np.ndarray], salt: int) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([salt] * len(sums), pa.int64()), pa.array(list(sums), pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["salt", "part", "sums"])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, sums in zip(batch.column(1).to_pylist(), batch.column(2)):
-            held[part] = held.get(part, 0) + np.frombuffer(sums.as_buffer())
+            held[part] = held.get(part, 0) + np.frombuffer(sums.as_buffer(), dtype=np.float32).astype(float)
     if held:
-        yield pa.record_batch([pa.array([0] * len(held), pa.int64()), pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["salt", "part", "sums"])
+        yield _in_parts(held, 0)
 
 
-def word_vectors(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
-    """Unit vectors of the vocabulary by random indexing over all documents (zero for words that do not occur).
+@dataclass(frozen=True)
+class WordVectors:
+    """Unit rows of the sketch, and their lengths before."""
 
-    Each task sums in place; the sums, of a fixed size, are added in two steps,
-    so the driver gets at most 8 x 16 parts of 128 KB, however many tasks there are.
+    rows: np.ndarray
+    lengths: np.ndarray
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        """Unit vectors of words by hash; zero for words that had no neighbour."""
+        cells = _cells(words)
+        (first, sign), (second, other) = cells
+        use = self.lengths[second] < self.lengths[first]
+        return self.rows[np.where(use, second, first)] * np.where(use, other, sign)[:, None].astype(np.float32)
+
+
+def word_vectors(docs: DataFrame, *, text_col: str = "text") -> WordVectors:
+    """Word vectors by random indexing over all documents.
+
+    Each task sums in place; the sums, of a fixed size (4 MB), are added in two
+    steps, so the driver gets 16 parts, however many tasks there are.
     """
     schema = "salt long, part long, sums binary"
     parts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(_summed, schema)
-    parts = parts.repartition(_PARTS * 2, "salt", "part").mapInArrow(_added, schema).collect()
-    total = np.zeros((_PARTS, VOCABULARY * DIMENSION // _PARTS))
+    parts = parts.repartition(_PARTS * 2, "salt", "part").mapInArrow(_added, schema).repartition(_PARTS, "part").mapInArrow(_added, schema).collect()
+    total = np.zeros((_PARTS, _SIZE // _PARTS))
     for r in parts:
-        total[r["part"]] += np.frombuffer(r["sums"])
-    vectors = total.reshape(VOCABULARY, DIMENSION)
-    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        total[r["part"]] += np.frombuffer(r["sums"], dtype=np.float32)
+    rows = total.reshape(TABLES * CELLS, DIMENSION)
+    lengths = np.linalg.norm(rows, axis=1)
+    return WordVectors((rows / np.maximum(lengths, 1e-9)[:, None]).astype(np.float32), lengths)
 
 
 WIDTH = 2 * DIMENSION + 3
 
 
-def document_vectors(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
+def document_vectors(column: pa.Array, vectors: WordVectors) -> np.ndarray:
     """A row for each text: mean vector of its words, mean of its distinct words, both norms, share of distinct words."""
-    words, bounds = _tokens(column)
+    words, bounds = word_tokens(*text_buffer(column))
     out = np.zeros((len(bounds) - 1, WIDTH), dtype=np.float32)
+    vocabulary, words = np.unique(words, return_inverse=True)
+    known = vectors.of(vocabulary)
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
         if b > a:
             own, n = np.unique(words[a:b], return_counts=True)
-            rows = vectors[own]
+            rows = known[own]
             every, each = (n.astype(np.float32) @ rows) / (b - a), rows.mean(axis=0)
             out[i, :DIMENSION], out[i, DIMENSION : 2 * DIMENSION] = every, each
             out[i, 2 * DIMENSION :] = np.linalg.norm(every), np.linalg.norm(each), min(1.0, len(own) / min(b - a, 200))
@@ -116,7 +141,7 @@ def document_vectors(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
 class QualityModel:
     """Word vectors, scaling, two layers and a temperature."""
 
-    vectors: np.ndarray
+    vectors: WordVectors
     centre: np.ndarray
     scale: np.ndarray
     first: np.ndarray
@@ -142,6 +167,13 @@ def calibrated(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(tried[int(np.argmin(loss))])
 
 
+def calibration_error(scores: np.ndarray, labels: np.ndarray, bins: int = 10) -> float:
+    """Mean distance of score and share of label 1 over ``bins`` equal ranges of scores, by their rows; 0 without rows."""
+    place = np.minimum((scores * bins).astype(int), bins - 1)
+    each = [abs(scores[place == k].mean() - labels[place == k].mean()) * (place == k).sum() for k in np.unique(place)]
+    return float(sum(each) / max(1, len(scores)))
+
+
 def fit_network(rows: np.ndarray, labels: np.ndarray, *, hidden: int = 24, steps: int = 1500, batch: int = 512, rate: float = 0.01, decay: float = 1e-3, seed: int = 1) -> tuple[np.ndarray, ...]:
     """Two layers by minibatch Adam with weight decay; returns scaling, weights and biases."""
     centre, scale = rows.mean(axis=0), rows.std(axis=0) + 1e-3
@@ -165,7 +197,7 @@ def fit_network(rows: np.ndarray, labels: np.ndarray, *, hidden: int = 24, steps
 def _vectorised(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _rows_of(batch, 1):
+            for part in byte_slices(batch, 1):
                 rows = document_vectors(part.column(1), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in rows], pa.binary())], names=["doc_id", "label", "vector"])
 
@@ -200,7 +232,7 @@ def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: QualityModel = shared.value
         for batch in batches:
-            for part in _rows_of(batch, batch.num_columns - 1):
+            for part in byte_slices(batch, batch.num_columns - 1):
                 score = model.scores(document_vectors(part.column(part.num_columns - 1), model.vectors))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(part.num_columns - 1)), pa.array(score)], names=[*part.schema.names[:-1], "score"])
 
@@ -220,6 +252,10 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, **options) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on) of all documents, by a model of the others' labels."""
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on) of all documents, by a model of the others' labels.
+
+    Null and empty texts are scored as empty ones; repeated rows repeat; an
+    empty table gives an empty result; other columns are dropped.
+    """
     scored = score_quality(docs, train_quality(docs, labels, **options))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

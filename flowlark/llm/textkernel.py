@@ -144,7 +144,7 @@ def list_column(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-# --- words with their prefixes, and tokens by character class ---------------------------------------------------
+# --- words with their prefixes, and words with their shapes ---------------------------------------------------
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WORD_BREAKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,21 +170,23 @@ def prefix_hashes(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     return mix(total ^ np.uint64(size * 0x51ED27))
 
 
-_CLASS = np.ones(256, dtype=np.uint8)  # letters in lower case and bytes beyond ASCII
+_CLASS = np.ones(256, dtype=np.uint8)  # letters and bytes beyond ASCII
 _CLASS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 4
 _CLASS[48:58] = 3
-_CLASS[65:91] = 2
 _CLASS[[*range(0, 32), 32, 127]] = 0
 _CLASS[10] = 5
-_SHAPE_UPPER, _SHAPE_UPPERS, _SHAPE_DIGITS, _SHAPE_LINE = (np.uint64(x) for x in (0xA1, 0xA2, 0xA3, 0xA4))
+_UPPER = np.zeros(256, dtype=np.int64)
+_UPPER[65:91] = 1
+_CAPITAL, _CAPITALS, _NUMBER, _LINE = (np.uint64(x) for x in (0xA1, 0xA2, 0xA3, 0xA4))
 
 
-def class_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each token, first token of each document and the end).
 
-    Tokens are maximal runs of one character class: small letters (with all
-    bytes beyond ASCII), capitals, digits, punctuation and line ends. Runs of
-    capitals count by their shape (one or more), digits and line ends by class.
+    Tokens are words (runs of letters and of bytes beyond ASCII, A-Z as a-z),
+    each with its own hash, numbers by their length up to four digits, runs of
+    punctuation and of line ends. A word with one capital, or with more, is
+    followed by a token that says so.
     """
     if len(data) == 0:
         return _EMPTY, np.zeros(len(offsets), dtype=np.int64)
@@ -196,12 +198,14 @@ def class_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     start = np.flatnonzero(begins)
     lengths = np.diff(np.append(start, len(data)))
     power = _POWERS.upto(int(lengths.max()))
-    values = _BYTE_VALUE[data] * power[np.arange(len(data)) - np.repeat(start, lengths)]
-    hashes = mix(np.add.reduceat(values, start))
+    values = _BYTE_VALUE[_LOWER[data]] * power[np.arange(len(data)) - np.repeat(start, lengths)]
+    hashes, capitals = mix(np.add.reduceat(values, start)), np.add.reduceat(_UPPER[data], start)
     classes = kind[start]
-    hashes[(classes == 2) & (lengths == 1)] = _SHAPE_UPPER
-    hashes[(classes == 2) & (lengths > 1)] = _SHAPE_UPPERS
-    hashes[classes == 3] = _SHAPE_DIGITS
-    hashes[classes == 5] = _SHAPE_LINE
+    hashes[classes == 3] = _NUMBER + (np.minimum(lengths[classes == 3], 4) << 8).astype(np.uint64)
+    hashes[classes == 5] = _LINE
     keep = classes > 0
-    return mix(hashes[keep]), np.searchsorted(start[keep], offsets)
+    hashes, capitals, start = hashes[keep], capitals[keep], start[keep]
+    shaped = np.flatnonzero(capitals > 0)
+    place = np.searchsorted(start, offsets)
+    hashes = np.insert(hashes, shaped + 1, np.where(capitals[shaped] > 1, _CAPITALS, _CAPITAL))
+    return mix(hashes), place + np.searchsorted(shaped, place)
