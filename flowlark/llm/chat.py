@@ -6,9 +6,11 @@ hashed. A passage is linked to the first message of its conversation with the
 same hash, of its whole body or of one of its lines. A message replies to the
 latest message that its outermost quotes come from.
 
-The result has a row for each message, ordered within a conversation by
-``path``, the turns from its root to itself, so that no conversation, however
-long, is gathered in one place.
+The result has a row for each message, ordered within a conversation by its
+root and its position in the root's tree, so that no conversation, however long
+or deep, is gathered in one place. Positions come from the tour around a tree
+(down to each message, on to its replies, up again), which is a linked list:
+each round halves the way to its end.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import stage_table
+from flowlark.llm.common import discard, stage_table
+from flowlark.runtime import with_rank
 
 _PREFIX = r"^(?:[ \t]*>)+"
 
@@ -69,41 +72,73 @@ def link_quotes(parsed: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
     return linked.groupBy("conv", "turn", "level").agg(F.max("original").alias("original"))
 
 
-def reply_paths(messages: DataFrame, parents: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", max_rounds: int = 40) -> DataFrame:
-    """(conv, turn, path) of each message that replies; ``path`` has the turns from the root to the message.
+def _tour(parents: DataFrame) -> DataFrame:
+    """Two steps for each message of a tree, into it and out of it, each with the next step and what both weigh.
 
-    ``parents`` has (conv, turn, parent), each parent earlier than its turn. Paths
-    double in length each round, so the rounds grow with the logarithm of the depth.
+    ``into`` counts messages entered, ``level`` adds 1 on the way down and takes
+    it off on the way up. Siblings follow each other by turn; they are found by
+    rank over all replies, so even a message with most replies is no group.
     """
-    open_ = stage_table(parents.select("conv", "turn", F.col("parent").alias("top"), F.array("parent", "turn").alias("path")), "replies")
-    for _ in range(max_rounds):
-        upper = open_.select(F.col("conv").alias("c"), F.col("turn").alias("t"), F.col("top").alias("upper_top"), F.col("path").alias("upper"))
-        longer = open_.join(upper, (F.col("conv") == F.col("c")) & (F.col("top") == F.col("t")), "left")
-        if longer.where("t IS NOT NULL").limit(1).count() == 0:
+    ranked = with_rank(parents.select("conv", "turn", "parent"), "place", "conv", "parent", "turn")
+    ranked = ranked.select("conv", "turn", "parent", "place")
+    after = ranked.select((F.col("place") - 1).alias("place"), F.col("conv").alias("c"), F.col("parent").alias("p"), F.col("turn").alias("sibling"))
+    siblings = ranked.join(after, "place", "left").select("conv", "turn", "parent", F.when((F.col("c") == F.col("conv")) & (F.col("p") == F.col("parent")), F.col("sibling")).alias("sibling"))
+    firsts = parents.groupBy(F.col("conv"), F.col("parent").alias("turn")).agg(F.min("turn").alias("child"))
+    roots = firsts.select("conv", "turn").join(parents.select("conv", "turn"), ["conv", "turn"], "left_anti")
+    nodes = siblings.unionByName(roots.select("conv", "turn", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("long").alias("sibling")))
+    nodes = nodes.join(firsts, ["conv", "turn"], "left")
+    step = lambda into, turn, next_into: F.struct(F.lit(into).alias("entering"), turn.alias("to"), next_into.alias("to_entering"))
+    own = F.col("turn")
+    down = step(True, F.coalesce("child", own), F.col("child").isNotNull())
+    up = step(False, F.coalesce("sibling", "parent"), F.col("sibling").isNotNull())
+    arcs = nodes.select("conv", "turn", F.explode(F.array(down, up)).alias("s")).select("conv", "turn", "s.*")
+    into = F.col("entering").cast("long")
+    return arcs.select("conv", "turn", "entering", "to", "to_entering", into.alias("into"), (2 * into - 1).alias("level"), F.col("turn").alias("last"))
+
+
+def reply_order(parents: DataFrame, *, most_rounds: int = 64) -> DataFrame:
+    """(conv, turn, root, depth, position) of each message that replies or is replied to, in one row.
+
+    ``parents`` has (conv, turn, parent), each turn of a conversation once and
+    its parent earlier. A round joins each step with the one it points to and
+    takes over where that points; rounds grow with the logarithm of a tree's
+    size, rows with the number of messages. A list that has not come to its end
+    after ``most_rounds`` rounds raises an error.
+    """
+    arcs = stage_table(_tour(parents), "tour")
+    for _ in range(most_rounds):
+        if arcs.where("to IS NOT NULL").limit(1).count() == 0:
             break
-        path = F.when(F.col("t").isNull(), F.col("path")).otherwise(F.concat("upper", F.slice("path", 2, 2147483647)))
-        open_ = stage_table(longer.select("conv", "turn", F.coalesce("upper_top", "top").alias("top"), path.alias("path")), "replies")
-    return open_.select("conv", "turn", "path")
+        there = arcs.select("conv", F.col("turn").alias("to"), F.col("entering").alias("to_entering"), F.col("to").alias("far"), F.col("to_entering").alias("far_entering"), F.col("into").alias("more_into"), F.col("level").alias("more_level"), F.col("last").alias("far_last"))
+        open_ = arcs.where("to IS NOT NULL").join(there, ["conv", "to", "to_entering"], "left")
+        moved = open_.select("conv", "turn", "entering", F.col("far").alias("to"), F.col("far_entering").alias("to_entering"), (F.col("into") + F.col("more_into")).alias("into"), (F.col("level") + F.col("more_level")).alias("level"), F.col("far_last").alias("last"))
+        old, arcs = arcs, stage_table(moved.unionByName(arcs.where("to IS NULL")), "tour")
+        discard(old)
+    else:
+        raise RuntimeError(f"reply trees are not ordered after {most_rounds} rounds")
+    entered = arcs.where("entering").select("conv", "turn", F.col("last").alias("root"), "into", (-F.col("level")).alias("depth"))
+    sizes = entered.where("turn = root").select("conv", "root", F.col("into").alias("size"))
+    return entered.join(sizes, ["conv", "root"]).select("conv", "turn", "root", "depth", (F.col("size") - F.col("into")).alias("position"))
 
 
 def format_conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row for each message: ``conv_id``, ``turn``, ``role``, ``parent_turn``, ``root_turn``, ``depth``, ``path``, ``n_quotes``, ``n_linked_levels``, ``body`` and ``formatted``.
-
-    Ordered by ``conv_id, path`` the messages of a conversation stand in reply
-    order, each after the one it replies to, siblings by turn. ``formatted`` is
-    the message as a chat turn, without quotes. A message without a linked
-    quote is a root. Messages with a null conversation or turn are roots that
-    nothing is linked to; a null role is 'unknown'. Rows of equal conversation
-    and turn share parent and path. An empty table gives an empty result; other
-    columns are dropped.
+    """One row for each message: ``conv_id``, ``turn``, ``role``, ``parent_turn``, ``root_turn``, ``depth``, ``position``, ``n_quotes``, ``n_linked_levels``, ``body`` and ``formatted``.
+
+    Ordered by ``conv_id, root_turn, position`` the messages of a conversation
+    stand in reply order, each after the one it replies to, siblings by turn.
+    ``formatted`` is the message as a chat turn, without quotes. A message
+    without a linked quote is a root, at position 0. Messages with a null
+    conversation or turn are roots that nothing is linked to; a null role is
+    'unknown'; a null text is an empty one. Rows of equal conversation and turn
+    share parent and position. Whole texts count. An empty table gives an empty
+    result; other columns are dropped.
     """
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.col(text_col).cast("string").alias("text"))
     parsed = parse_quotes(rows)
     links = stage_table(link_quotes(parsed), "quotes")
-    outer = links.groupBy("conv", "turn").agg(F.max_by("original", -F.col("level")).alias("parent"), F.count(F.lit(1)).alias("n_linked_levels"))
-    paths = reply_paths(parsed, outer)
-    known = outer.join(paths, ["conv", "turn"]).select(F.col("conv").alias("conv_id"), "turn", "parent", "n_linked_levels", F.col("path").alias("known_path"))
+    outer = stage_table(links.groupBy("conv", "turn").agg(F.max_by("original", -F.col("level")).alias("parent"), F.count(F.lit(1)).alias("n_linked_levels")), "parents")
+    known = reply_order(outer).join(outer, ["conv", "turn"], "left").withColumnRenamed("conv", "conv_id")
     out = parsed.join(known, ["conv_id", "turn"], "left")
-    path = F.coalesce("known_path", F.array("turn"))
     formatted = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("body"), F.lit("\n<|end|>"))
-    return out.select("conv_id", "turn", "role", F.col("parent").alias("parent_turn"), F.get(path, F.lit(0)).alias("root_turn"), (F.size(path) - 1).cast("long").alias("depth"), path.alias("path"), F.size("passages").cast("long").alias("n_quotes"), F.coalesce("n_linked_levels", F.lit(0)).cast("long").alias("n_linked_levels"), "body", formatted.alias("formatted"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("conv_id", "turn", "role", F.col("parent").alias("parent_turn"), F.coalesce("root", "turn").alias("root_turn"), zero("depth"), zero("position"), F.size("passages").cast("long").alias("n_quotes"), zero("n_linked_levels"), "body", formatted.alias("formatted"))
