@@ -12,7 +12,7 @@ from flowlark.llm.bpe import bpe_round_trip
 from flowlark.llm.chat import format_conversations
 from flowlark.llm.common import table
 from flowlark.llm.decontaminate import contaminated_pairs
-from flowlark.llm.licenses import CUES, TEMPLATES, license_scan
+from flowlark.llm.licenses import CUES, NAMED, PARTING, TEMPLATES, license_scan
 from flowlark.llm.ngram_join import ngram_jaccard_join
 from flowlark.llm.quality_classifier import quality_scores
 from flowlark.llm.rules import quality_report
@@ -54,7 +54,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_conversations(table(spark, sf_dir, "conversations")).withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
+    return format_conversations(table(spark, sf_dir, "conversations"))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,14 +107,15 @@ ok AS (SELECT conv_id, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS k, min
 links AS (SELECT qk.conv_id, qk.turn, level, max(original) AS original FROM qk JOIN ok ON qk.conv_id = ok.conv_id AND qk.k = ok.k WHERE qk.k <> '' AND original < qk.turn GROUP BY 1, 2, 3),
 parents AS (SELECT conv_id, turn, arg_min(original, level) AS parent, CAST(count(*) AS BIGINT) AS n FROM links GROUP BY 1, 2),
 roots AS (SELECT DISTINCT b.conv_id, b.turn FROM b LEFT JOIN parents ON b.conv_id = parents.conv_id AND b.turn = parents.turn WHERE parents.turn IS NULL AND b.conv_id IS NOT NULL AND b.turn IS NOT NULL),
-paths AS (SELECT conv_id, turn, CAST(turn AS VARCHAR) AS path, turn AS root, CAST(0 AS BIGINT) AS depth FROM roots UNION ALL SELECT c.conv_id, c.turn, a.path || '/' || CAST(c.turn AS VARCHAR), a.root, a.depth + 1 FROM paths a JOIN parents c ON c.conv_id = a.conv_id AND c.parent = a.turn)
-SELECT b.conv_id, b.turn, b.role, parents.parent AS parent_turn, coalesce(paths.root, b.turn) AS root_turn, coalesce(paths.depth, 0) AS depth, coalesce(paths.path, CAST(b.turn AS VARCHAR), '') AS path,
+paths AS (SELECT conv_id, turn, [turn] AS path, turn AS root, CAST(0 AS BIGINT) AS depth FROM roots UNION ALL SELECT c.conv_id, c.turn, list_append(a.path, c.turn), a.root, a.depth + 1 FROM paths a JOIN parents c ON c.conv_id = a.conv_id AND c.parent = a.turn),
+placed AS (SELECT conv_id, turn, root, depth, CAST(row_number() OVER (PARTITION BY conv_id, root ORDER BY path) - 1 AS BIGINT) AS position FROM paths)
+SELECT b.conv_id, b.turn, b.role, parents.parent AS parent_turn, coalesce(placed.root, b.turn) AS root_turn, coalesce(placed.depth, 0) AS depth, coalesce(placed.position, 0) AS position,
        CAST(coalesce(c.n, 0) AS BIGINT) AS n_quotes, coalesce(parents.n, 0) AS n_linked_levels, b.body, '<|' || b.role || '|>' || chr(10) || b.body || chr(10) || '<|end|>' AS formatted
-FROM b LEFT JOIN parents ON b.conv_id = parents.conv_id AND b.turn = parents.turn LEFT JOIN paths ON b.conv_id = paths.conv_id AND b.turn = paths.turn
+FROM b LEFT JOIN parents ON b.conv_id = parents.conv_id AND b.turn = parents.turn LEFT JOIN placed ON b.conv_id = placed.conv_id AND b.turn = placed.turn
 LEFT JOIN (SELECT r, count(*) AS n FROM q GROUP BY 1) c ON b.r = c.r
 """
 
-_TEMPLATE_ROWS = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+_TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
 OP8_SQL = rf"""
 WITH tpl(template, license, body) AS (VALUES {_TEMPLATE_ROWS}),
 tw AS (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:\.[0-9]+)*')) AS word FROM tpl),
@@ -124,6 +125,7 @@ tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM ttf GROUP BY 1),
 files AS (SELECT doc_id, coalesce(source, '') || '/d' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents),
 cue AS (SELECT * FROM files WHERE regexp_matches(text, '{CUES}')),
 units AS (SELECT doc_id, i AS unit, ls[i + 1] AS body FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM cue)) WHERE regexp_matches(ls[i + 1], '{CUES}')
+          UNION ALL SELECT doc_id, -2 - i, ps[i + 1] FROM (SELECT doc_id, ps, unnest(range(len(ps))) AS i FROM (SELECT doc_id, string_split_regex(text, '{PARTING}') AS ps FROM cue)) WHERE regexp_matches(ps[i + 1], '{CUES}') AND contains(ps[i + 1], chr(10))
           UNION ALL SELECT doc_id, -1, text FROM cue),
 tf AS (SELECT doc_id, unit, word, count(*) AS tf FROM (SELECT doc_id, unit, unnest(regexp_extract_all(lower(body), '[a-z0-9]+(?:\.[0-9]+)*')) AS word FROM units) GROUP BY 1, 2, 3),
 wt AS (SELECT doc_id, unit, tf.word, tf * (ln(({len(TEMPLATES)} + 1.0) / (1.0 + coalesce(df.df, 0))) + 1.0) AS w FROM tf LEFT JOIN df ON tf.word = df.word),
@@ -131,9 +133,9 @@ un AS (SELECT doc_id, unit, sqrt(sum(w * w)) AS norm FROM wt GROUP BY 1, 2),
 dot AS (SELECT wt.doc_id, wt.unit, ttf.template, ttf.license, sum(wt.w * ttf.w / tn.norm) AS dot FROM wt JOIN ttf ON wt.word = ttf.word JOIN tn ON ttf.template = tn.template GROUP BY 1, 2, 3, 4),
 sc AS (SELECT dot.doc_id, dot.unit, license, round(dot / norm, 9) AS score FROM dot JOIN un ON dot.doc_id = un.doc_id AND dot.unit = un.unit WHERE round(dot / norm, 9) >= 0.75),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS k, max(CASE WHEN unit = -1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS whole FROM sc),
-own AS (SELECT files.doc_id, files.path, regexp_replace(files.path, '/?[^/]*$', '') AS dir, r.license AS own_license, r.score AS own_score, coalesce(r.whole = 1, FALSE) AS is_license_file FROM files LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r ON files.doc_id = r.doc_id),
+own AS (SELECT files.doc_id, files.path, regexp_replace(files.path, '/?[^/]*$', '') AS dir, r.license AS own_license, r.score AS own_score, r.license IS NOT NULL AND (coalesce(r.whole = 1, FALSE) OR regexp_matches(files.path, '{NAMED}')) AS is_license_file FROM files LEFT JOIN (SELECT * FROM ranked WHERE k = 1) r ON files.doc_id = r.doc_id),
 keeps AS (SELECT dir, arg_min(own_license, (1 - own_score, path)) AS handed FROM own WHERE is_license_file GROUP BY 1),
-near AS (SELECT own.doc_id, arg_max(keeps.handed, length(keeps.dir)) AS handed, arg_max(keeps.dir, length(keeps.dir)) AS inherited_from FROM own JOIN keeps ON own.dir = keeps.dir OR starts_with(own.dir, keeps.dir || '/') WHERE own_license IS NULL GROUP BY 1)
+near AS (SELECT own.doc_id, arg_max(keeps.handed, length(keeps.dir)) AS handed, arg_max(keeps.dir, length(keeps.dir)) AS inherited_from FROM own JOIN keeps ON own.dir = keeps.dir OR keeps.dir = '' OR starts_with(own.dir, keeps.dir || '/') WHERE own_license IS NULL GROUP BY 1)
 SELECT own.doc_id, path, own_license, round(own_score, 6) AS own_score, is_license_file, coalesce(own_license, handed) AS license, inherited_from FROM own LEFT JOIN near ON own.doc_id = near.doc_id
 """
 
