@@ -16,36 +16,47 @@ from flowlark.shipping import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no quality rule rejects."""
+    """Documents that no quality rule rejects; null and empty texts go, repeated rows stay repeated."""
     return keep_good(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; the classifier learns from the labelled rows of ``documents``."""
-    names = docs.columns
+    """Documents that score below one half; the classifier learns from the labelled rows of ``documents``.
+
+    Null and empty texts get the score of the intercept alone. Columns may have
+    any names: they go through under their places.
+    """
     model = train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score_toxicity(docs.withColumn("_text", F.col("text")), model, text_col="_text", keep=tuple(names)).where("score < 0.5").select(*names)
+    places = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*places).withColumn("judged", F.col(places[docs.columns.index("text")]))
+    return score_toxicity(rows, model, text_col="judged", keep=tuple(places)).where("score < 0.5").select(*places).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links connect, the one with the smallest id (of five-word shingles, similarity 0.8).
+    """Of each group of documents that links connect, one (of five-word shingles, similarity 0.8): that with the smallest id.
 
-    Of rows with one id one stays; rows without an id are in no group.
+    Rows are told apart by a 64-bit hash of id and text, so an id may be null or
+    stand with several texts; of rows equal in both one stays. An id counts as
+    smaller than none. Texts without a word are linked with nothing.
     """
-    known = docs.where("doc_id IS NOT NULL")
-    found = ngram_jaccard_join(known, size=5, num=80, den=100)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    stay = known.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return stay.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    names = docs.columns
+    key = next(f"key{k}" for k in range(len(names) + 1) if f"key{k}" not in {c.lower() for c in names})
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")))
+    found = ngram_jaccard_join(rows.select(F.col(key).alias("k"), "text"), id_col="k", size=5, num=80, den=100)
+    of = rows.select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("id")).distinct().join(found.select(F.col("doc_id").alias("k"), "component_id").distinct(), "k")
+    # first within parts of a group, which may be large, then among the parts
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("b")
+    stay = of.groupBy("component_id", F.pmod("k", F.lit(64)).alias("part")).agg(best).groupBy("component_id").agg(F.min("b").alias("b"))
+    return rows.join(stay.select(F.col("b")["k"].alias(key)), key, "left_semi").dropDuplicates([key]).select(*[f"`{c}`" for c in names])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which no tile cover gives a test item away."""
+    """Documents of which no tile cover gives a test item away; null and empty texts stay, as do repeated rows."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts, and digests of ids and decoded bytes, of what is left."""
+    """Token counts, and digests of ids and decoded bytes, of what is left; a null text counts as an empty one."""
     return bpe_round_trip(docs, path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
 
 
