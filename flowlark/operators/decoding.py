@@ -8,11 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlark.errors import FlowError, PacketAnalysisError
 from flowlark.functions.wire import DECODED, decode
 from flowlark.schemas import DECODED_COLUMNS
 
 
-class InadmissiblePacket(ValueError):
+class InadmissiblePacket(FlowError):
     """A packet that decodes but belongs to no flow, in strict mode."""
 
 
@@ -27,7 +28,10 @@ def decode_packets(observations: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = decode(batch.column(names.index("link_type")), batch.column(len(names)))
+            try:
+                found = decode(batch.column(names.index("link_type")), batch.column(len(names)))
+            except Exception as error:  # every property of a packet has a classification
+                raise PacketAnalysisError(f"packets cannot be decoded: {error}") from error
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *found.columns], names=[*names, *found.schema.names])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
@@ -45,6 +49,12 @@ def valid_observation() -> Column:
     )
 
 
+def checked_observations(observations: DataFrame) -> DataFrame:
+    """The observations; one that is not well formed raises an error when it is read."""
+    wrong = F.raise_error(F.concat(F.lit("DetectionError: observation "), F.coalesce(F.col("packet_index").cast("string"), F.lit("?")), F.lit(" is not well formed")))
+    return observations.where(F.when(F.coalesce(valid_observation(), F.lit(False)), F.lit(True)).otherwise(wrong.cast("boolean")))
+
+
 def admitted(decoded: DataFrame, *, strict: bool = False) -> DataFrame:
     """Packets that belong to a flow: TCP, UDP, ICMP over IPv4 and ICMPv6 over IPv6.
 
@@ -54,7 +64,7 @@ def admitted(decoded: DataFrame, *, strict: bool = False) -> DataFrame:
     passed = decoded.where("failure_classification IS NULL")
     if not strict:
         return passed.where("admitted")
-    check = F.when(~F.col("admitted"), F.raise_error(F.concat(F.lit("packet "), F.col("packet_index").cast("string"), F.lit(" decodes but belongs to no flow")))).otherwise(F.lit(True))
+    check = F.when(~F.col("admitted"), F.raise_error(F.concat(F.lit("packet "), F.col("packet_index").cast("string"), F.lit(" decodes but belongs to no flow (InadmissiblePacket)")))).otherwise(F.lit(True))
     return passed.where(check.cast("boolean"))
 
 
@@ -64,6 +74,7 @@ def quarantined(decoded: DataFrame) -> DataFrame:
 
 
 def dns_candidate() -> Column:
+    """UDP packets from or to port 53: their payload is a message."""
     return (F.col("protocol") == 17) & ((F.col("src_port") == 53) | (F.col("dst_port") == 53))
 
 

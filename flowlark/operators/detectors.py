@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowlark.errors import DetectionError
 from flowlark.operators.features import rate_features
 from flowlark.schemas import IDENTITY, TCP_FLAGS, WINDOW_KEY
 
@@ -26,7 +27,7 @@ def _named(detector_id: str, version: str) -> None:
         if not isinstance(value, str):
             raise TypeError(f"{name} must be a string")
         if not value.strip():
-            raise ValueError(f"{name} must not be blank")
+            raise DetectionError(f"{name} must not be blank")
 
 
 @dataclass(frozen=True)
@@ -50,12 +51,12 @@ class VolumeDetector(Detector):
     def __post_init__(self) -> None:
         super().__post_init__()
         if self.metric not in VOLUME_METRICS:
-            raise ValueError(f"unknown volume metric: {self.metric}")
+            raise DetectionError(f"unknown volume metric: {self.metric}")
         wanted = float if self.metric in RATE_METRICS else int
         if type(self.threshold) is not wanted:
             raise TypeError(f"the threshold of {self.metric} must be of type {wanted.__name__}")
         if not math.isfinite(self.threshold) or self.threshold < 0:
-            raise ValueError("the threshold must be finite and not negative")
+            raise DetectionError("the threshold must be finite and not negative")
 
 
 @dataclass(frozen=True)
@@ -68,11 +69,11 @@ class ControlDetector(Detector):
     def __post_init__(self) -> None:
         super().__post_init__()
         if self.metric not in CONTROL_METRICS:
-            raise ValueError(f"unknown control metric: {self.metric}")
+            raise DetectionError(f"unknown control metric: {self.metric}")
         if type(self.threshold) is not int:
             raise TypeError("the threshold must be an integer")
         if self.threshold < 0:
-            raise ValueError("the threshold must not be negative")
+            raise DetectionError("the threshold must not be negative")
 
 
 def _texts(decision: Column, texts: dict[str, str]) -> Column:
@@ -82,6 +83,21 @@ def _texts(decision: Column, texts: dict[str, str]) -> Column:
     return out
 
 
+#: What packet findings and flows need of a decoded packet.
+PACKET_COLUMNS = ("session", "packet_index", "ts_us", "source", "link_type", "captured_length", "original_length", "failure_classification", "failure_description", "protocol", "src_addr", "dst_addr", "src_port", "dst_port", "icmp_echo_id", *TCP_FLAGS, "admitted")
+
+
+def checked_findings(findings: DataFrame) -> DataFrame:
+    """The findings; one whose interpretation is not that of its decision and kind raises an error when it is read."""
+    kinds = [INTEGRITY_TEXTS] if "detector_rank" not in findings.columns else [VOLUME_TEXTS, CONTROL_TEXTS]
+    agrees = F.lit(False)
+    for rank, texts in enumerate(kinds):
+        own = F.lit(True) if len(kinds) == 1 else F.col("detector_rank") == rank
+        agrees = agrees | (own & F.coalesce(_texts(F.col("decision"), texts) == F.col("security_interpretation"), F.lit(False)))
+    wrong = F.raise_error(F.lit("DetectionError: a finding's interpretation is not that of its decision"))
+    return findings.where(F.when(agrees, F.lit(True)).otherwise(wrong.cast("boolean")))
+
+
 def packet_findings(decoded: DataFrame, detector: Detector) -> DataFrame:
     """One finding for each packet, in packet order by ``finding_index``."""
     failed = F.col("failure_classification")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlark.errors import DetectionError
+
 PACKET_IDENTITY = ("detector_id", "detector_version", "packet_index", "ts_us", "source", "link_type", "captured_length", "original_length")
 FLOW_IDENTITY = ("detector_id", "detector_version", "session", "sequence_number", "a_addr", "b_addr", "a_port", "b_port", "protocol", "icmp_echo_id", "first_us", "last_us")
 
@@ -64,6 +66,12 @@ def contradictions(expectations: DataFrame, names: tuple[str, ...]) -> DataFrame
     return expectations.groupBy(*names).agg(F.countDistinct("positive").alias("n")).where("n > 1").drop("n")
 
 
+def check_expectations(expectations: DataFrame, names: tuple[str, ...]) -> None:
+    """Raises an error if an identity is expected both positive and negative."""
+    if contradictions(expectations, names).limit(1).count():
+        raise DetectionError("expectations contradict each other")
+
+
 def duplicates(truth: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Identities that a ground truth names more than once."""
     return truth.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

@@ -9,8 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlark.errors import FlowError
+from flowlark.functions.wire import DECODED
 from flowlark.runtime import with_rank, written
-from flowlark.schemas import CLOSED_BY_CAPACITY, CLOSED_BY_END, CLOSED_BY_INACTIVITY, CLOSED_BY_REQUEST, IDENTITY, MAX_ACTIVE_WINDOWS
+from flowlark.schemas import CLOSED_BY_CAPACITY, CLOSED_BY_END, CLOSED_BY_INACTIVITY, CLOSED_BY_REQUEST, IDENTITY, MAX_ACTIVE_WINDOWS, OBSERVATION
+
+
+_IDENTITY_TYPES = {"a_addr": "binary", "b_addr": "binary", "a_port": "int", "b_port": "int", "is_forward": "boolean"}
 
 
 def with_identity(packets: DataFrame) -> DataFrame:
@@ -58,6 +63,19 @@ def frontier_violations(packets: DataFrame) -> DataFrame:
     return sliced.join(tops, ["session", "_slice"]).withColumn("frontier_us", reached).where("ts_us < frontier_us").drop("_slice", "_before")
 
 
+def check_frontier(packets: DataFrame) -> None:
+    """Raises an error if a packet is earlier than one before it in its session."""
+    found = frontier_violations(packets.select("session", "packet_index", "ts_us")).select("packet_index").first()
+    if found is not None:
+        raise FlowError(f"packet {found[0]} is earlier than one before it")
+
+
+def column_types(names: tuple[str, ...]) -> list[tuple[str, str]]:
+    """Names and types of columns of decoded packets with identity."""
+    known = dict(c.strip().split(" ", 1) for c in OBSERVATION.split(",")) | DECODED
+    return [(n, known.get(n) or _IDENTITY_TYPES[n]) for n in names]
+
+
 #: Packets of a capture that are numbered together; a flow is cut at these places while its windows are found.
 SLICE = 1 << 22
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.functions.folds import WindowFold
+from flowlark.functions.folds import WindowFold, regular_streams
 from flowlark.functions.messages import parse_dns, parse_hello, parse_ldap, parse_tcp_options
-from flowlark.schemas import WINDOW_KEY
+from flowlark.operators.flows import sessionize
+from flowlark.runtime import written
+from flowlark.schemas import IDENTITY, WINDOW_KEY
 
 EVENT_FIELDS = {"kind": pa.string(), "is_forward": pa.bool_(), "ts_us": pa.int64(), "status": pa.string(), "reason": pa.string(), "relation": pa.string(), "operation": pa.string(), "message_id": pa.int64(), "code": pa.int64(), "length": pa.int64(), "response_count": pa.int64(), "latency_us": pa.int64(), "raw": pa.binary(), "request_raw": pa.binary()}
 EVENTS = "session string, sequence_number bigint, packet_index bigint, kind string, is_forward boolean, ts_us bigint, status string, reason string, relation string, operation string, message_id bigint, code bigint, length bigint, response_count bigint, latency_us bigint, raw binary, request_raw binary"
@@ -18,38 +22,111 @@ PACKET_FIELDS = ("packet_index", "ts_us", "is_forward", "protocol", "a_port", "b
 _SCHEMA = pa.schema([("session", pa.string()), ("sequence_number", pa.int64()), ("packet_index", pa.int64()), *EVENT_FIELDS.items()])
 
 
-def event_row(key: tuple, index: int | None, p: dict, kind: str, fields: dict) -> dict:
-    base = {"session": key[0], "sequence_number": key[1], "packet_index": index, "kind": kind, "is_forward": p.get("is_forward"), "ts_us": p.get("ts_us")}
-    return dict.fromkeys(_SCHEMA.names) | base | fields
-
-
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, fold, rows = None, None, []
-    for batch in batches:
-        for p in batch.to_pylist():
-            own = (p["session"], p["sequence_number"])
-            if own != key:
-                if fold is not None:
-                    rows += [event_row(key, None, {}, k, f) for k, f in fold.close()]
-                key, fold = own, WindowFold(p["protocol"], p["a_port"], p["b_port"])
-            rows += [event_row(key, p["packet_index"], p, k, f) for k, f in fold.packet(p)]
-            if len(rows) >= 4096:
-                yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
-                rows = []
-    if fold is not None:
-        rows += [event_row(key, None, {}, k, f) for k, f in fold.close()]
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+class _Folder:
+    """Folds windows that come one after the other; the last of a batch stays open, as it may go on in the next."""
+
+    def __init__(self, segments: bool) -> None:
+        self.segments = segments
+        self.key: tuple | None = None
+        self.fold: WindowFold | None = None
+        self.rows: list[dict] = []
+
+    def _put(self, key: tuple, events: list, index: list | None = None, ts: list | None = None) -> None:
+        for k, kind, fields in events:
+            own = {"session": key[0], "sequence_number": key[1], "kind": kind}
+            if k >= 0:
+                own |= {"packet_index": index[k], "ts_us": ts[k]}
+            self.rows.append(own | fields)
+
+    def close(self) -> None:
+        if self.fold is not None:
+            self._put(self.key, self.fold.close())
+        self.key = self.fold = None
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in self.rows], t) for n, t in zip(_SCHEMA.names, _SCHEMA.types)], schema=_SCHEMA)
+            self.rows = []
+
+    def batch(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = batch.num_rows
+        if n == 0:
+            return
+        column = lambda c: batch.column(batch.schema.names.index(c))
+        bits = lambda c: column(c).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+        number = lambda c: column(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        session, window = column("session").dictionary_encode().indices.to_numpy(zero_copy_only=False), number("sequence_number")
+        starts = np.flatnonzero(np.append(True, (session[1:] != session[:-1]) | (window[1:] != window[:-1])))
+        stops = np.append(starts[1:], n)
+        protocol, a_port, b_port = number("protocol"), number("a_port"), number("b_port")
+        forward, size = bits("is_forward"), pc.fill_null(pc.binary_length(column("payload")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flags = {c: bits(c) for c in ("syn", "fin", "rst", "is_fragment")}
+        first = (number("tcp_seq") + flags["syn"]) % (1 << 32)
+        name = lambda k: (column("session")[k].as_py(), int(window[k]))
+
+        # windows that begin and end in this batch and that no protocol reads: all at once
+        whole = np.ones(len(starts), dtype=bool)
+        whole[-1] = False
+        whole[0] &= self.key != name(0)
+        ports = [np.isin(x[starts], (53, 389, 443)) for x in (a_port, b_port)]
+        whole &= (protocol[starts] == 6) & ~ports[0] & ~ports[1] & (not self.segments)
+        of = np.repeat(np.arange(len(starts)), stops - starts)
+        rows = np.flatnonzero(whole[of])
+        group, regular, status, total = regular_streams(of[rows] * 2 + ~forward[rows], first[rows], size[rows], *(flags[c][rows] for c in flags))
+        settled = np.zeros(len(starts), dtype=bool)
+        settled[group // 2] = True
+        settled[group[~regular] // 2] = False
+        keep = settled[group // 2]
+        if keep.any():
+            at = starts[group[keep] // 2]
+            made = {"session": column("session").take(pa.array(at)), "sequence_number": pa.array(window[at]), "kind": pa.array(["stream"] * len(at)), "is_forward": pa.array(group[keep] % 2 == 0), "status": pa.array(status[keep]), "length": pa.array(total[keep]), "response_count": pa.array(np.zeros(len(at), dtype=np.int64))}
+            yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else pa.nulls(len(at), f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+        # the others one after the other
+        for k in np.flatnonzero(~settled).tolist():
+            a, b = int(starts[k]), int(stops[k])
+            if name(a) != self.key:
+                self.close()
+                self.key, self.fold = name(a), WindowFold(int(protocol[a]), int(a_port[a]), int(b_port[a]), segments=self.segments)
+            ts, index = column("ts_us").slice(a, b - a).to_pylist(), column("packet_index").slice(a, b - a).to_pylist()
+            part = {"is_forward": forward[a:b], "ts_us": ts, "payload": [x or b"" for x in column("payload").slice(a, b - a).to_pylist()], "tcp_seq": number("tcp_seq")[a:b] if self.fold.protocol == 6 else None}
+            self._put(self.key, self.fold.take(part | {c: f[a:b] for c, f in flags.items()}), index, ts)
+            if len(self.rows) >= 4096:
+                yield from self.flush()
+        if settled[0] and self.key is not None:
+            self.close()
+
+
+def in_windows(packets: DataFrame, *, timeout_us: int, max_active: int | None = None) -> DataFrame:
+    """The packets, in the columns that folds need, with the ``sequence_number`` of their window.
+
+    Windows are found over times and identities alone; payloads meet their
+    window's number by (session, packet_index), a key without hot values.
+    """
+    wide = written(packets.select("session", *PACKET_FIELDS, "src_port", "dst_port", *(c for c in IDENTITY if c not in PACKET_FIELDS)), "packets")
+    placed, _ = sessionize(wide.select("session", "packet_index", "ts_us", *IDENTITY, "is_forward"), timeout_us=timeout_us, max_active=max_active)
+    return wide.join(placed.select("session", "packet_index", "sequence_number"), ["session", "packet_index"])
 
 
-def fold_windows(packets: DataFrame) -> DataFrame:
+def fold_windows(packets: DataFrame, *, segments: bool = False) -> DataFrame:
     """Events of all state machines. Windows stream through a task one after the other; only TCP and DNS packets go.
 
     ``packets`` are those of ``sessionize``, with the decoded transport columns.
+    TCP payloads are all dealt with their window, as retransmitted bytes are
+    compared. ``segments`` asks for an event of each TCP packet too.
     """
     wanted = packets.where("protocol = 6 OR (protocol = 17 AND (a_port = 53 OR b_port = 53))")
     rows = wanted.select(*WINDOW_KEY, *PACKET_FIELDS).repartition(*WINDOW_KEY).sortWithinPartitions(*WINDOW_KEY, "packet_index")
-    return rows.mapInArrow(_folded, EVENTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folder = _Folder(segments)
+        for batch in batches:
+            yield from folder.batch(batch)
+            yield from folder.flush()
+        folder.close()
+        yield from folder.flush()
+
+    return rows.mapInArrow(run, EVENTS)
 
 
 def tcp_streams(events: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from flowlark.operators import evaluation as J
 from flowlark.operators import features as M
 from flowlark.operators import flows as W
 from flowlark.plans.bridge import HOUR_US, SEGMENTS_SQL, event_packets
+from flowlark.plans.pipeline import STATE_COLUMNS
 from flowlark.runtime import with_rank
 
 TIMEOUT = 24 * HOUR_US
@@ -35,7 +36,7 @@ def _windows(spark: SparkSession, sf_dir: str, timeout: int = TIMEOUT, max_activ
 
 
 def _state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.window_state(*_windows(spark, sf_dir))
+    return A.window_state(*W.sessionize(event_packets(spark, sf_dir).select(*STATE_COLUMNS), timeout_us=TIMEOUT, max_active=None))
 
 
 def _r(c: Column) -> Column:
@@ -89,9 +90,10 @@ def active_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir)[1].where(F.col("closure_reason") == "capture_session_end").select("sequence_number")
 
 
-@query("w7_monotonic_frontier", SEGMENTS + "SELECT packet_index, ts_us FROM (SELECT CAST(packet_index AS BIGINT) AS packet_index, ts_us, lag(ts_us) OVER (ORDER BY packet_index) AS b FROM obs) WHERE ts_us < b")
+@query("w7_monotonic_frontier", SEGMENTS + "SELECT packet_index, late_us AS ts_us, b AS frontier_us FROM (SELECT CAST(packet_index AS BIGINT) AS packet_index, late_us, max(late_us) OVER (ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT packet_index, CASE WHEN event_id % 11 = 0 THEN ts_us - 7200000000 ELSE ts_us END AS late_us FROM obs)) WHERE late_us < b")
 def monotonic_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.frontier_violations(event_packets(spark, sf_dir)).select("packet_index", "ts_us")
+    late = F.when(F.col("event_id") % 11 == 0, F.col("ts_us") - 2 * HOUR_US).otherwise(F.col("ts_us"))
+    return W.frontier_violations(event_packets(spark, sf_dir).withColumn("ts_us", late)).select("packet_index", "ts_us", "frontier_us")
 
 
 @query("w8_closure_order", SEGMENTS + "SELECT sequence_number, CAST(row_number() OVER (ORDER BY coalesce(closed_at, 4611686018427387904), sequence_number) - 1 AS BIGINT) AS closure_rank FROM numbered")
@@ -181,10 +183,10 @@ def header_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.ipv4_header_statistics(rows).drop("session", "packets_with_options", "option_bytes")
 
 
-@query("b7_flow_label_saturation", "WITH c AS (SELECT event_type, event_id % 400 AS v, count(*) AS n FROM events WHERE event_type <> 'view' OR event_id % 400 < 100 GROUP BY 1, 2) SELECT event_type, CAST(sum(n) AS BIGINT) AS total, count(*) > 256 AS saturated, CAST(CASE WHEN count(*) > 256 THEN 0 ELSE count(*) END AS INTEGER) AS bins FROM c GROUP BY 1")
+@query("b7_flow_label_saturation", "WITH c AS (SELECT event_type, event_id % CASE WHEN event_type = 'view' THEN 100 ELSE 400 END AS v, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, CAST(sum(n) AS BIGINT) AS total, count(*) > 256 AS saturated, CAST(CASE WHEN count(*) > 256 THEN 0 ELSE count(*) END AS INTEGER) AS bins FROM c GROUP BY 1")
 def flow_label_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type <> 'view' OR event_id % 400 < 100")
-    hist = A.histogram(events, (F.col("event_id") % 400).cast("int"), by=("event_type",))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    hist = A.histogram(events, F.expr("CAST(event_id % CASE WHEN event_type = 'view' THEN 100 ELSE 400 END AS INT)"), by=("event_type",))
     return A.saturated(hist, by=("event_type",)).withColumn("bins", F.size("bins"))
 
 

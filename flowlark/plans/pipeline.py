@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlark.operators import aggregates, detectors, evaluation, flows
-from flowlark.operators.decoding import admitted, decode_packets
+from flowlark.errors import DetectionError
+from flowlark.operators.decoding import admitted, checked_observations, decode_packets
 from flowlark.runtime import with_rank, written
-from flowlark.schemas import MAX_ACTIVE_WINDOWS
+from flowlark.schemas import IDENTITY, MAX_ACTIVE_WINDOWS, TCP_FLAGS
+
+#: What windows and their statistics need of a packet.
+STATE_COLUMNS = ("session", "packet_index", "ts_us", "captured_length", "original_length", *IDENTITY, "is_forward", *TCP_FLAGS)
 
 
 @dataclass(frozen=True)
@@ -26,9 +30,9 @@ class DetectionSettings:
 
     def __post_init__(self) -> None:
         if self.timeout_us <= 0:
-            raise ValueError("inactivity timeout must be positive")
+            raise DetectionError("inactivity timeout must be positive")
         if self.max_active is not None and self.max_active < 1:
-            raise ValueError("max_active_windows must be positive")
+            raise DetectionError("max_active_windows must be positive")
 
 
 @dataclass(frozen=True)
@@ -41,26 +45,31 @@ class Detection:
 
 
 def flow_state(decoded: DataFrame, settings: DetectionSettings) -> DataFrame:
-    """Closed windows with their statistics."""
-    packets = flows.with_identity(admitted(decoded, strict=settings.strict))
+    """Closed windows with their statistics. Packets go through in the columns these need; a falling time in a session raises an error."""
+    packets = flows.with_identity(admitted(decoded, strict=settings.strict)).select(*STATE_COLUMNS)
+    flows.check_frontier(packets)
     return aggregates.window_state(*flows.sessionize(packets, timeout_us=settings.timeout_us, max_active=settings.max_active))
 
 
 def detect(observations: DataFrame, settings: DetectionSettings) -> Detection:
     """Decode once, judge packets, cut flows into windows and judge the windows.
 
-    The decoded packets are written to the shared folder, as both branches read them.
+    The decoded packets are written to the shared folder, as both branches read
+    them, in the columns these need: no payload. An observation that is not well
+    formed raises an error.
     """
-    decoded = written(decode_packets(observations), "decoded")
+    decoded = written(decode_packets(checked_observations(observations)).select(*detectors.PACKET_COLUMNS), "decoded")
     state = written(flow_state(decoded, settings), "state")
     found = detectors.flow_findings(state, settings.volume, settings.control)
     return Detection(detectors.packet_findings(decoded, settings.packet), with_rank(found, "finding_index", *detectors.finding_order()), state)
 
 
 def evaluate(detection: Detection, packet_expectations: DataFrame, flow_expectations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Evaluation entries of both channels."""
-    packet = evaluation.finding_identities(detection.packet_findings, packet=True, index="finding_index")
-    flow = evaluation.finding_identities(detection.flow_findings, packet=False, index="finding_index")
+    """Evaluation entries of both channels. Contradictory expectations, and findings that do not agree with themselves, raise errors."""
+    evaluation.check_expectations(packet_expectations, evaluation.PACKET_IDENTITY)
+    evaluation.check_expectations(flow_expectations, evaluation.FLOW_IDENTITY)
+    packet = evaluation.finding_identities(detectors.checked_findings(detection.packet_findings), packet=True, index="finding_index")
+    flow = evaluation.finding_identities(detectors.checked_findings(detection.flow_findings), packet=False, index="finding_index")
     return evaluation.evaluate_channel(packet, packet_expectations, evaluation.PACKET_IDENTITY), evaluation.evaluate_channel(flow, flow_expectations, evaluation.FLOW_IDENTITY)
 
 
@@ -77,6 +86,6 @@ def validate_end_to_end(observations: DataFrame, settings: DetectionSettings, pa
     """
     for truth, names in ((packet_truth, evaluation.PACKET_IDENTITY), (flow_truth, evaluation.FLOW_IDENTITY)):
         if evaluation.duplicates(truth, names).limit(1).count():
-            raise ValueError("ground truth names an identity twice")
+            raise DetectionError("ground truth names an identity twice")
     found = detect(observations, settings)
     return metrics_of(*evaluate(found, evaluation.to_expectations(packet_truth), evaluation.to_expectations(flow_truth)))

@@ -201,8 +201,7 @@ def _with_header_checksum(frames: DataFrame) -> DataFrame:
 
 def lookup_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of the lookups in windows: one for each customer."""
-    packets = W.with_identity(admitted(decode_packets(_with_header_checksum(name_lookups(spark, sf_dir)))))
-    return W.sessionize(packets, timeout_us=10**15, max_active=None)[0]
+    return P.in_windows(W.with_identity(admitted(decode_packets(_with_header_checksum(name_lookups(spark, sf_dir))))), timeout_us=10**15)
 
 
 @query("f1_dns_messages", "SELECT o_orderkey, reply, 'complete' AS status, CAST(o_orderkey % 65536 AS INTEGER) AS id, 'o' || CAST(o_orderkey AS VARCHAR) AS label, CAST(CASE WHEN reply THEN 1 ELSE 0 END AS INTEGER) AS ancount, CASE WHEN reply THEN CAST(o_orderkey % 3600 AS BIGINT) END AS ttl FROM orders CROSS JOIN (VALUES (FALSE), (TRUE)) AS v(reply) WHERE NOT reply OR o_orderkey % 4 <> 0")
@@ -246,8 +245,7 @@ def dns_flag_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p1_tcp_stream_state", _ENCODED + "SELECT CASE WHEN (l_linenumber // 4) % 2 = 1 THEN 'reset' WHEN l_linenumber % 2 = 1 THEN 'fin' ELSE 'open' END AS status, CAST(q AS BIGINT) AS stream_bytes, CAST(0 AS BIGINT) AS consumed_bytes, CAST(count(*) AS BIGINT) AS streams FROM o WHERE failure_classification IS NULL AND NOT udp GROUP BY 1, 2")
 def tcp_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packets = W.with_identity(admitted(_decoded(spark, sf_dir)))
-    placed, _ = W.sessionize(packets, timeout_us=10**15, max_active=None)
+    placed = P.in_windows(W.with_identity(admitted(_decoded(spark, sf_dir)).where("protocol = 6")), timeout_us=10**15)
     return P.tcp_streams(P.fold_windows(placed)).groupBy("status", "stream_bytes", "consumed_bytes").agg(F.count(F.lit(1)).alias("streams"))
 
 
@@ -272,7 +270,7 @@ def _segments_v6(rows: DataFrame, key: str, server_port: int) -> DataFrame:
 
 
 def _in_windows(frames: DataFrame) -> DataFrame:
-    return W.sessionize(W.with_identity(admitted(decode_packets(frames))), timeout_us=10**12, max_active=None)[0]
+    return P.in_windows(W.with_identity(admitted(decode_packets(frames))), timeout_us=10**12)
 
 
 def directory_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

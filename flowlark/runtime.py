@@ -13,13 +13,15 @@ _ROW_BITS = 33  # of monotonically_increasing_id: the place within a partition
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset and the master is local, as in tests."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir")
     if not found:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='flowlark-')}"
         context.setCheckpointDir(found)
     return found

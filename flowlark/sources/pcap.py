@@ -21,44 +21,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from flowlark.errors import CaptureError
 from flowlark.schemas import OBSERVATION
 
 
-class CaptureError(RuntimeError):
-    """A capture that cannot be read; operating system errors are wrapped in it."""
+#: Magic numbers with byte order, parts of a second, parts of a microsecond.
+_FORMATS = {b"\xd4\xc3\xb2\xa1": ("<", 10**6, 1), b"\xa1\xb2\xc3\xd4": (">", 10**6, 1), b"\x4d\x3c\xb2\xa1": ("<", 10**9, 1000), b"\xa1\xb2\x3c\x4d": (">", 10**9, 1000)}
+#: Fixed texts.
+_TEXTS = {
+    "magic": "unsupported PCAP magic number", "version": "PCAP version must be 2.4", "snaplen": "PCAP snaplen must be positive", "network": "PCAP additional link-type information is unsupported",
+    "fraction": "PCAP timestamp fraction exceeds its resolution", "captured": "PCAP captured length exceeds snaplen", "original": "PCAP original length is smaller than captured length", "file": "PCAP source requires a regular file",
+}
 
 
-#: Magic numbers: byte order, parts of a second, parts of a microsecond.
-_FORMATS = {b"\xd4\xc3\xb2\xa1": ("<", 10**6, 1), b"\xa1\xb2\xc3\xd4": (">", 10**6, 1), b"\x4d\x3c\xb2\xa1": ("<", 10**9, 1000), b"\xa1\xb2\x3c\x4d": (">", 10**9, 1000)}
+def _require(**holds: bool) -> None:
+    """Raises for the first of the named conditions that does not hold."""
+    for name, good in holds.items():
+        if not good:
+            raise CaptureError(_TEXTS[name])
 
 
-def capture_records(file: BinaryIO, size: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(ts_us, link type, captured length, original length, bytes) of each record; raises at the first that is not well formed."""
-    left = size
+class _Pieces:
+    """The parts of a capture, one after the other, of which none may be cut short."""
 
-    def exactly(n: int, what: str) -> bytes:
-        nonlocal left
-        data = file.read(n) if n <= left else b""
-        if len(data) != n:
+    def __init__(self, file: BinaryIO, size: int) -> None:
+        self.file, self.left = file, size
+
+    def next(self, size: int, what: str) -> bytes:
+        data = self.file.read(min(size, self.left))
+        self.left -= len(data)
+        if len(data) < size:
             raise CaptureError(f"truncated PCAP {what}")
-        left -= n
         return data
 
-    head = exactly(24, "global header")
-    if head[:4] not in _FORMATS:
-        raise CaptureError("unsupported PCAP magic number")
+
+def capture_records(file: BinaryIO, size: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(ts_us, link type, captured length, original length, bytes) of each record; raises at the first that is not well formed."""
+    pieces = _Pieces(file, size)
+    head = pieces.next(24, "global header")
+    _require(magic=head[:4] in _FORMATS)
     order, parts, divisor = _FORMATS[head[:4]]
-    major, minor, _, _, longest, network = struct.unpack(order + "HHiIII", head[4:])
-    for bad, why in (((major, minor) != (2, 4), "PCAP version must be 2.4"), (longest == 0, "PCAP snaplen must be positive"), (network > 65535, "PCAP additional link-type information is unsupported")):
-        if bad:
-            raise CaptureError(why)
-    record = struct.Struct(order + "IIII")
-    while left:
-        seconds, fraction, captured, original = record.unpack(exactly(16, "record header"))
-        for bad, why in ((fraction >= parts, "PCAP timestamp fraction exceeds its resolution"), (captured > longest, "PCAP captured length exceeds snaplen"), (original < captured, "PCAP original length is smaller than captured length")):
-            if bad:
-                raise CaptureError(why)
-        yield seconds * 1_000_000 + fraction // divisor, network, captured, original, exactly(captured, "packet payload")
+    version, snaplen, network = struct.unpack_from(f"{order}HH", head, 4), *struct.unpack_from(f"{order}II", head, 16)
+    _require(version=version == (2, 4), snaplen=snaplen > 0, network=network < 1 << 16)
+    while pieces.left:
+        seconds, fraction, captured, original = struct.unpack(f"{order}4I", pieces.next(16, "record header"))
+        _require(fraction=fraction < parts, captured=captured <= snaplen, original=original >= captured)
+        yield seconds * 1_000_000 + fraction // divisor, network, captured, original, pieces.next(captured, "packet payload")
 
 
 _ARROW = pa.schema([("session", pa.string()), ("packet_index", pa.int64()), ("ts_us", pa.int64()), ("link_type", pa.int32()), ("captured_length", pa.int64()), ("original_length", pa.int64()), ("raw_bytes", pa.binary()), ("source", pa.string())])
@@ -88,14 +96,13 @@ def read_captures(spark: SparkSession, path: str, *, source: str | None = None)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, OBSERVATION)
 
 
-def _open_regular(path: str) -> BinaryIO:
-    """Open without waiting on pipes; only regular files, checked before and after."""
-    if not stat.S_ISREG(os.stat(path).st_mode):
-        raise CaptureError("PCAP source requires a regular file")
-    file = open(path, "rb", opener=lambda p, flags: os.open(p, flags | getattr(os, "O_NONBLOCK", 0)))  # noqa: SIM115
-    if not stat.S_ISREG(os.fstat(file.fileno()).st_mode):
+def _regular(path: str) -> BinaryIO:
+    """A regular file, opened for reading. What is opened is asked for its kind, without waiting on a pipe or device."""
+    file = os.fdopen(os.open(path, os.O_RDONLY | getattr(os, "O_NONBLOCK", 0)), "rb", closefd=True) if not os.path.isdir(path) else None
+    regular = file is not None and stat.S_ISREG(os.fstat(file.fileno()).st_mode)
+    if file is not None and not regular:
         file.close()
-        raise CaptureError("PCAP source requires a regular file")
+    _require(file=regular)
     return file
 
 
@@ -114,7 +121,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         try:
-            with _open_regular(partition.path) as file:
+            with _regular(partition.path) as file:
                 yield from _observations(partition.path, self.options.get("source", partition.path), file, os.fstat(file.fileno()).st_size)
         except OSError as error:
             raise CaptureError(f"PCAP source could not be read: {partition.path}") from error

@@ -1,139 +1,226 @@
 """Detection on a stream of observations: the batch operators, micro-batch by micro-batch.
 
 Windows close by observation only: at the next packet of their flow, or when the
-capture ends. Between batches the packets of open windows wait, in the columns
-that windows need, in a table of the shared folder; each batch is handled
-together with them, and what has not closed waits again. A batch that is run
-again after a failure gives the same findings, as its number names its tables.
+capture ends. What waits between batches lies in a folder, under the number of
+the batch that left it: the packets of open windows, in the columns that windows
+need and with their window's number, and for each session the next free number
+and the latest time. A batch is committed by a mark after its state is written
+and its findings are delivered; each delivery has a mark of its own. So a new
+object on the same folder goes on where the last one stopped, and a batch that
+is run again gives the same findings and delivers only what was not delivered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowlark.errors import FlowError
 from flowlark.operators import aggregates, detectors, evaluation, flows
-from flowlark.operators.decoding import admitted, decode_packets
-from flowlark.plans.pipeline import DetectionSettings
-from flowlark.runtime import with_rank, written
-from flowlark.schemas import CLOSED_BY_END, IDENTITY, TCP_FLAGS
+from flowlark.operators.decoding import admitted, checked_observations, decode_packets
+from flowlark.plans.pipeline import STATE_COLUMNS, DetectionSettings
+from flowlark.runtime import shared_folder, with_rank, written
+from flowlark.schemas import CLOSED_BY_END
 
-Consumer = Callable[[DataFrame], None]
-_WAITING = ("session", "packet_index", "ts_us", "captured_length", "original_length", "src_addr", "dst_addr", "src_port", "dst_port", *IDENTITY, "is_forward", *TCP_FLAGS)
+#: Takes findings and the number of their batch.
+Consumer = Callable[[DataFrame, int], None]
+FINAL = 1 << 62
+_SESSIONS = "session string, next_number bigint, frontier_us bigint"
+
+
+class Folder:
+    """Tables and marks in a folder of any store that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, name: str) -> tuple:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
+
+    def marked(self, name: str) -> bool:
+        store, place = self._at(name)
+        return store.exists(place)
+
+    def mark(self, name: str) -> None:
+        store, place = self._at(name)
+        store.create(place, True).close()
+
+    def remove(self, name: str) -> None:
+        store, place = self._at(name)
+        store.delete(place, True)
+
+    def numbers(self, prefix: str) -> list[int]:
+        store, place = self._at("")
+        names = [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        return self.get(name, df.schema)
+
+    def get(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
 
 class DetectionStream:
-    """Gives packet findings at once and flow findings when windows close.
+    """Gives packet findings at once and flow findings when windows close, numbered as in one run over everything.
 
-    Window numbers count within the stream in the order in which windows close
-    or, at the end, began; the evidence keeps times and identity. The limit of
-    active windows holds for each batch together with what waits.
+    ``folder`` keeps the state; without one a new folder among the shared ones
+    is taken. Packets must come in order: a falling time in a session raises an
+    error, in a batch or from one to the next.
     """
 
-    def __init__(self, spark: SparkSession, settings: DetectionSettings, packet_consumer: Consumer, flow_consumer: Consumer) -> None:
+    def __init__(self, spark: SparkSession, settings: DetectionSettings, packet_consumer: Consumer, flow_consumer: Consumer, folder: str | None = None) -> None:
         self.spark, self.settings = spark, settings
-        self.packet_consumer, self.flow_consumer = packet_consumer, flow_consumer
-        self.waiting: DataFrame | None = None
-        self.closed = 0
-        self.finished = False
-        self.last_batch = -1
-
-    def batch(self, observations: DataFrame, number: int = 0) -> None:
-        """Handle a batch. A number that was handled before is passed over."""
+        self.consumers = {"packet": packet_consumer, "flow": flow_consumer}
+        self.folder = Folder(spark, folder or f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}")
+        self.last = max((n for n in self.folder.numbers("batch-") if self.folder.marked(f"batch-{n}/committed")), default=-1)
+
+    @property
+    def finished(self) -> bool:
+        return self.folder.marked(f"batch-{FINAL}/committed")
+
+    def _deliver(self, kind: str, number: int, findings: DataFrame) -> None:
+        mark = f"batch-{number}/{kind}-delivered"
+        if not self.folder.marked(mark):
+            self.consumers[kind](findings, number)
+            self.folder.mark(mark)
+
+    def _commit(self, number: int) -> None:
+        self.folder.mark(f"batch-{number}/committed")
+        for old in self.folder.numbers("batch-"):
+            if old < self.last:
+                self.folder.remove(f"batch-{old}/waiting")
+        self.last = number
+
+    def batch(self, observations: DataFrame, number: int | None = None) -> None:
+        """Handle a batch (without a number: the next one). One that is committed is passed over."""
         if self.finished:
             raise RuntimeError("the stream has ended")
-        if number <= self.last_batch:
+        number = self.last + 1 if number is None else number
+        if number <= self.last:
             return
-        decoded = written(decode_packets(observations), f"batch-{number}")
-        self.packet_consumer(detectors.packet_findings(decoded, self.settings.packet))
-        packets = flows.with_identity(admitted(decoded, strict=self.settings.strict)).select(*_WAITING)
-        self._advance(packets, final=False)
-        self.last_batch = number
+        decoded = written(decode_packets(checked_observations(observations)).select(*detectors.PACKET_COLUMNS), f"batch-{number}")
+        self._deliver("packet", number, detectors.packet_findings(decoded, self.settings.packet))
+        packets = flows.with_identity(admitted(decoded, strict=self.settings.strict)).select(*STATE_COLUMNS)
+        self._advance(written(packets, f"packets-{number}"), number)
+        self._commit(number)
 
     def finish(self) -> None:
-        """The capture ends: what is open closes. A second call does nothing."""
+        """The capture ends: what is open closes. A second call, here or after a restart, does nothing."""
         if not self.finished:
-            self.finished = True
-            if self.waiting is not None:
-                self._advance(None, final=True)
-
-    def _advance(self, packets: DataFrame | None, final: bool) -> None:
-        both = packets if self.waiting is None else self.waiting if packets is None else self.waiting.unionByName(packets)
-        placed, windows = flows.sessionize(both, timeout_us=self.settings.timeout_us, max_active=self.settings.max_active)
-        state = written(aggregates.window_state(placed, windows), "stream-state")
-        done = state if final else state.where(F.col("closure_reason") != CLOSED_BY_END)
-        self.flow_consumer(detectors.flow_findings(done.withColumn("sequence_number", F.col("sequence_number") + F.lit(self.closed)), self.settings.volume, self.settings.control))
-        self.closed += done.count()
-        if not final:
-            open_ = state.where(F.col("closure_reason") == CLOSED_BY_END).select("session", "sequence_number")
-            self.waiting = written(placed.join(open_, ["session", "sequence_number"], "left_semi").select(*_WAITING), "waiting")
+            self._advance(None, FINAL)
+            self.folder.mark(f"batch-{FINAL}/committed")
+
+    def _advance(self, packets: DataFrame | None, number: int) -> None:
+        rows = None if packets is None else packets.withColumn("number", F.lit(None).cast("bigint"))
+        sessions = self.spark.createDataFrame([], _SESSIONS)
+        if self.last >= 0:
+            sessions = self.folder.get(f"batch-{self.last}/sessions", _SESSIONS)
+            schema = ", ".join([*(f"{n} {t}" for n, t in flows.column_types(STATE_COLUMNS)), "number bigint"])
+            waiting = self.folder.get(f"batch-{self.last}/waiting", schema)
+            rows = waiting if rows is None else waiting.unionByName(rows)
+        if rows is None:
+            return
+        if packets is not None:
+            flows.check_frontier(packets)
+            behind = packets.join(F.broadcast(sessions), "session").where("ts_us < frontier_us").select("packet_index").first()
+            if behind is not None:
+                raise FlowError(f"packet {behind[0]} is earlier than one before it")
+        placed, windows = flows.sessionize(rows, timeout_us=self.settings.timeout_us, max_active=self.settings.max_active)
+        placed = written(placed, "placed")
+        # windows that were open keep their numbers; they begin before all new ones, which take the next free numbers
+        known = placed.groupBy("session", "sequence_number").agg(F.max("number").alias("number"))
+        old = known.groupBy("session").agg(F.count("number").alias("old"), F.count(F.lit(1)).alias("all"))
+        numbers = known.join(old, "session").join(sessions, "session", "left")
+        numbers = numbers.select("session", "sequence_number", F.coalesce("number", F.coalesce("next_number", F.lit(0)) + F.col("sequence_number") - F.col("old")).alias("number"))
+        state = aggregates.window_state(placed.drop("number"), windows).join(numbers, ["session", "sequence_number"])
+        state = written(state.withColumn("local", F.col("sequence_number")).drop("sequence_number").withColumnRenamed("number", "sequence_number"), "stream-state")
+        closed = state if number == FINAL else state.where(F.col("closure_reason") != CLOSED_BY_END)
+        self._deliver("flow", number, detectors.flow_findings(closed, self.settings.volume, self.settings.control))
+        if number == FINAL:
+            return
+        open_ = state.where(F.col("closure_reason") == CLOSED_BY_END).select("session", F.col("local").alias("sequence_number"), F.col("sequence_number").alias("own_number"))
+        waits = placed.join(open_, ["session", "sequence_number"]).select(*STATE_COLUMNS, F.col("own_number").alias("number"))
+        self.folder.put(f"batch-{number}/waiting", waits)
+        seen = placed.groupBy("session").agg(F.max("ts_us").alias("top")).join(old.select("session", (F.col("all") - F.col("old")).alias("more")), "session")
+        after = sessions.join(seen, "session", "full_outer").select("session", (F.coalesce("next_number", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("next_number"), F.greatest("frontier_us", "top").alias("frontier_us"))
+        self.folder.put(f"batch-{number}/sessions", after)
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run on a streaming DataFrame of observations; call ``finish`` when the query has ended."""
         return stream.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-@dataclass
-class StreamMetrics:
-    """Counters of classified entries by channel, added up batch by batch."""
-
-    counts: dict[str, dict[str, int]]
-    finished: bool = False
-
-    @classmethod
-    def empty(cls) -> StreamMetrics:
-        return cls({c: dict.fromkeys(("true_positives", "false_positives", "false_negatives", "true_negatives", "unclassified"), 0) for c in ("packet", "flow")})
-
-    def add(self, channel: str, entries: DataFrame) -> None:
-        if self.finished:
-            raise RuntimeError("the metrics are finished")
-        got = evaluation.detection_metrics(entries).first().asDict()
-        for name in self.counts[channel]:
-            self.counts[channel][name] += got[name]
-
-    def finish(self) -> dict[str, dict[str, int]]:
-        self.finished = True
-        return self.counts
-
-
 class StreamingEvaluation:
-    """Findings of a stream against ground truth.
-
-    Packet identities hold a packet's place, so a batch's packet findings can be
-    matched at once; expectations that no batch met are entries at the end. A
-    flow finding may have to give way to a later one with the wanted decision,
-    so flow findings are kept, narrow, and matched when the stream ends.
+    """Findings of a stream against ground truth; ``packets`` and ``flow_findings`` are consumers.
+
+    Findings lie in ``folder`` by batch, so a batch that is delivered again
+    replaces itself. Packet identities hold a packet's place, so a batch's
+    packet findings are matched at once; expectations that no batch met are
+    entries at the end. A flow finding may have to give way to a later one with
+    the wanted decision, so flow findings are kept, narrow, and matched when the
+    stream ends.
     """
 
-    def __init__(self, packet_expectations: DataFrame, flow_expectations: DataFrame) -> None:
+    def __init__(self, spark: SparkSession, packet_expectations: DataFrame, flow_expectations: DataFrame, folder: str | None = None) -> None:
+        evaluation.check_expectations(packet_expectations, evaluation.PACKET_IDENTITY)
+        evaluation.check_expectations(flow_expectations, evaluation.FLOW_IDENTITY)
         self.packet_expectations, self.flow_expectations = packet_expectations, flow_expectations
-        self.metrics = StreamMetrics.empty()
-        self.flows: list[DataFrame] = []
-        self.met: list[DataFrame] = []
-
-    def packets(self, findings: DataFrame) -> None:
-        found = written(evaluation.finding_identities(findings, packet=True, index="finding_index"), "packet-findings")
-        entries = written(evaluation.evaluate_channel(found, self.packet_expectations, evaluation.PACKET_IDENTITY).where("actual_index IS NOT NULL"), "packet-entries")
-        self.met.append(entries.where("expectation_index IS NOT NULL").select("expectation_index"))
-        self.metrics.add("packet", entries)
-
-    def flow_findings(self, findings: DataFrame) -> None:
-        self.flows.append(written(findings.withColumn("_batch", F.lit(len(self.flows))), "flow-findings"))
-
-    def finish(self) -> dict[str, dict[str, int]]:
-        if self.flows:
-            every = self.flows[0]
-            for more in self.flows[1:]:
-                every = every.unionByName(more)
-            indexed = with_rank(every, "finding_index", "_batch", *detectors.finding_order())
-            found = evaluation.finding_identities(indexed, packet=False, index="finding_index")
-            self.metrics.add("flow", evaluation.evaluate_channel(found, self.flow_expectations, evaluation.FLOW_IDENTITY))
-        missed = self.packet_expectations
-        for met in self.met:
-            missed = missed.join(met, "expectation_index", "left_anti")
-        self.metrics.add("packet", missed.withColumn("classification", evaluation.classification(F.lit(None).cast("string"), F.col("positive"))))
-        return self.metrics.finish()
+        self.folder = Folder(spark, folder or f"{shared_folder(spark).rstrip('/')}/evaluation-{uuid.uuid4().hex}")
+        self.schemas: dict[str, object] = {}
+
+    def _put(self, kind: str, number: int, df: DataFrame) -> None:
+        self.folder.put(f"{kind}-{number}", df)
+
+    def _all(self, kind: str) -> DataFrame | None:
+        numbers = self.folder.numbers(f"{kind}-")
+        return self.folder.spark.read.parquet(*[f"{self.folder.path}/{kind}-{n}" for n in numbers]) if numbers else None
+
+    def packets(self, findings: DataFrame, number: int) -> None:
+        found = evaluation.finding_identities(findings, packet=True, index="finding_index")
+        self._put("entries", number, evaluation.evaluate_channel(found, self.packet_expectations, evaluation.PACKET_IDENTITY).where("actual_index IS NOT NULL"))
+
+    def flow_findings(self, findings: DataFrame, number: int) -> None:
+        self._put("flows", number, findings)
+
+    def finish(self) -> DataFrame:
+        """Metrics by channel."""
+        entries, missed = self._all("entries"), self.packet_expectations
+        if entries is not None:
+            missed = missed.join(entries.where("expectation_index IS NOT NULL").select("expectation_index"), "expectation_index", "left_anti")
+        packet = missed.select(evaluation.classification(F.lit(None).cast("string"), F.col("positive")).alias("classification"))
+        packet = packet if entries is None else packet.unionByName(entries.select("classification"))
+        every = self._all("flows")
+        if every is None:
+            flow = self.flow_expectations.select(evaluation.classification(F.lit(None).cast("string"), F.col("positive")).alias("classification"))
+        else:
+            found = evaluation.finding_identities(with_rank(every, "finding_index", *detectors.finding_order()), packet=False, index="finding_index")
+            flow = evaluation.evaluate_channel(found, self.flow_expectations, evaluation.FLOW_IDENTITY)
+        one = lambda e, name: evaluation.detection_metrics(e).withColumn("channel", F.lit(name))
+        return one(packet, "packet").unionByName(one(flow, "flow"))
+
+
+def evaluate_stream(spark: SparkSession, observations: DataFrame | Iterable[DataFrame], settings: DetectionSettings, packet_expectations: DataFrame, flow_expectations: DataFrame, *, folder: str | None = None) -> DataFrame:
+    """Detection and evaluation of a whole stream: metrics by channel.
+
+    ``observations`` is a streaming DataFrame, or batches in order, numbered
+    from 0. With a ``folder`` a run that failed can be repeated and goes on
+    after the last batch that was committed; any error ends the run.
+    """
+    folder = folder or f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    evaluated = StreamingEvaluation(spark, packet_expectations, flow_expectations, f"{folder}/evaluation")
+    stream = DetectionStream(spark, settings, evaluated.packets, evaluated.flow_findings, f"{folder}/state")
+    if isinstance(observations, DataFrame):
+        stream.start(observations, f"{folder}/source").awaitTermination()
+    else:
+        for number, part in enumerate(observations):
+            if not stream.finished:
+                stream.batch(part, number)
+    stream.finish()
+    return evaluated.finish()

@@ -2,14 +2,16 @@ import io
 import random
 import struct
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from frames import ACK, FIN, PSH, SYN, capture, ethernet, ipv4, ipv6, tcp, tcp_exchange, udp
 
+from flowlark.errors import CaptureError, DetectionError, FlowError, PacketAnalysisError
 from flowlark.functions import folds, messages, wire
 from flowlark.operators.flows import ActiveWindows
 from flowlark.plans import harness
-from flowlark.sources.pcap import CaptureError, capture_records
+from flowlark.sources.pcap import capture_records
 
 
 @pytest.mark.parametrize("order", ["<", ">"])
@@ -62,27 +64,113 @@ def test_options_and_chain():
     assert later["admitted"] is False
 
 
+def segments(*rows):
+    """Segments of (seq, payload, flags) rows; flags among S, F, R and G (fragment)."""
+    seq, data, flags = zip(*rows)
+    bit = lambda f: np.array([f in x for x in flags])
+    first = (np.array(seq, dtype=np.int64) + bit("S")) % (1 << 32)
+    return folds.Segments(np.arange(len(rows)), first, np.array([len(x) for x in data]), bit("S"), bit("F"), bit("R"), bit("G"), list(data))
+
+
 def test_stream_relations():
-    s = folds.TcpDirection()
-    put = lambda seq, data, **f: (s.observe(seq, data, syn=f.get("syn", False), fin=f.get("fin", False), rst=f.get("rst", False), fragmented=False), s.status)
-    assert put(100, b"", syn=True) == ("empty", "open")
+    s = folds.Stream()
+    put = lambda seq, data, flags="": (s.take(segments((seq, data, flags)))[1][0], s.status)
+    assert put(100, b"", "S") == ("empty", "open")
     assert put(101, b"abc") == ("first", "open")
     assert put(104, b"def") == ("contiguous", "open")
     assert put(102, b"bc") == ("duplicate", "open")
-    assert put(107, b"", fin=True) == ("empty", "fin")
+    assert put(107, b"", "F") == ("empty", "fin")
     assert put(108, b"x") == ("unavailable", "after_close")
-    s = folds.TcpDirection()
+    s = folds.Stream()
     put(0xFFFFFFFE, b"abcd")
     assert put(2, b"e") == ("contiguous", "open")
     assert put(1, b"XY") == ("overlap", "conflict")
-    s = folds.TcpDirection()
+    s = folds.Stream()
     put(0, b"a")
     assert put(1 + (1 << 31), b"b") == ("ambiguous", "ambiguous")
-    s = folds.TcpDirection()
+    s = folds.Stream()
     put(0, b"a" * 65536)
     assert put(65536, b"b") == ("contiguous", "limit_exceeded")
 
 
+def plain_stream(rows, limit):
+    """Rule by rule, packet by packet: (status, relation) after each, and the bytes."""
+    status, data, due, opened, out = "open", b"", None, None, []
+    for seq, payload, flags in rows:
+        relation = "empty"
+        if status != "open":
+            relation = "unavailable" if payload or (status in ("fin", "reset") and "S" in flags) else "empty"
+            status = "after_close" if status in ("fin", "reset") and (payload or "S" in flags) else status
+        elif "G" in flags:
+            status, relation = "fragmented", "unavailable"
+        elif "S" in flags and due is not None and opened != seq:
+            status, relation = "restart", "unavailable"
+        else:
+            start = (seq + ("S" in flags)) % 2**32
+            if "S" in flags and opened is None:
+                opened, due = seq, start
+            if payload:
+                d = 0 if due is None else (start - due) % 2**32
+                if d == 2**31:
+                    status = relation = "ambiguous"
+                elif 0 < d < 2**31:
+                    status = relation = "gap"
+                elif d == 0:
+                    relation = "contiguous" if data else "first"
+                    if len(data) + len(payload) > limit:
+                        status = "limit_exceeded"
+                    else:
+                        data, due = data + payload, (start + len(payload)) % 2**32
+                else:
+                    at = len(data) + d - 2**32
+                    pairs = [(data[at + k], x) for k, x in enumerate(payload) if 0 <= at + k < len(data)]
+                    if any(a != b for a, b in pairs):
+                        status, relation = "conflict", "overlap"
+                    elif len(pairs) == len(payload):
+                        relation = "duplicate"
+                    else:
+                        status = relation = "overlap"
+            if status == "open" and "R" in flags:
+                status = "reset"
+            elif status == "open" and "F" in flags:
+                d = 0 if due is None else (start + len(payload) - due) % 2**32
+                status = {0: "fin", 2**31: "ambiguous"}.get(d, "gap" if d < 2**31 else "overlap")
+        out.append((status, relation))
+    return out, data
+
+
+def test_streams_equal_the_rules_in_any_chunks(monkeypatch):
+    monkeypatch.setattr(folds, "STREAM_BYTES", 60)
+    rng = random.Random(31)
+    groups, packed, finals = [], [], []
+    for g in range(600):
+        base, rows = rng.choice((0, 5, 2**32 - 10, rng.randrange(2**32))), []
+        text, at = rng.randbytes(80), 0
+        for _ in range(rng.randrange(1, 12)):
+            size = rng.choice((0, 0, 1, 5, 9))
+            begin = at if rng.random() < 0.85 else max(0, at + rng.choice((-6, -3, -1, 2)))
+            data = text[begin : begin + size] if rng.random() < 0.95 else rng.randbytes(size)
+            flags = "".join(f for f, p in (("S", 0.05), ("F", 0.06), ("R", 0.04), ("G", 0.02)) if rng.random() < p)
+            rows.append(((base + begin + (2**31 if rng.random() < 0.01 else 0)) % 2**32, data, flags))
+            at = max(at, begin + len(data)) + ("S" in flags)
+        want, data = plain_stream(rows, 60)
+        stream, got, k = folds.Stream(), [], 0
+        while k < len(rows):
+            step = rng.randrange(1, 5)
+            statuses, relations, _ = stream.take(segments(*rows[k : k + step]))
+            got += list(zip(statuses, relations))
+            k += step
+        assert got == want
+        assert bytes(stream.held) == data
+        packed += rows
+        groups += [g] * len(rows)
+        finals.append((want[-1][0], len(data)))
+    s = segments(*packed)
+    names, regular, status, total = folds.regular_streams(np.array(groups), s.first, s.size, s.syn, s.fin, s.rst, s.fragment)
+    assert 0.2 < regular.mean() < 0.9
+    assert all((status[k], total[k]) == finals[g] for k, g in enumerate(names.tolist()) if regular[k])
+
+
 def name(*labels):
     return b"".join(bytes([len(x)]) + x for x in labels) + b"\0"
 
@@ -113,15 +201,15 @@ def test_dns_parsing():
 
 
 def test_dns_correlation():
-    c = folds.DnsCorrelation()
-    see = lambda raw, forward, ts: [o["status"] for o in c.message(messages.parse_dns(raw), raw, forward, ts)]
+    c = folds.DnsLedger()
+    see = lambda raw, forward, ts: [o["status"] for o in c.scan(iter([(messages.parse_dns(raw), raw, forward, ts)]))]
     assert see(dns(1, 0x0100, questions=[QUESTION]), True, 0) == ["pending"]
     assert see(dns(2, 0x8000, questions=[QUESTION]), False, 1) == ["unmatched"]
     assert see(dns(1, 0x8000, questions=[QUESTION.lower()]), False, 5) == ["matched"]
     assert see(dns(3, 0, questions=[QUESTION]), True, 6) == ["pending"]
     assert see(dns(3, 0, questions=[QUESTION]), True, 7) == ["ambiguous"]
     assert see(dns(3, 0x8000, questions=[QUESTION]), False, 8) == ["ambiguous"]
-    assert [o["status"] for o in c.close()] == ["unresolved"]
+    assert [o["status"] for o in c.end()] == ["unresolved"]
     for k in range(128):
         see(dns(k, 0, questions=[QUESTION]), True, k)
     assert see(dns(500, 0, questions=[QUESTION]), True, 200) == ["unresolved"] * 129
@@ -133,6 +221,72 @@ def ldap(ident, tag, body=b""):
     return bytes([0x30, len(inner)]) + inner
 
 
+def chunk(*packets):
+    """Columns of (forward, seq, payload, flags) packets at times 0, 1, ..."""
+    rows = [(*p, "") if len(p) == 3 else p for p in packets]
+    flag = lambda f: np.array([f in r[3] for r in rows])
+    return {"is_forward": np.array([r[0] for r in rows]), "ts_us": np.arange(len(rows)), "payload": [r[2] for r in rows], "tcp_seq": np.array([r[1] for r in rows]), "syn": flag("S"), "fin": flag("F"), "rst": flag("R"), "is_fragment": flag("G")}
+
+
+def conversation(rng, port):
+    """Packets of both directions of a window that speaks to ``port``, with some mishaps."""
+    def said(k):
+        if port == 389:
+            return b"".join(ldap(rng.randrange(1, 4), rng.choice((0x60, 0x61, 0x63, 0x64, 0x65, 0x42))) for _ in range(k)) + (b"\x31\0" if rng.random() < 0.1 else b"")
+        if port == 53:
+            return b"".join(struct.pack("!H", len(m)) + m for m in (dns(rng.randrange(3), rng.choice((0, 0x8000)), questions=[QUESTION]) for _ in range(k)))
+        return b"".join(b"\x16\x03\x03" + struct.pack("!H", len(b)) + b for b in (b"\x01\0\0\x05abcde", b"\x02\0\0\0") for _ in range(k)) + (b"\x17\x03\x03\xff\xffx" if rng.random() < 0.2 else b"")
+
+    sides = {}
+    for side in (True, False):
+        data, at, sides[side] = said(rng.randrange(5)), 0, []
+        while at < len(data):
+            size = rng.randrange(1, 30)
+            sides[side].append((side, 1000 + at + (rng.random() < 0.02), data[at : at + size], "F" if rng.random() < 0.02 else ""))
+            at += size
+    out = []
+    while sides[True] or sides[False]:
+        side = rng.random() < 0.5
+        out.append(sides[side].pop(0) if sides[side] else sides[not side].pop(0))
+        if rng.random() < 0.2:
+            out.append((rng.random() < 0.5, 0, b""))
+    return out
+
+
+@pytest.mark.parametrize("port", [53, 389, 443, 80])
+def test_events_do_not_depend_on_the_chunks(port):
+    rng = random.Random(port)
+    for _ in range(150):
+        packets = conversation(rng, port)
+        alone, cut = folds.WindowFold(6, 40000, port, segments=True), folds.WindowFold(6, 40000, port, segments=True)
+        one = [(k, kind, e) for k, p in enumerate(packets) for _, kind, e in alone.take(chunk(p))]
+        many, k = [], 0
+        while k < len(packets):
+            step = rng.randrange(1, 9)
+            many += [(k + at, kind, e) for at, kind, e in cut.take(chunk(*packets[k : k + step]))]
+            k += step
+        times = ("ts_us", "latency_us")
+        plain = lambda events: sorted((k, kind, str({n: v for n, v in e.items() if n not in times})) for k, kind, e in events)
+        assert plain(one) == plain(many)
+        assert plain(alone.close()) == plain(cut.close())
+
+
+def test_lost_streams_end_ldap_matching():
+    bind, answer = ldap(1, 0x60), ldap(1, 0x61)
+    gap = (False, 500, b"x")
+    for packets, status in (
+        ([(True, 0, bind), (False, 0, answer)], ["pending", "matched"]),
+        ([(True, 0, bind), (False, 0, ldap(9, 0x61)), gap, (True, 7, ldap(2, 0x60))], ["pending", "unmatched", "unresolved"]),
+        ([(False, 0, b"zz"), gap, (True, 0, bind), (True, 7, ldap(2, 0x60))], ["pending", "unresolved"]),
+        ([(True, 0, bind + b"\x31\0"), (False, 0, answer)], ["pending", "unmatched"]),
+    ):
+        for step in (1, 9):
+            f, got = folds.WindowFold(6, 40000, 389), []
+            for k in range(0, len(packets), step):
+                got += [e["status"] for _, kind, e in f.take(chunk(*packets[k : k + step])) if kind == "ldap"]
+            assert got == status
+
+
 def test_ldap_parsing_and_correlation():
     whole = ldap(1, 0x60) + ldap(2, 0x63)
     got = messages.parse_ldap(whole)
@@ -145,9 +299,8 @@ def test_ldap_parsing_and_correlation():
     events = []
 
     def send(forward, data):
-        p = {"is_forward": forward, "payload": data, "ts_us": 0, "tcp_seq": seq[forward], "syn": False, "fin": False, "rst": False, "is_fragment": False}
+        events.extend((k, e["status"]) for _, k, e in f.take(chunk((forward, seq[forward], data))) if k == "ldap")
         seq[forward] += len(data)
-        events.extend((k, e["status"]) for k, e in f.packet(p) if k == "ldap")
 
     send(True, ldap(1, 0x60)[:3])
     send(True, ldap(1, 0x60)[3:])
@@ -158,7 +311,7 @@ def test_ldap_parsing_and_correlation():
     send(False, ldap(9, 0x61))
     send(True, ldap(3, 0x42))
     assert [s for _, s in events] == ["pending", "matched", "pending", "matched", "matched", "matched", "unmatched", "non_correlatable"]
-    summaries = [(e["operation"], e["status"], e["response_count"]) for k, e in f.close() if k == "ldap_summary"]
+    summaries = [(e["operation"], e["status"], e["response_count"]) for _, k, e in f.close() if k == "ldap_summary"]
     assert summaries == [("bind_request", "completed", 1), ("search_request", "completed", 3)]
 
 
@@ -177,9 +330,9 @@ def test_tls_segmentation():
         cuts = sorted(rng.sample(range(1, len(stream)), 5))
         f, out, seq = folds.WindowFold(6, 40000, 443), [], 0
         for a, b in zip([0, *cuts], [*cuts, len(stream)]):
-            out += f.packet({"is_forward": True, "payload": stream[a:b], "ts_us": 0, "tcp_seq": seq, "syn": False, "fin": False, "rst": False, "is_fragment": False})
+            out += f.take(chunk((True, seq, stream[a:b])))
             seq += b - a
-        assert sorted((k, e["code"]) for k, e in out if k != "segment") == [("tls_handshake", 1), ("tls_record", 22), ("tls_record", 22), ("tls_record", 23)]
+        assert sorted((k, e["code"]) for _, k, e in out) == [("tls_handshake", 1), ("tls_record", 22), ("tls_record", 22), ("tls_record", 23)]
     got = messages.parse_hello(1, body)
     assert got["status"] == "complete"
     assert got["hello"]["cipher_suites"] == [0x1301, 0x1302]
@@ -219,7 +372,7 @@ def test_active_windows_match_a_plain_model():
 def test_harness():
     ticks = iter([0.0, 1.0, 1.0, 4.0])
     t = harness.measure(lambda: None, runs=2, warmups=1, clock=lambda: next(ticks))
-    assert (t.minimum, t.maximum, t.total, t.mean, t.median) == (1.0, 3.0, 4.0, 2.0, 2.0)
+    assert t == {"seconds": (1.0, 3.0), "minimum": 1.0, "maximum": 3.0, "total": 4.0, "mean": 2.0, "median": 2.0}
     with pytest.raises(ValueError, match="must not fall"):
         harness.measure(lambda: None, runs=1, clock=iter([2.0, 1.0]).__next__)
     cases = harness.Dataset("d", "1", (harness.DatasetCase("a"), harness.DatasetCase("b")))
@@ -227,6 +380,8 @@ def test_harness():
     with pytest.raises(ValueError, match="belong"):
         harness.run_dataset(cases, lambda c: harness.CaseResult(cases.cases[0]))
     assert harness.diagnose(CaptureError("x"), operation_id="o", message="m").category == "capture_failure"
+    for error, category in ((FlowError("x"), "flow_processing_failure"), (DetectionError("x"), "detection_failure"), (PacketAnalysisError("x"), "packet_analysis_failure"), (ValueError("x"), "unclassified_failure")):
+        assert harness.diagnose(error, operation_id="o", message="m").category == category
     assert harness.diagnose(KeyError("x"), operation_id="o", message="m").category == "unclassified_failure"
     assert PSH == 8
     assert FIN == 1

@@ -136,52 +136,94 @@ def test_end_to_end_metrics(spark):
         pipeline.validate_end_to_end(observe(spark, records), s, ptruth.unionByName(ptruth), truth)
 
 
-def test_stream_gives_the_findings_of_the_batch(spark):
-    from flowlark.streaming.detection import DetectionStream, StreamingEvaluation
+def finding_key(r):
+    e = r.raw_evidence
+    return (r.detector_id, r.decision, e.session, e.sequence_number, e.first_us, e.last_us, e.closure_reason, e.closed_at, e.packet_count)
 
-    records = [(t * 1_000_000, segment(True, SYN, seq=100)) for t in (1, 6, 7, 12, 13, 14)] + [(14_500_000, datagram(True, b"x")), (21_000_000, datagram(True, b"y"))]
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stream_gives_the_findings_of_the_batch(spark, tmp_path, seed):
+    import random
+
+    from flowlark.operators import evaluation as J
+    from flowlark.streaming.detection import DetectionStream, evaluate_stream
+
+    rng = random.Random(seed)
+    ts, records = 1_000_000, []
+    for _ in range(40):
+        ts += rng.choice((0, 200_000, 900_000, 2_600_000))
+        records.append((ts, segment(True, SYN, seq=100) if rng.random() < 0.4 else datagram(rng.random() < 0.5, b"x", port=5000 + rng.randrange(4))))
     rows = rows_of(records)
-    s = settings(volume=("packet_count", 2), control=("forward_syn_count", 2))
-    packets, flow = [], []
-    stream = DetectionStream(spark, s, lambda d: packets.extend(d.collect()), lambda d: flow.extend(d.collect()))
-    for k, cut in enumerate((rows[:2], rows[2:5], rows[5:])):
-        stream.batch(spark.createDataFrame(cut, OBSERVATION), k)
-    stream.batch(spark.createDataFrame(rows, OBSERVATION), 2)  # the same number again changes nothing
-    stream.finish()
-    stream.finish()
+    s = settings(volume=("packet_count", 2), control=("forward_syn_count", 2), timeout_us=2_500_000, max_active=3 if seed == 2 else None)
     whole = pipeline.detect(spark.createDataFrame(rows, OBSERVATION), s)
-    key = lambda r: (r.detector_id, r.decision, r.raw_evidence.first_us, r.raw_evidence.last_us, r.raw_evidence.closure_reason, r.raw_evidence.packet_count)
-    assert sorted(map(key, flow)) == sorted(map(key, whole.flow_findings.collect()))
-    assert len(packets) == len(rows)
-    from flowlark.operators import evaluation as J
+    want, packets, flow, calls = sorted(map(finding_key, whole.flow_findings.collect())), [], [], [0]
+    cuts = sorted(rng.sample(range(1, 40), 3))
+    parts = [spark.createDataFrame(rows[a:b], OBSERVATION) for a, b in zip([0, *cuts], [*cuts, 40])]
+
+    def flows_to(d, number):
+        calls[0] += 1
+        if calls[0] == 2:
+            raise RuntimeError("the consumer fails once")
+        flow.extend(d.collect())
+
+    # a new object for each batch, and a consumer that fails: nothing is lost, repeated or misnumbered
+    open_ = lambda: DetectionStream(spark, s, lambda d, n: packets.extend(d.collect()), flows_to, str(tmp_path / "state"))
+    for k, part in enumerate(parts):
+        try:
+            open_().batch(part, k)
+        except RuntimeError:
+            open_().batch(part, k)
+        open_().batch(part, k)
+    open_().finish()
+    open_().finish()
+    assert sorted(map(finding_key, flow)) == want
+    assert sorted(r.finding_index for r in packets) == list(range(40))
+    with pytest.raises(RuntimeError, match="ended"):
+        open_().batch(parts[0], 9)
+
+    packet = J.finding_identities(whole.packet_findings, packet=True, index="finding_index").selectExpr("actual_index AS expectation_index", "packet_index % 2 = 0 AS positive", *J.PACKET_IDENTITY)
+    flow_truth = J.finding_identities(whole.flow_findings, packet=False, index="finding_index").selectExpr("actual_index AS expectation_index", "decision = 'match' AS positive", *J.FLOW_IDENTITY)
+    got = sorted(map(str, evaluate_stream(spark, parts, s, packet, flow_truth, folder=str(tmp_path / "run")).collect()))
+    assert got == sorted(map(str, pipeline.metrics_of(*pipeline.evaluate(whole, packet, flow_truth)).collect()))
+    with pytest.raises(ValueError, match="contradict"):
+        pipeline.evaluate(whole, packet.unionByName(packet.selectExpr("expectation_index", "NOT positive AS positive", *J.PACKET_IDENTITY)), flow_truth)
+
+
+def test_falling_times_and_odd_observations_raise(spark, tmp_path):
+    from flowlark.errors import FlowError
+    from flowlark.plans.harness import diagnose
+    from flowlark.streaming.detection import DetectionStream
 
-    truth = J.finding_identities(whole.packet_findings, packet=True, index="finding_index").selectExpr("actual_index AS expectation_index", "packet_index % 2 = 0 AS positive", *J.PACKET_IDENTITY)
-    ev = StreamingEvaluation(truth, J.finding_identities(whole.flow_findings.limit(0), packet=False, index="finding_index").selectExpr("actual_index AS expectation_index", "true AS positive", *J.FLOW_IDENTITY))
-    ev.packets(whole.packet_findings.where("finding_index < 4"))
-    ev.packets(whole.packet_findings.where("finding_index >= 4 AND finding_index < 7"))
-    flows_truth = J.finding_identities(whole.flow_findings, packet=False, index="finding_index").selectExpr("actual_index AS expectation_index", "decision = 'match' AS positive", *J.FLOW_IDENTITY)
-    ev.flow_expectations = flows_truth
-    ev.flow_findings(whole.flow_findings.where("finding_index < 3").drop("finding_index"))
-    ev.flow_findings(whole.flow_findings.where("finding_index >= 3").drop("finding_index"))
-    done = ev.finish()
-    got, flow_got = done["packet"], done["flow"]
-    assert flow_got["true_positives"] + flow_got["true_negatives"] == whole.flow_findings.count()
-    assert (got["false_negatives"], got["true_negatives"], got["unclassified"]) == (4, 3, 1)
+    rows = rows_of([(10, datagram(True, b"x")), (9, datagram(True, b"x", port=7))])
+    with pytest.raises(FlowError, match="packet 1 is earlier"):
+        pipeline.detect(spark.createDataFrame(rows, OBSERVATION), settings())
+    stream = DetectionStream(spark, settings(), lambda d, n: None, lambda d, n: None, str(tmp_path / "s"))
+    stream.batch(spark.createDataFrame(rows[:1], OBSERVATION))
+    with pytest.raises(FlowError, match="packet 1 is earlier"):
+        stream.batch(spark.createDataFrame(rows[1:], OBSERVATION))
+    odd = [(*rows[0][:4], rows[0][4] + 1, *rows[0][5:])]
+    with pytest.raises(Exception, match="not well formed") as caught:
+        pipeline.detect(spark.createDataFrame(odd, OBSERVATION), settings())
+    assert diagnose(caught.value, operation_id="o", message="m").category == "detection_failure"
+    found = pipeline.detect(spark.createDataFrame(rows[:1], OBSERVATION), settings()).packet_findings
+    with pytest.raises(Exception, match="interpretation"):
+        C.checked_findings(found.selectExpr("* EXCEPT (decision)", "'match' AS decision")).collect()
 
 
 def test_structured_streaming(spark, tmp_path):
-    from flowlark.streaming.detection import DetectionStream
+    from flowlark.streaming.detection import evaluate_stream
 
     for k, part in enumerate((tcp_exchange()[:4], tcp_exchange()[4:])):
         rows = [(r[0], r[1] + 4 * k, *r[2:]) for r in rows_of(part)]
         spark.createDataFrame(rows, OBSERVATION).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    flow = []
-    stream = DetectionStream(spark, settings(), lambda d: None, lambda d: flow.extend(d.collect()))
+    from flowlark.operators import evaluation as J
+
+    whole = pipeline.detect(observe(spark, tcp_exchange()), settings())
+    truth = J.finding_identities(whole.flow_findings, packet=False, index="finding_index").selectExpr("actual_index AS expectation_index", "true AS positive", *J.FLOW_IDENTITY)
+    none = J.finding_identities(whole.packet_findings.limit(0), packet=True, index="finding_index").selectExpr("actual_index AS expectation_index", "true AS positive", *J.PACKET_IDENTITY)
     source = spark.readStream.schema(OBSERVATION).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = stream.start(source, str(tmp_path / "checkpoint"))
-    query.awaitTermination(120)
-    stream.finish()
-    assert sorted((r.detector_id, r.raw_evidence.packet_count) for r in flow) == [("control", 7), ("volume", 7)]
+    m = {r.channel: r for r in evaluate_stream(spark, source, settings(), none, truth, folder=str(tmp_path / "run")).collect()}
+    assert (m["flow"].true_positives, m["flow"].false_positives, m["packet"].unclassified) == (2, 0, 7)
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -201,9 +243,10 @@ def test_command_line(spark, tmp_path, capsys):
     assert out["flow_findings"][0]["raw_evidence"]["identity"]["source_address"] == "c0000201"
     path.write_bytes(b"nonsense")
     assert cli.main(args) == 1
-    with pytest.raises(SystemExit) as e:
-        cli.main(args[:-2])
-    assert e.value.code == 2
+    for wrong in (args[:-2], [*args, "--tcp-threshold", "1"], [*args, "--tcp-threshold=1"]):
+        with pytest.raises(SystemExit) as e:
+            cli.main(wrong)
+        assert e.value.code == 2
 
 
 def test_udp_checksum_rules(spark):
