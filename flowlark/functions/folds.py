@@ -516,16 +516,16 @@ def regular_streams(group: np.ndarray, first: np.ndarray, size: np.ndarray, syn:
     limit, with a SYN at its first segment only and FIN or RST at its last only,
     a FIN where the stream ends. All directions are settled at once.
     """
+    n = len(group)
+    if n == 0:
+        return group, np.zeros(0, dtype=bool), np.zeros(0, dtype="U5"), size
     order = np.argsort(group, kind="stable")
     group, first, size, syn, fin, rst, fragment = (x[order] for x in (group, first, size, syn, fin, rst, fragment))
-    n = len(group)
-    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))[: n and None]
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
     last = np.append(begin[1:], n) - 1
     head, tail = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     head[begin], tail[last] = True, True
-    if n == 0:
-        return group, head, np.zeros(0, dtype="U5"), size
     before = np.cumsum(size) - size
     before -= before[begin][of]
     anchor = np.minimum.reduceat(np.where((size > 0) | syn, np.arange(n), n), begin)

@@ -115,6 +115,21 @@ def extension_header_statistics(packets: DataFrame, *, by: tuple[str, ...] = (*W
     return packets.where("ip_version = 6").groupBy(*by).agg(F.count(F.lit(1)).alias("packets"), F.count_if(n > 0).alias("packets_with_headers"), F.min(n).alias("min_chain"), F.max(n).alias("max_chain"), F.sum(n).cast("bigint").alias("headers"), F.sum(n - F.size(F.array_distinct(kinds))).cast("bigint").alias("duplicates"))
 
 
+def extension_header_histograms(packets: DataFrame, *, by: tuple[str, ...] = (*WINDOW_KEY, "is_forward")) -> DataFrame:
+    """(``by``, what, value, count): kinds of extension headers, and what comes after the last one."""
+    kinds = F.transform("extension_headers", lambda h: F.struct(F.lit("header_type").alias("what"), h["header_type"].alias("value")))
+    after = F.when(F.size("extension_headers") > 0, F.element_at("extension_headers", -1)["next_header"]).otherwise(F.col("next_header"))
+    both = F.concat(kinds, F.array(F.struct(F.lit("terminal").alias("what"), after.alias("value"))))
+    rows = packets.where("ip_version = 6").select(*by, F.explode(both).alias("v"))
+    return rows.groupBy(*by, "v.what", "v.value").agg(F.count(F.lit(1)).alias("count"))
+
+
+def fragment_place(header: Column) -> Column:
+    """Where a Fragment Header places its packet: whole (an atomic fragment), first, intermediate or last; null without one."""
+    offset, more = header["fragment_offset"], header["more_fragments"]
+    return F.when(offset.isNull(), None).when(offset == 0, F.when(more, "first").otherwise("whole")).otherwise(F.when(more, "intermediate").otherwise("last"))
+
+
 def ipv6_fragment_statistics(packets: DataFrame, *, by: tuple[str, ...] = (*WINDOW_KEY, "is_forward")) -> DataFrame:
     """Counters of Fragment Headers in IPv6 packets."""
     own = F.filter("extension_headers", lambda h: h["header_type"] == 44)

@@ -101,11 +101,16 @@ def in_windows(packets: DataFrame, *, timeout_us: int, max_active: int | None =
     """The packets, in the columns that folds need, with the ``sequence_number`` of their window.
 
     Windows are found over times and identities alone; payloads meet their
-    window's number by (session, packet_index), a key without hot values.
+    window's number by place and identity, a key without hot values.
     """
     wide = written(packets.select("session", *PACKET_FIELDS, "src_port", "dst_port", *(c for c in IDENTITY if c not in PACKET_FIELDS)), "packets")
     placed, _ = sessionize(wide.select("session", "packet_index", "ts_us", *IDENTITY, "is_forward"), timeout_us=timeout_us, max_active=max_active)
-    return wide.join(placed.select("session", "packet_index", "sequence_number"), ["session", "packet_index"])
+    keys = ("session", "packet_index", *IDENTITY)
+    numbers = placed.select(*[F.col(k).alias(f"_{k}") for k in keys], "sequence_number").distinct()
+    match = F.lit(True)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return wide.join(numbers, match).drop(*[f"_{k}" for k in keys])
 
 
 def fold_windows(packets: DataFrame, *, segments: bool = False) -> DataFrame:
@@ -207,6 +212,12 @@ def tcp_option_statistics(packets: DataFrame, *, by: tuple[str, ...] = DIRECTION
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("packets"), F.count_if(~good).alias("malformed"), F.count_if(size > 0).alias("with_options"), F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("option_bytes"), F.coalesce(F.sum(F.size(k) - F.size(F.array_distinct(k))), F.lit(0)).cast("bigint").alias("duplicates"), F.coalesce(F.sum("options.sack_blocks"), F.lit(0)).cast("bigint").alias("sack_blocks"))
 
 
+def tcp_option_histograms(packets: DataFrame, *, by: tuple[str, ...] = DIRECTION) -> DataFrame:
+    """Kinds, MSS values and window scales of packets whose options are well formed."""
+    rows = with_tcp_options(packets.where("protocol = 6").select(*by, "tcp_options")).where("options IS NOT NULL")
+    return _counted(rows, by, kind=F.col("options.kinds"), mss=F.col("options.mss"), window_scale=F.col("options.window_scale"))
+
+
 def ldap_flow_statistics(packets: DataFrame) -> DataFrame:
     """Envelopes by status in LDAP payloads, packet by packet, of each window that has a candidate."""
     from flowlark.operators.decoding import ldap_candidate
@@ -226,10 +237,25 @@ def dns_messages(events: DataFrame) -> DataFrame:
     return with_dns(both)
 
 
+def _spread(value: Column, name: str) -> list[Column]:
+    """Least, greatest and total of a number."""
+    return [F.min(value).alias(f"min_{name}"), F.max(value).alias(f"max_{name}"), F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(f"total_{name}")]
+
+
+def _counted(rows: DataFrame, keys: tuple[str, ...], **values: Column) -> DataFrame:
+    """(``keys``, code_kind, value, count): how often each element of the named arrays occurs."""
+    def tag(name: str):
+        return lambda x: F.struct(F.lit(name).alias("code_kind"), x.cast("int").alias("value"))
+
+    tagged = F.flatten(F.array(*[F.transform(v, tag(name)) for name, v in values.items()]))
+    return rows.select(*keys, F.explode(tagged).alias("v")).groupBy(*keys, "v.code_kind", "v.value").agg(F.count(F.lit(1)).alias("count"))
+
+
 def dns_transaction_statistics(events: DataFrame) -> DataFrame:
     """Transactions by status and the latency of matches, in microseconds; header counts of all messages counted."""
     final = events.where("kind = 'dns_transaction' AND status <> 'pending'")
-    states = final.groupBy(*WINDOW_KEY).agg(*[F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("matched", "unmatched", "ambiguous", "unresolved")], F.coalesce(F.sum("latency_us"), F.lit(0)).alias("latency_us_total"), F.min("latency_us").alias("latency_us_min"), F.max("latency_us").alias("latency_us_max"))
+    latency = [F.coalesce(F.sum("latency_us"), F.lit(0)).alias("latency_us_total"), F.min("latency_us").alias("latency_us_min"), F.max("latency_us").alias("latency_us_max"), F.avg("latency_us").alias("latency_us_mean")]
+    states = final.groupBy(*WINDOW_KEY).agg(*[F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("matched", "unmatched", "ambiguous", "unresolved")], *latency)
     heads = dns_messages(events).groupBy(*WINDOW_KEY).agg(*[F.sum(f"dns.{n}").cast("bigint").alias(n) for n in ("qdcount", "ancount", "nscount", "arcount")])
     return states.join(heads, list(WINDOW_KEY))
 
@@ -240,21 +266,26 @@ def dns_flag_statistics(messages: DataFrame) -> DataFrame:
 
 
 def dns_code_histograms(messages: DataFrame) -> DataFrame:
-    """(code kind, value, count): opcodes of all messages, response codes of responses."""
+    """Opcodes of all messages, response codes of responses."""
     flags = F.col("dns.flags")
-    codes = messages.select(*WINDOW_KEY, F.lit("opcode").alias("code_kind"), F.shiftright(flags, 11).bitwiseAND(15).alias("value")).unionByName(messages.where(_bit(flags, 0x8000)).select(*WINDOW_KEY, F.lit("rcode").alias("code_kind"), flags.bitwiseAND(15).alias("value")))
-    return codes.groupBy(*WINDOW_KEY, "code_kind", "value").agg(F.count(F.lit(1)).alias("count"))
+    rcode = F.when(_bit(flags, 0x8000), F.array(flags.bitwiseAND(15))).otherwise(F.array().cast("array<int>"))
+    return _counted(messages, WINDOW_KEY, opcode=F.array(F.shiftright(flags, 11).bitwiseAND(15)), rcode=rcode)
 
 
 def dns_query_name_statistics(messages: DataFrame) -> DataFrame:
-    """Lengths, labels and kinds of characters of question names."""
+    """Lengths, labels and kinds of characters of question names; means are exact quotients (null without names or labels)."""
     q = messages.select(*WINDOW_KEY, F.explode("dns.questions").alias("q"))
     labels = F.col("q.labels")
     joined = F.aggregate(labels, F.lit("").cast("string"), lambda a, x: F.concat(a, F.hex(x)))
-    length = (F.aggregate(labels, F.lit(0), lambda a, x: a + F.octet_length(x) + 1) + 1).alias("wire_length")
-    rows = q.select(*WINDOW_KEY, length, F.size(labels).alias("n_labels"), joined.alias("h"))
+    sizes = F.transform(labels, lambda x: F.octet_length(x))
+    rows = q.select(*WINDOW_KEY, (F.aggregate(sizes, F.lit(0), lambda a, x: a + x + 1) + 1).alias("wire_length"), F.size(labels).alias("n_labels"), joined.alias("h"), F.array_min(sizes).alias("least"), F.array_max(sizes).alias("most"), F.aggregate(sizes, F.lit(0), lambda a, x: a + x).alias("label_bytes"))
     any_of = lambda p: F.count_if(F.col("h").rlike(f"^(?:..)*(?:{p})"))
-    return rows.groupBy(*WINDOW_KEY).agg(F.count(F.lit(1)).alias("names"), F.min("wire_length").alias("min_length"), F.max("wire_length").alias("max_length"), F.sum("wire_length").cast("bigint").alias("total_length"), F.min("n_labels").alias("min_labels"), F.max("n_labels").alias("max_labels"), F.sum("n_labels").cast("bigint").alias("total_labels"), F.count_if(F.col("n_labels") == 0).alias("root_names"), any_of("3[0-9]").alias("with_digit"), any_of("2D").alias("with_hyphen"), any_of("5F").alias("with_underscore"), any_of("[89A-F].").alias("with_non_ascii"))
+    n, in_labels = F.count(F.lit(1)), F.sum("n_labels")
+    return rows.groupBy(*WINDOW_KEY).agg(
+        n.alias("names"), *_spread(F.col("wire_length"), "length"), (F.sum("wire_length") / n).alias("mean_length"), *_spread(F.col("n_labels"), "labels"), F.min(F.when(F.col("n_labels") > 0, F.col("n_labels"))).alias("min_labels_non_root"),
+        F.min("least").alias("min_label_length"), F.max("most").alias("max_label_length"), F.sum("label_bytes").cast("bigint").alias("total_label_length"), F.when(in_labels > 0, F.sum("label_bytes") / in_labels).alias("mean_label_length"),
+        F.count_if(F.col("n_labels") == 0).alias("root_names"), any_of("3[0-9]").alias("with_digit"), any_of("2D").alias("with_hyphen"), any_of("5F").alias("with_underscore"), any_of("[89A-F].").alias("with_non_ascii"),
+    )
 
 
 def dns_record_statistics(messages: DataFrame) -> DataFrame:
@@ -263,16 +294,25 @@ def dns_record_statistics(messages: DataFrame) -> DataFrame:
 
 
 def dns_record_histograms(messages: DataFrame) -> DataFrame:
-    r = messages.select(*WINDOW_KEY, F.explode("dns.records").alias("r"))
-    values = r.select(*WINDOW_KEY, F.explode(F.array(F.struct(F.lit("type").alias("code_kind"), F.col("r.type").alias("value")), F.struct(F.lit("class").alias("code_kind"), F.col("r.class").alias("value")))).alias("v"))
-    return values.groupBy(*WINDOW_KEY, "v.code_kind", "v.value").agg(F.count(F.lit(1)).alias("count"))
+    records = F.col("dns.records")
+    return _counted(messages, WINDOW_KEY, **{"type": F.transform(records, lambda r: r["type"]), "class": F.transform(records, lambda r: r["class"])})
 
 
 def dns_edns_statistics(messages: DataFrame) -> DataFrame:
+    """OPT records: options and their lengths, UDP sizes, DNSSEC OK. All options are opaque, so all count as unknown."""
     e = messages.where("dns.edns IS NOT NULL").select(*WINDOW_KEY, "dns.edns.*")
     sizes = F.transform("options", lambda o: o["length"])
-    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
-    return e.groupBy(*WINDOW_KEY).agg(F.count(F.lit(1)).alias("messages"), F.sum(F.size("options")).cast("bigint").alias("options"), F.sum(total).cast("bigint").alias("option_bytes"), F.min("udp_payload_size").alias("min_udp_size"), F.max("udp_payload_size").alias("max_udp_size"), F.sum("udp_payload_size").cast("bigint").alias("total_udp_size"), F.count_if("do").alias("dnssec_ok"))
+    e = e.withColumns({"n": F.size("options"), "least": F.array_min(sizes), "most": F.array_max(sizes), "bytes": F.aggregate(sizes, F.lit(0), lambda a, x: a + x), "zero": F.size(F.filter(sizes, lambda x: x == 0))})
+    total = lambda c: F.sum(c).cast("bigint")
+    return e.groupBy(*WINDOW_KEY).agg(
+        F.count(F.lit(1)).alias("messages"), total("n").alias("options"), total("n").alias("unknown_options"), total("bytes").alias("option_bytes"), F.min("least").alias("min_option_length"), F.max("most").alias("max_option_length"), total("zero").alias("zero_length_options"),
+        F.min("n").alias("min_options"), F.max("n").alias("max_options"), *_spread(F.col("udp_payload_size"), "udp_size"), F.count_if("do").alias("dnssec_ok"),
+    )
+
+
+def dns_edns_histograms(messages: DataFrame) -> DataFrame:
+    e = F.col("dns.edns")
+    return _counted(messages.where("dns.edns IS NOT NULL"), WINDOW_KEY, extended_rcode=F.array(e["extended_rcode"]), version=F.array(e["version"]), option_code=F.transform(e["options"], lambda o: o["code"]))
 
 
 def tls_handshake_statistics(events: DataFrame) -> DataFrame:
@@ -284,25 +324,44 @@ def tls_handshake_types(events: DataFrame) -> DataFrame:
     return events.where("kind = 'tls_handshake'").groupBy(*DIRECTION, F.col("code").cast("int").alias("value")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def tls_hello_statistics(events: DataFrame, kind: int) -> DataFrame:
-    """Counters of complete ClientHellos (1) or ServerHellos (2)."""
+def _hellos(events: DataFrame, kind: int) -> DataFrame:
     rows = with_hello(events.where((F.col("kind") == "tls_handshake") & (F.col("code") == kind)).select(*DIRECTION, "raw"), kind)
-    rows = rows.where("hello.status = 'complete'").select(*DIRECTION, "hello.*")
+    return rows.where("hello.status = 'complete'").select(*DIRECTION, "hello.*")
+
+
+def _of_type(code: int) -> Column:
+    return F.filter("extensions", lambda e: e["type"] == code)
+
+
+def _size_of(field: str):
+    return lambda e: F.greatest(F.coalesce(F.size(e[field]), F.lit(0)), F.lit(0))
+
+
+def tls_hello_statistics(events: DataFrame, kind: int) -> DataFrame:
+    """Counters of complete ClientHellos (1) or ServerHellos (2): extrema and totals of every vector.
+
+    Extrema of groups, signature algorithms and ALPN names are of the hellos
+    that have such an extension, those of extension lengths of all extensions.
+    """
+    rows = _hellos(events, kind)
     types = F.transform("extensions", lambda e: e["type"])
-    count = lambda f: F.aggregate(F.transform("extensions", lambda e: F.coalesce(F.size(e[f]), F.lit(0))), F.lit(0), lambda a, x: a + F.greatest(x, F.lit(0)))
-    unknown = F.size(F.filter(types, lambda t: ~t.isin(10, 13, 16)))
-    total = lambda c: F.sum(c).cast("bigint")
-    data = F.aggregate(F.transform("extensions", lambda e: e["length"]), F.lit(0), lambda a, x: a + x)
-    return rows.groupBy(*DIRECTION).agg(F.count(F.lit(1)).alias("hellos"), F.count_if(F.col("session_id_length") > 0).alias("with_session_id"), total(F.size("cipher_suites")).alias("cipher_suites"), total(F.size("compression_methods")).alias("compression_methods"), F.count_if("extensions_present").alias("with_extensions"), total(F.size(types)).alias("extensions"), total(unknown).alias("unknown_extensions"), total(F.size(types) - F.size(F.array_distinct(types))).alias("duplicate_extensions"), total(data).alias("extension_bytes"), total(count("groups")).alias("supported_groups"), total(count("signatures")).alias("signature_algorithms"), total(count("protocols")).alias("alpn_protocols"))
+    sizes = F.transform("extensions", lambda e: e["length"])
+    vectors = {"groups": (10, "supported_groups"), "signatures": (13, "signature_algorithms"), "protocols": (16, "alpn_protocols")}
+    rows = rows.withColumns({"n_suites": F.size("cipher_suites"), "n_methods": F.size("compression_methods"), "n_extensions": F.size(types), "n_unknown": F.size(F.filter(types, lambda t: ~t.isin(10, 13, 16))), "n_repeated": F.size(types) - F.size(F.array_distinct(types)), "least": F.array_min(sizes), "most": F.array_max(sizes), "bytes": F.aggregate(sizes, F.lit(0), lambda a, x: a + x)})
+    for field, (code, _) in vectors.items():
+        own, items = _of_type(code), F.transform(_of_type(code), _size_of(field))
+        rows = rows.withColumn(f"has_{field}", F.size(own)).withColumn(f"n_{field}", F.when(F.size(own) > 0, F.aggregate(items, F.lit(0), lambda a, x: a + x)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    more = [column for field, (_, name) in vectors.items() for column in (total(f"has_{field}").alias(f"{name}_extensions"), total(f"n_{field}").alias(name), F.min(f"n_{field}").alias(f"min_{name}"), F.max(f"n_{field}").alias(f"max_{name}"))]
+    extrema = [f(c).alias(f"{word}_{name}") for c, name in (("version", "version"), ("session_id_length", "session_id_length"), ("n_suites", "cipher_suites"), ("n_methods", "compression_methods"), ("n_extensions", "extensions")) for word, f in (("min", F.min), ("max", F.max))]
+    return rows.groupBy(*DIRECTION).agg(
+        F.count(F.lit(1)).alias("hellos"), F.count_if(F.col("session_id_length") > 0).alias("with_session_id"), total("session_id_length").alias("session_id_bytes"), total("n_suites").alias("cipher_suites"), total("n_methods").alias("compression_methods"),
+        F.count_if("extensions_present").alias("with_extensions"), total("n_extensions").alias("extensions"), total("n_unknown").alias("unknown_extensions"), total("n_repeated").alias("duplicate_extensions"),
+        total("bytes").alias("extension_bytes"), F.min("least").alias("min_extension_length"), F.max("most").alias("max_extension_length"), *extrema, *more,
+    )
 
 
 def tls_hello_histograms(events: DataFrame, kind: int) -> DataFrame:
     """(what, value, count) over versions, cipher suites, compression methods and extension types of complete hellos."""
-    rows = with_hello(events.where((F.col("kind") == "tls_handshake") & (F.col("code") == kind)).select(*DIRECTION, "raw"), kind).where("hello.status = 'complete'")
-    parts = {"version": F.array("hello.version"), "cipher_suite": F.col("hello.cipher_suites"), "compression_method": F.col("hello.compression_methods"), "extension_type": F.transform("hello.extensions", lambda e: e["type"])}
-
-    def tag(what: str):
-        return lambda x: F.struct(F.lit(what).alias("what"), x.alias("value"))
-
-    tagged = F.flatten(F.array(*[F.transform(v, tag(w)) for w, v in parts.items()]))
-    return rows.select(*DIRECTION, F.explode(tagged).alias("v")).groupBy(*DIRECTION, "v.what", "v.value").agg(F.count(F.lit(1)).alias("count"))
+    counted = _counted(_hellos(events, kind), DIRECTION, version=F.array("version"), cipher_suite=F.col("cipher_suites"), compression_method=F.col("compression_methods"), extension_type=F.transform("extensions", lambda e: e["type"]))
+    return counted.withColumnRenamed("code_kind", "what")

@@ -119,13 +119,21 @@ def decode_udp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_frames_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lineitem`` as raw IPv6 packets with UDP; every third line has a Hop-by-Hop and an atomic Fragment Header."""
+    """``lineitem`` as raw IPv6 packets with UDP.
+
+    Every third line has a Hop-by-Hop and a Fragment Header: whole, first, whole
+    with reserved bits, or later, by key % 4. Of the others those of even orders
+    in lines 1, 4, ... have two Destination Options headers.
+    """
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
     key, line, size = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint"), F.col("q")
-    chained = line % 3 == 0
-    first = F.when(chained, F.lit("00")).otherwise(F.lit("11"))
-    chain = F.when(chained, F.concat(F.lit("2C00" + "010400000000"), F.lit("11000000"), _hex(key, 4))).otherwise(F.lit(""))
-    length = 8 + size + F.when(chained, 16).otherwise(0)
+    chained, twice = line % 3 == 0, (line % 3 == 1) & (key % 2 == 0)
+    first = F.when(chained, F.lit("00")).when(twice, F.lit("3C")).otherwise(F.lit("11"))
+    place = F.when(key % 4 == 1, 1).when(key % 4 == 2, 4).when(key % 4 == 3, (line + 1) * 8).otherwise(0)
+    fragment = F.concat(F.lit("11"), F.when(key % 4 == 2, F.lit("05")).otherwise(F.lit("00")), _hex(place, 2), _hex(key, 4))
+    options = "00010400000000"
+    chain = F.when(chained, F.concat(F.lit("2C" + options), fragment)).when(twice, F.lit("3C" + options + "11" + options)).otherwise(F.lit(""))
+    length = 8 + size + F.when(chained | twice, 16).otherwise(0)
     word = 6 * 268435456 + F.col("l_suppkey") % 256 * 1048576 + key % 1048576
     text = F.concat(_hex(word, 4), _hex(length, 2), first, _hex(1 + F.col("l_partkey") % 255, 1), F.lit("20010DB8" + "0" * 16), _hex(F.col("l_partkey") % 65536, 4), F.lit("20010DB9" + "0" * 16), _hex(F.col("l_suppkey") % 65536, 4), chain, _hex(1024 + key % 60000, 2), _hex(9000 + line, 2), _hex(8 + size, 2), F.lit("0000"), F.expr("repeat('BB', CAST(q AS INT))"))
     rows = t.withColumn("raw_bytes", F.unhex(text))
@@ -133,27 +141,36 @@ def order_frames_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", F.lit("capture").alias("session"), (key * 8 + line).alias("packet_index"), (key * 1000 + line).alias("ts_us"), F.lit(101).alias("link_type"), n.alias("captured_length"), n.alias("original_length"), "raw_bytes", F.lit("lineitem").alias("source"))
 
 
-@query("d6_decode_ipv6", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 1048576 AS INTEGER) AS flow_label, CAST(l_suppkey % 256 AS INTEGER) AS traffic_class, CAST(1 + l_partkey % 255 AS INTEGER) AS hop_limit, CAST(8 + CAST(l_quantity AS BIGINT) + CASE WHEN l_linenumber % 3 = 0 THEN 16 ELSE 0 END AS INTEGER) AS payload_length, CAST(17 AS INTEGER) AS protocol, CAST(1024 + l_orderkey % 60000 AS INTEGER) AS src_port, '20010DB80000000000000000' || printf('%08X', l_partkey % 65536) AS src_addr FROM lineitem")
+_V6 = "WITH v AS (SELECT *, l_linenumber % 3 = 0 AS chained, l_linenumber % 3 = 1 AND l_orderkey % 2 = 0 AS twice, l_orderkey % 4 AS f FROM lineitem) "
+
+
+@query("d6_decode_ipv6", _V6 + "SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 1048576 AS INTEGER) AS flow_label, CAST(l_suppkey % 256 AS INTEGER) AS traffic_class, CAST(1 + l_partkey % 255 AS INTEGER) AS hop_limit, CAST(8 + CAST(l_quantity AS BIGINT) + CASE WHEN chained OR twice THEN 16 ELSE 0 END AS INTEGER) AS payload_length, CAST(17 AS INTEGER) AS protocol, CAST(CASE WHEN NOT (chained AND f = 3) THEN 1024 + l_orderkey % 60000 END AS INTEGER) AS src_port, '20010DB80000000000000000' || printf('%08X', l_partkey % 65536) AS src_addr FROM v")
 def decode_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decode_packets(order_frames_v6(spark, sf_dir))
     return d.select(*_KEY, "flow_label", "traffic_class", "hop_limit", "payload_length", "protocol", "src_port", F.hex("src_addr").alias("src_addr"))
 
 
-@query("d7_ipv6_extension_headers", "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_linenumber % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS n_headers, CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_orderkey AS BIGINT) END AS identification, CASE WHEN l_linenumber % 3 = 0 THEN FALSE END AS more_fragments FROM lineitem")
+@query("d7_ipv6_extension_headers", _V6 + "SELECT l_orderkey, l_linenumber, CASE WHEN chained THEN '0/44' WHEN twice THEN '60/60' ELSE '' END AS headers, CASE WHEN chained THEN CAST(l_orderkey AS BIGINT) END AS identification, CASE WHEN chained THEN CASE f WHEN 1 THEN 'first' WHEN 3 THEN 'last' ELSE 'whole' END END AS place, CAST(CASE WHEN chained THEN CASE WHEN f = 3 THEN l_linenumber + 1 ELSE 0 END END AS INTEGER) AS fragment_offset, chained AND f IN (1, 3) AS is_fragment FROM v")
 def extension_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decode_packets(order_frames_v6(spark, sf_dir))
     own = F.get(F.filter("extension_headers", lambda h: h["header_type"] == 44), F.lit(0))
-    return d.select(*_KEY, F.size("extension_headers").alias("n_headers"), own["identification"].alias("identification"), own["more_fragments"].alias("more_fragments"))
+    kinds = F.array_join(F.transform("extension_headers", lambda h: h["header_type"].cast("string")), "/")
+    return d.select(*_KEY, kinds.alias("headers"), own["identification"].alias("identification"), A.fragment_place(own).alias("place"), own["fragment_offset"].alias("fragment_offset"), "is_fragment")
 
 
-@query("b4_ipv6_extension_header_statistics", "SELECT CAST(count(*) AS BIGINT) AS packets, CAST(count(*) FILTER (WHERE l_linenumber % 3 = 0) AS BIGINT) AS packets_with_headers, CAST(2 * count(*) FILTER (WHERE l_linenumber % 3 = 0) AS BIGINT) AS headers, CAST(0 AS BIGINT) AS duplicates FROM lineitem")
+@query("b4_ipv6_extension_header_statistics", _V6 + "SELECT l_linenumber, CAST(count(*) AS BIGINT) AS packets, CAST(count(*) FILTER (WHERE chained OR twice) AS BIGINT) AS packets_with_headers, CAST(min(CASE WHEN chained OR twice THEN 2 ELSE 0 END) AS INTEGER) AS min_chain, CAST(max(CASE WHEN chained OR twice THEN 2 ELSE 0 END) AS INTEGER) AS max_chain, CAST(2 * count(*) FILTER (WHERE chained OR twice) AS BIGINT) AS headers, CAST(count(*) FILTER (WHERE twice) AS BIGINT) AS duplicates FROM v GROUP BY 1")
 def extension_header_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.extension_header_statistics(decode_packets(order_frames_v6(spark, sf_dir)), by=("session",)).select("packets", "packets_with_headers", "headers", "duplicates")
+    return A.extension_header_statistics(decode_packets(order_frames_v6(spark, sf_dir)), by=("l_linenumber",))
+
 
+@query("b4_ipv6_extension_header_histograms", _V6.rstrip() + ", h AS (SELECT l_linenumber, 'header_type' AS what, unnest(CASE WHEN chained THEN [0, 44] WHEN twice THEN [60, 60] ELSE [] END) AS value FROM v UNION ALL SELECT l_linenumber, 'terminal', 17 FROM v) SELECT l_linenumber, what, CAST(value AS INTEGER) AS value, CAST(count(*) AS BIGINT) AS count FROM h GROUP BY ALL")
+def extension_header_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.extension_header_histograms(decode_packets(order_frames_v6(spark, sf_dir)), by=("l_linenumber",))
 
-@query("b5_ipv6_fragmentation_statistics", "SELECT CAST(count(*) FILTER (WHERE l_linenumber % 3 = 0) AS BIGINT) AS with_fragment_header, CAST(0 AS BIGINT) AS fragmented, CAST(count(*) FILTER (WHERE l_linenumber % 3 = 0) AS BIGINT) AS atomic_fragments, CAST(0 AS BIGINT) AS first_fragments FROM lineitem")
+
+@query("b5_ipv6_fragmentation_statistics", _V6 + "SELECT l_linenumber, CAST(count(*) AS BIGINT) AS packets, CAST(count(*) FILTER (WHERE chained) AS BIGINT) AS with_fragment_header, CAST(count(*) FILTER (WHERE chained AND f IN (1, 3)) AS BIGINT) AS fragmented, CAST(0 AS BIGINT) AS repeated, CAST(count(*) FILTER (WHERE chained AND f = 1) AS BIGINT) AS first_fragments, CAST(count(*) FILTER (WHERE chained AND f IN (0, 2)) AS BIGINT) AS atomic_fragments, CAST(count(*) FILTER (WHERE chained AND f = 2) AS BIGINT) AS nonzero_reserved, CAST(count(*) FILTER (WHERE chained AND f = 2) AS BIGINT) AS nonzero_reserved_bits FROM v GROUP BY 1")
 def ipv6_fragmentation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.ipv6_fragment_statistics(decode_packets(order_frames_v6(spark, sf_dir)), by=("session",)).select("with_fragment_header", "fragmented", "atomic_fragments", "first_fragments")
+    return A.ipv6_fragment_statistics(decode_packets(order_frames_v6(spark, sf_dir)), by=("l_linenumber",))
 
 
 @query("b6_ipv6_traffic_class_histogram", "SELECT CAST(l_suppkey % 256 AS INTEGER) AS value, CAST(count(*) AS BIGINT) AS count FROM lineitem GROUP BY 1")
@@ -161,23 +178,19 @@ def traffic_class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.histogram(decode_packets(order_frames_v6(spark, sf_dir)), F.col("traffic_class"), by=("session",)).drop("session")
 
 
-@query("b3_ipv4_fragmentation_statistics", _ENCODED + "SELECT 'unfragmented' AS fragment_class, CAST(count(*) AS BIGINT) AS packets, CAST(0 AS BIGINT) AS dont_fragment, CAST(0 AS BIGINT) AS reserved FROM o WHERE failure_classification IS NULL")
-def ipv4_fragmentation_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.ipv4_fragmentation(_decoded(spark, sf_dir))
-
-
 def name_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` as DNS over UDP: a request for each order, a response unless its key is divisible by 4.
 
     The name is o<key>.example; a response comes (key % 900) + 1 microseconds later,
-    with the opposite ports; its id is the key's lower 16 bits.
+    with the opposite ports; its id is the key's lower 16 bits,
+    its code key % 3.
     """
     t = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
     key = F.col("o_orderkey")
     label = F.concat(F.lit("o"), key.cast("string"))
     question = F.concat(_hex(F.length(label), 1), F.hex(label), F.lit("076578616D706C6500"), F.lit("00010001"))
     request = F.concat(_hex(key % 65536, 2), F.lit("01000001000000000000"), question)
-    response = F.concat(_hex(key % 65536, 2), F.lit("81800001000100000000"), question, F.lit("C00C00010001"), _hex(key % 3600, 4), F.lit("00047F000001"))
+    response = F.concat(_hex(key % 65536, 2), F.lit("818"), F.substring(F.hex(key % 3), 1, 1), F.lit("0001000100000000"), question, F.lit("C00C00010001"), _hex(key % 3600, 4), F.lit("00047F000001"))
     sides = F.array(F.struct(F.lit(False).alias("reply"), request.alias("dns")), F.struct(F.lit(True).alias("reply"), response.alias("dns")))
     rows = t.select("o_orderkey", "o_custkey", F.explode(sides).alias("s")).select("o_orderkey", "o_custkey", "s.reply", "s.dns").where("NOT reply OR o_orderkey % 4 <> 0")
     client, server = F.concat(F.lit("0A"), _hex(F.col("o_custkey") % 16777216, 3)), F.lit("C6336402")
@@ -223,14 +236,19 @@ def dns_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOOKUP_WINDOWS = "WITH w AS (SELECT o_custkey, min(o_orderkey) AS first_key FROM orders GROUP BY 1), n AS (SELECT o_custkey, CAST(row_number() OVER (ORDER BY first_key) - 1 AS BIGINT) AS sequence_number FROM w), o AS (SELECT n.sequence_number, o_orderkey AS k, o_orderkey % 4 <> 0 AS answered FROM orders JOIN n ON orders.o_custkey = n.o_custkey) "
 
 
-@query("b12_dns_transaction_statistics", _LOOKUP_WINDOWS + "SELECT sequence_number, CAST(count(*) FILTER (WHERE answered) AS BIGINT) AS matched_count, CAST(count(*) FILTER (WHERE NOT answered) AS BIGINT) AS unresolved_count, CAST(coalesce(sum(k % 900 + 1) FILTER (WHERE answered), 0) AS BIGINT) AS latency_us_total, CAST(min(k % 900 + 1) FILTER (WHERE answered) AS BIGINT) AS latency_us_min, CAST(sum(CASE WHEN answered THEN 2 ELSE 1 END) AS BIGINT) AS qdcount, CAST(count(*) FILTER (WHERE answered) AS BIGINT) AS ancount FROM o GROUP BY 1")
+@query("b12_dns_transaction_statistics", _LOOKUP_WINDOWS + "SELECT sequence_number, CAST(count(*) FILTER (WHERE answered) AS BIGINT) AS matched_count, CAST(count(*) FILTER (WHERE NOT answered) AS BIGINT) AS unresolved_count, CAST(coalesce(sum(k % 900 + 1) FILTER (WHERE answered), 0) AS BIGINT) AS latency_us_total, CAST(min(k % 900 + 1) FILTER (WHERE answered) AS BIGINT) AS latency_us_min, CAST(max(k % 900 + 1) FILTER (WHERE answered) AS BIGINT) AS latency_us_max, round(avg(k % 900 + 1) FILTER (WHERE answered), 6) AS latency_us_mean, CAST(sum(CASE WHEN answered THEN 2 ELSE 1 END) AS BIGINT) AS qdcount, CAST(count(*) FILTER (WHERE answered) AS BIGINT) AS ancount FROM o GROUP BY 1")
 def dns_transaction_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.dns_transaction_statistics(_lookup_events(spark, sf_dir)).select("sequence_number", "matched_count", "unresolved_count", "latency_us_total", "latency_us_min", "qdcount", "ancount")
+    return P.dns_transaction_statistics(_lookup_events(spark, sf_dir)).select("sequence_number", "matched_count", "unresolved_count", "latency_us_total", "latency_us_min", "latency_us_max", F.round("latency_us_mean", 6).alias("latency_us_mean"), "qdcount", "ancount")
+
+
+@query("b12_dns_code_histograms", _LOOKUP_WINDOWS.rstrip() + ", c AS (SELECT sequence_number, 'opcode' AS code_kind, 0 AS value FROM o UNION ALL SELECT sequence_number, 'opcode', 0 FROM o WHERE answered UNION ALL SELECT sequence_number, 'rcode', k % 3 FROM o WHERE answered) SELECT sequence_number, code_kind, CAST(value AS INTEGER) AS value, CAST(count(*) AS BIGINT) AS count FROM c GROUP BY ALL")
+def dns_code_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.dns_code_histograms(P.dns_messages(_lookup_events(spark, sf_dir))).drop("session")
 
 
-@query("b13_dns_query_name_statistics", _LOOKUP_WINDOWS + ", q AS (SELECT sequence_number, length(CAST(k AS VARCHAR)) + 11 AS n FROM o UNION ALL SELECT sequence_number, length(CAST(k AS VARCHAR)) + 11 FROM o WHERE answered) SELECT sequence_number, CAST(count(*) AS BIGINT) AS names, CAST(min(n) AS INTEGER) AS min_length, CAST(max(n) AS INTEGER) AS max_length, CAST(sum(n) AS BIGINT) AS total_length, CAST(2 * count(*) AS BIGINT) AS total_labels, CAST(count(*) AS BIGINT) AS with_digit, CAST(0 AS BIGINT) AS with_hyphen FROM q GROUP BY 1")
+@query("b13_dns_query_name_statistics", _LOOKUP_WINDOWS + ", q AS (SELECT sequence_number, length(CAST(k AS VARCHAR)) + 11 AS n FROM o UNION ALL SELECT sequence_number, length(CAST(k AS VARCHAR)) + 11 FROM o WHERE answered) SELECT sequence_number, CAST(count(*) AS BIGINT) AS names, CAST(min(n) AS INTEGER) AS min_length, CAST(max(n) AS INTEGER) AS max_length, CAST(sum(n) AS BIGINT) AS total_length, CAST(2 * count(*) AS BIGINT) AS total_labels, round(avg(n), 6) AS mean_length, CAST(2 AS INTEGER) AS min_labels_non_root, CAST(min(least(n - 10, 7)) AS INTEGER) AS min_label_length, CAST(max(greatest(n - 10, 7)) AS INTEGER) AS max_label_length, CAST(sum(n - 3) AS BIGINT) AS total_label_length, round(sum(n - 3) / (2 * count(*)), 6) AS mean_label_length, CAST(count(*) AS BIGINT) AS with_digit, CAST(0 AS BIGINT) AS with_hyphen FROM q GROUP BY 1")
 def dns_query_name_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.dns_query_name_statistics(P.dns_messages(_lookup_events(spark, sf_dir))).select("sequence_number", "names", "min_length", "max_length", "total_length", "total_labels", "with_digit", "with_hyphen")
+    return P.dns_query_name_statistics(P.dns_messages(_lookup_events(spark, sf_dir))).select("sequence_number", "names", "min_length", "max_length", "total_length", "total_labels", F.round("mean_length", 6).alias("mean_length"), "min_labels_non_root", "min_label_length", "max_label_length", "total_label_length", F.round("mean_label_length", 6).alias("mean_label_length"), "with_digit", "with_hyphen")
 
 
 @query("b14_dns_resource_record_statistics", _LOOKUP_WINDOWS + "SELECT sequence_number, CAST(count(*) AS BIGINT) AS answers, CAST(4 AS INTEGER) AS min_rdlength, CAST(4 * count(*) AS BIGINT) AS total_rdlength FROM o WHERE answered GROUP BY 1")
@@ -249,11 +267,6 @@ def tcp_stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.tcp_streams(P.fold_windows(placed)).groupBy("status", "stream_bytes", "consumed_bytes").agg(F.count(F.lit(1)).alias("streams"))
 
 
-@query("b8_tcp_option_statistics", _ENCODED + "SELECT CAST(count(*) AS BIGINT) AS packets, CAST(0 AS BIGINT) AS malformed, CAST(0 AS BIGINT) AS with_options, CAST(0 AS BIGINT) AS option_bytes FROM o WHERE failure_classification IS NULL AND NOT udp")
-def tcp_option_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.tcp_option_statistics(_decoded(spark, sf_dir), by=("session",)).select("packets", "malformed", "with_options", "option_bytes")
-
-
 # --- LDAP and TLS over IPv6, where segments carry no checksum that has to hold ---------------------------------------
 
 
@@ -312,11 +325,14 @@ def ldap_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secure_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``supplier`` as TLS: a ClientHello with 1 + key % 3 suites and, for even keys, groups; cut in two segments; a ServerHello."""
+    """``supplier`` as TLS: a ClientHello with 1 + key % 3 suites and, for even keys, extensions; cut in two segments; a ServerHello."""
     t = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")
     key = F.col("s_suppkey")
     n = key % 3 + 1
-    extensions = F.when(key % 2 == 0, F.lit("0008" + "000A0004" + "0002001D")).otherwise(F.lit(""))
+    # groups (10) for even keys; with signature algorithms (13), ALPN (16) and an unknown type twice for keys divisible by 4
+    more = F.when(key % 4 == 0, F.lit("000D0006000404030804" + "001000050003026832" + "00630001AA" + "00630000")).otherwise(F.lit(""))
+    vectors = F.concat(F.lit("000A00040002001D"), more)
+    extensions = F.when(key % 2 == 0, F.concat(_hex(F.length(vectors) / 2, 2), vectors)).otherwise(F.lit(""))
     suites = F.expr("repeat('1301', CAST(s_suppkey % 3 + 1 AS INT))")
     client = F.concat(F.lit("0303" + "00" * 32 + "00"), _hex(2 * n, 2), suites, F.lit("0100"), extensions)
     server = F.lit("0303" + "11" * 32 + "02ABCD" + "1302" + "00")
@@ -330,19 +346,37 @@ def secure_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUPPLIERS = "WITH c AS (SELECT s_suppkey AS k, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS sequence_number FROM supplier) "
 
 
-@query("b17_tls_handshake_statistics", _SUPPLIERS + "SELECT sequence_number, TRUE AS is_forward, CAST(1 AS BIGINT) AS messages, CAST(39 + 2 * (k % 3 + 1) + CASE WHEN k % 2 = 0 THEN 10 ELSE 0 END AS BIGINT) AS total_length FROM c UNION ALL SELECT sequence_number, FALSE, CAST(1 AS BIGINT), CAST(40 AS BIGINT) FROM c")
+@query("b17_tls_handshake_statistics", _SUPPLIERS + "SELECT sequence_number, TRUE AS is_forward, CAST(1 AS BIGINT) AS messages, CAST(39 + 2 * (k % 3 + 1) + CASE WHEN k % 4 = 0 THEN 38 WHEN k % 2 = 0 THEN 10 ELSE 0 END AS BIGINT) AS total_length FROM c UNION ALL SELECT sequence_number, FALSE, CAST(1 AS BIGINT), CAST(40 AS BIGINT) FROM c")
 def tls_handshake_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.tls_handshake_statistics(P.fold_windows(secure_windows(spark, sf_dir))).select("sequence_number", "is_forward", "messages", "total_length")
 
 
-@query("b18_tls_client_hello_statistics", _SUPPLIERS + "SELECT sequence_number, CAST(1 AS BIGINT) AS hellos, CAST(k % 3 + 1 AS BIGINT) AS cipher_suites, CAST(CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS extensions, CAST(CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS supported_groups, CAST(0 AS BIGINT) AS unknown_extensions FROM c")
+_HELLO = """, h AS (SELECT *, k % 2 = 0 AS even, k % 4 = 0 AS four, CASE WHEN k % 4 = 0 THEN 5 WHEN k % 2 = 0 THEN 1 ELSE 0 END AS n FROM c)
+SELECT sequence_number, CAST(1 AS BIGINT) AS hellos, CAST(k % 3 + 1 AS BIGINT) AS cipher_suites, CAST(k % 3 + 1 AS INTEGER) AS max_cipher_suites, CAST(771 AS INTEGER) AS min_version, CAST(n AS BIGINT) AS extensions, CAST(n AS INTEGER) AS min_extensions, CAST(CASE WHEN even THEN 1 ELSE 0 END AS BIGINT) AS supported_groups,
+  CAST(CASE WHEN even THEN 1 END AS INTEGER) AS min_supported_groups, CAST(CASE WHEN four THEN 1 ELSE 0 END AS BIGINT) AS signature_algorithms_extensions, CAST(CASE WHEN four THEN 2 ELSE 0 END AS BIGINT) AS signature_algorithms, CAST(CASE WHEN four THEN 2 END AS INTEGER) AS max_signature_algorithms, CAST(CASE WHEN four THEN 1 ELSE 0 END AS BIGINT) AS alpn_protocols,
+  CAST(CASE WHEN four THEN 2 ELSE 0 END AS BIGINT) AS unknown_extensions, CAST(CASE WHEN four THEN 1 ELSE 0 END AS BIGINT) AS duplicate_extensions, CAST(CASE WHEN four THEN 16 WHEN even THEN 4 ELSE 0 END AS BIGINT) AS extension_bytes, CAST(CASE WHEN four THEN 0 WHEN even THEN 4 END AS INTEGER) AS min_extension_length, CAST(CASE WHEN four THEN 6 WHEN even THEN 4 END AS INTEGER) AS max_extension_length FROM h"""
+
+
+@query("b18_tls_client_hello_statistics", _SUPPLIERS.rstrip() + _HELLO)
 def tls_client_hello_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.tls_hello_statistics(P.fold_windows(secure_windows(spark, sf_dir)), 1).select("sequence_number", "hellos", "cipher_suites", "extensions", "supported_groups", "unknown_extensions")
+    names = ("hellos", "cipher_suites", "max_cipher_suites", "min_version", "extensions", "min_extensions", "supported_groups", "min_supported_groups", "signature_algorithms_extensions", "signature_algorithms", "max_signature_algorithms", "alpn_protocols", "unknown_extensions", "duplicate_extensions", "extension_bytes", "min_extension_length", "max_extension_length")
+    return P.tls_hello_statistics(P.fold_windows(secure_windows(spark, sf_dir)), 1).select("sequence_number", *names)
+
+
+@query("b18_tls_client_hello_histograms", "WITH h AS (SELECT 'version' AS what, 771 AS value FROM supplier UNION ALL SELECT 'cipher_suite', unnest(repeat([4865], CAST(s_suppkey % 3 + 1 AS BIGINT))) FROM supplier UNION ALL SELECT 'compression_method', 0 FROM supplier UNION ALL SELECT 'extension_type', unnest(CASE WHEN s_suppkey % 4 = 0 THEN [10, 13, 16, 99, 99] WHEN s_suppkey % 2 = 0 THEN [10] ELSE [] END) FROM supplier) SELECT what, CAST(value AS INTEGER) AS value, CAST(count(*) AS BIGINT) AS count FROM h GROUP BY ALL")
+def tls_client_hello_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = P.tls_hello_histograms(P.fold_windows(secure_windows(spark, sf_dir)), 1)
+    return h.groupBy("what", "value").agg(F.sum("count").alias("count"))
+
+
+@query("b17_tls_handshake_types", _SUPPLIERS + "SELECT sequence_number, is_forward, CAST(CASE WHEN is_forward THEN 1 ELSE 2 END AS INTEGER) AS value, CAST(1 AS BIGINT) AS count FROM c CROSS JOIN (VALUES (TRUE), (FALSE)) AS v(is_forward)")
+def tls_handshake_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.tls_handshake_types(P.fold_windows(secure_windows(spark, sf_dir))).drop("session")
 
 
-@query("b19_tls_server_hello_statistics", _SUPPLIERS + "SELECT sequence_number, CAST(1 AS BIGINT) AS hellos, CAST(1 AS BIGINT) AS with_session_id, CAST(1 AS BIGINT) AS cipher_suites, CAST(0 AS BIGINT) AS extensions FROM c")
+@query("b19_tls_server_hello_statistics", _SUPPLIERS + "SELECT sequence_number, CAST(1 AS BIGINT) AS hellos, CAST(1 AS BIGINT) AS with_session_id, CAST(2 AS BIGINT) AS session_id_bytes, CAST(2 AS INTEGER) AS min_session_id_length, CAST(771 AS INTEGER) AS max_version, CAST(1 AS BIGINT) AS cipher_suites, CAST(0 AS BIGINT) AS extensions, CAST(0 AS INTEGER) AS max_extensions FROM c")
 def tls_server_hello_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.tls_hello_statistics(P.fold_windows(secure_windows(spark, sf_dir)), 2).select("sequence_number", "hellos", "with_session_id", "cipher_suites", "extensions")
+    return P.tls_hello_statistics(P.fold_windows(secure_windows(spark, sf_dir)), 2).select("sequence_number", "hellos", "with_session_id", "session_id_bytes", "min_session_id_length", "max_version", "cipher_suites", "extensions", "max_extensions")
 
 
 @query("b19_tls_server_hello_histograms", "SELECT what, CAST(value AS INTEGER) AS value, CAST((SELECT count(*) FROM supplier) AS BIGINT) AS count FROM (VALUES ('version', 771), ('cipher_suite', 4866), ('compression_method', 0)) AS v(what, value)")
@@ -351,7 +385,7 @@ def tls_server_hello_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("what", "value").agg(F.sum("count").alias("count"))
 
 
-@query("p7_tls_records", _SUPPLIERS + "SELECT sequence_number, is_forward, CAST(22 AS BIGINT) AS code, CAST(CASE WHEN is_forward THEN 43 + 2 * (k % 3 + 1) + CASE WHEN k % 2 = 0 THEN 10 ELSE 0 END ELSE 44 END AS BIGINT) AS length FROM c CROSS JOIN (VALUES (TRUE), (FALSE)) AS v(is_forward)")
+@query("p7_tls_records", _SUPPLIERS + "SELECT sequence_number, is_forward, CAST(22 AS BIGINT) AS code, CAST(CASE WHEN is_forward THEN 43 + 2 * (k % 3 + 1) + CASE WHEN k % 4 = 0 THEN 38 WHEN k % 2 = 0 THEN 10 ELSE 0 END ELSE 44 END AS BIGINT) AS length FROM c CROSS JOIN (VALUES (TRUE), (FALSE)) AS v(is_forward)")
 def tls_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.fold_windows(secure_windows(spark, sf_dir)).where("kind = 'tls_record'").select("sequence_number", "is_forward", "code", "length")
 

