@@ -47,8 +47,8 @@ def flow_tracker(packets: DataFrame) -> DataFrame:
     return packets.groupBy("session", *IDENTITY).agg(F.count(F.lit(1)).alias("packet_count"), F.min("packet_index").alias("first_packet_index"), F.max("packet_index").alias("last_packet_index"))
 
 
-def frontier_violations(packets: DataFrame) -> DataFrame:
-    """Packets that are earlier than one before them in their session.
+def _frontier(packets: DataFrame) -> DataFrame:
+    """Adds the latest time before each packet in its session.
 
     The running maximum comes in two steps: within slices of the packet order,
     and over the slices' maxima, so no task holds a session.
@@ -60,7 +60,12 @@ def frontier_violations(packets: DataFrame) -> DataFrame:
     tops = tops.withColumn("_before", F.max("_top").over(before)).drop("_top")
     inner = Window.partitionBy("session", "_slice").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.greatest(F.max("ts_us").over(inner), F.col("_before"))
-    return sliced.join(tops, ["session", "_slice"]).withColumn("frontier_us", reached).where("ts_us < frontier_us").drop("_slice", "_before")
+    return sliced.join(tops, ["session", "_slice"]).withColumn("frontier_us", reached).drop("_slice", "_before")
+
+
+def frontier_violations(packets: DataFrame) -> DataFrame:
+    """Packets that are earlier than one before them in their session."""
+    return _frontier(packets).where("ts_us < frontier_us")
 
 
 def check_frontier(packets: DataFrame) -> None:
@@ -160,8 +165,8 @@ def sessionize(packets: DataFrame, *, timeout_us: int, max_active: int | None =
 
     Where no session has more identities than ``max_active`` (an exact count),
     nothing can be evicted and windows of different flows are independent.
-    Otherwise a narrow scan of each session in packet order, with a state of
-    ``max_active`` entries, finds the evictions; they become control rows.
+    Otherwise a narrow scan in packet order, with a state of ``max_active``
+    entries, finds the evictions; they become control rows.
 
     Flows are followed in slices of ``slice_packets`` packets of the capture, so
     that a flow with most of them is the work of many tasks.
@@ -169,7 +174,7 @@ def sessionize(packets: DataFrame, *, timeout_us: int, max_active: int | None =
     if max_active is not None:
         many = packets.select("session", *IDENTITY).distinct().groupBy("session").count().where(F.col("count") > max_active).limit(1).count()
         if many:
-            evicted = written(evictions(packets, timeout_us=timeout_us, max_active=max_active, controls=controls), "evictions")
+            evicted = written(evictions(packets, timeout_us=timeout_us, max_active=max_active, controls=controls, slice_packets=slice_packets), "evictions")
             both = evicted if controls is None else evicted.unionByName(controls.withColumn("reason", F.lit(CLOSED_BY_REQUEST)).withColumn("closed_at", F.col("packet_index")), allowMissingColumns=True)
             return _windows(packets, timeout_us, both, slice_packets)
     marked = None if controls is None else controls.withColumn("reason", F.lit(CLOSED_BY_REQUEST)).withColumn("closed_at", F.col("packet_index"))
@@ -237,38 +242,92 @@ class ActiveWindows:
         return victim
 
 
-def evictions(packets: DataFrame, *, timeout_us: int, max_active: int, controls: DataFrame | None = None) -> DataFrame:
+def _scan_slices(narrow: DataFrame, slice_packets: int) -> tuple[DataFrame, bool]:
+    """``slice``: packets that one scan goes through; and whether there may be several of a session.
+
+    Where times rise strictly and nothing is closed on request, the open
+    windows at any place are those of the identities seen last, so a session
+    can be cut anywhere. Any other session stays whole: its ties are decided by
+    numbers, and a request leaves a free place, which both depend on all before.
+    """
+    ends = narrow.agg(F.min("packet_index"), F.max("packet_index")).first()
+    if ends[0] is None or ends[0] // slice_packets == ends[1] // slice_packets:
+        return narrow.withColumn("slice", F.lit(0).cast("bigint")), False
+    level = _frontier(narrow.where("NOT control").select("session", "packet_index", "ts_us")).where("ts_us <= frontier_us").select("session")
+    whole = level.union(narrow.where("control").select("session")).distinct().select(F.col("session").alias("_whole"))
+    marked = narrow.join(whole, F.col("session") == F.col("_whole"), "left")
+    kept = F.col("_whole").isNotNull() | F.col("session").isNull()
+    return marked.withColumn("slice", F.when(kept, 0).otherwise(F.floor(F.col("packet_index") / slice_packets))).drop("_whole"), True
+
+
+def _open_at_start(sliced: DataFrame, limit: int) -> DataFrame:
+    """The identities with an open window at the start of each slice but a session's first, with their last packets.
+
+    Of each slice only the ``limit`` identities seen last matter to those after
+    it; the pass over a session's slices reads and holds no more than those.
+    """
+    lasts = sliced.groupBy("session", "slice", *IDENTITY).agg(F.max("packet_index").alias("packet_index"), F.max("ts_us").alias("ts_us"))
+    latest = Window.partitionBy("session", "slice").orderBy(F.col("packet_index").desc())
+    rows = lasts.withColumn("_place", F.row_number().over(latest)).where(F.col("_place") <= limit).select("session", "slice", "packet_index", "ts_us", *IDENTITY)
+    rows = rows.repartition("session").sortWithinPartitions("session", "slice", "packet_index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, seen = None, {}
+        for batch in batches:
+            for session, number, index, ts, *key in zip(*(c.to_pylist() for c in batch.columns)):
+                if place is None or place[0] != session:
+                    place, seen = (session, number), {}
+                elif place[1] != number:
+                    place, seen = (session, number), dict(list(seen.items())[-limit:])
+                    columns = list(zip(*((session, number, *at, *k) for k, at in seen.items())))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, batch.schema)], names=batch.schema.names)
+                key = tuple(key)
+                seen.pop(key, None)
+                seen[key] = (index, ts)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def evictions(packets: DataFrame, *, timeout_us: int, max_active: int, controls: DataFrame | None = None, slice_packets: int = SLICE) -> DataFrame:
     """Control rows for windows that give way: identity, ``packet_index`` of their last packet, ``closed_at`` and the reason.
 
-    Sequential by nature within a session: rows stream through in packet order, five narrow columns wide.
+    Rows stream through in packet order, a few narrow columns wide: slices of a
+    session beside each other where its open windows at their starts follow
+    from the order of packets alone, a whole session otherwise (``_scan_slices``).
     """
     narrow = packets.select("session", "packet_index", F.lit(False).alias("control"), "ts_us", *IDENTITY)
     if controls is not None:
         narrow = narrow.unionByName(controls.select("session", "packet_index", F.lit(True).alias("control"), F.lit(None).cast("bigint").alias("ts_us"), *IDENTITY))
-    rows = narrow.repartition("session").sortWithinPartitions("session", "packet_index", "control")
+    sliced, several = _scan_slices(narrow, slice_packets)
+    rows = sliced.withColumn("carried", F.lit(False))
+    if several:
+        sliced = written(sliced, "scans")
+        rows = sliced.withColumn("carried", F.lit(False)).unionByName(_open_at_start(sliced.where("NOT control"), max_active).withColumn("control", F.lit(False)).withColumn("carried", F.lit(True)))
+    rows = rows.select("session", "slice", "carried", "packet_index", "control", "ts_us", *IDENTITY)
+    rows = rows.repartition("session", "slice").sortWithinPartitions("session", "slice", F.col("carried").desc(), "packet_index", "control")
     kinds = dict(packets.dtypes)
     schema = "session string, packet_index bigint, closed_at bigint, reason string, " + ", ".join(f"{c} {kinds[c]}" for c in IDENTITY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        session, active, last = None, None, {}
+        place, active, last = None, None, {}
         for batch in batches:
             out = []
             for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
-                name, index, control, ts, *key = row
+                session, number, carried, index, control, ts, *key = row
                 key = tuple(key)
-                if active is None or name != session:
-                    session, active, last = name, ActiveWindows(max_active, timeout_us), {}
+                if place != (session, number):
+                    place, active, last = (session, number), ActiveWindows(max_active, timeout_us), {}
                 if control:
                     active.close(key)
                     continue
                 victim = active.packet(key, ts)
                 last[key] = index
-                if victim is not None:
+                if victim is not None and not carried:
                     out.append((session, last.pop(victim), index, CLOSED_BY_CAPACITY, *victim))
             if out:
                 columns = list(zip(*out))
                 fixed = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())]
-                yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(c, batch.schema.field(4 + k).type) for k, c in enumerate(columns[4:]))], names=["session", "packet_index", "closed_at", "reason", *IDENTITY])
+                yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(c, batch.schema.field(6 + k).type) for k, c in enumerate(columns[4:]))], names=["session", "packet_index", "closed_at", "reason", *IDENTITY])
 
     return rows.mapInArrow(run, schema)
 

@@ -1,7 +1,9 @@
 import json
+import random
 
 import pytest
 from frames import ACK, FIN, SYN, capture, datagram, ethernet, ipv4, ipv6, rows_of, segment, tcp_exchange, udp
+from pyspark.sql import functions as F
 
 from flowlark.operators import detectors as C
 from flowlark.operators import features, flows
@@ -105,6 +107,23 @@ def test_ties_in_time_evict_by_number(spark):
     assert rows == [(0, 0, "capacity"), (1, 1, "capture_session_end"), (2, 3, "capture_session_end")]
 
 
+def test_evictions_in_slices_equal_a_single_scan(spark):
+    pick, records = random.Random(5), []
+    for name, step in (("rising", 1), ("ties", 0), ("closed", 1)):
+        at = 0
+        for k in range(400):
+            at += pick.choice((step, 2, 2, 40))
+            records.append((name, k, at, f"10.0.0.{pick.choice((pick.randrange(4), pick.randrange(30)))}"))
+    packets = spark.createDataFrame(records, "session string, packet_index bigint, ts_us bigint, a string")
+    names = dict(flows.column_types(flows.IDENTITY))
+    fixed = {c: F.lit(None).cast(t) for c, t in names.items()} | {"a_addr": F.col("a").cast("binary")}
+    packets = packets.select("session", "packet_index", "ts_us", *[fixed[c].alias(c) for c in flows.IDENTITY])
+    controls = packets.where("session = 'closed' AND packet_index % 50 = 9").select("session", "packet_index", *flows.IDENTITY)
+    found = [sorted(map(repr, flows.evictions(packets, timeout_us=60, max_active=5, controls=controls, slice_packets=n).collect())) for n in (1 << 20, 1, 7, 150)]
+    assert len(found[0]) > 300
+    assert found[1:] == found[:1] * 3
+
+
 def test_explicit_close(spark):
     records = [(k, datagram(True, b"x")) for k in range(4)]
     packets = flows.with_identity(admitted(decode_packets(observe(spark, records))))
