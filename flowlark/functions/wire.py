@@ -9,6 +9,8 @@ extension headers, never over packets.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 
@@ -18,8 +20,11 @@ IPV4, IPV6 = 0x0800, 0x86DD
 VLAN_TAGS = (0x8100, 0x88A8)
 EXTENSION_HEADERS = (0, 43, 44, 60)
 
-VLAN_TYPE = "array<struct<tpid:int,pcp:int,dei:int,vid:int>>"
-HEADER_TYPE = "array<struct<header_type:int,header_offset:int,declared_length:int,next_header:int,fragment_offset:int,more_fragments:boolean,identification:bigint,reserved:int,reserved_bits:int>>"
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+_VLAN = {"tpid": "int", "pcp": "int", "dei": "int", "vid": "int"}
+_HEADER = {"header_type": "int", "header_offset": "int", "declared_length": "int", "next_header": "int", "fragment_offset": "int", "more_fragments": "boolean", "identification": "bigint", "reserved": "int", "reserved_bits": "int"}
+VLAN_FIELDS, HEADER_FIELDS = ({n: _ARROW[t] for n, t in fields.items()} for fields in (_VLAN, _HEADER))
+VLAN_TYPE, HEADER_TYPE = (f"array<struct<{','.join(f'{n}:{t}' for n, t in fields.items())}>>" for fields in (_VLAN, _HEADER))
 
 #: Columns of a decoded packet and their Spark types.
 DECODED = {
@@ -39,6 +44,42 @@ DECODED = {
 }
 
 
+class Stretch(NamedTuple):
+    """A run of bytes of each packet, and of which packets it is shown."""
+
+    where: np.ndarray
+    offset: np.ndarray | int
+    size: np.ndarray | int
+
+
+class Nested:
+    """Lists of structs, one for each packet, gathered depth by depth."""
+
+    def __init__(self, fields: dict[str, pa.DataType]) -> None:
+        self.fields, self.where = fields, None
+        self.rows: list[np.ndarray] = []
+        self.values: list[dict[str, tuple[np.ndarray, np.ndarray | None]]] = []
+
+    def add(self, rows: np.ndarray, **values: np.ndarray | tuple[np.ndarray, np.ndarray]) -> None:
+        """The next entry of each of ``rows``; a value is given for all packets, with the packets that have one if not all do."""
+        if len(rows):
+            self.rows.append(rows)
+            self.values.append({n: (v[0][rows], v[1][rows]) if isinstance(v, tuple) else (v[rows], None) for n, v in values.items()})
+
+    def array(self, shown: np.ndarray) -> pa.Array:
+        rows = np.concatenate([np.zeros(0, dtype=np.int64), *self.rows])
+        order = np.argsort(rows, kind="stable")
+        order = order[shown[rows[order]]]
+        offsets = np.append(0, np.cumsum(np.bincount(rows[order], minlength=len(shown))))
+        columns = []
+        for name, kind in self.fields.items():
+            value = np.concatenate([np.zeros(0, dtype=np.int64), *(v[name][0] for v in self.values)])[order]
+            has = np.concatenate([np.zeros(0, dtype=bool), *(np.ones(len(v[name][0]), dtype=bool) if v[name][1] is None else v[name][1] for v in self.values)])[order]
+            columns.append(pa.array(value.astype(bool) if pa.types.is_boolean(kind) else value, kind, mask=~has))
+        structs = pa.StructArray.from_arrays(columns, fields=[pa.field(n, t) for n, t in self.fields.items()])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs, mask=pa.array(~shown))
+
+
 class Packets:
     """The bytes of a batch and which packets are still being decoded."""
 
@@ -80,8 +121,8 @@ class Packets:
     def fail(self, where: np.ndarray, classification: str, message) -> None:
         """Take live packets out; ``message`` is a text or a function of the packet's place."""
         at = np.flatnonzero(self.live & where)
-        for k in at.tolist():
-            self.classification[k], self.description[k] = classification, message(k) if callable(message) else message
+        self.classification[at] = classification
+        self.description[at] = [message(k) for k in at.tolist()] if callable(message) else message
         self.live[at] = False
 
     def word_sum(self, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -91,12 +132,22 @@ class Packets:
         even, odd = self.even_sum[b] - self.even_sum[a], self.odd_sum[b] - self.odd_sum[a]
         return np.where(a & 1, odd * 256 + even, even * 256 + odd)
 
-    def slices(self, where: np.ndarray, offset: np.ndarray, size: np.ndarray) -> list[bytes | None]:
-        out: list[bytes | None] = [None] * self.n
-        begin = self.start + offset
-        for k in np.flatnonzero(where).tolist():
-            out[k] = self.data[begin[k] : begin[k] + size[k]].tobytes()
-        return out
+    def any_set(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether a byte from ``begin`` to before ``end``, places in the batch, is not zero."""
+        return (self.even_sum[end] + self.odd_sum[end]) - (self.even_sum[begin] + self.odd_sum[begin]) > 0
+
+    def slices(self, stretch: Stretch, shown: np.ndarray) -> pa.Array:
+        """The bytes of a stretch; null where it is not shown. Each lies within its packet, so that all are one pass over the batch."""
+        shown = stretch.where & shown
+        size = np.where(shown, np.clip(stretch.size, 0, np.maximum(self.length - stretch.offset, 0)), 0)
+        begin = (self.start + stretch.offset)[size > 0]
+        edge = np.zeros(len(self.data) + 1, dtype=np.int8)
+        edge[begin] += 1
+        edge[begin + size[size > 0]] -= 1
+        inside = np.cumsum(edge, dtype=np.int8)[:-1].astype(bool)
+        offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+        valid = np.packbits(shown, bitorder="little")
+        return pa.Array.from_buffers(pa.binary(), self.n, [pa.py_buffer(valid), pa.py_buffer(offsets), pa.py_buffer(self.data[inside])])
 
 
 def folded(total: np.ndarray) -> np.ndarray:
@@ -112,10 +163,9 @@ def _check_options(p: Packets, where: np.ndarray, offset: np.ndarray, size: np.n
     while open_.any():
         kind, length = p.byte(offset + at), p.byte(offset + at + 1)
         ended = open_ & (kind == 0)
-        rest = p.start + offset + at
-        stop = p.start + offset + size
+        rest, stop = (p.start + offset + at)[ended], (p.start + offset + size)[ended]
         padded = np.zeros(p.n, dtype=bool)
-        padded[ended] = [bool(p.data[a:b].any()) for a, b in zip(rest[ended], stop[ended])]
+        padded[ended] = p.any_set(rest, stop)
         p.fail(padded, STRUCTURAL, f"{name} option padding must be zero")
         open_ &= ~ended
         single = open_ & (kind == 1)
@@ -136,7 +186,7 @@ def _link_layer(p: Packets, link: np.ndarray, out: dict) -> tuple[np.ndarray, np
     p.fail(~(ethernet | raw | cooked), UNSUPPORTED, "Packet analysis requires LinkType 1, 101 or 113")
     p.fail(ethernet & (p.length < 14), INCOMPLETE, lambda k: f"Ethernet frame is too short: expected at least 14 bytes, got {p.length[k]}")
     kind, offset = p.number(12, 2), np.where(ethernet, 14, 0)
-    tags: list[list[dict]] = [[] for _ in range(p.n)]
+    tags = Nested(VLAN_FIELDS)
     for depth in range(3):
         tagged = p.live & ethernet & np.isin(kind, VLAN_TAGS)
         if depth == 2:
@@ -145,9 +195,7 @@ def _link_layer(p: Packets, link: np.ndarray, out: dict) -> tuple[np.ndarray, np
         p.fail(tagged & (p.length < offset + 4), INCOMPLETE, lambda k: f"Ethernet VLAN tag is too short: expected at least {offset[k] + 4} bytes, got {p.length[k]}")
         tagged &= p.live
         control, after = p.number(offset, 2), p.number(offset + 2, 2)
-        for k in np.flatnonzero(tagged).tolist():
-            c = int(control[k])
-            tags[k].append({"tpid": int(kind[k]), "pcp": c >> 13, "dei": c >> 12 & 1, "vid": c & 0xFFF})
+        tags.add(np.flatnonzero(tagged), tpid=kind, pcp=control >> 13, dei=control >> 12 & 1, vid=control & 0xFFF)
         kind, offset = np.where(tagged, after, kind), offset + 4 * tagged
     p.fail(raw & (p.length < 1), INCOMPLETE, lambda k: f"Raw IP packet is too short: expected at least 1 byte, got {p.length[k]}")
     version = p.byte(0) >> 4
@@ -157,9 +205,9 @@ def _link_layer(p: Packets, link: np.ndarray, out: dict) -> tuple[np.ndarray, np
     kind, offset = np.where(cooked, p.number(14, 2), kind), np.where(cooked, 16, offset)
     seen = p.live & ethernet
     out["ether_type"] = (kind, p.live.copy())
-    out["eth_destination"] = p.slices(seen, np.zeros(p.n, dtype=np.int64), np.full(p.n, 6))
-    out["eth_source"] = p.slices(seen, np.full(p.n, 6), np.full(p.n, 6))
-    out["vlan_tags"] = [t if s else None for t, s in zip(tags, seen)]
+    out["eth_destination"], out["eth_source"] = Stretch(seen, 0, 6), Stretch(seen, 6, 6)
+    tags.where = seen
+    out["vlan_tags"] = tags
     p.fail(~np.isin(kind, (IPV4, IPV6)), UNSUPPORTED, "Packet analysis requires IPv4 EtherType 0x0800 or IPv6 EtherType 0x86DD")
     return kind, offset
 
@@ -178,7 +226,7 @@ def _ipv4(p: Packets, v4: np.ndarray, at: np.ndarray, out: dict) -> tuple[np.nda
     ok, place = v4 & p.live, p.number(at + 6, 2)
     for name, value in (("ihl", ihl), ("dscp", p.byte(at + 1) >> 2), ("ecn", p.byte(at + 1) & 3), ("total_length", total), ("identification", p.number(at + 4, 2)), ("ip_flags", place >> 13), ("fragment_offset", place & 0x1FFF), ("ip_checksum", p.number(at + 10, 2))):
         out[name] = (value, ok)
-    out["ip_options"] = p.slices(ok, at + 20, header - 20)
+    out["ip_options"] = Stretch(ok, at + 20, header - 20)
     field = p.number(at + 10, 2)
     valid = (~folded(p.word_sum(at, np.where(ok, header, 0)) - field) & 0xFFFF) == field
     out["ipv4_checksum_valid"] = (valid, ok)
@@ -191,7 +239,7 @@ def _ipv6(p: Packets, v6: np.ndarray, at: np.ndarray, out: dict) -> tuple[np.nda
     p.fail(v6 & (word >> 28 != 6), STRUCTURAL, "IPv6 version must be 6")
     p.fail(v6 & (size + 40 > room), INCOMPLETE, "IPv6 payload length exceeds available bytes")
     base, used, kind = at + 40, np.zeros(p.n, dtype=np.int64), p.byte(at + 6)
-    chains: list[list[dict]] = [[] for _ in range(p.n)]
+    chains = Nested(HEADER_FIELDS)
     open_, later, whole = v6 & p.live & np.isin(kind, EXTENSION_HEADERS), np.zeros(p.n, dtype=bool), np.ones(p.n, dtype=bool)
     while open_.any():
         fragment = kind == 44
@@ -201,9 +249,7 @@ def _ipv6(p: Packets, v6: np.ndarray, at: np.ndarray, out: dict) -> tuple[np.nda
         p.fail(open_ & (used + declared > size), INCOMPLETE, "IPv6 extension header length exceeds available IPv6 payload")
         open_ &= p.live
         after, place, ident, spare = p.byte(base + used), p.number(base + used + 2, 2), p.number(base + used + 4, 4), p.byte(base + used + 1)
-        for k in np.flatnonzero(open_).tolist():
-            f, w = bool(fragment[k]), int(place[k])
-            chains[k].append({"header_type": int(kind[k]), "header_offset": int(40 + used[k]), "declared_length": int(declared[k]), "next_header": int(after[k]), "fragment_offset": w >> 3 if f else None, "more_fragments": bool(w & 1) if f else None, "identification": int(ident[k]) if f else None, "reserved": int(spare[k]) if f else None, "reserved_bits": w >> 1 & 3 if f else None})
+        chains.add(np.flatnonzero(open_), header_type=kind, header_offset=40 + used, declared_length=declared, next_header=after, fragment_offset=(place >> 3, fragment), more_fragments=(place & 1, fragment), identification=(ident, fragment), reserved=(spare, fragment), reserved_bits=(place >> 1 & 3, fragment))
         stop = open_ & fragment & (place >> 3 > 0)
         later |= stop
         whole &= ~(open_ & fragment & ((place >> 3 > 0) | (place & 1 == 1)))
@@ -212,7 +258,8 @@ def _ipv6(p: Packets, v6: np.ndarray, at: np.ndarray, out: dict) -> tuple[np.nda
     ok = v6 & p.live
     for name, value in (("traffic_class", word >> 20 & 0xFF), ("flow_label", word & 0xFFFFF), ("payload_length", size), ("next_header", p.byte(at + 6))):
         out[name] = (value, ok)
-    out["extension_headers"] = [c if s else None for c, s in zip(chains, ok)]
+    chains.where = ok
+    out["extension_headers"] = chains
     return base + used, size - used, kind, later, whole
 
 
@@ -280,11 +327,11 @@ def decode(link_type: pa.Array, raw: pa.Array) -> pa.RecordBatch:
     # the place in their datagram of packets that succeed, and of later fragments whose header holds
     later4 = headed & out["ipv4_checksum_valid"][0] & (offset4 > 0) & np.isin(protocol, (1, 6, 17)) & (p.classification == UNSUPPORTED)
     placed = (v4 & ok) | later4
-    out |= {"ip_version": (family, ok), "protocol": (protocol, ok), "hop_limit": (hops, ok), "src_addr": p.slices(ok, source, width), "dst_addr": p.slices(ok, source + width, width)}
+    out |= {"ip_version": (family, ok), "protocol": (protocol, ok), "hop_limit": (hops, ok), "src_addr": Stretch(ok, source, width), "dst_addr": Stretch(ok, source + width, width)}
     ports = tcp | udp
     out |= {"src_port": (p.number(body, 2), ports), "dst_port": (p.number(body + 2, 2), ports), "tcp_seq": (p.number(body + 4, 4), tcp), "tcp_ack": (p.number(body + 8, 4), tcp), "data_offset": (control >> 12, tcp), "reserved_bits": (control >> 9 & 7, tcp)}
     out |= {name: (control >> bit & 1 == 1, tcp) for bit, name in enumerate(("fin", "syn", "rst", "psh", "ack", "urg", "ece", "cwr", "ns"))}
-    out |= {"tcp_window": (p.number(body + 14, 2), tcp), "urgent_pointer": (p.number(body + 18, 2), tcp), "tcp_options": p.slices(tcp & ok, body + 20, header - 20)}
+    out |= {"tcp_window": (p.number(body + 14, 2), tcp), "urgent_pointer": (p.number(body + 18, 2), tcp), "tcp_options": Stretch(tcp & ok, body + 20, header - 20)}
     icmp = icmp4 | icmp6
     shown = field.copy()
     shown[v6 & tcp], shown[v6 & udp], shown[icmp6] = p.number(body + 16, 2)[v6 & tcp], p.number(body + 6, 2)[v6 & udp], p.number(body + 2, 2)[icmp6]
@@ -292,26 +339,26 @@ def decode(link_type: pa.Array, raw: pa.Array) -> pa.RecordBatch:
     echo = (icmp4 & np.isin(p.byte(body), (0, 8))) | (icmp6 & np.isin(p.byte(body), (128, 129)) & (size >= 8))
     out["icmp_echo_id"] = (p.number(body + 4, 2), echo)
     skip = np.where(tcp, header, np.where(udp, 8, np.where(icmp4, 8, np.where(icmp6, 4, 0))))
-    out["payload"] = p.slices(ok, body + skip, np.maximum(np.where(udp, stated, size) - skip, 0))
+    out["payload"] = Stretch(ok, body + skip, np.maximum(np.where(udp, stated, size) - skip, 0))
     out["is_fragment"] = (np.where(v4, (place >> 13 & 1 == 1) | (offset4 > 0), ~whole), ok)
     out["admitted"] = (tcp | udp | icmp, ok)
     out |= {"placed_protocol": (protocol, placed), "placed_flags": (place >> 13, placed), "placed_offset": (offset4, placed)}
 
     arrays = []
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
-    nested = {VLAN_TYPE: pa.list_(pa.struct([(n, pa.int32()) for n in ("tpid", "pcp", "dei", "vid")])), HEADER_TYPE: pa.list_(pa.struct([("header_type", pa.int32()), ("header_offset", pa.int32()), ("declared_length", pa.int32()), ("next_header", pa.int32()), ("fragment_offset", pa.int32()), ("more_fragments", pa.bool_()), ("identification", pa.int64()), ("reserved", pa.int32()), ("reserved_bits", pa.int32())]))}
     # a packet that failed shows its classification and message only
     for name, kind_ in DECODED.items():
         if name == "failure_classification":
             arrays.append(pa.array(p.classification.tolist(), pa.string()))
         elif name == "failure_description":
             arrays.append(pa.array(p.description.tolist(), pa.string()))
-        elif isinstance(out[name], tuple):
+        elif isinstance(out[name], Stretch):
+            arrays.append(p.slices(out[name], ok))
+        elif isinstance(out[name], Nested):
+            arrays.append(out[name].array(out[name].where & ok))
+        else:
             value, mask = out[name]
             shown_mask = mask & (ok | placed)
             if not name.startswith("placed_"):
                 shown_mask &= ok
-            arrays.append(pa.array(value.astype(bool) if kind_ == "boolean" else value, kinds[kind_], mask=~shown_mask))
-        else:
-            arrays.append(pa.array([v if o else None for v, o in zip(out[name], ok)], nested.get(kind_) or kinds[kind_]))
+            arrays.append(pa.array(value.astype(bool) if kind_ == "boolean" else value, _ARROW[kind_], mask=~shown_mask))
     return pa.RecordBatch.from_arrays(arrays, names=list(DECODED))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,17 +19,33 @@ class InadmissiblePacket(FlowError):
     """A packet that decodes but belongs to no flow, in strict mode."""
 
 
+#: Bytes of packets that are decoded at once; the decoder holds some thirty for each.
+DECODED_BYTES = 1 << 22
+
+
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``DECODED_BYTES`` of packets, a larger packet alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + DECODED_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def decode_packets(observations: DataFrame) -> DataFrame:
     """Adds the decoded columns (null where a layer is absent) and the classification of packets that fail.
 
-    One Arrow pass, no shuffle; ``raw_bytes`` does not come back from Python.
+    One Arrow pass, no shuffle, some bytes at a time; ``raw_bytes`` does not
+    come back from Python.
     """
     kept = [c for c in observations.columns if c not in DECODED]
     rows = observations.select(*[c for c in kept if c != "raw_bytes"], F.col("raw_bytes").alias("_raw"))
     names = [c for c in rows.columns if c != "_raw"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _pieces(whole, len(names))):
             try:
                 found = decode(batch.column(names.index("link_type")), batch.column(len(names)))
             except Exception as error:  # every property of a packet has a classification

@@ -385,3 +385,25 @@ def test_harness():
     assert harness.diagnose(KeyError("x"), operation_id="o", message="m").category == "unclassified_failure"
     assert PSH == 8
     assert FIN == 1
+
+
+def test_decoded_columns_of_slices_and_lists_keep_their_packets():
+    tagged = ethernet(ipv4(17, udp(b"abc")))
+    tagged = tagged[:12] + b"\x81\x00\x20\x05" + tagged[12:]
+    chained = ethernet(ipv6(0, bytes([44, 0, 1, 4, 0, 0, 0, 0, 17, 0, 0, 1, 0, 0, 0, 9]) + udp(b"defg")))
+    rows = decode(None, tagged, b"", chained, tagged[:40], ethernet(ipv4(6, tcp(SYN, options=b"\x02\x04\x05\xb4"))), ethernet(ipv4(17, udp(b""))))
+    assert [r["payload"] for r in rows] == [None, b"abc", None, b"defg", None, b"", b""]  # a first fragment has its ports
+    assert [r["vlan_tags"] for r in rows] == [None, [{"tpid": 0x8100, "pcp": 1, "dei": 0, "vid": 5}], None, [], None, [], []]
+    assert rows[5]["tcp_options"] == b"\x02\x04\x05\xb4"
+    assert [(h["header_type"], h["next_header"], h["fragment_offset"], h["more_fragments"], h["identification"]) for h in rows[3]["extension_headers"]] == [(0, 44, None, None, None), (44, 17, 0, True, 9)]
+
+
+def test_packets_are_decoded_some_bytes_at_a_time():
+    from flowlark.operators import decoding
+
+    sizes = [10, decoding.DECODED_BYTES + 1, 5, None, decoding.DECODED_BYTES - 4, 7, 0]
+    batch = pa.record_batch([pa.array([None if n is None else b"x" * n for n in sizes], pa.binary())], names=["raw"])
+    parts = list(decoding._pieces(batch, 0))
+    assert [p.num_rows for p in parts] == [1, 1, 2, 1, 2]
+    assert pa.Table.from_batches(parts).column(0).to_pylist() == batch.column(0).to_pylist()
+    assert list(decoding._pieces(batch.slice(0, 0), 0)) == []
