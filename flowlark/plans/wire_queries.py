@@ -26,6 +26,16 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+#: Tables below this size may be one row group, which is one task whatever the number of cores.
+SMALL_TABLE = 1 << 28
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """A small table's narrow rows on all cores, before they become packets; a larger one has row groups enough and stays where it lies."""
+    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size < SMALL_TABLE else table
+
+
 def _hex(value: Column, size: int) -> Column:
     return F.lpad(F.hex(value.cast("bigint")), 2 * size, "0")
 
@@ -48,7 +58,7 @@ def order_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     Orders divisible by 7 have a wrong header checksum; a fifth line loses the
     last byte of its packet.
     """
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
+    t = dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q")))
     key, line, size = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint"), F.col("q")
     udp = key % 2 == 0
     protocol = F.when(udp, F.lit(17)).otherwise(F.lit(6)).cast("bigint")
@@ -125,7 +135,7 @@ def order_frames_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
     with reserved bits, or later, by key % 4. Of the others those of even orders
     in lines 1, 4, ... have two Destination Options headers.
     """
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
+    t = dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q")))
     key, line, size = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint"), F.col("q")
     chained, twice = line % 3 == 0, (line % 3 == 1) & (key % 2 == 0)
     first = F.when(chained, F.lit("00")).when(twice, F.lit("3C")).otherwise(F.lit("11"))
@@ -185,7 +195,7 @@ def name_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
     with the opposite ports; its id is the key's lower 16 bits,
     its code key % 3.
     """
-    t = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    t = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
     key = F.col("o_orderkey")
     label = F.concat(F.lit("o"), key.cast("string"))
     question = F.concat(_hex(F.length(label), 1), F.hex(label), F.lit("076578616D706C6500"), F.lit("00010001"))
