@@ -56,10 +56,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Bytes of a row group of staged tables. A task holds one of those it reads and one of those it writes on the heap; Spark's 128 MB is more than a core may have.
+ROW_GROUP = 1 << 24
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -34,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlark.llm.common import binary_values, byte_slices, discard, grouped, stage_table
@@ -323,15 +323,13 @@ def _searchable(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     heads = stage_table(heads.select("cls", "n_shingles", "keep", "tokens", "bits"), "heads")
     discard(index)
 
-    postings = heads.select("cls", F.explode("tokens").alias("token"))
+    postings = heads.select("cls", (F.size("tokens") - F.col("keep")).alias("spare"), F.explode("tokens").alias("token"))
     lists = postings.groupBy("token", F.pmod("token", F.lit(2)).alias("h")).agg(F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("cls")).alias("list")).where("df > 1")
     shared = postings.join(lists.select("token", "df", "list"), "token")
-    # the rarest tokens of each document; those that no other document has come first and need no list
-    picked = shared.groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("df", "list", "token"))).alias("rare"), F.count(F.lit(1)).alias("n_shared"))
-    picked = picked.join(heads.select("cls", "n_shingles", "keep", F.size("tokens").alias("n_index"), "bits"), "cls")
-    wanted = F.greatest(F.lit(0), F.col("keep") - (F.col("n_index") - F.col("n_shared"))).cast("int")
-    picked = picked.select("cls", "n_shingles", "bits", F.array_distinct(F.transform(F.slice("rare", F.lit(1), wanted), lambda x: F.struct(x["df"].alias("df"), x["list"].alias("list")))).alias("lists"))
-    entries = picked.select("cls", "n_shingles", "bits", F.explode("lists").alias("l")).select("cls", "n_shingles", "bits", "l.df", "l.list")
+    # the rarest tokens of each document, all but the ``spare`` most frequent ones; those that no other document has come first and need no list
+    commonest = Window.partitionBy("cls").orderBy(F.desc("df"), F.desc("list"), F.desc("token"))
+    rare = shared.withColumn("place", F.row_number().over(commonest)).where("place > spare").select("cls", "list").distinct()
+    entries = rare.join(heads.select("cls", "n_shingles", "bits"), "cls").select("cls", "n_shingles", "bits", "list")
     several = entries.groupBy("list", F.pmod("list", F.lit(2)).alias("h")).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     entries = stage_table(entries.join(several.select("list", "m"), "list"), "entries")
     discard(heads)
