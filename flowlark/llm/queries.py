@@ -12,7 +12,9 @@ from flowlark.llm.bpe import bpe_round_trip
 from flowlark.llm.chat import format_conversations
 from flowlark.llm.common import table
 from flowlark.llm.decontaminate import contaminated_pairs
+from flowlark.llm.dedup import duplicate_groups
 from flowlark.llm.licenses import CUES, NAMED, PARTING, TEMPLATES, license_scan
+from flowlark.llm.negatives import hard_negatives
 from flowlark.llm.ngram_join import ngram_jaccard_join
 from flowlark.llm.quality_classifier import quality_scores
 from flowlark.llm.rules import quality_report
@@ -62,6 +64,15 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents").withColumn("path", path))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label").cast("long") + 1, F.lit(10))).otherwise(F.col("label").cast("long"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op6_byte_level_bpe": op6_byte_level_bpe,
@@ -73,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_license_scans": op8_license_scans,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 OP1_SQL = r"""
@@ -172,4 +185,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_license_scans": OP8_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
+r AS (SELECT *, row_number() OVER w AS k, first_value(doc_id) OVER w AS keep_id FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
+SELECT doc_id, keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, k = 1 AS kept, text_sha256 FROM r
+"""
+
+#: Sums of products of integers below 2^53, exact as doubles.
+OP13_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score FROM e a JOIN e r ON a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT anchor_id, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k FROM s WHERE same AND anchor_id <> other_id) WHERE k <= 5),
+n AS (SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+      FROM p JOIN s ON p.anchor_id = s.anchor_id WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_license_scans": OP8_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL, "op12_exact_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
