@@ -17,6 +17,7 @@ from flowlark.llm.licenses import CUES, NAMED, PARTING, TEMPLATES, license_scan
 from flowlark.llm.negatives import hard_negatives
 from flowlark.llm.ngram_join import ngram_jaccard_join
 from flowlark.llm.quality_classifier import quality_scores
+from flowlark.llm.repair import damaged, repair_conversations, with_untouched
 from flowlark.llm.rules import quality_report
 from flowlark.llm.token_counts import token_counts
 from flowlark.llm.toxicity import toxicity_scores
@@ -64,6 +65,11 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents").withColumn("path", path))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return with_untouched(repair_conversations(damaged(conversations)), conversations)
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_license_scans": op8_license_scans,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -185,6 +192,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM s
 """
 
+#: CRC-32 bit by bit; least paths by recursion over the rows of all conversations at once; the audit read back letter by letter.
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS key FROM conversations),
+lots AS (SELECT *, xor(list_reduce(list_transform(key, lambda ch: CAST(ord(ch) AS BIGINT)), lambda crc, byte: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), xor(crc, byte)), CAST(4294967295 AS BIGINT)), 4294967295) % 20 AS lot FROM keyed),
+m AS (SELECT conv_id, turn, CASE lot WHEN 4 THEN 'user' ELSE role END AS role, CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM lots, (VALUES (0), (1)) t(again) WHERE lot <> 0 AND (again = 0 OR lot = 3)),
+o AS (SELECT *, row_number() OVER w AS i, rtrim(text, E' \t\n\x0B\x0C\r') AS bare, lead(role) OVER w AS following FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+r AS (SELECT *, left(role, 1) AS cls, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM o),
+ins(a, b, price, label) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (1, 2, 3, 'I'), (2, 3, 3, 'I'), (3, 2, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')),
+keep(a, cls, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+arcs AS (SELECT i.a, f.fault, x.cls, CASE x.edit WHEN 'D' THEN i.b WHEN 'K' THEN k.b ELSE CASE i.b WHEN 2 THEN 3 ELSE 2 END END AS b, i.price + CASE x.edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN f.fault = 't' AND x.edit <> 'D' THEN 3 ELSE 0 END AS price, i.label || x.edit AS label
+         FROM ins i, (VALUES ('b'), ('d'), ('t'), ('-')) f(fault), (SELECT * FROM (VALUES ('s'), ('u'), ('a'), ('x')) c(cls), (VALUES ('D'), ('K'), ('R')) e(edit)) x LEFT JOIN keep k ON k.a = i.b AND k.cls = x.cls
+         WHERE x.edit = 'D' OR (f.fault NOT IN ('b', 'd') AND (x.edit = 'R' OR k.b IS NOT NULL))),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+least AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, {'c': CAST(0 AS BIGINT), 'l': ''} AS w FROM convs
+          UNION ALL SELECT l.conv_id, l.i + 1, arcs.b, min({'c': l.w.c + arcs.price, 'l': l.w.l || arcs.label}) FROM least l JOIN r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i + 1
+          JOIN arcs ON arcs.a = l.state AND arcs.fault = r.fault AND arcs.cls = CASE WHEN r.cls IN ('s', 'u', 'a') THEN r.cls ELSE 'x' END GROUP BY 1, 2, 3),
+counts AS (SELECT conv_id, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+                  count(*) FILTER (following IS NOT NULL AND cls || left(following, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+best AS (SELECT l.conv_id, min({'c': l.w.c + ins.price, 'l': l.w.l || ins.label}) AS w FROM least l LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM l.conv_id JOIN ins ON ins.a = l.state AND ins.b IN (0, 3) WHERE l.i = coalesce(n.n, 0) GROUP BY 1),
+letters AS (SELECT conv_id, j, w.l[j] AS edit FROM (SELECT conv_id, w, unnest(range(1, length(w.l) + 1)) AS j FROM best)),
+steps AS (SELECT *, sum(CASE WHEN edit = 'I' THEN 0 ELSE 1 END) OVER w AS i, sum(CASE WHEN edit = 'D' THEN 0 ELSE 1 END) OVER w AS e FROM letters WINDOW w AS (PARTITION BY conv_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+given AS (SELECT s.*, r.role, CASE WHEN edit = 'I' THEN '' ELSE r.text END AS text, max(CASE WHEN e = 1 AND edit = 'K' AND r.cls = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY s.conv_id) AS led FROM steps s LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i AND edit <> 'I' WHERE edit <> 'D'),
+repaired AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (e - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS t FROM given GROUP BY 1)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, b.w.c AS cost, b.w.l AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM convs c JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 OP12_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),
 r AS (SELECT *, row_number() OVER w AS k, first_value(doc_id) OVER w AS keep_id FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id))
@@ -202,4 +236,4 @@ n AS (SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score,
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_license_scans": OP8_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL, "op12_exact_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_license_scans": OP8_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL, "op11_conversation_repair": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
