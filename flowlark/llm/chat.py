@@ -30,7 +30,7 @@ def _level(line: Column) -> Column:
 
 
 def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), r"[ \t\n\x0B\f\r]+", " "))
 
 
 def _key(text: Column) -> Column:
@@ -45,14 +45,15 @@ def parse_quotes(messages: DataFrame, *, text_col: str = "text") -> DataFrame:
     lines = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"\r?\n", -1)
     parsed = F.transform(lines, lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, _PREFIX + r" ?", "").alias("text")))
     df = messages.withColumn("_lines", parsed)
-    # one text of all lines, each passage behind a mark that no line can hold (a line end)
-    marked = F.transform("_lines", lambda x, i: F.when((i > 0) & (F.get("_lines", i - 1)["level"] == x["level"]), F.concat(F.lit("\n"), x["text"])).otherwise(F.concat(F.lit("\n\n\r"), x["level"].cast("string"), F.lit("\r"), x["text"])))
-    df = df.withColumn("_runs", F.split(F.substring(F.array_join(marked, ""), 4, 2147483647), "\n\n\r", -1))
-    runs = F.transform("_runs", lambda x: F.struct(F.substring_index(x, "\r", 1).cast("int").alias("level"), F.substring(x, F.instr(x, "\r") + 1, F.lit(2147483647)).alias("text")))
+    # a passage is the slice of lines from one change of level to the next
+    changed = lambda i: (i == 0) | (F.get("_lines", i)["level"] != F.get("_lines", i - 1)["level"])
+    df = df.withColumn("_starts", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), changed))
+    held = lambda s, k: F.slice("_lines", s + 1, F.coalesce(F.get("_starts", k + 1), F.size("_lines")) - s)
+    runs = F.transform("_starts", lambda s, k: F.struct(F.get("_lines", s)["level"].alias("level"), F.array_join(F.transform(held(s, k), lambda x: x["text"]), "\n").alias("text")))
     df = df.withColumn("_passages", runs)
     body = F.array_join(F.transform(F.filter("_passages", lambda x: x["level"] == 0), lambda x: x["text"]), "\n")
     quoted = F.filter("_passages", lambda x: (x["level"] > 0) & (F.length(F.trim(x["text"])) > 0))
-    return df.withColumn("body", F.regexp_replace(body, r"^\n+|\n+$", "")).withColumn("passages", quoted).drop("_lines", "_runs", "_passages")
+    return df.withColumn("body", F.regexp_replace(body, r"^\n+|\n+\z", "")).withColumn("passages", quoted).drop("_lines", "_starts", "_passages")
 
 
 def link_quotes(parsed: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn") -> DataFrame:
