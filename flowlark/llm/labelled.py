@@ -17,7 +17,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, *,
     ``rows`` bounds what is learned from and what is broadcast; the documents
     taken are those with the smallest hashes of their ids, so a sample is the
     same whatever the order and the number of partitions. Null labels count as
-    no label; of several labels of one document the largest counts.
+    no label; of several labels of one document the largest counts, of several
+    texts under one id the least (null last), and repeated rows count once.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
@@ -26,4 +27,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, *,
     known = known.where(place < min(cells, int(cells * 2 * rows / n) + 1))
     chosen = known.orderBy(place, "doc_id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    # a document that is repeated goes once; minima are taken where the rows lie, before anything is dealt
+    least = F.min(F.struct(F.col("text").isNull().alias("none"), "text"))
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(least.alias("t")).select("doc_id", F.col("t")["text"].alias("text"), "label")
