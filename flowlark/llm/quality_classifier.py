@@ -49,7 +49,7 @@ def _index(words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 def context_sums(column: pa.Array) -> np.ndarray:
     """The sketch of the neighbours' index vectors of each word, over the texts of the column."""
     words, bounds = word_tokens(*text_buffer(column))
-    total = np.zeros(_SIZE, dtype=np.float32)
+    total = np.zeros(_SIZE)
     if len(words) < 2:
         return total
     apart = np.zeros(len(words) + 1, dtype=bool)
@@ -59,7 +59,7 @@ def context_sums(column: pa.Array) -> np.ndarray:
     for row, sign in cells:
         for place, value in index:
             for a, b in ((left, left + 1), (left + 1, left)):
-                total += np.bincount(row[a] * DIMENSION + place[b], sign[a] * value[b], _SIZE).astype(np.float32)
+                total += np.bincount(row[a] * DIMENSION + place[b], sign[a] * value[b], _SIZE)
     return total
 
 
@@ -74,14 +74,14 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _in_parts(sums: dict[int, np.ndarray], salt: int) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([salt] * len(sums), pa.int64()), pa.array(list(sums), pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["salt", "part", "sums"])
+    return pa.record_batch([pa.array([salt] * len(sums), pa.int64()), pa.array(list(sums), pa.int64()), pa.array([x.astype(np.float64).tobytes() for x in sums.values()], pa.binary())], names=["salt", "part", "sums"])
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, sums in zip(batch.column(1).to_pylist(), batch.column(2)):
-            held[part] = held.get(part, 0) + np.frombuffer(sums.as_buffer(), dtype=np.float32).astype(float)
+            held[part] = held.get(part, 0) + np.frombuffer(sums.as_buffer(), dtype=np.float64)
     if held:
         yield _in_parts(held, 0)
 
@@ -104,7 +104,7 @@ class WordVectors:
 def word_vectors(docs: DataFrame, *, text_col: str = "text") -> WordVectors:
     """Word vectors by random indexing over all documents.
 
-    Each task sums in place; the sums, of a fixed size (4 MB), are added in two
+    Each task sums in place; the sums, of a fixed size (8 MB, exact to 2^53), are added in two
     steps, so the driver gets 16 parts, however many tasks there are.
     """
     schema = "salt long, part long, sums binary"
@@ -112,7 +112,7 @@ def word_vectors(docs: DataFrame, *, text_col: str = "text") -> WordVectors:
     parts = parts.repartition(_PARTS * 2, "salt", "part").mapInArrow(_added, schema).repartition(_PARTS, "part").mapInArrow(_added, schema).collect()
     total = np.zeros((_PARTS, _SIZE // _PARTS))
     for r in parts:
-        total[r["part"]] += np.frombuffer(r["sums"], dtype=np.float32)
+        total[r["part"]] += np.frombuffer(r["sums"], dtype=np.float64)
     rows = total.reshape(TABLES * CELLS, DIMENSION)
     lengths = np.linalg.norm(rows, axis=1)
     return WordVectors((rows / np.maximum(lengths, 1e-9)[:, None]).astype(np.float32), lengths)
@@ -133,7 +133,7 @@ def document_vectors(column: pa.Array, vectors: WordVectors) -> np.ndarray:
             rows = known[own]
             every, each = (n.astype(np.float32) @ rows) / (b - a), rows.mean(axis=0)
             out[i, :DIMENSION], out[i, DIMENSION : 2 * DIMENSION] = every, each
-            out[i, 2 * DIMENSION :] = np.linalg.norm(every), np.linalg.norm(each), min(1.0, len(own) / min(b - a, 200))
+            out[i, 2 * DIMENSION :] = np.linalg.norm(every), np.linalg.norm(each), len(own) / (b - a)
     return out
 
 
