@@ -122,6 +122,8 @@ class ByteBpe:
         """The bytes of the ids, by the inverse of the byte mapping."""
         if len(ids) == 0:
             return b""
+        if ids.min() < 0 or ids.max() >= len(self.lengths):
+            raise ValueError("an id is outside of the vocabulary")
         lengths = self.lengths[ids]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - lengths), lengths)
