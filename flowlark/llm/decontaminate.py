@@ -53,6 +53,39 @@ def _free(marked: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(total[size:] == total[:-size]) if len(marked) >= size else np.zeros(0, dtype=np.int64)
 
 
+_HITS = 1 << 20  # pairs of equal windows that are looked at together
+
+
+def _matches(pattern: np.ndarray, text: np.ndarray, in_pattern: np.ndarray, in_text: np.ndarray, hash_p: RunningHash, hash_t: RunningHash, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal unmarked matches of ``size`` words or more: starts in both sequences, in order, and lengths."""
+    free_p, free_t = _free(in_pattern, size), _free(in_text, size)
+    none = np.zeros(0, dtype=np.int64)
+    if not len(free_p) or not len(free_t):
+        return none, none, none
+    have_p, have_t = hash_p.windows(size)[free_p], hash_t.windows(size)[free_t]
+    order = np.argsort(have_t, kind="stable")
+    have_t, places = have_t[order], free_t[order]
+    lo, hi = np.searchsorted(have_t, have_p, "left"), np.searchsorted(have_t, have_p, "right")
+    hit = np.flatnonzero(hi > lo)
+    found = []
+    for k in hit.tolist():
+        for a in range(int(lo[k]), int(hi[k]), _HITS):
+            j = places[a : min(int(hi[k]), a + _HITS)]
+            i = np.full(len(j), free_p[k])
+            before = (i > 0) & (j > 0)
+            before[before] = (pattern[i[before] - 1] == text[j[before] - 1]) & ~in_pattern[i[before] - 1] & ~in_text[j[before] - 1]
+            i, j = i[~before], j[~before]  # the others are part of a match that begins earlier
+            n, live = np.zeros(len(i), dtype=np.int64), np.arange(len(i))
+            while len(live):  # all matches grow by a word at a time
+                x, y = i[live] + n[live], j[live] + n[live]
+                live, x, y = (v[(x < len(pattern)) & (y < len(text))] for v in (live, x, y))
+                live = live[(pattern[x] == text[y]) & ~in_pattern[x] & ~in_text[y]]
+                n[live] += 1
+            keep = n >= size
+            found.append((i[keep], j[keep], n[keep]))
+    return tuple(np.concatenate([none, *(f[k] for f in found)]) for k in range(3))
+
+
 def greedy_string_tiling(pattern: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Tiles (start in pattern, start in text, length), none overlapping another in either sequence.
 
@@ -65,31 +98,16 @@ def greedy_string_tiling(pattern: np.ndarray, text: np.ndarray, min_match: int)
     tiles: list[tuple[int, int, int]] = []
     size = max(min_match, min(len(pattern), len(text)) // 2)
     while min(len(pattern), len(text)) >= min_match:
-        matches, longest = [], 0
-        free_p, free_t = _free(in_pattern, size), _free(in_text, size)
-        if len(free_p) and len(free_t):
-            have_p, have_t = hash_p.windows(size)[free_p], hash_t.windows(size)[free_t]
-            order = np.argsort(have_t, kind="stable")
-            have_t = have_t[order]
-            lo, hi = np.searchsorted(have_t, have_p, "left"), np.searchsorted(have_t, have_p, "right")
-            for k in np.flatnonzero(hi > lo).tolist():
-                i = int(free_p[k])
-                for j in free_t[order[lo[k] : hi[k]]].tolist():
-                    if i and j and pattern[i - 1] == text[j - 1] and not in_pattern[i - 1] and not in_text[j - 1]:
-                        continue  # part of a match that begins earlier
-                    n = 0
-                    while i + n < len(pattern) and j + n < len(text) and pattern[i + n] == text[j + n] and not in_pattern[i + n] and not in_text[j + n]:
-                        n += 1
-                    if n >= size:
-                        matches.append((n, i, j))
-                        longest = max(longest, n)
+        starts_p, starts_t, length = _matches(pattern, text, in_pattern, in_text, hash_p, hash_t, size)
+        longest = int(length.max()) if len(length) else 0
         if longest > 2 * size:
             size = longest
             continue
-        for n, i, j in matches:  # the longest only; shorter ones are looked for again among what is left
-            if n == longest and not in_pattern[i : i + n].any() and not in_text[j : j + n].any():
-                in_pattern[i : i + n] = in_text[j : j + n] = True
-                tiles.append((i, j, n))
+        for k in np.flatnonzero(length == longest).tolist() if longest else ():  # the longest only; shorter ones are looked for again among what is left
+            i, j = int(starts_p[k]), int(starts_t[k])
+            if not in_pattern[i : i + longest].any() and not in_text[j : j + longest].any():
+                in_pattern[i : i + longest] = in_text[j : j + longest] = True
+                tiles.append((i, j, longest))
         if longest > size:
             continue
         if size == min_match:
