@@ -113,8 +113,13 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     end = data.find(_END, at) if data.startswith(_VERSION, at) else -1
     if end < 0:
         raise DamagedRecord("no record header")
-    fields = {}
+    fields, lines = {}, []
     for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()  # a folded header goes on
+        else:
+            lines.append(line)
+    for line in lines:
         name, colon, value = line.partition(":")
         if not colon:
             raise DamagedRecord("a header line without a colon")
@@ -139,53 +144,103 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
         digest, size = _as_hex(stated), _whole(size)
     else:
         if _fails(stated, payload):
-            raise DamagedRecord("payload digest")
+            whole = _unchunked(payload) if re.search(rb"(?im)^transfer-encoding:[ \t]*chunked", block[: block.find(_END) + 2]) else None
+            if whole is None or _fails(stated, whole):
+                raise DamagedRecord("payload digest")
+            payload = whole  # the digest is that of the entity, as it was before its transfer
         digest, size = hashlib.sha1(payload).hexdigest(), len(payload)
     out = {"record_type": kind, "page_id": _page(fields.get("x-page-id", "")), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "refers_to": _page(fields.get("warc-refers-to", "")), "payload": payload if kind != "revisit" else None}
     return out, min(stop + 4, len(data))
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The text of the gzip member at ``at`` and the place after it."""
-    inflate, out, place = zlib.decompressobj(31), [], at
-    try:
-        while not inflate.eof and place < len(data):
-            part = data[place : place + 65536]
+def _unchunked(body: bytes) -> bytes | None:
+    """The entity of a chunked body, or None if it is none."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.fullmatch(rb"[ \t]*([0-9A-Fa-f]{1,15})[ \t]*(;.*)?", body[at:end]) if end >= 0 else None
+        if size is None:
+            return None
+        n = int(size[1], 16)
+        if n == 0:
+            return b"".join(out)
+        part = body[end + 2 : end + 2 + n]
+        if len(part) < n:
+            return None
+        out.append(part)
+        at = end + 2 + n
+        if body[at : at + 2] == b"\r\n":
+            at += 2
+
+
+_INFLATED = 1 << 14  # stored bytes between two marks
+
+
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str, list[tuple[int, int]]]:
+    """Of the gzip member at ``at``: its text, the place after it, what is wrong with it, and marks (bytes of text, place they came from).
+
+    A damaged member gives all text before the damage; the place is then that of the damage.
+    """
+    inflate, out, size, place, marks = zlib.decompressobj(31), [], 0, at, []
+    while not inflate.eof and place < len(data):
+        part, before = data[place : place + _INFLATED], inflate.copy()
+        marks.append((size, place))
+        try:
             out.append(inflate.decompress(part))
-            place += len(part)
-    except zlib.error as error:
-        raise DamagedRecord(f"gzip: {error}") from error
+        except zlib.error as error:
+            for k in range(len(part)):  # what the bytes before the damage hold
+                try:
+                    out.append(before.decompress(part[k : k + 1]))
+                except zlib.error:
+                    place += k
+                    break
+            return b"".join(out), place, f"gzip: {error}", marks
+        size += len(out[-1])
+        place += len(part)
     if not inflate.eof:
-        raise DamagedRecord("gzip: the member does not end")
-    return b"".join(out), place - len(inflate.unused_data)
+        return b"".join(out), place, "gzip: the member does not end", marks
+    return b"".join(out), place - len(inflate.unused_data), "", marks
+
+
+def _records(text: bytes) -> tuple[list[dict], str, int]:
+    """The good records of a member's text, what is wrong with the first other one, and the place after the last good one."""
+    got, bad, at, done = [], "", 0, 0
+    while at < len(text):
+        try:
+            record, at = _parse(text, at)
+            got.append(record)
+            done = at
+        except DamagedRecord as error:
+            bad = bad or str(error)
+            follow = text.find(_VERSION, at + 1)
+            at = follow if follow >= 0 else len(text)
+    return got, bad, done
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, dict | tuple[int, int, str]]]:
     """('record', fields) of each good record and ('gap', (offset, length, reason)) of each run of bytes that is none.
 
     Offsets count in the file as stored. A member that holds damaged records
-    still gives its good ones; it is logged as one gap.
+    still gives its good ones; it is logged as one gap. A member that cannot be
+    read to its end gives the records before the damage; the gap begins where
+    the text after the last of them came from.
     """
     view, at, gap, why = memoryview(data), 0, None, ""
     while at < len(view):
         try:
-            got = []
+            got, spoilt = [], None
             if view[at : at + 3] == _MAGIC:
-                text, after = _member(view, at)
-                inner, bad = 0, ""
-                while inner < len(text):
-                    try:
-                        record, inner = _parse(text, inner)
-                        got.append(record)
-                    except DamagedRecord as error:
-                        bad = bad or str(error)
-                        follow = text.find(_VERSION, inner + 1)
-                        inner = follow if follow >= 0 else len(text)
-                if bad:
-                    if gap is not None:
-                        yield "gap", (gap, at - gap, why)
-                        gap = None
-                    yield "gap", (at, after - at, bad)
+                text, after, broken, marks = _member(view, at)
+                got, bad, done = _records(text)
+                if broken:
+                    if not got:
+                        raise DamagedRecord(broken)
+                    rest = max(at + 1, max((place for size, place in marks if size <= done), default=at))
+                    follow = _NEXT.search(data, rest)
+                    after = follow.start() if follow else len(view)
+                    spoilt = (rest, after - rest, broken)
+                elif bad:
+                    spoilt = (at, after - at, bad)
             else:
                 record, after = _parse(data, at)
                 got.append(record)
@@ -198,6 +253,8 @@ def salvage(data: bytes) -> Iterator[tuple[str, dict | tuple[int, int, str]]]:
         if gap is not None:
             yield "gap", (gap, at - gap, why)
             gap = None
+        if spoilt:
+            yield "gap", spoilt
         for record in got:
             yield "record", record
         at = after
