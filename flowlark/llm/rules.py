@@ -2,24 +2,24 @@
 
 Statistics are array expressions over a text's own words and lines, so nothing
 is shuffled and a text is never taken apart into rows. The order of the rules
-comes from a sample: each rule's cost is the time that judging by it alone
-takes there, its selectivity the share it rejects, and rules run by rejection
-per cost. The cascade is one nested expression in which a statistic is computed
-inside of the branch that first needs it: a text that an early rule rejects
-costs no later statistic. The verdict does not depend on the order.
+comes from a sample: each rule's selectivity is the share it rejects there, its
+cost the work it takes (characters scanned, elements built, comparisons of
+sorts), which is counted, not timed, so the order is the same on every machine
+and in every run. Rules run by rejection per cost. The cascade is one nested
+expression in which a statistic is computed inside of the branch that first
+needs it: a text that an early rule rejects costs no later statistic, and a
+rule with a screen computes its costly statistic only where the cheap screen
+says that it could reject. The verdict depends on neither.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlark.llm.common import discard, stage_table
-
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -31,6 +31,8 @@ class Rule:
     name: str
     needs: tuple[str, ...]
     condition: Callable[..., Column]
+    #: A cheaper condition, and what it needs, that holds wherever the rule rejects.
+    screen: tuple[tuple[str, ...], Callable[..., Column]] | None = None
 
     def rejects(self, known: dict[str, Column]) -> Column:
         return self.condition(*(known[n] for n in self.needs))
@@ -39,7 +41,8 @@ class Rule:
 #: Integer arithmetic, so that every engine decides alike at the limits.
 BASE_RULES = (
     Rule("few_words", ("n_words",), lambda n: n < 50),
-    Rule("repeated_words", ("n_words", "n_repeat_words"), lambda n, repeated: 100 * repeated > 50 * n),
+    # a window too many brings in at most itself and one earlier window, six words
+    Rule("repeated_words", ("n_words", "n_repeat_words"), lambda n, repeated: 100 * repeated > 50 * n, (("n_words", "n_surplus"), lambda n, surplus: 100 * 6 * surplus > 50 * n)),
 )
 RULES = (
     *BASE_RULES,
@@ -49,6 +52,12 @@ RULES = (
 )
 
 
+def _hashes(words: Column) -> Column:
+    """Hashes of runs of three words, in order."""
+    starts = F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 2))
+    return F.transform(starts, lambda x, i: F.xxhash64(x, F.get(words, i + 1), F.get(words, i + 2)))
+
+
 def _windows(words: Column) -> Column:
     """(hash, place) of each run of three words, sorted."""
     starts = F.slice(words, F.lit(1), F.greatest(F.lit(0), F.size(words) - 2))
@@ -79,7 +88,17 @@ _MADE: dict[str, tuple[str, Callable[[Column], Column]]] = {
     "windows": ("words", _windows),
     "places": ("windows", _repeated),
     "n_repeat_words": ("places", _covered),
+    "hashes": ("words", _hashes),
+    "n_surplus": ("hashes", lambda h: (F.size(h) - F.size(F.array_distinct(h))).cast("long")),
 }
+#: The work that each takes, of the numbers of characters, words and lines.
+_SORT = lambda n: n * (F.log2(n + 2.0) + 1)
+_WORK: dict[str, Callable[[Column, Column, Column], Column]] = {
+    "words": lambda c, w, x: c + w, "n_words": lambda c, w, x: F.lit(1), "word_chars": lambda c, w, x: c, "n_symbols": lambda c, w, x: c,
+    "lines": lambda c, w, x: 2 * c + x, "n_lines": lambda c, w, x: F.lit(1), "n_dup_lines": lambda c, w, x: c + x,
+    "windows": lambda c, w, x: c + _SORT(w), "places": lambda c, w, x: 2 * w, "n_repeat_words": lambda c, w, x: w,
+    "hashes": lambda c, w, x: c + w, "n_surplus": lambda c, w, x: w,
+}
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -87,14 +106,6 @@ def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
-def with_statistics(docs: DataFrame, *, text_col: str = "text", mark: str = "_q_") -> DataFrame:
-    """Adds all statistics (long) under ``mark`` + name. Null texts count as empty ones; whole texts count."""
-    own, df = [f"`{c}`" for c in docs.columns], docs.withColumn(f"{mark}text", _text(text_col))
-    for name, (of, make) in _MADE.items():
-        df = df.withColumn(mark + name, make(F.col(mark + of)))
-    return df.select(*own, *[f"{mark}{n}" for n in STATISTICS])
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a variable that holds ``value``: computed once, and only if ``body`` is."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -112,41 +123,64 @@ def _with(names: tuple[str, ...], known: dict[str, Column], body: Callable[[dict
     return _let(make(known[of]), lambda v: _with(names, known | {name: v}, body))
 
 
+def with_statistics(docs: DataFrame, *, text_col: str = "text", mark: str = "_q_") -> DataFrame:
+    """Adds all statistics (long) under ``mark`` + name. Null texts count as empty ones; whole texts count.
+
+    They are made as one value, in which nothing is computed twice even where a
+    filter on them is pushed below.
+    """
+    own, all_ = [f"`{c}`" for c in docs.columns], f"{mark}all"
+    made = _let(_text(text_col), lambda t: _with(STATISTICS, {"text": t}, lambda known: F.struct(*[known[n].alias(n) for n in STATISTICS])))
+    return docs.withColumn(all_, made).select(*own, *[F.col(all_)[n].alias(f"{mark}{n}") for n in STATISTICS])
+
+
 def cascade(ordered: list[Rule], known: dict[str, Column]) -> Column:
     """The name of the first rule that rejects, or null. ``known`` holds the ``text``, and statistics that exist already."""
     if not ordered:
         return F.lit(None).cast("string")
     first, rest = ordered[0], ordered[1:]
-    return _with(first.needs, known, lambda now: F.when(first.rejects(now), F.lit(first.name)).otherwise(cascade(rest, now)))
+    judge = lambda now: _with(first.needs, now, lambda all_: first.rejects(all_))
+    if first.screen is None or all(n in known for n in first.needs):
+        return _with(first.needs, known, lambda now: F.when(first.rejects(now), F.lit(first.name)).otherwise(cascade(rest, now)))
+    needs, could = first.screen
+    return _with(needs, known, lambda now: F.when(could(*(now[n] for n in needs)) & judge(now), F.lit(first.name)).otherwise(cascade(rest, now)))
 
 
-def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = 1000, runs: int = 1) -> list[Rule]:
-    """The rules by rejection per cost on about ``sample_rows`` rows; rules that reject nothing there come last, cheapest first.
+def _needed(names: tuple[str, ...]) -> set[str]:
+    """Statistics that these are made of, themselves included."""
+    out: set[str] = set()
+    for name in names:
+        while name != "text":
+            out.add(name)
+            name = _MADE[name][0]
+    return out
+
+
+def measured_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = 1000) -> list[tuple[Rule, float, float]]:
+    """(rule, share of rows rejected, work a row) on about ``sample_rows`` rows, in one job.
 
     Each row is taken with the same chance, where it lies, so no task gathers
-    candidates. A rule's cost is the least time of ``runs`` runs after one that
-    does not count (it pays for generated code), less that of a run without a rule.
+    candidates, and the same table gives the same rows. A rule's work is that
+    of judging by it alone, its screen included where it has one.
     """
     share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = stage_table(docs.select(_text(text_col).alias("text")).sample(fraction=share, seed=11).repartition(4), "rules")
-    n = max(1, sample.count())
-
-    def judged(verdict: Column) -> tuple[float, int]:
-        job, times = sample.agg(F.count_if(verdict.isNotNull())), []
-        for _ in range(runs + 1):
-            began = time.perf_counter()
-            rejected = job.first()[0]
-            times.append(time.perf_counter() - began)
-        return min(times[1:]), rejected
-
-    idle, _ = judged(F.nullif(F.length("text"), F.lit(-1)))
-    measured = []
+    sample = with_statistics(docs.select(_text(text_col).alias("text")).sample(fraction=share, seed=11))
+    known = {n: F.col(f"_q_{n}") for n in STATISTICS}
+    size = (F.length("text").cast("double"), known["n_words"].cast("double"), known["n_lines"].cast("double"))
+    figures = [F.count(F.lit(1)).alias("n")]
     for k, rule in enumerate(rules):
-        took, rejected = judged(cascade([rule], {"text": F.col("text")}))
-        cost = max(1e-3, took - idle)
-        measured.append((-(rejected / n) / cost, 0.0 if rejected else cost, k, rule))
-    discard(sample)
-    return [m[3] for m in sorted(measured, key=lambda m: m[:3])]
+        work = sum((_WORK[n](*size).cast("double") for n in sorted(_needed(rule.needs))), F.lit(0.0))
+        figures += [F.count_if(rule.rejects(known)).alias(f"r{k}"), F.sum(F.floor(work)).alias(f"c{k}")]
+    got = sample.agg(*figures).first()
+    n = max(1, got["n"])
+    return [(rule, got[f"r{k}"] / n, (got[f"c{k}"] or 0) / n) for k, rule in enumerate(rules)]
+
+
+def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = 1000) -> list[Rule]:
+    """The rules by rejection per work on a sample; rules that reject nothing there come last, cheapest first."""
+    found = measured_rules(docs, rules, text_col=text_col, sample_rows=sample_rows)
+    ranked = sorted((-(rejected / max(work, 1.0)), 0.0 if rejected else work, k) for k, (_, rejected, work) in enumerate(found))
+    return [rules[k] for *_, k in ranked]
 
 
 def quality_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ordered: list[Rule] | None = None) -> DataFrame:
@@ -173,4 +207,5 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...
     Null and empty texts have no words and go; whole texts count; repeated rows
     stay repeated; an empty table gives an empty result.
     """
-    return docs.where(cascade(ordered or order_rules(docs, rules, text_col=text_col), {"text": _text(text_col)}).isNull())
+    ordered = ordered or order_rules(docs, rules, text_col=text_col)
+    return docs.where(_let(_text(text_col), lambda t: cascade(ordered, {"text": t})).isNull())
