@@ -119,11 +119,11 @@ l AS (SELECT r, conv_id, turn, i, ls[i] AS line, regexp_extract(ls[i], '^(?:[ \t
 v AS (SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, regexp_replace(line, '^(?:[ \t]*>)+ ?', '') AS txt FROM l),
 g AS (SELECT *, sum(CASE WHEN level IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM (SELECT *, lag(level) OVER (PARTITION BY r ORDER BY i) AS prev FROM v)),
 p AS (SELECT r, conv_id, turn, level, run, string_agg(txt, chr(10) ORDER BY i) AS txt FROM g GROUP BY 1, 2, 3, 4, 5),
-bodies AS (SELECT r, regexp_replace(string_agg(txt, chr(10) ORDER BY run), '^\n+|\n+$', '', 'g') AS body FROM p WHERE level = 0 GROUP BY 1),
+bodies AS (SELECT r, regexp_replace(string_agg(txt, chr(10) ORDER BY run), '^\n+|\n+\z', '', 'g') AS body FROM p WHERE level = 0 GROUP BY 1),
 b AS (SELECT m.r, m.conv_id, m.turn, m.role, coalesce(bodies.body, '') AS body FROM m LEFT JOIN bodies ON m.r = bodies.r),
 q AS (SELECT r, conv_id, turn, level, txt FROM p WHERE level > 0 AND length(trim(txt)) > 0),
-qk AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS k FROM (SELECT conv_id, turn, level, txt AS u FROM q UNION ALL SELECT conv_id, turn, level, unnest(string_split(txt, chr(10))) FROM q) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-ok AS (SELECT conv_id, trim(regexp_replace(lower(u), '\s+', ' ', 'g')) AS k, min(turn) AS original FROM (SELECT conv_id, turn, body AS u FROM b UNION ALL SELECT conv_id, turn, unnest(string_split(body, chr(10))) FROM b) WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
+qk AS (SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(u), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS k FROM (SELECT conv_id, turn, level, txt AS u FROM q UNION ALL SELECT conv_id, turn, level, unnest(string_split(txt, chr(10))) FROM q) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+ok AS (SELECT conv_id, trim(regexp_replace(lower(u), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS k, min(turn) AS original FROM (SELECT conv_id, turn, body AS u FROM b UNION ALL SELECT conv_id, turn, unnest(string_split(body, chr(10))) FROM b) WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
 links AS (SELECT qk.conv_id, qk.turn, level, max(original) AS original FROM qk JOIN ok ON qk.conv_id = ok.conv_id AND qk.k = ok.k WHERE qk.k <> '' AND original < qk.turn GROUP BY 1, 2, 3),
 parents AS (SELECT conv_id, turn, arg_min(original, level) AS parent, CAST(count(*) AS BIGINT) AS n FROM links GROUP BY 1, 2),
 roots AS (SELECT DISTINCT b.conv_id, b.turn FROM b LEFT JOIN parents ON b.conv_id = parents.conv_id AND b.turn = parents.turn WHERE parents.turn IS NULL AND b.conv_id IS NOT NULL AND b.turn IS NOT NULL),
