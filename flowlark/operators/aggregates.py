@@ -30,8 +30,8 @@ def _square(value: Column) -> Column:
     return wide * wide
 
 
-def statistics(packets: DataFrame) -> DataFrame:
-    """All sums, extrema and counters of a window in one grouping, with map-side combination.
+def statistics(packets: DataFrame, *more: Column) -> DataFrame:
+    """All sums, extrema and counters of a window (and ``more`` aggregates) in one grouping, with map-side combination.
 
     Sizes of an empty direction are 0. Gaps: number, sum, sum of squares, least
     and greatest, in microseconds, of all packets and of each direction (null
@@ -52,7 +52,7 @@ def statistics(packets: DataFrame) -> DataFrame:
         for d in ("forward", "reverse"):
             out += [F.count_if(_only(d, F.col(f))).alias(f"{d}_{f}_count") for f in TCP_FLAGS]
             out.append(F.count_if(_only(d, F.col("syn") & F.col("ack"))).alias(f"{d}_syn_ack_count"))
-    return packets.groupBy(*WINDOW_KEY).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), *out)
+    return packets.groupBy(*WINDOW_KEY).agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"), *out, *more)
 
 
 def window_state(packets: DataFrame, windows: DataFrame) -> DataFrame:

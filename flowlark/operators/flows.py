@@ -68,6 +68,21 @@ def frontier_violations(packets: DataFrame) -> DataFrame:
     return _frontier(packets).where("ts_us < frontier_us")
 
 
+def split_late(packets: DataFrame, reached: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(packets in order, late packets with ``frontier_us``, the time that they had to reach).
+
+    A packet is late if it is earlier than one before it in its session, or than
+    the session's ``frontier_us`` in ``reached``. Late packets do not move the
+    frontier, so leaving them out leaves the others in order.
+    """
+    seen = _frontier(packets)
+    if reached is not None:
+        reached = reached.select(F.col("session").alias("_session"), F.col("frontier_us").alias("_reached"))
+        seen = seen.join(F.broadcast(reached), F.col("session").eqNullSafe(F.col("_session")), "left").withColumn("frontier_us", F.greatest("frontier_us", "_reached")).drop("_session", "_reached")
+    late = F.coalesce(F.col("ts_us") < F.col("frontier_us"), F.lit(False))
+    return seen.where(~late).drop("frontier_us"), seen.where(late)
+
+
 def check_frontier(packets: DataFrame) -> None:
     """Raises an error if a packet is earlier than one before it in its session."""
     found = frontier_violations(packets.select("session", "packet_index", "ts_us")).select("packet_index").first()
@@ -181,6 +196,11 @@ def sessionize(packets: DataFrame, *, timeout_us: int, max_active: int | None =
     return _windows(packets, timeout_us, marked, slice_packets)
 
 
+def windows_between(packets: DataFrame, timeout_us: int, controls: DataFrame | None = None, slice_packets: int = SLICE) -> tuple[DataFrame, DataFrame]:
+    """As ``sessionize``, with control rows that have a ``reason`` and ``closed_at``, and no limit of active windows."""
+    return _windows(packets, timeout_us, controls, slice_packets)
+
+
 def _windows(packets: DataFrame, timeout_us: int, controls: DataFrame | None, slice_packets: int) -> tuple[DataFrame, DataFrame]:
     rows = packets.withColumn("reason", F.lit(None).cast("string")).withColumn("closed_at", F.lit(None).cast("bigint"))
     segmented = written(_segmented(rows, timeout_us, controls, slice_packets), "segments")
@@ -288,9 +308,13 @@ def _open_at_start(sliced: DataFrame, limit: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def evictions(packets: DataFrame, *, timeout_us: int, max_active: int, controls: DataFrame | None = None, slice_packets: int = SLICE) -> DataFrame:
+def evictions(packets: DataFrame, *, timeout_us: int, max_active: int, controls: DataFrame | None = None, slice_packets: int = SLICE, open_: DataFrame | None = None) -> DataFrame:
     """Control rows for windows that give way: identity, ``packet_index`` of their last packet, ``closed_at`` and the reason.
 
+    ``open_`` has the windows that are open before: session, identity,
+    ``packet_index`` of their first and ``last_index`` of their last packet, and
+    the time of the last.
+
     Rows stream through in packet order, a few narrow columns wide: slices of a
     session beside each other where its open windows at their starts follow
     from the order of packets alone, a whole session otherwise (``_scan_slices``).
@@ -298,12 +322,14 @@ def evictions(packets: DataFrame, *, timeout_us: int, max_active: int, controls:
     narrow = packets.select("session", "packet_index", F.lit(False).alias("control"), "ts_us", *IDENTITY)
     if controls is not None:
         narrow = narrow.unionByName(controls.select("session", "packet_index", F.lit(True).alias("control"), F.lit(None).cast("bigint").alias("ts_us"), *IDENTITY))
-    sliced, several = _scan_slices(narrow, slice_packets)
-    rows = sliced.withColumn("carried", F.lit(False))
+    sliced, several = _scan_slices(narrow, slice_packets) if open_ is None else (narrow.withColumn("slice", F.lit(0).cast("bigint")), False)
+    rows = sliced.withColumn("carried", F.lit(False)).withColumn("last_index", F.col("packet_index"))
+    if open_ is not None:
+        rows = rows.unionByName(open_.select("session", "packet_index", F.lit(False).alias("control"), "ts_us", *IDENTITY, F.lit(0).cast("bigint").alias("slice"), F.lit(True).alias("carried"), "last_index"))
     if several:
         sliced = written(sliced, "scans")
-        rows = sliced.withColumn("carried", F.lit(False)).unionByName(_open_at_start(sliced.where("NOT control"), max_active).withColumn("control", F.lit(False)).withColumn("carried", F.lit(True)))
-    rows = rows.select("session", "slice", "carried", "packet_index", "control", "ts_us", *IDENTITY)
+        rows = sliced.withColumn("carried", F.lit(False)).unionByName(_open_at_start(sliced.where("NOT control"), max_active).withColumn("control", F.lit(False)).withColumn("carried", F.lit(True))).withColumn("last_index", F.col("packet_index"))
+    rows = rows.select("session", "slice", "carried", "packet_index", "control", "ts_us", *IDENTITY, "last_index")
     rows = rows.repartition("session", "slice").sortWithinPartitions("session", "slice", F.col("carried").desc(), "packet_index", "control")
     kinds = dict(packets.dtypes)
     schema = "session string, packet_index bigint, closed_at bigint, reason string, " + ", ".join(f"{c} {kinds[c]}" for c in IDENTITY)
@@ -313,7 +339,7 @@ def evictions(packets: DataFrame, *, timeout_us: int, max_active: int, controls:
         for batch in batches:
             out = []
             for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
-                session, number, carried, index, control, ts, *key = row
+                session, number, carried, index, control, ts, *key, own = row
                 key = tuple(key)
                 if place != (session, number):
                     place, active, last = (session, number), ActiveWindows(max_active, timeout_us), {}
@@ -321,7 +347,7 @@ def evictions(packets: DataFrame, *, timeout_us: int, max_active: int, controls:
                     active.close(key)
                     continue
                 victim = active.packet(key, ts)
-                last[key] = index
+                last[key] = own
                 if victim is not None and not carried:
                     out.append((session, last.pop(victim), index, CLOSED_BY_CAPACITY, *victim))
             if out:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +38,28 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes in this block, in this thread, are removed at its end."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        for path in _scopes.paths:
+            _remove(spark, path)
+        _scopes.paths = outer
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again; removed when the driver ends."""
+    """``df`` as a table in the shared folder, read again; removed at the end of the ``passing`` block it is made in, or else of the driver."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, df.sparkSession, path)
+    if (scope := getattr(_scopes, "paths", None)) is not None:
+        scope.append(path)
+    else:
+        atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

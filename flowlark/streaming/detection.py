@@ -1,11 +1,16 @@
-"""Detection on a stream of observations: the batch operators, micro-batch by micro-batch.
-
-Windows close by observation only: at the next packet of their flow, or when the
-capture ends. What waits between batches lies in a folder, under the number of
-the batch that left it: the packets of open windows, in the columns that windows
-need and with their window's number, and for each session the next free number
-and the latest time. A batch is committed by a mark after its state is written
-and its findings are delivered; each delivery has a mark of its own. So a new
+"""Detection on a stream of observations.
+
+Windows close by observation only: at the next packet of their flow, when they
+have to give way, or when the capture ends. Each micro-batch is judged packet by
+packet, cut into windows and aggregated as any batch is; the aggregated parts,
+one row for a flow's window, go through a stateful query (``windows``), which
+keeps one aggregate of fixed size for each open window in Spark's state store.
+So neither the state nor a batch's work grows with the packets that a flow has
+had before.
+
+A folder holds what joins the batches: the parts of the batch at work, the
+number of each window by the batch that opened it, and for each session the next
+free number and the latest time. Marks tell what a batch has done, so a new
 object on the same folder goes on where the last one stopped, and a batch that
 is run again gives the same findings and delivers only what was not delivered.
 """
@@ -20,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from flowlark.errors import FlowError
-from flowlark.operators import aggregates, detectors, evaluation, flows
+from flowlark.operators import detectors, evaluation, flows
 from flowlark.operators.decoding import admitted, checked_observations, decode_packets
 from flowlark.plans.pipeline import STATE_COLUMNS, DetectionSettings
-from flowlark.runtime import shared_folder, with_rank, written
-from flowlark.schemas import CLOSED_BY_END
+from flowlark.runtime import passing, shared_folder, with_rank, written
+from flowlark.schemas import IDENTITY
+from flowlark.streaming import windows
 
 #: Takes findings and the number of their batch.
 Consumer = Callable[[DataFrame, int], None]
@@ -67,19 +73,29 @@ class Folder:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
 
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_NUMBERS = "session string, first_packet_index bigint, number bigint, first_batch bigint"
+
+
 class DetectionStream:
     """Gives packet findings at once and flow findings when windows close, numbered as in one run over everything.
 
     ``folder`` keeps the state; without one a new folder among the shared ones
     is taken. Packets must come in order: a falling time in a session raises an
-    error, in a batch or from one to the next.
+    error, in a batch or from one to the next, unless there is a consumer for
+    ``late`` packets: it then gets those, with the time they had to reach, and
+    the others go on.
     """
 
-    def __init__(self, spark: SparkSession, settings: DetectionSettings, packet_consumer: Consumer, flow_consumer: Consumer, folder: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, settings: DetectionSettings, packet_consumer: Consumer, flow_consumer: Consumer, folder: str | None = None, late_consumer: Consumer | None = None) -> None:
         self.spark, self.settings = spark, settings
-        self.consumers = {"packet": packet_consumer, "flow": flow_consumer}
+        self.consumers = {"packet": packet_consumer, "flow": flow_consumer, "late": late_consumer}
         self.folder = Folder(spark, folder or f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}")
         self.last = max((n for n in self.folder.numbers("batch-") if self.folder.marked(f"batch-{n}/committed")), default=-1)
+        columns = ", ".join(f"{n} {t}" for n, t in flows.column_types(STATE_COLUMNS))
+        self.columns, self.schema = columns, windows.part_schema(spark, columns)
+        self.at = self.last
 
     @property
     def finished(self) -> bool:
@@ -93,9 +109,10 @@ class DetectionStream:
 
     def _commit(self, number: int) -> None:
         self.folder.mark(f"batch-{number}/committed")
+        self.folder.remove(f"parts/batch-{number}")
         for old in self.folder.numbers("batch-"):
-            if old < self.last:
-                self.folder.remove(f"batch-{old}/waiting")
+            for table in ("sessions", "seen", "closed") if old < self.last else ():
+                self.folder.remove(f"batch-{old}/{table}")
         self.last = number
 
     def batch(self, observations: DataFrame, number: int | None = None) -> None:
@@ -105,52 +122,105 @@ class DetectionStream:
         number = self.last + 1 if number is None else number
         if number <= self.last:
             return
+        with passing(self.spark):
+            if not self.folder.marked(f"batch-{number}/parted"):
+                self._part(observations, number)
+            self._close(number)
+            self._commit(number)
+
+    def _sessions(self) -> DataFrame:
+        return self.folder.get(f"batch-{self.last}/sessions", _SESSIONS) if self.last >= 0 else self.spark.createDataFrame([], _SESSIONS)
+
+    def _admitted(self, decoded: DataFrame, number: int) -> DataFrame:
+        """The batch's packets that are in order; any other is late, or an error."""
+        packets = written(flows.with_identity(admitted(decoded, strict=self.settings.strict)).select(*STATE_COLUMNS), f"packets-{number}")
+        on_time, late = flows.split_late(packets, self._sessions().where("frontier_us IS NOT NULL"))
+        if self.consumers["late"] is None:
+            found = late.orderBy("packet_index").select("packet_index").first()
+            if found is not None:
+                raise FlowError(f"packet {found[0]} is earlier than one before it")
+            return packets
+        self._deliver("late", number, late)
+        return written(on_time, f"on-time-{number}")
+
+    def _part(self, observations: DataFrame, number: int) -> None:
+        """Judge the batch's packets and write its windows' parts, where the stateful query finds them."""
         decoded = written(decode_packets(checked_observations(observations)).select(*detectors.PACKET_COLUMNS), f"batch-{number}")
         self._deliver("packet", number, detectors.packet_findings(decoded, self.settings.packet))
-        packets = flows.with_identity(admitted(decoded, strict=self.settings.strict)).select(*STATE_COLUMNS)
-        self._advance(written(packets, f"packets-{number}"), number)
-        self._commit(number)
+        packets = self._admitted(decoded, number)
+        parts = windows.window_parts(packets, timeout_us=self.settings.timeout_us, batch=number, evicted=self._evicted(packets))
+        self.folder.put(f"parts/batch-{number}", parts.select(*self.schema.names))
+        seen = packets.groupBy("session").agg(F.max("ts_us").alias("top"))
+        after = self._sessions().join(seen, "session", "full_outer").select("session", F.coalesce("next_number", F.lit(0).cast("bigint")).alias("next_number"), F.greatest("frontier_us", "top").alias("frontier_us"))
+        self.folder.put(f"batch-{number}/seen", after)
+        self.folder.mark(f"batch-{number}/parted")
+
+    def _evicted(self, packets: DataFrame) -> DataFrame | None:
+        """Windows that give way in this batch. With a limit, no more than that are open in a session, so what the state holds is small."""
+        limit = self.settings.max_active
+        if limit is None:
+            return None
+        held = self._held()
+        key = ["session", *IDENTITY]
+        known = packets.select(*key) if held is None else packets.select(*key).unionByName(held.select(*key))
+        if known.distinct().groupBy("session").count().where(F.col("count") > limit).limit(1).count() == 0:
+            return None
+        open_ = None if held is None else held.select(*key, F.col("first_packet_index").alias("packet_index"), F.col("last_packet_index").alias("last_index"), F.col("last_us").alias("ts_us"))
+        return written(flows.evictions(packets, timeout_us=self.settings.timeout_us, max_active=limit, open_=open_), "evictions")
+
+    def _held(self) -> DataFrame | None:
+        return windows.open_windows(self.spark, f"{self.folder.path}/windows") if self.folder.marked("windows/state") else None
+
+    def _close(self, number: int) -> None:
+        """Bring the batch's parts to the state and deliver what closes."""
+        before, self.at = self.spark.conf.get(_PROVIDER), number
+        self.spark.conf.set(_PROVIDER, _ROCKS)
+        try:
+            parts = self.spark.readStream.schema(self.schema).option("recursiveFileLookup", "true").parquet(f"{self.folder.path}/parts")
+            events = windows.window_events(parts, self.schema, self.settings.timeout_us)
+            query = events.writeStream.foreachBatch(self._numbered).option("checkpointLocation", f"{self.folder.path}/windows").trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            self.spark.conf.set(_PROVIDER, before)
+        if not self.folder.marked(f"batch-{number}/sessions"):  # nothing came to the state
+            self.folder.put(f"batch-{number}/sessions", self.folder.get(f"batch-{number}/seen", _SESSIONS))
+        self._deliver_closed(number)
+
+    def _numbered(self, events: DataFrame, _epoch: int) -> None:
+        """Windows opened in this batch take the next free numbers of their sessions, in the order of their first packets; windows closed in it have theirs from the batch that opened them."""
+        number = self.at
+        with passing(self.spark):
+            events = written(events, f"events-{number}")
+            sessions = self.folder.get(f"batch-{number}/seen", _SESSIONS)
+            opened = with_rank(events.where(F.col("kind") == "open").select("session", "first_packet_index"), "rank", "session", "first_packet_index")
+            first = opened.groupBy("session").agg(F.min("rank").alias("from"), F.count(F.lit(1)).alias("more"))
+            base = first.join(sessions, "session").select("session", "from", "more", F.col("next_number"))
+            numbers = opened.join(base, "session").select("session", "first_packet_index", (F.col("next_number") + F.col("rank") - F.col("from")).alias("number"))
+            self.folder.put(f"numbers/first_batch={number}", numbers)
+            self.folder.put(f"batch-{number}/sessions", sessions.join(first, "session", "left").select("session", (F.col("next_number") + F.coalesce("more", F.lit(0))).alias("next_number"), "frontier_us"))
+            self._put_closed(events.where(F.col("kind") == "closed"), number)
+
+    def _put_closed(self, closed: DataFrame, number: int) -> None:
+        # only numbers of batches that opened one of these are read
+        numbers = self.spark.read.schema(_NUMBERS).parquet(f"{self.folder.path}/numbers")
+        state = closed.join(numbers, ["session", "first_packet_index", "first_batch"]).withColumnRenamed("number", "sequence_number").withColumn("ip_version", flows.ip_version())
+        self.folder.put(f"batch-{number}/closed", state.drop("kind"))
+
+    def _deliver_closed(self, number: int) -> None:
+        if self.folder.marked(f"batch-{number}/closed"):
+            state = self.spark.read.parquet(f"{self.folder.path}/batch-{number}/closed")
+            self._deliver("flow", number, detectors.flow_findings(state, self.settings.volume, self.settings.control))
 
     def finish(self) -> None:
         """The capture ends: what is open closes. A second call, here or after a restart, does nothing."""
-        if not self.finished:
-            self._advance(None, FINAL)
-            self.folder.mark(f"batch-{FINAL}/committed")
-
-    def _advance(self, packets: DataFrame | None, number: int) -> None:
-        rows = None if packets is None else packets.withColumn("number", F.lit(None).cast("bigint"))
-        sessions = self.spark.createDataFrame([], _SESSIONS)
-        if self.last >= 0:
-            sessions = self.folder.get(f"batch-{self.last}/sessions", _SESSIONS)
-            schema = ", ".join([*(f"{n} {t}" for n, t in flows.column_types(STATE_COLUMNS)), "number bigint"])
-            waiting = self.folder.get(f"batch-{self.last}/waiting", schema)
-            rows = waiting if rows is None else waiting.unionByName(rows)
-        if rows is None:
-            return
-        if packets is not None:
-            flows.check_frontier(packets)
-            behind = packets.join(F.broadcast(sessions), "session").where("ts_us < frontier_us").select("packet_index").first()
-            if behind is not None:
-                raise FlowError(f"packet {behind[0]} is earlier than one before it")
-        placed, windows = flows.sessionize(rows, timeout_us=self.settings.timeout_us, max_active=self.settings.max_active)
-        placed = written(placed, "placed")
-        # windows that were open keep their numbers; they begin before all new ones, which take the next free numbers
-        known = placed.groupBy("session", "sequence_number").agg(F.max("number").alias("number"))
-        old = known.groupBy("session").agg(F.count("number").alias("old"), F.count(F.lit(1)).alias("all"))
-        numbers = known.join(old, "session").join(sessions, "session", "left")
-        numbers = numbers.select("session", "sequence_number", F.coalesce("number", F.coalesce("next_number", F.lit(0)) + F.col("sequence_number") - F.col("old")).alias("number"))
-        state = aggregates.window_state(placed.drop("number"), windows).join(numbers, ["session", "sequence_number"])
-        state = written(state.withColumn("local", F.col("sequence_number")).drop("sequence_number").withColumnRenamed("number", "sequence_number"), "stream-state")
-        closed = state if number == FINAL else state.where(F.col("closure_reason") != CLOSED_BY_END)
-        self._deliver("flow", number, detectors.flow_findings(closed, self.settings.volume, self.settings.control))
-        if number == FINAL:
+        if self.finished:
             return
-        open_ = state.where(F.col("closure_reason") == CLOSED_BY_END).select("session", F.col("local").alias("sequence_number"), F.col("sequence_number").alias("own_number"))
-        waits = placed.join(open_, ["session", "sequence_number"]).select(*STATE_COLUMNS, F.col("own_number").alias("number"))
-        self.folder.put(f"batch-{number}/waiting", waits)
-        seen = placed.groupBy("session").agg(F.max("ts_us").alias("top")).join(old.select("session", (F.col("all") - F.col("old")).alias("more")), "session")
-        after = sessions.join(seen, "session", "full_outer").select("session", (F.coalesce("next_number", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("next_number"), F.greatest("frontier_us", "top").alias("frontier_us"))
-        self.folder.put(f"batch-{number}/sessions", after)
+        with passing(self.spark):
+            held = self._held()
+            if held is not None:
+                self._put_closed(held, FINAL)
+                self._deliver_closed(FINAL)
+            self.folder.mark(f"batch-{FINAL}/committed")
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Run on a streaming DataFrame of observations; call ``finish`` when the query has ended."""
