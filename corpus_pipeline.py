@@ -12,6 +12,7 @@ from flowlark.llm.decontaminate import decontaminated
 from flowlark.llm.ngram_join import ngram_jaccard_join
 from flowlark.llm.rules import keep_good
 from flowlark.llm.toxicity import score_toxicity, train_toxicity
+from flowlark.runtime import with_rank
 from flowlark.shipping import ship
 
 
@@ -32,16 +33,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(rows, model, text_col="judged", keep=tuple(places)).where("score < 0.5").select(*places).toDF(*docs.columns)
 
 
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a number for each (id, text): the id itself where ids are numbers of their own, else a rank among ids and 256-bit digests."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if ids.where("id IS NULL OR n > 1").limit(1).count() == 0:
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "text"))).cast("binary"), 256)
+    of, rank = f"{key}_digest", f"{key}_rank"
+    ranked = with_rank(docs.select(digest.alias(of)).distinct(), rank, of)
+    return docs.withColumn(key, digest).join(ranked, F.col(key) == F.col(of)).drop(key, of).withColumnRenamed(rank, key)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links connect, one (of five-word shingles, similarity 0.8): that with the smallest id.
 
-    Rows are told apart by a 64-bit hash of id and text, so an id may be null or
-    stand with several texts; of rows equal in both one stays. An id counts as
-    smaller than none. Texts without a word are linked with nothing.
+    Rows are told apart by their ids where these are given and unique, else by
+    id and text; of rows equal in both one stays. An id counts as smaller than
+    none. Texts without a word are linked with nothing.
     """
     names = docs.columns
-    key = next(f"key{k}" for k in range(len(names) + 1) if f"key{k}" not in {c.lower() for c in names})
-    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text")))
+    key = next(f"key{k}" for k in range(len(names) + 1) if not any(c.lower().startswith(f"key{k}") for c in names))
+    rows = _keyed(docs, key)
     found = ngram_jaccard_join(rows.select(F.col(key).alias("k"), "text"), id_col="k", size=5, num=80, den=100)
     of = rows.select(F.col(key).alias("k"), F.col("doc_id").cast("long").alias("id")).distinct().join(found.select(F.col("doc_id").alias("k"), "component_id").distinct(), "k")
     # first within parts of a group, which may be large, then among the parts
