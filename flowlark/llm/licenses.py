@@ -117,9 +117,13 @@ def match_units(units: DataFrame, *, templates: tuple[tuple[str, str], ...] = TE
     df, shares = _templates(spark, templates)
     tf = units.select("file", "unit", F.explode(_words(F.col("body"))).alias("word")).groupBy("file", "unit", "word").agg(F.count(F.lit(1)).alias("tf"))
     weighted = tf.join(F.broadcast(df), "word", "left").withColumn("w", F.col("tf") * _weight(len(templates)))
-    norms = weighted.groupBy("file", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(F.broadcast(shares), "word").groupBy("file", "unit", "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scored = dots.join(norms, ["file", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
+    # one row a word and template, and one a word for the norm, so words are counted once; partial sums before the shuffle
+    every = F.array(F.struct(F.lit(None).cast("int").alias("template"), F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("share")))
+    each = weighted.join(F.broadcast(shares.groupBy("word").agg(F.collect_list(F.struct("template", "license", "share")).alias("in"))), "word", "left")
+    rows = each.select("file", "unit", "w", F.explode(F.concat(every, F.coalesce("in", F.slice(every, 1, 0)))).alias("t"))
+    sums = rows.groupBy("file", "unit", "t.template", "t.license").agg(F.sum(F.col("w") * F.col("t")["share"]).alias("dot"), F.sum(F.when(F.col("t")["template"].isNull(), F.col("w") * F.col("w"))).alias("square"))
+    norms = sums.where("template IS NULL").select("file", "unit", F.sqrt("square").alias("norm"))
+    scored = sums.where("template IS NOT NULL").join(norms, ["file", "unit"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")
     return scored.groupBy("file", "unit").agg(best).select("file", "unit", F.col("best")["license"].alias("license"), (-F.col("best")["s"]).alias("score"))
 
@@ -136,10 +140,11 @@ def license_scan(files: DataFrame, *, id_col: str = "doc_id", path_col: str = "p
     """
     rows = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"))
     with_cue = rows.where(F.col("doc_id").isNotNull() & F.col("text").rlike(cues)).select(F.col("doc_id").alias("file"), "path", "text")
-    lines = with_cue.select("file", F.posexplode(F.split("text", "\n", -1)).alias("unit", "body")).where(F.col("body").rlike(cues))
-    paragraphs = with_cue.select("file", F.posexplode(F.split("text", PARTING, -1)).alias("unit", "body")).where(F.col("body").rlike(cues) & F.col("body").contains("\n"))
-    whole = with_cue.select("file", F.lit(-1).alias("unit"), F.col("text").alias("body"))
-    units = lines.unionByName(paragraphs.withColumn("unit", -2 - F.col("unit"))).unionByName(whole)
+    numbered = lambda parts, number: F.transform(parts, lambda x, i: F.struct(number(i).alias("unit"), x.alias("body")))
+    lines = F.filter(numbered(F.split("text", "\n", -1), lambda i: i), lambda u: u["body"].rlike(cues))
+    paragraphs = F.filter(numbered(F.split("text", PARTING, -1), lambda i: -2 - i), lambda u: u["body"].rlike(cues) & u["body"].contains("\n"))
+    whole = F.array(F.struct(F.lit(-1).alias("unit"), F.col("text").alias("body")))
+    units = with_cue.select("file", F.explode(F.concat(whole, lines, paragraphs)).alias("u")).select("file", "u.unit", "u.body")
     found = match_units(units.distinct(), templates=templates, threshold=threshold)
     best = F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")
     own = found.groupBy("file").agg(best, F.max((F.col("unit") == -1).cast("int")).alias("whole"))
