@@ -56,12 +56,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def quoting(conversations: DataFrame) -> DataFrame:
+    """``conversations`` in which each odd turn quotes the turn before it, marks and all, as mail does."""
+    before = conversations.where("text IS NOT NULL").groupBy(F.col("conv_id").alias("_conv"), (F.col("turn") + 1).alias("_turn")).agg(F.min("text").alias("_before"))
+    quoted = F.concat(F.lit("> "), F.replace(F.col("_before"), F.lit("\n"), F.lit("\n> ")), F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    joined = conversations.join(before, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
+    return joined.select("conv_id", "turn", "role", F.when(F.col("_before").isNotNull() & (F.col("turn") % 2 == 1), quoted).otherwise(F.col("text")).alias("text"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_conversations(table(spark, sf_dir, "conversations"))
+    return format_conversations(quoting(table(spark, sf_dir, "conversations")))
 
 
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/d"), F.expr("CAST(doc_id DIV 1000 AS STRING)"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    # one document in five stands where a directory keeps its licence, so that directories have some to hand down
+    name = F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("LICENSE-")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/d"), F.expr("CAST(doc_id DIV 1000 AS STRING)"), F.lit("/"), F.expr("CAST(doc_id DIV 100 AS STRING)"), F.lit("/"), name)
     return license_scan(table(spark, sf_dir, "documents").withColumn("path", path))
 
 
@@ -135,6 +145,11 @@ FROM b LEFT JOIN parents ON b.conv_id = parents.conv_id AND b.turn = parents.tur
 LEFT JOIN (SELECT r, count(*) AS n FROM q GROUP BY 1) c ON b.r = c.r
 """
 
+#: The same over conversations in which odd turns quote the turn before.
+OP5_QUOTING_SQL = OP5_SQL.replace("WITH RECURSIVE m AS", """WITH RECURSIVE before AS (SELECT conv_id, turn + 1 AS turn, min(text) AS t FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2),
+quoting AS (SELECT c.conv_id, c.turn, role, CASE WHEN t IS NOT NULL AND c.turn % 2 = 1 THEN '> ' || replace(t, chr(10), chr(10) || '> ') || chr(10) || chr(10) || coalesce(text, '') ELSE text END AS text FROM conversations c LEFT JOIN before b ON c.conv_id = b.conv_id AND c.turn = b.turn),
+m AS""").replace("FROM conversations)", "FROM quoting)", 1)
+
 _TEMPLATE_ROWS = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES))
 OP8_SQL = rf"""
 WITH tpl(template, license, body) AS (VALUES {_TEMPLATE_ROWS}),
@@ -142,7 +157,7 @@ tw AS (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9
 df AS (SELECT word, count(DISTINCT template) AS df FROM tw GROUP BY 1),
 ttf AS (SELECT template, license, tw.word, count(*) * (ln(({len(TEMPLATES)} + 1.0) / (1.0 + any_value(df.df))) + 1.0) AS w FROM tw JOIN df ON tw.word = df.word GROUP BY 1, 2, 3),
 tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM ttf GROUP BY 1),
-files AS (SELECT doc_id, coalesce(source, '') || '/d' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents),
+files AS (SELECT doc_id, coalesce(source, '') || '/d' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id // 100 AS VARCHAR) || '/' || CASE WHEN doc_id % 5 = 0 THEN 'LICENSE-' ELSE '' END || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents),
 cue AS (SELECT * FROM files WHERE regexp_matches(text, '{CUES}')),
 units AS (SELECT doc_id, i AS unit, ls[i + 1] AS body FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM cue)) WHERE regexp_matches(ls[i + 1], '{CUES}')
           UNION ALL SELECT doc_id, -2 - i, ps[i + 1] FROM (SELECT doc_id, ps, unnest(range(len(ps))) AS i FROM (SELECT doc_id, string_split_regex(text, '{PARTING}') AS ps FROM cue)) WHERE regexp_matches(ps[i + 1], '{CUES}') AND contains(ps[i + 1], chr(10))
@@ -236,4 +251,4 @@ n AS (SELECT p.anchor_id, positive_id, other_id AS negative_id, positive_score,
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op5_chat_formatting": OP5_SQL, "op8_license_scans": OP8_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL, "op11_conversation_repair": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op5_chat_formatting": OP5_QUOTING_SQL, "op8_license_scans": OP8_SQL, "op3_quality_rules": OP3_SQL, "op7_warc": OP7_SQL, "op11_conversation_repair": OP11_SQL, "op12_exact_dedup": OP12_SQL, "op13_hard_negatives": OP13_SQL}
