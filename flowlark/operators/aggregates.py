@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +83,66 @@ def summarized(hist: DataFrame, *, name: str = "value", by: tuple[str, ...] = (*
     return hist.groupBy(*by).agg(n.alias("count"), F.count(F.lit(1)).alias("distinct"), F.min(name).cast("bigint").alias("min"), F.max(name).cast("bigint").alias("max"), total.alias("total"), F.coalesce(F.sum(F.when(F.col(name) == 0, F.col("count"))), F.lit(0)).cast("bigint").alias("zero_count"), (total / n).alias("mean"))
 
 
+def _folded(held: pa.Table, by: list[str], limit: int) -> pa.Table:
+    """Counts of equal values added up; of a group with more than ``limit`` values, or one that was full before, one row with a null value."""
+    counts = held.group_by([*by, "value"], use_threads=False).aggregate([("count", "sum")]).rename_columns([*by, "value", "count"])
+    groups = counts.append_column("none", pc.cast(pc.is_null(counts["value"]), pa.int32())).group_by(by, use_threads=False).aggregate([("value", "count"), ("none", "max")])
+    full = pc.or_(pc.greater(groups["value_count"], limit), pc.equal(groups["none_max"], 1))
+    if not pc.any(full).as_py():
+        return counts
+    # keys may be null, which no join of tables matches: rows find their group by its number
+    at = counts.append_column("row", pa.array(np.arange(len(counts)))).group_by(by, use_threads=False).aggregate([("row", "list")])
+    lists = at["row_list"].combine_chunks()
+    of = np.empty(len(counts), dtype=np.int64)
+    of[lists.flatten().to_numpy()] = np.repeat(np.arange(len(at)), lists.value_lengths().to_numpy())
+    spilt = full.to_numpy(zero_copy_only=False)[of]  # both groupings list the groups as they first come
+    kept = counts.filter(pa.array(~spilt))
+    totals = counts.filter(pa.array(spilt)).group_by(by, use_threads=False).aggregate([("count", "sum")]).rename_columns([*by, "count"])
+    return pa.concat_tables([kept, totals.append_column("value", pa.nulls(len(totals), counts.schema.field("value").type)).select(counts.column_names)])
+
+
+def bounded_histogram(packets: DataFrame, value: Column, *, limit: int = 256, by: tuple[str, ...] = (*WINDOW_KEY, "is_forward"), held_rows: int = 1 << 20) -> DataFrame:
+    """(``by``, value, count): a histogram of which each task keeps at most ``limit`` values a group.
+
+    A group that has more in a task is from there on one row with a null value,
+    which holds its total. So what is shuffled is at most ``limit`` + 1 rows a
+    group and task (and once more for each time that a task has passed
+    ``held_rows`` rows on), and ``saturated`` gives the same from any order and
+    cut of the rows. Null values are left out.
+    """
+    rows = packets.select(*by, value.cast("bigint").alias("value")).where("value IS NOT NULL")
+    names = list(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fresh = [], 0  # what is folded, and what came since, which is folded in when it is as much
+        for batch in batches:
+            if batch.num_rows:
+                new = pa.Table.from_batches([batch]).append_column("count", pa.array(np.ones(batch.num_rows, dtype=np.int64)))
+                held.append(_folded(new, names, limit).select([*names, "value", "count"]))
+                fresh += len(held[-1])
+            if len(held) > 1 and fresh >= max(1 << 16, len(held[0])):
+                held, fresh = [_folded(pa.concat_tables(held), names, limit).select([*names, "value", "count"])], 0
+                if len(held[0]) > held_rows:
+                    yield from held[0].combine_chunks().to_batches()
+                    held = []
+        if held:
+            yield from _folded(pa.concat_tables(held), names, limit).select([*names, "value", "count"]).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in rows.dtypes), "count bigint"]))
+
+
 def saturated(hist: DataFrame, *, limit: int = 256, name: str = "value", by: tuple[str, ...] = (*WINDOW_KEY, "is_forward")) -> DataFrame:
-    """Histograms as sorted arrays; one with more than ``limit`` values keeps its total only."""
-    # at most limit + 1 values of a group are gathered: ranks beyond are dropped before, the counts are kept
-    totals = hist.groupBy(*by).agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("distinct"))
-    small = totals.where(F.col("distinct") <= limit).select(*by)
-    bins = hist.join(small, list(by), "left_semi").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("value"), "count"))).alias("bins"))
-    out = totals.join(bins, list(by), "left")
-    return out.select(*by, "total", (F.col("distinct") > limit).alias("saturated"), F.coalesce("bins", F.array().cast("array<struct<value:int,count:bigint>>")).alias("bins"))
+    """Histograms (rows of one value may be several) as sorted arrays; one with more than ``limit`` values, or with a row of a null value, keeps its total only."""
+    hist = hist.groupBy(*by, F.col(name).cast("bigint").alias(name)).agg(F.sum("count").alias("count"))
+    # at most limit values of a group are gathered: groups with more are left out before, their counts are kept
+    totals = hist.groupBy(*by).agg(F.sum("count").alias("total"), F.count(name).alias("distinct"), F.max(F.col(name).isNull()).alias("full"))
+    small = totals.where(F.col("distinct") <= limit).where("NOT full").select(*[F.col(c).alias(f"_{c}") for c in by])
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    bins = hist.join(small, match, "left_semi").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(name).alias("value"), "count"))).alias("bins")).select(*[F.col(c).alias(f"_{c}") for c in by], "bins")
+    out = totals.join(bins, match, "left")
+    return out.select(*by, "total", (F.col("full") | (F.col("distinct") > limit)).alias("saturated"), F.coalesce("bins", F.array().cast("array<struct<value:bigint,count:bigint>>")).alias("bins"))
 
 
 def udp_statistics(packets: DataFrame, *, by: tuple[str, ...] = (*WINDOW_KEY, "is_forward")) -> DataFrame:

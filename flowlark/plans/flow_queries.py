@@ -12,7 +12,7 @@ from flowlark.operators import features as M
 from flowlark.operators import flows as W
 from flowlark.plans.bridge import HOUR_US, SEGMENTS_SQL, event_packets
 from flowlark.plans.pipeline import STATE_COLUMNS
-from flowlark.runtime import with_rank
+from flowlark.runtime import kept, with_rank, written
 
 TIMEOUT = 24 * HOUR_US
 SEGMENTS = SEGMENTS_SQL.format(timeout=TIMEOUT)
@@ -177,17 +177,37 @@ def hop_limit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.summarized(A.histogram(_windows(spark, sf_dir)[0], F.col("hop_limit"))).drop("session").withColumn("mean", _r(F.col("mean")))
 
 
-@query("b2_ipv4_header_statistics", SEGMENTS + "SELECT sequence_number, is_forward, CAST(count(*) AS BIGINT) AS packets, CAST(count(*) FILTER (WHERE (event_id % 7) >= 4) AS BIGINT) AS reserved_flag, CAST(count(*) FILTER (WHERE (event_id % 7) IN (2, 3, 6)) AS BIGINT) AS dont_fragment, CAST(count(*) FILTER (WHERE (event_id % 7) % 2 = 1) AS BIGINT) AS more_fragments, CAST(count(*) FILTER (WHERE event_id % 4 IN (1, 2)) AS BIGINT) AS ecn_capable, CAST(count(*) FILTER (WHERE event_id % 4 = 3) AS BIGINT) AS congestion_experienced FROM p GROUP BY 1, 2")
+@query("b2_ipv4_header_statistics", SEGMENTS + "SELECT sequence_number, is_forward, CAST(count(*) AS BIGINT) AS packets, CAST(count(*) FILTER (WHERE (event_id % 7) >= 4) AS BIGINT) AS reserved_flag, CAST(count(*) FILTER (WHERE (event_id % 7) IN (2, 3, 6)) AS BIGINT) AS dont_fragment, CAST(count(*) FILTER (WHERE (event_id % 7) % 2 = 1) AS BIGINT) AS more_fragments, CAST(count(*) FILTER (WHERE event_id % 4 IN (1, 2)) AS BIGINT) AS ecn_capable, CAST(count(*) FILTER (WHERE event_id % 4 = 3) AS BIGINT) AS congestion_experienced, CAST(count(*) FILTER (WHERE event_id % 11 > 0) AS BIGINT) AS packets_with_options, CAST(sum(4 * (event_id % 11)) AS BIGINT) AS option_bytes FROM p GROUP BY 1, 2")
 def header_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _windows(spark, sf_dir)[0].withColumn("ip_version", F.lit(4)).withColumn("ip_options", F.lit(b""))
-    return A.ipv4_header_statistics(rows).drop("session", "packets_with_options", "option_bytes")
+    options = F.repeat(F.lit("\x01"), 4 * (F.col("event_id") % 11).cast("int")).cast("binary")
+    rows = _windows(spark, sf_dir)[0].withColumn("ip_version", F.lit(4)).withColumn("ip_options", options)
+    return A.ipv4_header_statistics(rows).drop("session")
 
 
-@query("b7_flow_label_saturation", "WITH c AS (SELECT event_type, event_id % CASE WHEN event_type = 'view' THEN 100 ELSE 400 END AS v, count(*) AS n FROM events GROUP BY 1, 2) SELECT event_type, CAST(sum(n) AS BIGINT) AS total, count(*) > 256 AS saturated, CAST(CASE WHEN count(*) > 256 THEN 0 ELSE count(*) END AS INTEGER) AS bins FROM c GROUP BY 1")
+_LABELS = "WITH c AS (SELECT event_type, event_id % CASE WHEN event_type = 'view' THEN 100 ELSE 400 END AS v, count(*) AS n FROM events GROUP BY 1, 2) "
+
+
+@query("b7_flow_label_saturation", _LABELS + "SELECT event_type, CAST(sum(n) AS BIGINT) AS total, count(*) > 256 AS saturated, CAST(CASE WHEN count(*) > 256 THEN 0 ELSE count(*) END AS INTEGER) AS bins FROM c GROUP BY 1")
 def flow_label_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saturated_labels(spark, sf_dir).withColumn("bins", F.size("bins"))
+
+
+def _saturated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    hist = A.histogram(events, F.expr("CAST(event_id % CASE WHEN event_type = 'view' THEN 100 ELSE 400 END AS INT)"), by=("event_type",))
-    return A.saturated(hist, by=("event_type",)).withColumn("bins", F.size("bins"))
+    hist = A.bounded_histogram(events, F.expr("event_id % CASE WHEN event_type = 'view' THEN 100 ELSE 400 END"), by=("event_type",))
+    return A.saturated(hist, by=("event_type",))
+
+
+@query("b7_flow_label_bins", _LABELS + "SELECT event_type, CAST(v AS BIGINT) AS value, CAST(n AS BIGINT) AS count FROM c WHERE event_type IN (SELECT event_type FROM c GROUP BY 1 HAVING count(*) <= 256)")
+def flow_label_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _saturated_labels(spark, sf_dir).select("event_type", F.explode("bins").alias("b")).select("event_type", "b.value", "b.count")
+
+
+@query("b7_window_label_saturation", SEGMENTS + "SELECT sequence_number, is_forward, CAST(sum(n) AS BIGINT) AS total, count(*) > 2 AS saturated, CASE WHEN count(*) > 2 THEN '' ELSE string_agg(v || 'x' || n, ' ' ORDER BY v) END AS bins FROM (SELECT sequence_number, is_forward, event_id % 400 AS v, count(*) AS n FROM p GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def window_label_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hist = A.bounded_histogram(_windows(spark, sf_dir)[0], F.col("flow_label"), limit=2)
+    text = F.array_join(F.transform("bins", lambda b: F.concat(b["value"].cast("string"), F.lit("x"), b["count"].cast("string"))), " ")
+    return A.saturated(hist, limit=2).select("sequence_number", "is_forward", "total", "saturated", text.alias("bins"))
 
 
 @query("b9_udp_statistics", SEGMENTS + "SELECT sequence_number, is_forward, CAST(count(*) AS BIGINT) AS datagrams, CAST(count(*) FILTER (WHERE event_id % 50 = 0) AS BIGINT) AS empty, CAST(min(event_id % 50) AS INTEGER) AS min_payload, CAST(max(event_id % 50) AS INTEGER) AS max_payload, CAST(sum(event_id % 50) AS BIGINT) AS payload_bytes, CAST(count(*) FILTER (WHERE event_id % 4 > 0) AS BIGINT) AS surplus_datagrams, CAST(sum(event_id % 4) AS BIGINT) AS surplus_bytes FROM p WHERE protocol = 17 GROUP BY 1, 2")
@@ -314,6 +334,33 @@ def closed_flow_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir).select("finding_index", F.col("raw_evidence.sequence_number").alias("sequence_number"), "detector_id", "decision")
 
 
+@query("e6_detection_stream", _FINDINGS + "SELECT sequence_number, closed_at, detector_id, decision FROM ordered")
+def detection_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as three micro-batches: findings of windows that were open across them are those of one run."""
+    from flowlark.plans.pipeline import DetectionSettings
+    from flowlark.streaming.detection import DetectionStream
+
+    packets = written(event_packets(spark, sf_dir).select(*STATE_COLUMNS), "streamed")
+    ends = [r[0] or 0 for r in packets.agg(F.max("packet_index")).collect()]
+    cuts = [0, (ends[0] + 1) // 3, 2 * (ends[0] + 1) // 3, ends[0] + 1]
+    found = []
+
+    def keep(findings: DataFrame, number: int) -> None:
+        e = F.col("raw_evidence")
+        found.append(kept(findings.select(e["sequence_number"].alias("sequence_number"), e["closed_at"].alias("closed_at"), "detector_id", "decision"), "stream-findings"))
+
+    settings = DetectionSettings(C.Detector("packet", "p1"), VOLUME, CONTROL, TIMEOUT, max_active=None)
+    stream = DetectionStream(spark, settings, lambda d, n: None, keep)
+    for a, b in zip(cuts, cuts[1:]):
+        stream.packets(packets.where(F.col("packet_index").between(a, b - 1)))
+    stream.finish()
+    stream.folder.remove("")
+    out = spark.createDataFrame([], "sequence_number bigint, closed_at bigint, detector_id string, decision string")
+    for part in found:
+        out = out.unionByName(part)
+    return out
+
+
 #: Ground truth: windows with a number not divisible by 7 are expected, positive if divisible by 5; and windows that do not exist.
 _TRUTH = _FINDINGS + """, truth AS (
   SELECT detector_id, sequence_number, sequence_number % 5 = 0 AS positive FROM f WHERE sequence_number % 7 <> 0

@@ -64,6 +64,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """As ``written``, but whatever block it is made in, the table stays until the driver ends."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), None
+    try:
+        return written(df, label)
+    finally:
+        _scopes.paths = outer
+
+
 def with_rank(df: DataFrame, name: str, *order: str | Column) -> DataFrame:
     """Adds the 0-based rank of each row in ``order`` over all rows (ties in any order).
 

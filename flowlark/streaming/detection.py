@@ -117,6 +117,9 @@ class DetectionStream:
 
     def batch(self, observations: DataFrame, number: int | None = None) -> None:
         """Handle a batch (without a number: the next one). One that is committed is passed over."""
+        self._handle(number, lambda n: self._part(observations, n))
+
+    def _handle(self, number: int | None, part: Callable[[int], None]) -> None:
         if self.finished:
             raise RuntimeError("the stream has ended")
         number = self.last + 1 if number is None else number
@@ -124,16 +127,19 @@ class DetectionStream:
             return
         with passing(self.spark):
             if not self.folder.marked(f"batch-{number}/parted"):
-                self._part(observations, number)
+                part(number)
             self._close(number)
             self._commit(number)
 
+    def packets(self, packets: DataFrame, number: int | None = None) -> None:
+        """As ``batch``, for packets that are decoded and have their identity; they have no packet findings."""
+        self._handle(number, lambda n: self._parted(self._in_order(written(packets.select(*STATE_COLUMNS), f"packets-{n}"), n), n))
+
     def _sessions(self) -> DataFrame:
         return self.folder.get(f"batch-{self.last}/sessions", _SESSIONS) if self.last >= 0 else self.spark.createDataFrame([], _SESSIONS)
 
-    def _admitted(self, decoded: DataFrame, number: int) -> DataFrame:
+    def _in_order(self, packets: DataFrame, number: int) -> DataFrame:
         """The batch's packets that are in order; any other is late, or an error."""
-        packets = written(flows.with_identity(admitted(decoded, strict=self.settings.strict)).select(*STATE_COLUMNS), f"packets-{number}")
         on_time, late = flows.split_late(packets, self._sessions().where("frontier_us IS NOT NULL"))
         if self.consumers["late"] is None:
             found = late.orderBy("packet_index").select("packet_index").first()
@@ -147,7 +153,10 @@ class DetectionStream:
         """Judge the batch's packets and write its windows' parts, where the stateful query finds them."""
         decoded = written(decode_packets(checked_observations(observations)).select(*detectors.PACKET_COLUMNS), f"batch-{number}")
         self._deliver("packet", number, detectors.packet_findings(decoded, self.settings.packet))
-        packets = self._admitted(decoded, number)
+        packets = flows.with_identity(admitted(decoded, strict=self.settings.strict)).select(*STATE_COLUMNS)
+        self._parted(self._in_order(written(packets, f"packets-{number}"), number), number)
+
+    def _parted(self, packets: DataFrame, number: int) -> None:
         parts = windows.window_parts(packets, timeout_us=self.settings.timeout_us, batch=number, evicted=self._evicted(packets))
         self.folder.put(f"parts/batch-{number}", parts.select(*self.schema.names))
         seen = packets.groupBy("session").agg(F.max("ts_us").alias("top"))
