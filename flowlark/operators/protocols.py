@@ -98,19 +98,24 @@ class _Folder:
 
 
 def in_windows(packets: DataFrame, *, timeout_us: int, max_active: int | None = None) -> DataFrame:
-    """The packets, in the columns that folds need, with the ``sequence_number`` of their window.
+    """The packets, in the columns that folds need, with the ``sequence_number`` of their window."""
+    return with_windows(packets, timeout_us=timeout_us, max_active=max_active)[0]
+
+
+def with_windows(packets: DataFrame, *, timeout_us: int, max_active: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(packets as of ``in_windows``, windows as of ``sessionize``).
 
     Windows are found over times and identities alone; payloads meet their
     window's number by place and identity, a key without hot values.
     """
     wide = written(packets.select("session", *PACKET_FIELDS, "src_port", "dst_port", *(c for c in IDENTITY if c not in PACKET_FIELDS)), "packets")
-    placed, _ = sessionize(wide.select("session", "packet_index", "ts_us", *IDENTITY, "is_forward"), timeout_us=timeout_us, max_active=max_active)
+    placed, windows = sessionize(wide.select("session", "packet_index", "ts_us", *IDENTITY, "is_forward"), timeout_us=timeout_us, max_active=max_active)
     keys = ("session", "packet_index", *IDENTITY)
     numbers = placed.select(*[F.col(k).alias(f"_{k}") for k in keys], "sequence_number").distinct()
     match = F.lit(True)
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return wide.join(numbers, match).drop(*[f"_{k}" for k in keys])
+    return wide.join(numbers, match).drop(*[f"_{k}" for k in keys]), windows
 
 
 def fold_windows(packets: DataFrame, *, segments: bool = False) -> DataFrame:
@@ -255,9 +260,10 @@ def dns_transaction_statistics(events: DataFrame) -> DataFrame:
     """Transactions by status and the latency of matches, in microseconds; header counts of all messages counted."""
     final = events.where("kind = 'dns_transaction' AND status <> 'pending'")
     latency = [F.coalesce(F.sum("latency_us"), F.lit(0)).alias("latency_us_total"), F.min("latency_us").alias("latency_us_min"), F.max("latency_us").alias("latency_us_max"), F.avg("latency_us").alias("latency_us_mean")]
-    states = final.groupBy(*WINDOW_KEY).agg(*[F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("matched", "unmatched", "ambiguous", "unresolved")], *latency)
-    heads = dns_messages(events).groupBy(*WINDOW_KEY).agg(*[F.sum(f"dns.{n}").cast("bigint").alias(n) for n in ("qdcount", "ancount", "nscount", "arcount")])
-    return states.join(heads, list(WINDOW_KEY))
+    # counts stand at fixed places of a header; of a match both messages count
+    number = lambda raw, at: F.when(F.octet_length(raw) >= 12, F.conv(F.hex(F.substring(raw, at, 2)), 16, 10).cast("bigint"))
+    heads = [F.sum(F.coalesce(number(F.col("raw"), at), F.lit(0)) + F.coalesce(number(F.col("request_raw"), at), F.lit(0))).alias(n) for n, at in (("qdcount", 5), ("ancount", 7), ("nscount", 9), ("arcount", 11))]
+    return final.groupBy(*WINDOW_KEY).agg(*[F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("matched", "unmatched", "ambiguous", "unresolved")], *latency, *heads)
 
 
 def dns_flag_statistics(messages: DataFrame) -> DataFrame:

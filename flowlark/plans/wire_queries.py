@@ -28,14 +28,9 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-#: Tables below this size may be one row group, which is one task whatever the number of cores.
-SMALL_TABLE = 1 << 28
-
-
 def dealt(table: DataFrame) -> DataFrame:
-    """A small table's narrow rows on all cores, before they become packets; a larger one has row groups enough and stays where it lies."""
-    size = int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return table.repartition(table.sparkSession.sparkContext.defaultParallelism) if size < SMALL_TABLE else table
+    """A table's narrow rows in as many parts as shuffles have, before they become packets: a file may be one row group, which is one task whatever the number of cores."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _hex(value: Column, size: int) -> Column:
@@ -237,7 +232,11 @@ def _with_header_checksum(frames: DataFrame) -> DataFrame:
 
 def lookup_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of the lookups in windows: one for each client, port and resolver."""
-    return P.in_windows(W.with_identity(admitted(decode_packets(_with_header_checksum(name_lookups(spark, sf_dir))))), timeout_us=10**15)
+    return _lookups(spark, sf_dir)[0]
+
+
+def _lookups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return P.with_windows(W.with_identity(admitted(decode_packets(_with_header_checksum(name_lookups(spark, sf_dir))))), timeout_us=10**15)
 
 
 @query("f1_dns_messages", "SELECT o_orderkey, reply, 'complete' AS status, CAST(o_orderkey % 65536 AS INTEGER) AS id, 'o' || CAST(o_orderkey AS VARCHAR) AS label, CAST(CASE WHEN reply THEN 1 ELSE 0 END AS INTEGER) AS ancount, CASE WHEN reply THEN CAST(o_orderkey % 3600 AS BIGINT) END AS ttl FROM orders CROSS JOIN (VALUES (FALSE), (TRUE)) AS v(reply) WHERE NOT reply OR o_orderkey % 4 <> 0")
@@ -253,8 +252,8 @@ def _lookup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of customers' lookups; the sequence number is that of the client, in order of the clients' first windows."""
-    packets = lookup_windows(spark, sf_dir)
-    windows = written(packets.groupBy(*WINDOW_KEY).agg(F.min("a_addr").alias("client")), "clients")
+    packets, windows = _lookups(spark, sf_dir)
+    windows = windows.select(*WINDOW_KEY, F.col("a_addr").alias("client"))
     clients = with_rank(windows.groupBy("session", "client").agg(F.min("sequence_number").alias("first")), "number", "first")
     customers = clients.drop("first").where(F.col("client") != F.lit(NO_CUSTOMER.to_bytes(4, "big")))
     numbers = windows.join(customers, ["session", "client"]).select(*WINDOW_KEY, "number")
