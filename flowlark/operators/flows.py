@@ -235,11 +235,25 @@ class ActiveWindows:
         self.limit, self.timeout = limit, timeout_us
         self.open: dict[tuple, tuple[int, int]] = {}
         self.heap: list[tuple[int, int, tuple]] = []
-        self.created = 0
+        self.created = self.carried = 0
+        self.ordered = False  # whether the order of carried windows decided anything
+
+    def carry(self, key: tuple, ts: int) -> None:
+        """A window that is open from the start, after those carried before it by number."""
+        self.open[key] = (ts, self.created)
+        heapq.heappush(self.heap, (ts, self.created, key))
+        self.created += 1
+        self.carried = self.created
 
     def close(self, key: tuple) -> None:
         self.open.pop(key, None)
 
+    def _top(self) -> tuple[int, int, tuple] | None:
+        """The open window that has to go next; outdated entries above it are dropped."""
+        while self.heap and self.open.get(self.heap[0][2]) != self.heap[0][:2]:
+            heapq.heappop(self.heap)
+        return self.heap[0] if self.heap else None
+
     def packet(self, key: tuple, ts: int) -> tuple | None:
         """Note a packet; returns the identity that had to go, if one had."""
         victim, known = None, self.open.get(key)
@@ -247,11 +261,11 @@ class ActiveWindows:
             number = known[1]
         else:
             if known is None and len(self.open) >= self.limit:
-                while True:
-                    last, number, victim = heapq.heappop(self.heap)
-                    if self.open.get(victim) == (last, number):
-                        break
+                last, number, victim = self._top()
                 del self.open[victim]
+                following = self._top()
+                if following is not None and following[0] == last and max(number, following[1]) < self.carried:
+                    self.ordered = True
             number = self.created
             self.created += 1
         self.open[key] = (ts, number)
@@ -262,50 +276,148 @@ class ActiveWindows:
         return victim
 
 
-def _scan_slices(narrow: DataFrame, slice_packets: int) -> tuple[DataFrame, bool]:
-    """``slice``: packets that one scan goes through; and whether there may be several of a session.
+_SCANNED = "kind string, session string, slice bigint, packet_index bigint, closed_at bigint, ts_us bigint, number bigint, ordered boolean"
+_EVICTED, _MARK, _END, _START = "evicted", "mark", "end", "start"
+
+
+def _arrays(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _scan(rows: DataFrame, timeout_us: int, limit: int, kinds: str) -> DataFrame:
+    """Each slice from the windows it starts with: windows that give way, and those that are open at its end with their order.
 
-    Where times rise strictly and nothing is closed on request, the open
-    windows at any place are those of the identities seen last, so a session
-    can be cut anywhere. Any other session stays whole: its ties are decided by
-    numbers, and a request leaves a free place, which both depend on all before.
+    Numbers below that of the mark are places among the windows it started with;
+    others count what it opened. The mark says whether the order of the former
+    decided anything.
     """
-    ends = narrow.agg(F.min("packet_index"), F.max("packet_index")).first()
-    if ends[0] is None or ends[0] // slice_packets == ends[1] // slice_packets:
-        return narrow.withColumn("slice", F.lit(0).cast("bigint")), False
-    level = _frontier(narrow.where("NOT control").select("session", "packet_index", "ts_us")).where("ts_us <= frontier_us").select("session")
-    whole = level.union(narrow.where("control").select("session")).distinct().select(F.col("session").alias("_whole"))
-    marked = narrow.join(whole, F.col("session") == F.col("_whole"), "left")
-    kept = F.col("_whole").isNotNull() | F.col("session").isNull()
-    return marked.withColumn("slice", F.when(kept, 0).otherwise(F.floor(F.col("packet_index") / slice_packets))).drop("_whole"), True
+    out = f"{_SCANNED}, {kinds}"
+    rows = rows.select("session", "slice", "carried", "packet_index", "control", "ts_us", "last_index", *IDENTITY)
+    rows = rows.repartition("session", "slice").sortWithinPartitions("session", "slice", F.col("carried").desc(), "packet_index", "control")
+    key_types = [rows.schema[c].dataType for c in IDENTITY]
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    schema = pa.schema([("kind", pa.string()), ("session", pa.string()), *((n, pa.int64()) for n in ("slice", "packet_index", "closed_at", "ts_us", "number")), ("ordered", pa.bool_()), *((c, to_arrow_type(t)) for c, t in zip(IDENTITY, key_types))])
+    nothing = (None,) * len(IDENTITY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, active, last, found = None, None, {}, []
+
+        def ended() -> list[tuple]:
+            ends = sorted((number, key, ts) for key, (ts, number) in active.open.items())
+            return [(_MARK, *place, None, None, None, active.carried, active.ordered, *nothing), *((_END, *place, last[key], None, ts, number, None, *key) for number, key, ts in ends)]
+
+        for batch in batches:
+            for session, number, carried, index, control, ts, own, *key in zip(*(c.to_pylist() for c in batch.columns)):
+                key = tuple(key)
+                if place != (session, number):
+                    found += [] if place is None else ended()
+                    place, active, last = (session, number), ActiveWindows(limit, timeout_us), {}
+                if carried:
+                    active.carry(key, ts)
+                elif control:
+                    active.close(key)
+                    continue
+                else:
+                    victim = active.packet(key, ts)
+                    if victim is not None:
+                        found.append((_EVICTED, session, number, last.pop(victim), index, None, None, None, *victim))
+                last[key] = own
+            if len(found) >= 4096:
+                yield _arrays(found, schema)
+                found = []
+        yield _arrays(found if place is None else found + ended(), schema)
+
+    return rows.mapInArrow(run, out)
 
 
-def _open_at_start(sliced: DataFrame, limit: int) -> DataFrame:
-    """The identities with an open window at the start of each slice but a session's first, with their last packets.
+def _guessed_starts(sliced: DataFrame, limit: int) -> DataFrame:
+    """Windows that are likely open at the start of each slice but a session's first: the identities seen last, in the order of their last packets.
 
-    Of each slice only the ``limit`` identities seen last matter to those after
-    it; the pass over a session's slices reads and holds no more than those.
+    Where times rise strictly and nothing is closed on request this is right.
+    Of each slice only the ``limit`` identities seen last are read, and no more
+    than those are held on the way through a session's slices.
     """
-    lasts = sliced.groupBy("session", "slice", *IDENTITY).agg(F.max("packet_index").alias("packet_index"), F.max("ts_us").alias("ts_us"))
+    of_packet = lambda c: F.when(~F.col("control"), F.col(c))
+    lasts = sliced.groupBy("session", "slice", *IDENTITY).agg(F.max(of_packet("packet_index")).alias("packet_index"), F.max("ts_us").alias("ts_us"), F.max(F.when(F.col("control"), F.col("packet_index"))).alias("closed"))
+    lasts = lasts.withColumn("closed", F.coalesce(F.col("closed") >= F.coalesce("packet_index", F.lit(-1)), F.lit(False))).withColumn("packet_index", F.coalesce("packet_index", F.lit(-1).cast("bigint")))
     latest = Window.partitionBy("session", "slice").orderBy(F.col("packet_index").desc())
-    rows = lasts.withColumn("_place", F.row_number().over(latest)).where(F.col("_place") <= limit).select("session", "slice", "packet_index", "ts_us", *IDENTITY)
+    rows = lasts.withColumn("_place", F.row_number().over(latest)).where((F.col("_place") <= limit) | F.col("closed")).select("session", "slice", "packet_index", "ts_us", "closed", *IDENTITY)
     rows = rows.repartition("session").sortWithinPartitions("session", "slice", "packet_index")
+    out = rows.drop("closed").withColumn("number", F.lit(0).cast("bigint"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, seen = None, {}
         for batch in batches:
-            for session, number, index, ts, *key in zip(*(c.to_pylist() for c in batch.columns)):
+            kept = batch.select([n for n in batch.schema.names if n != "closed"]).schema
+            for session, number, index, ts, closed, *key in zip(*(c.to_pylist() for c in batch.columns)):
                 if place is None or place[0] != session:
                     place, seen = (session, number), {}
                 elif place[1] != number:
                     place, seen = (session, number), dict(list(seen.items())[-limit:])
-                    columns = list(zip(*((session, number, *at, *k) for k, at in seen.items())))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, batch.schema)], names=batch.schema.names)
+                    rows = [(session, number, *at, *k, n) for n, (k, at) in enumerate(seen.items())]
+                    yield _arrays(rows, kept.append(pa.field("number", pa.int64())))
                 key = tuple(key)
                 seen.pop(key, None)
-                seen[key] = (index, ts)
+                if not closed:
+                    seen[key] = (index, ts)
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, out.schema).select("session", "slice", "packet_index", "ts_us", "number", *IDENTITY)
+
+
+def _misled(starts: DataFrame, scans: DataFrame) -> DataFrame:
+    """What the first slice of each session that started from something else should have started from: a mark, and its windows in order.
+
+    A session's slices are gone through in order, of each the windows at its
+    start and end, so that no more than a limit of windows is held.
+    """
+    kinds = dict(starts.dtypes)
+    all_ = starts.select(F.lit(_START).alias("kind"), "session", "slice", "packet_index", "ts_us", "number", F.lit(None).cast("boolean").alias("ordered"), *IDENTITY)
+    all_ = all_.unionByName(scans.where(F.col("kind") != _EVICTED).select(*all_.columns))
+    stage = F.when(F.col("kind") == _START, 0).when(F.col("kind") == _MARK, 1).otherwise(2)
+    rows = all_.withColumn("stage", stage).repartition("session").sortWithinPartitions("session", "slice", "stage", "number").drop("stage")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, true, start, mark, ends, out, lost, schema = None, {}, {}, None, [], [], False, None
+
+        def settle() -> None:
+            """Hold what a slice started from against what it should have, and go on to what it left."""
+            nonlocal true, lost
+            if lost:
+                return
+            carried, ordered = mark
+            same = start == true and (not ordered or list(start) == list(true))
+            if not same:
+                lost = True
+                out.append((_MARK, *place, None, None, None, None, *(None,) * len(IDENTITY)))
+                out.extend((_START, *place, index, ts, n, None, *key) for n, (key, (index, ts)) in enumerate(true.items()))
+                return
+            left = {key: at for key, number, at in ends if number < carried}
+            opened = {key: at for key, number, at in ends if number >= carried}
+            true = {key: left[key] for key in true if key in left} | opened
+
+        for batch in batches:
+            schema = batch.schema
+            for kind, session, number, index, ts, order, ordered, *key in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != (session, number):
+                    if place is not None:
+                        settle()
+                        if place[0] != session:
+                            true, lost = {}, False
+                    place, start, mark, ends = (session, number), {}, None, []
+                if kind == _START:
+                    start[tuple(key)] = (index, ts)
+                elif kind == _MARK:
+                    mark = (order, ordered)
+                else:
+                    ends.append((tuple(key), order, (index, ts)))
+        if place is not None:
+            settle()
+        if schema is not None:
+            yield _arrays(out, schema)
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in all_.dtypes))
 
 
 def evictions(packets: DataFrame, *, timeout_us: int, max_active: int, controls: DataFrame | None = None, slice_packets: int = SLICE, open_: DataFrame | None = None) -> DataFrame:
@@ -315,47 +427,43 @@ def evictions(packets: DataFrame, *, timeout_us: int, max_active: int, controls:
     ``packet_index`` of their first and ``last_index`` of their last packet, and
     the time of the last.
 
-    Rows stream through in packet order, a few narrow columns wide: slices of a
-    session beside each other where its open windows at their starts follow
-    from the order of packets alone, a whole session otherwise (``_scan_slices``).
+    Slices of a session are scanned beside each other, each from the windows
+    that are likely open at its start. Ties of times, which numbers decide, and
+    closings on request, which leave a place free, can make that wrong; what
+    each slice leaves is held against what the next one started from, and a
+    slice that was misled is scanned again from what is right, until none is.
+    So no task goes through more than a slice.
     """
     narrow = packets.select("session", "packet_index", F.lit(False).alias("control"), "ts_us", *IDENTITY)
     if controls is not None:
         narrow = narrow.unionByName(controls.select("session", "packet_index", F.lit(True).alias("control"), F.lit(None).cast("bigint").alias("ts_us"), *IDENTITY))
-    sliced, several = _scan_slices(narrow, slice_packets) if open_ is None else (narrow.withColumn("slice", F.lit(0).cast("bigint")), False)
-    rows = sliced.withColumn("carried", F.lit(False)).withColumn("last_index", F.col("packet_index"))
-    if open_ is not None:
-        rows = rows.unionByName(open_.select("session", "packet_index", F.lit(False).alias("control"), "ts_us", *IDENTITY, F.lit(0).cast("bigint").alias("slice"), F.lit(True).alias("carried"), "last_index"))
-    if several:
-        sliced = written(sliced, "scans")
-        rows = sliced.withColumn("carried", F.lit(False)).unionByName(_open_at_start(sliced.where("NOT control"), max_active).withColumn("control", F.lit(False)).withColumn("carried", F.lit(True))).withColumn("last_index", F.col("packet_index"))
-    rows = rows.select("session", "slice", "carried", "packet_index", "control", "ts_us", *IDENTITY, "last_index")
-    rows = rows.repartition("session", "slice").sortWithinPartitions("session", "slice", F.col("carried").desc(), "packet_index", "control")
-    kinds = dict(packets.dtypes)
-    schema = "session string, packet_index bigint, closed_at bigint, reason string, " + ", ".join(f"{c} {kinds[c]}" for c in IDENTITY)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, active, last = None, None, {}
-        for batch in batches:
-            out = []
-            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
-                session, number, carried, index, control, ts, *key, own = row
-                key = tuple(key)
-                if place != (session, number):
-                    place, active, last = (session, number), ActiveWindows(max_active, timeout_us), {}
-                if control:
-                    active.close(key)
-                    continue
-                victim = active.packet(key, ts)
-                last[key] = own
-                if victim is not None and not carried:
-                    out.append((session, last.pop(victim), index, CLOSED_BY_CAPACITY, *victim))
-            if out:
-                columns = list(zip(*out))
-                fixed = [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string())]
-                yield pa.RecordBatch.from_arrays([*fixed, *(pa.array(c, batch.schema.field(6 + k).type) for k, c in enumerate(columns[4:]))], names=["session", "packet_index", "closed_at", "reason", *IDENTITY])
-
-    return rows.mapInArrow(run, schema)
+    types = dict(packets.dtypes)
+    kinds = ", ".join(f"{c} {types[c]}" for c in IDENTITY)
+    ends = narrow.agg(F.min("packet_index"), F.max("packet_index")).first()
+    several = open_ is None and ends[0] is not None and ends[0] // slice_packets != ends[1] // slice_packets
+    sliced = narrow.withColumn("slice", F.floor(F.col("packet_index") / slice_packets) if several else F.lit(0).cast("bigint"))
+    as_rows = lambda df: df.withColumns({"carried": F.lit(False), "last_index": F.col("packet_index")})
+    from_start = lambda df: df.select("session", "slice", F.lit(True).alias("carried"), F.col("number").alias("packet_index"), F.lit(False).alias("control"), "ts_us", F.col("packet_index").alias("last_index"), *IDENTITY)
+    if not several:
+        rows = as_rows(sliced)
+        if open_ is not None:
+            rows = rows.unionByName(open_.select("session", F.lit(0).cast("bigint").alias("slice"), F.lit(True).alias("carried"), "packet_index", F.lit(False).alias("control"), "ts_us", "last_index", *IDENTITY))
+        scans = _scan(rows, timeout_us, max_active, kinds)
+    else:
+        sliced = written(sliced, "slices")
+        starts = written(_guessed_starts(sliced, max_active), "starts")
+        scans = written(_scan(as_rows(sliced).unionByName(from_start(starts)), timeout_us, max_active, kinds), "scans")
+        while True:
+            right = written(_misled(starts, scans), "misled")
+            again = right.where(F.col("kind") == _MARK).select(F.col("session").alias("_session"), F.col("slice").alias("_slice"))
+            if again.limit(1).count() == 0:
+                break
+            hit = F.col("session").eqNullSafe(F.col("_session")) & (F.col("slice") == F.col("_slice"))
+            fresh = right.where(F.col("kind") == _START).select(*starts.columns)
+            redone = _scan(as_rows(sliced.join(F.broadcast(again), hit, "left_semi")).unionByName(from_start(fresh)), timeout_us, max_active, kinds)
+            starts = written(starts.join(F.broadcast(again), hit, "left_anti").unionByName(fresh), "starts")
+            scans = written(scans.join(F.broadcast(again), hit, "left_anti").unionByName(redone), "scans")
+    return scans.where(F.col("kind") == _EVICTED).select("session", "packet_index", "closed_at", F.lit(CLOSED_BY_CAPACITY).alias("reason"), *IDENTITY)
 
 
 def packed_addresses(df: DataFrame, **columns: str) -> DataFrame:

@@ -119,9 +119,23 @@ def test_evictions_in_slices_equal_a_single_scan(spark):
     fixed = {c: F.lit(None).cast(t) for c, t in names.items()} | {"a_addr": F.col("a").cast("binary")}
     packets = packets.select("session", "packet_index", "ts_us", *[fixed[c].alias(c) for c in flows.IDENTITY])
     controls = packets.where("session = 'closed' AND packet_index % 50 = 9").select("session", "packet_index", *flows.IDENTITY)
-    found = [sorted(map(repr, flows.evictions(packets, timeout_us=60, max_active=5, controls=controls, slice_packets=n).collect())) for n in (1 << 20, 1, 7, 150)]
+    found = [sorted(map(repr, flows.evictions(packets, timeout_us=60, max_active=5, controls=controls, slice_packets=n).collect())) for n in (1 << 20, 60, 150)]
     assert len(found[0]) > 300
-    assert found[1:] == found[:1] * 3
+    assert found[1:] == found[:1] * 2
+    # and as one state machine that sees all packets
+    closed = {(r.session, r.packet_index) for r in controls.collect()}
+    plain = []
+    for name in ("rising", "ties", "closed"):
+        active, last = flows.ActiveWindows(5, 60), {}
+        for _, k, at, a in (r for r in records if r[0] == name):
+            victim = active.packet(a, at)
+            if victim is not None:
+                plain.append((name, last.pop(victim), k, victim))
+            last[a] = k
+            if (name, k) in closed:
+                active.close(a)
+    got = flows.evictions(packets, timeout_us=60, max_active=5, controls=controls, slice_packets=90).collect()
+    assert sorted((r.session, r.packet_index, r.closed_at, bytes(r.a_addr).decode()) for r in got) == sorted(plain)
 
 
 def test_explicit_close(spark):
