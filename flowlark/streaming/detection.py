@@ -30,7 +30,8 @@ from flowlark.operators.decoding import admitted, checked_observations, decode_p
 from flowlark.plans.pipeline import STATE_COLUMNS, DetectionSettings
 from flowlark.runtime import passing, shared_folder, with_rank, written
 from flowlark.schemas import IDENTITY
-from flowlark.streaming import windows
+from flowlark.streaming import matching, windows
+from flowlark.streaming.folder import Folder, with_rocks
 
 #: Takes findings and the number of their batch.
 Consumer = Callable[[DataFrame, int], None]
@@ -38,43 +39,6 @@ FINAL = 1 << 62
 _SESSIONS = "session string, next_number bigint, frontier_us bigint"
 
 
-class Folder:
-    """Tables and marks in a folder of any store that Spark reaches."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _at(self, name: str) -> tuple:
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
-
-    def marked(self, name: str) -> bool:
-        store, place = self._at(name)
-        return store.exists(place)
-
-    def mark(self, name: str) -> None:
-        store, place = self._at(name)
-        store.create(place, True).close()
-
-    def remove(self, name: str) -> None:
-        store, place = self._at(name)
-        store.delete(place, True)
-
-    def numbers(self, prefix: str) -> list[int]:
-        store, place = self._at("")
-        names = [f.getPath().getName() for f in store.listStatus(place)] if store.exists(place) else []
-        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
-
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.get(name, df.schema)
-
-    def get(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _NUMBERS = "session string, first_packet_index bigint, number bigint, first_batch bigint"
 
 
@@ -182,15 +146,12 @@ class DetectionStream:
 
     def _close(self, number: int) -> None:
         """Bring the batch's parts to the state and deliver what closes."""
-        before, self.at = self.spark.conf.get(_PROVIDER), number
-        self.spark.conf.set(_PROVIDER, _ROCKS)
-        try:
+        self.at = number
+        with with_rocks(self.spark):
             parts = self.spark.readStream.schema(self.schema).option("recursiveFileLookup", "true").parquet(f"{self.folder.path}/parts")
             events = windows.window_events(parts, self.schema, self.settings.timeout_us)
             query = events.writeStream.foreachBatch(self._numbered).option("checkpointLocation", f"{self.folder.path}/windows").trigger(availableNow=True).start()
             query.awaitTermination()
-        finally:
-            self.spark.conf.set(_PROVIDER, before)
         if not self.folder.marked(f"batch-{number}/sessions"):  # nothing came to the state
             self.folder.put(f"batch-{number}/sessions", self.folder.get(f"batch-{number}/seen", _SESSIONS))
         self._deliver_closed(number)
@@ -239,50 +200,34 @@ class DetectionStream:
 class StreamingEvaluation:
     """Findings of a stream against ground truth; ``packets`` and ``flow_findings`` are consumers.
 
-    Findings lie in ``folder`` by batch, so a batch that is delivered again
-    replaces itself. Packet identities hold a packet's place, so a batch's
-    packet findings are matched at once; expectations that no batch met are
-    entries at the end. A flow finding may have to give way to a later one with
-    the wanted decision, so flow findings are kept, narrow, and matched when the
-    stream ends.
+    ``metrics`` can be asked for after any batch: they are those of all findings
+    so far. A packet's identity holds its place, so a batch's packet findings
+    are matched at once. A flow finding may have to give way to a later one
+    with the wanted decision, so each identity's findings are counted in a
+    state store and its share is put anew. No findings are kept, and a batch
+    that is delivered again changes nothing.
     """
 
     def __init__(self, spark: SparkSession, packet_expectations: DataFrame, flow_expectations: DataFrame, folder: str | None = None) -> None:
         evaluation.check_expectations(packet_expectations, evaluation.PACKET_IDENTITY)
         evaluation.check_expectations(flow_expectations, evaluation.FLOW_IDENTITY)
-        self.packet_expectations, self.flow_expectations = packet_expectations, flow_expectations
-        self.folder = Folder(spark, folder or f"{shared_folder(spark).rstrip('/')}/evaluation-{uuid.uuid4().hex}")
-        self.schemas: dict[str, object] = {}
-
-    def _put(self, kind: str, number: int, df: DataFrame) -> None:
-        self.folder.put(f"{kind}-{number}", df)
-
-    def _all(self, kind: str) -> DataFrame | None:
-        numbers = self.folder.numbers(f"{kind}-")
-        return self.folder.spark.read.parquet(*[f"{self.folder.path}/{kind}-{n}" for n in numbers]) if numbers else None
+        path = folder or f"{shared_folder(spark).rstrip('/')}/evaluation-{uuid.uuid4().hex}"
+        self.spark = spark
+        self.packet_channel = matching.PlacedMatching(Folder(spark, f"{path}/packet"), packet_expectations, evaluation.PACKET_IDENTITY)
+        self.flow_channel = matching.KeyedMatching(Folder(spark, f"{path}/flow"), flow_expectations, evaluation.FLOW_IDENTITY)
 
     def packets(self, findings: DataFrame, number: int) -> None:
-        found = evaluation.finding_identities(findings, packet=True, index="finding_index")
-        self._put("entries", number, evaluation.evaluate_channel(found, self.packet_expectations, evaluation.PACKET_IDENTITY).where("actual_index IS NOT NULL"))
+        self.packet_channel.add(evaluation.finding_identities(findings, packet=True, index="finding_index"), number)
 
     def flow_findings(self, findings: DataFrame, number: int) -> None:
-        self._put("flows", number, findings)
+        self.flow_channel.add(evaluation.finding_identities(findings.withColumn("finding_index", F.lit(0)), packet=False, index="finding_index"), number)
+
+    def metrics(self) -> DataFrame:
+        """Metrics by channel, of the batches so far."""
+        return matching.metrics(self.spark, packet=self.packet_channel.counts(), flow=self.flow_channel.counts())
 
     def finish(self) -> DataFrame:
-        """Metrics by channel."""
-        entries, missed = self._all("entries"), self.packet_expectations
-        if entries is not None:
-            missed = missed.join(entries.where("expectation_index IS NOT NULL").select("expectation_index"), "expectation_index", "left_anti")
-        packet = missed.select(evaluation.classification(F.lit(None).cast("string"), F.col("positive")).alias("classification"))
-        packet = packet if entries is None else packet.unionByName(entries.select("classification"))
-        every = self._all("flows")
-        if every is None:
-            flow = self.flow_expectations.select(evaluation.classification(F.lit(None).cast("string"), F.col("positive")).alias("classification"))
-        else:
-            found = evaluation.finding_identities(with_rank(every, "finding_index", *detectors.finding_order()), packet=False, index="finding_index")
-            flow = evaluation.evaluate_channel(found, self.flow_expectations, evaluation.FLOW_IDENTITY)
-        one = lambda e, name: evaluation.detection_metrics(e).withColumn("channel", F.lit(name))
-        return one(packet, "packet").unionByName(one(flow, "flow"))
+        return self.metrics()
 
 
 def evaluate_stream(spark: SparkSession, observations: DataFrame | Iterable[DataFrame], settings: DetectionSettings, packet_expectations: DataFrame, flow_expectations: DataFrame, *, folder: str | None = None) -> DataFrame:
