@@ -14,8 +14,8 @@ FLOW_IDENTITY = ("detector_id", "detector_version", "session", "sequence_number"
 def finding_identities(findings: DataFrame, *, packet: bool, index: str) -> DataFrame:
     """(actual_index, decision, identity columns) of findings; ``index`` is the finding's place in its channel."""
     names = PACKET_IDENTITY if packet else FLOW_IDENTITY
-    e = F.col("raw_evidence")
-    return findings.select(F.col(index).cast("bigint").alias("actual_index"), "decision", "detector_id", "detector_version", *[e[n].alias(n) for n in names[2:]])
+    e, session = F.col("raw_evidence"), () if "session" in names else ("session",)
+    return findings.select(F.col(index).cast("bigint").alias("actual_index"), "decision", "detector_id", "detector_version", *[e[n].alias(n) for n in (*names[2:], *session)])
 
 
 def _same(a: str, b: str, names: tuple[str, ...]) -> Column:
@@ -61,6 +61,11 @@ def evaluate_channel(findings: DataFrame, expectations: DataFrame, names: tuple[
     return match_findings(findings, expectations, names).withColumn("classification", classification(F.col("decision"), F.col("positive")))
 
 
+def by_case(names: tuple[str, ...]) -> tuple[str, ...]:
+    """The identity columns of a channel in which cases, told apart by session, are matched together."""
+    return names if "session" in names else ("session", *names)
+
+
 def contradictions(expectations: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Identities that are expected both positive and negative."""
     return expectations.groupBy(*names).agg(F.countDistinct("positive").alias("n")).where("n > 1").drop("n")
@@ -82,10 +87,14 @@ def to_expectations(truth: DataFrame) -> DataFrame:
     return truth.withColumn("positive", F.col("polarity") == "positive").drop("polarity")
 
 
-def detection_metrics(entries: DataFrame) -> DataFrame:
-    """Counts of the classes, precision, recall, F1 and accuracy (null where the denominator is 0)."""
+#: The numbers that metrics are made of.
+COUNTS = ("true_positives", "false_positives", "false_negatives", "true_negatives", "unclassified")
+
+
+def detection_metrics(entries: DataFrame, *by: str) -> DataFrame:
+    """Counts of the classes, precision, recall, F1 and accuracy (null where the denominator is 0); a row for each value of ``by``."""
     n = {k: F.count_if(F.col("classification") == k) for k in ("true_positive", "false_positive", "false_negative", "true_negative")}
-    counts = entries.agg(*[c.alias(f"{k}s") for k, c in n.items()], F.count_if(F.col("classification").isNull()).alias("unclassified"))
+    counts = entries.groupBy(*by).agg(*[c.alias(f"{k}s") for k, c in n.items()], F.count_if(F.col("classification").isNull()).alias("unclassified"))
     return with_ratios(counts)
 
 

@@ -394,3 +394,27 @@ _COUNTED = _TRUTH + ", c AS (SELECT CAST(count(*) FILTER (WHERE classification =
 def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = J.detection_metrics(_entries(spark, sf_dir))
     return m.withColumns({n: _r(F.col(n)) for n in ("precision", "recall", "f1", "accuracy")})
+
+
+#: Cases are groups of users; a case's windows are numbered on their own. Of a case's ground truth, one expectation in nine is of a window that does not exist.
+_CASES = _SUMS + """, c AS (SELECT s.*, u.case_id, row_number() OVER (PARTITION BY u.case_id ORDER BY s.sequence_number) - 1 AS number FROM s JOIN (SELECT DISTINCT sequence_number, user_id % 40 AS case_id FROM p) u ON s.sequence_number = u.sequence_number),
+f AS (SELECT case_id, number, 'volume' AS detector_id, packet_count > 2 AS match FROM c WHERE protocol IN (6, 17) UNION ALL SELECT case_id, number, 'control', forward_syn_count > 0 FROM c WHERE protocol = 6),
+t AS (SELECT case_id, detector_id, number, number % 5 = 0 AS positive FROM f WHERE number % 7 <> 0 UNION ALL SELECT case_id, detector_id, -1 - number, number % 2 = 0 FROM f WHERE number % 9 = 0),
+e AS (SELECT coalesce(f.case_id, t.case_id) AS case_id, match, coalesce(positive, FALSE) AS wanted, positive FROM f FULL OUTER JOIN t ON f.case_id = t.case_id AND f.detector_id = t.detector_id AND f.number = t.number),
+n AS (SELECT case_id, count(*) FILTER (match AND wanted) AS tp, count(*) FILTER (match AND NOT wanted) AS fp, count(*) FILTER (coalesce(NOT match, TRUE) AND wanted) AS fn, count(*) FILTER (NOT match AND positive IS NOT NULL AND NOT wanted) AS tn, count(*) AS n FROM e GROUP BY 1)
+SELECT CAST(case_id AS VARCHAR) AS case_id, CAST(tp AS BIGINT) AS true_positives, CAST(fp AS BIGINT) AS false_positives, CAST(fn AS BIGINT) AS false_negatives, CAST(tn AS BIGINT) AS true_negatives, CAST(n - tp - fp - fn - tn AS BIGINT) AS unclassified,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall FROM n
+"""
+
+
+@query("e10_benchmark_cases", _CASES)
+def benchmark_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.when(F.hex("a_addr").isin("000186A0", "000186A1"), F.conv(F.hex("b_addr"), 16, 10).cast("bigint")).otherwise(F.conv(F.hex("a_addr"), 16, 10).cast("bigint"))
+    packets = event_packets(spark, sf_dir).select(*STATE_COLUMNS).withColumn("session", (F.when(user > 200000, user - 200000).otherwise(user) % 40).cast("string"))
+    state = A.window_state(*W.sessionize(packets, timeout_us=TIMEOUT, max_active=None))
+    found = written(J.finding_identities(C.flow_findings(state, VOLUME, CONTROL).withColumn("finding_index", F.monotonically_increasing_id()), packet=False, index="finding_index"), "case-findings")
+    number = F.col("sequence_number")
+    truth = found.where(number % 7 != 0).withColumn("positive", number % 5 == 0).unionByName(found.where(number % 9 == 0).withColumn("positive", number % 2 == 0).withColumn("sequence_number", -1 - number))
+    entries = J.evaluate_channel(found, truth.select(F.col("actual_index").alias("expectation_index"), "positive", *J.FLOW_IDENTITY), J.by_case(J.FLOW_IDENTITY))
+    m = J.detection_metrics(entries, "session")
+    return m.select(F.col("session").alias("case_id"), *J.COUNTS, _r(F.col("precision")).alias("precision"), _r(F.col("recall")).alias("recall"))

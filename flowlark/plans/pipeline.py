@@ -89,3 +89,28 @@ def validate_end_to_end(observations: DataFrame, settings: DetectionSettings, pa
             raise DetectionError("ground truth names an identity twice")
     found = detect(observations, settings)
     return metrics_of(*evaluate(found, evaluation.to_expectations(packet_truth), evaluation.to_expectations(flow_truth)))
+
+
+def evaluate_cases(observations: DataFrame, settings: DetectionSettings, packet_truth: DataFrame, flow_truth: DataFrame) -> DataFrame:
+    """Metrics by case and channel: a whole benchmark as one plan, whatever the number of cases.
+
+    A case is a capture, told apart by ``session`` in observations and in both
+    ground truths (``packet_truth`` has that column too). Cases are decoded, cut
+    into windows, judged and matched together; each gives what it gives alone.
+    A case without observations or expectations has a row too; ratios without a
+    denominator are null.
+    """
+    for truth, names in ((packet_truth, evaluation.PACKET_IDENTITY), (flow_truth, evaluation.FLOW_IDENTITY)):
+        if evaluation.duplicates(truth, evaluation.by_case(names)).limit(1).count():
+            raise DetectionError("ground truth names an identity twice")
+    found = detect(observations, settings)
+    cases = observations.select("session").unionByName(packet_truth.select("session")).unionByName(flow_truth.select("session")).distinct()
+    out = None
+    for channel, findings, truth, names in (("packet", found.packet_findings, packet_truth, evaluation.PACKET_IDENTITY), ("flow", found.flow_findings, flow_truth, evaluation.FLOW_IDENTITY)):
+        identities = evaluation.finding_identities(detectors.checked_findings(findings), packet=channel == "packet", index="finding_index")
+        entries = evaluation.evaluate_channel(identities, evaluation.to_expectations(truth), evaluation.by_case(names))
+        counted = evaluation.detection_metrics(entries, "session").select(F.col("session").alias("_session"), *evaluation.COUNTS)
+        counts = cases.join(counted, F.col("session").eqNullSafe(F.col("_session")), "left").select(F.col("session").alias("case"), *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in evaluation.COUNTS])
+        one = evaluation.with_ratios(counts).withColumn("channel", F.lit(channel))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -101,6 +101,29 @@ def packet_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(spark, sf_dir).select(*_KEY, "failure_classification", "failure_description")
 
 
+#: How a frame is damaged, by order and line; the class and message of what is then wrong with it first.
+_DAMAGED = _ENCODED + """, h AS (SELECT o.*, (l_orderkey + l_linenumber) % 8 AS damage FROM o)
+SELECT l_orderkey, l_linenumber,
+       CASE damage WHEN 0 THEN failure_classification WHEN 1 THEN 'incomplete' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'incomplete' WHEN 4 THEN 'structural_failure' WHEN 5 THEN 'structural_failure' WHEN 6 THEN 'incomplete' ELSE CASE WHEN cut THEN 'incomplete' ELSE 'integrity_failure' END END AS failure_classification,
+       CASE damage WHEN 0 THEN failure_description WHEN 1 THEN 'Ethernet frame is too short: expected at least 14 bytes, got ' || (l_orderkey % 14) WHEN 2 THEN 'Packet analysis requires IPv4 EtherType 0x0800 or IPv6 EtherType 0x86DD' WHEN 3 THEN 'IPv4 header is too short: expected at least 20 bytes'
+                   WHEN 4 THEN 'IPv4 version must be 4' WHEN 5 THEN 'IPv4 IHL must be at least 5' WHEN 6 THEN 'IPv4 total length exceeds available bytes' ELSE CASE WHEN cut THEN 'IPv4 total length exceeds available bytes' ELSE 'Checksum validation failed for IPv4' END END AS failure_description FROM h
+"""
+
+
+@query("c3_damaged_frames", _DAMAGED)
+def damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, key = order_frames(spark, sf_dir), F.col("l_orderkey")
+    raw, damage = F.col("raw_bytes"), (F.col("l_orderkey") + F.col("l_linenumber")) % 8
+    first = lambda n: F.substring(raw, 1, n)
+    put = lambda at, text: F.concat(F.substring(raw, 1, at), F.unhex(F.lit(text)), F.substring(raw, at + len(text) // 2 + 1, 1 << 20))
+    less = F.octet_length(raw) - 34
+    changed = (
+        F.when(damage == 1, first((key % 14).cast("int"))).when(damage == 2, put(12, "0806")).when(damage == 3, first((14 + key % 20).cast("int")))
+        .when(damage == 4, put(14, "65")).when(damage == 5, put(14, "44")).when(damage == 6, first((34 + key % less).cast("int"))).when(damage == 7, put(22, "00")).otherwise(raw)
+    )
+    return decode_packets(rows.withColumn("raw_bytes", changed)).select(*_KEY, "failure_classification", "failure_description")
+
+
 @query("c5_packet_integrity", _ENCODED + "SELECT l_orderkey * 8 + l_linenumber AS finding_index, CASE WHEN cut THEN 'not_evaluable' WHEN corrupt THEN 'match' ELSE 'no_match' END AS decision, CASE WHEN cut THEN 'The packet analysis outcome was incomplete or unsupported.' WHEN corrupt THEN 'A supported structural or integrity violation was observed.' ELSE 'No supported integrity or structural violation was observed.' END AS security_interpretation FROM o")
 def packet_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = C.packet_findings(_decoded(spark, sf_dir), C.Detector("packet", "p1"))

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from flowlark.operators import evaluation
 from flowlark.streaming.folder import Folder, with_rocks
 
-CLASSES = ("true_positives", "false_positives", "false_negatives", "true_negatives", "unclassified")
+CLASSES = evaluation.COUNTS
 _STATE = "matches bigint, opposites bigint, unknown bigint, expected bigint, positive boolean"
 PARTS = f"identity string, {_STATE}"
 _DELTA = ", ".join(f"{c} bigint" for c in CLASSES)
