@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from flowlark.functions.folds import CLOSED, LIMIT, PENDING_REQUESTS
 from flowlark.functions.messages import COMPLETE, parse_dns
+from flowlark.runtime import written
 from flowlark.schemas import WINDOW_KEY
 
 _HEADS = "dns_id int, dns_flags int, dns_asks binary"
@@ -45,10 +46,30 @@ def complete_messages(packets: DataFrame) -> DataFrame:
     return packets.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in packets.dtypes), _HEADS]))
 
 
-def _shut_at(opening: DataFrame, limit: int) -> DataFrame:
-    """(flow, ``shut``): the first message that would open more than ``limit`` requests. ``opening`` has a change of the number open by message."""
-    many = opening.where("change > 0").groupBy(*WINDOW_KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(*WINDOW_KEY)
-    rows = opening.join(many, list(WINDOW_KEY)).withColumn("slice", F.floor(F.col("packet_index") / (1 << 20)))
+def _marked(m: DataFrame) -> DataFrame:
+    """Messages with what they do: ``opens``, ``matched`` or ``ambiguous``, the request before, what is open after, and the next message of the same id.
+
+    All windows have one order, so a message is dealt and sorted once.
+    """
+    along = Window.partitionBy(*WINDOW_KEY, "side", "dns_id").orderBy("packet_index")
+    earlier, upto = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    me = F.struct("packet_index", "ts_us", "is_forward", "dns_flags", "dns_asks", "payload")
+    m = m.withColumns({"last": F.last(F.when(F.col("asks"), me), ignorenulls=True).over(earlier), "next": F.lead("packet_index").over(along)})
+    m = m.withColumn("same", F.coalesce(~F.col("asks") & (F.col("last")["dns_asks"] == F.col("dns_asks")), F.lit(False)))
+    # answered: an answer to the request before came between
+    hit = F.last(F.when(F.col("same"), F.col("packet_index")), ignorenulls=True).over(earlier)
+    m = m.withColumn("answered", F.coalesce(hit > F.col("last")["packet_index"], F.lit(False)))
+    clash = F.col("asks") & F.col("last").isNotNull() & ~F.col("answered")
+    m = m.withColumn("ambiguous", F.max(clash).over(upto))
+    m = m.withColumns({"matched": F.col("same") & ~F.col("answered") & ~F.col("ambiguous"), "opens": F.col("asks") & ~F.col("ambiguous")})
+    opening, closing = (F.last(F.when(F.col(c), v), ignorenulls=True).over(upto) for c, v in (("opens", me), ("matched", F.col("packet_index"))))
+    m = m.withColumns({"opening": opening, "closing": closing})
+    return m.withColumn("open_after", F.when(F.col("closing").isNull() | (F.col("closing") < F.col("opening")["packet_index"]), F.col("opening")))
+
+
+def _shut_at(marked: DataFrame, limit: int) -> DataFrame:
+    """(flow, ``shut``): the first message that would open more than ``limit`` requests, by a running sum in two steps."""
+    rows = marked.where("opens OR matched").select(*WINDOW_KEY, "packet_index", F.when(F.col("opens"), 1).otherwise(-1).alias("change")).withColumn("slice", F.floor(F.col("packet_index") / (1 << 20)))
     slices = rows.groupBy(*WINDOW_KEY, "slice").agg(F.sum("change").alias("change"))
     before = Window.partitionBy(*WINDOW_KEY).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(*WINDOW_KEY, "slice", F.coalesce(F.sum("change").over(before), F.lit(0)).alias("base"))
@@ -69,37 +90,30 @@ def dns_transactions(packets: DataFrame, *, limit: int = PENDING_REQUESTS) -> Da
     """
     m = complete_messages(packets.select(*WINDOW_KEY, "packet_index", "ts_us", "is_forward", "payload"))
     m = m.withColumn("asks", F.col("dns_flags").bitwiseAND(0x8000) == 0).withColumn("side", F.col("is_forward") == F.col("asks"))
-    key = [*WINDOW_KEY, "side", "dns_id"]
-    along = Window.partitionBy(*key).orderBy("packet_index")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    request = F.when(F.col("asks"), F.struct("packet_index", "ts_us", "dns_asks", F.col("payload").alias("raw")))
-    m = m.withColumn("last", F.last(request, ignorenulls=True).over(earlier)).withColumn("of", F.col("last")["packet_index"])
-    m = m.withColumn("same", F.coalesce(~F.col("asks") & (F.col("last")["dns_asks"] == F.col("dns_asks")), F.lit(False)))
-    answered = F.coalesce(F.max("same").over(Window.partitionBy(*key, "of").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    m = m.withColumn("answered", answered)
-    clash = F.col("asks") & F.col("of").isNotNull() & ~F.col("answered")
-    m = m.withColumn("ambiguous", F.max(clash).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    matched = F.col("same") & ~F.col("answered") & ~F.col("ambiguous")
-    opens = F.col("asks") & ~F.col("ambiguous")
-    m = m.withColumns({"matched": matched, "opens": opens, "change": F.when(opens, 1).when(matched, -1).otherwise(0)})
-    # the next match after an opening request is its own: one that is open when another comes has none
-    later = Window.partitionBy(*key).orderBy(F.col("packet_index").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    m = m.withColumn("closed_by", F.last(F.when(F.col("matched"), F.col("packet_index")), ignorenulls=True).over(later))
-    shut = _shut_at(m.where("change <> 0").select(*WINDOW_KEY, "packet_index", "change"), limit)
-    m = m.join(shut, list(WINDOW_KEY), "left")
+    m = written(m, "messages")
+    # only a flow with more requests than that can have too many of them open
+    many = written(m.where("asks").groupBy(*WINDOW_KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(*WINDOW_KEY), "busy-flows")
+    marked = _marked(m)
+    if many.limit(1).count():
+        shut = _shut_at(_marked(m.join(many, list(WINDOW_KEY), "left_semi")), limit)
+        marked = marked.join(shut, list(WINDOW_KEY), "left")
+    else:
+        marked = marked.withColumn("shut", F.lit(None).cast("bigint"))
     lost = F.coalesce(F.col("packet_index") >= F.col("shut"), F.lit(False))
     status = F.when(lost, F.when(F.col("asks"), "unresolved").otherwise("unmatched")).when(F.col("ambiguous"), "ambiguous").when(F.col("matched"), "matched").when(F.col("opens"), "pending").otherwise("unmatched")
-    event = lambda index, status, reason, answer: F.struct(index.alias("packet_index"), status.alias("status"), reason.alias("reason"), answer.alias("answer"))
-    none = F.lit(None)
-    own = event(F.col("packet_index"), status, F.when(lost, F.lit(LIMIT)), (status == "matched"))
-    left = F.col("opens") & ~lost & (F.col("closed_by").isNull() | F.coalesce(F.col("closed_by") >= F.col("shut"), F.lit(False)))
-    end = event(F.col("shut"), F.lit("unresolved"), F.when(F.col("shut").isNotNull(), F.lit(LIMIT)).otherwise(F.lit(CLOSED)), F.lit(False))
-    events = m.select("*", F.explode(F.when(left, F.array(own, end)).otherwise(F.array(own))).alias("e"))
-    asked = F.when(F.col("e")["answer"], F.col("last"))
-    return events.select(
-        "session", "sequence_number", F.col("e")["packet_index"].alias("packet_index"), F.lit("dns_transaction").alias("kind"), "is_forward", "ts_us", F.col("e")["status"].alias("status"), F.col("e")["reason"].alias("reason"),
-        none.cast("string").alias("relation"), none.cast("string").alias("operation"), F.col("dns_id").cast("bigint").alias("message_id"), F.col("dns_flags").cast("bigint").alias("code"), none.cast("bigint").alias("length"), none.cast("bigint").alias("response_count"),
-        (F.col("ts_us") - asked["ts_us"]).alias("latency_us"), F.col("payload").alias("raw"), asked["raw"].alias("request_raw"),
+    reason = F.when(F.col("shut").isNotNull(), F.lit(LIMIT)).otherwise(F.lit(CLOSED))
+    fields = ("packet_index", "is_forward", "ts_us", "status", "reason", "code", "raw", "asked_us", "request_raw")
+    event = lambda *values: F.struct(*[v.alias(n) for v, n in zip(values, fields)])
+    asked, left = F.when(~lost & F.col("matched"), F.col("last")), F.col("open_after")
+    own = event(F.col("packet_index"), F.col("is_forward"), F.col("ts_us"), status, F.when(lost, F.lit(LIMIT)), F.col("dns_flags"), F.col("payload"), asked["ts_us"], asked["payload"])
+    end = event(F.col("shut"), left["is_forward"], left["ts_us"], F.lit("unresolved"), reason, left["dns_flags"], left["payload"], F.lit(None).cast("bigint"), F.lit(None).cast("binary"))
+    # the last message of an id, or the last before the flow was shut, tells what stays open
+    last = ~lost & left.isNotNull() & (F.col("next").isNull() | F.coalesce(F.col("next") >= F.col("shut"), F.lit(False)))
+    e = marked.select("session", "sequence_number", "dns_id", F.explode(F.when(last, F.array(own, end)).otherwise(F.array(own))).alias("e")).select("session", "sequence_number", "dns_id", "e.*")
+    none = lambda kind: F.lit(None).cast(kind)
+    return e.select(
+        "session", "sequence_number", "packet_index", F.lit("dns_transaction").alias("kind"), "is_forward", "ts_us", "status", "reason", none("string").alias("relation"), none("string").alias("operation"),
+        F.col("dns_id").cast("bigint").alias("message_id"), F.col("code").cast("bigint").alias("code"), none("bigint").alias("length"), none("bigint").alias("response_count"), (F.col("ts_us") - F.col("asked_us")).alias("latency_us"), "raw", "request_raw",
     )
 
 

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlark.functions.folds import PENDING_REQUESTS
+from flowlark.operators.lookups import datagram_transactions, dns_transactions
 from flowlark.operators import aggregates as A
 from flowlark.operators import detectors as C
 from flowlark.operators import flows as W
 from flowlark.operators import protocols as P
 from flowlark.operators.decoding import admitted, decode_packets
 from flowlark.runtime import with_rank, written
-from flowlark.schemas import WINDOW_KEY
+from flowlark.schemas import IDENTITY, WINDOW_KEY
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -259,7 +260,9 @@ def lookup_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lookups(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return P.with_windows(W.with_identity(admitted(decode_packets(_with_header_checksum(name_lookups(spark, sf_dir))))), timeout_us=10**15)
+    # a lookup's datagram is small: it goes along while windows are found, instead of meeting its window's number afterwards
+    packets = W.with_identity(admitted(decode_packets(_with_header_checksum(name_lookups(spark, sf_dir)))))
+    return W.sessionize(packets.select("session", "packet_index", "ts_us", *IDENTITY, "is_forward", "payload"), timeout_us=10**15, max_active=None)
 
 
 @query("f1_dns_messages", "SELECT o_orderkey, reply, 'complete' AS status, CAST(o_orderkey % 65536 AS INTEGER) AS id, 'o' || CAST(o_orderkey AS VARCHAR) AS label, CAST(CASE WHEN reply THEN 1 ELSE 0 END AS INTEGER) AS ancount, CASE WHEN reply THEN CAST(o_orderkey % 3600 AS BIGINT) END AS ttl FROM orders CROSS JOIN (VALUES (FALSE), (TRUE)) AS v(reply) WHERE NOT reply OR o_orderkey % 4 <> 0")
@@ -270,7 +273,7 @@ def dns_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lookup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.fold_windows(lookup_windows(spark, sf_dir))
+    return datagram_transactions(lookup_windows(spark, sf_dir))
 
 
 def _client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,7 +283,7 @@ def _client_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     clients = with_rank(windows.groupBy("session", "client").agg(F.min("sequence_number").alias("first")), "number", "first")
     customers = clients.drop("first").where(F.col("client") != F.lit(NO_CUSTOMER.to_bytes(4, "big")))
     numbers = windows.join(customers, ["session", "client"]).select(*WINDOW_KEY, "number")
-    return P.fold_windows(packets).join(numbers, list(WINDOW_KEY)).withColumn("sequence_number", F.col("number")).drop("number")
+    return datagram_transactions(packets).join(numbers, list(WINDOW_KEY)).withColumn("sequence_number", F.col("number")).drop("number")
 
 
 @query("p4_dns_correlation", "SELECT CAST(o_orderkey % 65536 AS BIGINT) AS message_id, o_orderkey * 1000 + CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 900 + 1 ELSE 0 END AS ts_us, CASE WHEN o_orderkey % 4 <> 0 THEN 'matched' ELSE 'unresolved' END AS status, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 900 + 1 END AS latency_us FROM orders")
@@ -288,6 +291,49 @@ def dns_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lookup_events(spark, sf_dir).where("kind = 'dns_transaction' AND status <> 'pending'").select("message_id", "ts_us", "status", "latency_us")
 
 
+#: Events as messages: a user is a flow; ids and names come again, some requests stay open, some answers ask something else. One message after the other.
+_REUSED = """
+WITH RECURSIVE m AS (SELECT user_id AS flow, event_id AS n, event_type IN ('view', 'click', 'signup') AS asks, event_id % 3 AS id, event_id % 2 AS asked, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) AS i FROM events),
+st AS (SELECT flow, id, CAST(0 AS BIGINT) AS i, 'none' AS state, CAST(NULL AS BIGINT) AS open, CAST(NULL AS BIGINT) AS open_asked, CAST(NULL AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS request FROM (SELECT DISTINCT flow, id FROM m)
+       UNION ALL SELECT s.flow, s.id, m.i,
+         CASE WHEN m.asks THEN CASE s.state WHEN 'none' THEN 'open' ELSE 'clash' END WHEN s.state = 'open' AND s.open_asked = m.asked THEN 'none' ELSE s.state END,
+         CASE WHEN m.asks AND s.state = 'none' THEN m.n ELSE s.open END, CASE WHEN m.asks AND s.state = 'none' THEN m.asked ELSE s.open_asked END, m.n,
+         CASE WHEN m.asks THEN CASE s.state WHEN 'none' THEN 'pending' ELSE 'ambiguous' END WHEN s.state = 'clash' THEN 'ambiguous' WHEN s.state = 'open' AND s.open_asked = m.asked THEN 'matched' ELSE 'unmatched' END,
+         CASE WHEN NOT m.asks AND s.state = 'open' AND s.open_asked = m.asked THEN s.open END
+       FROM st s JOIN m ON m.flow = s.flow AND m.id = s.id AND m.i = s.i + 1),
+last AS (SELECT flow, id, arg_max(state, i) AS state, arg_max(open, i) AS open FROM st GROUP BY 1, 2)
+SELECT flow, n AS message, status, CASE WHEN status = 'matched' THEN n - request END AS latency_us FROM st WHERE i > 0
+UNION ALL SELECT flow, open, 'unresolved', NULL FROM last WHERE state <> 'none'
+"""
+
+
+@query("p4_dns_reused_ids", _REUSED)
+def reused_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type")
+    n, asks = F.col("event_id"), F.col("event_type").isin("view", "click", "signup")
+    raw = F.unhex(F.concat(_hex(n % 3, 2), F.when(asks, F.lit("0100")).otherwise(F.lit("8180")), F.lit("0001000000000000"), F.lit("02"), F.when(n % 4 < 2, F.lit("6E")).otherwise(F.lit("4E")), _hex(0x30 + n % 2, 1), F.lit("0000010001")))
+    rows = e.select(F.lit("events").alias("session"), F.col("user_id").alias("sequence_number"), n.alias("packet_index"), n.alias("ts_us"), asks.alias("is_forward"), raw.alias("payload"))
+    return dns_transactions(rows).select(F.col("sequence_number").alias("flow"), F.col("ts_us").alias("message"), "status", "latency_us")
+
+
+#: The same with four users in one flow and no two ids alike: the request after 128 open ones shuts a flow.
+_FULL = """
+WITH m AS (SELECT user_id // 250 AS flow, event_id AS n, row_number() OVER (PARTITION BY user_id // 250 ORDER BY event_id) AS i FROM events)
+SELECT flow, n AS message, CASE WHEN i <= 128 THEN 'pending' ELSE 'unresolved' END AS status, CASE WHEN i > 128 THEN 'limit_exceeded' END AS reason FROM m
+UNION ALL SELECT flow, n, 'unresolved', CASE WHEN (SELECT count(*) FROM m o WHERE o.flow = m.flow) > 128 THEN 'limit_exceeded' ELSE 'flow_closed' END FROM m WHERE i <= 128
+"""
+
+
+@query("p4_dns_pending_limit", _FULL)
+def pending_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    n = F.col("event_id")
+    # a flow's requests have names of their own, and ids that come again only with the other direction
+    raw = F.unhex(F.concat(_hex(n % 65536, 2), F.lit("0100"), F.lit("0001000000000000"), F.lit("016100"), F.lit("00010001")))
+    rows = e.select(F.lit("events").alias("session"), F.expr("user_id DIV 250").alias("sequence_number"), n.alias("packet_index"), n.alias("ts_us"), (n < 65536).alias("is_forward"), raw.alias("payload"))
+    return dns_transactions(rows).select(F.col("sequence_number").alias("flow"), F.col("ts_us").alias("message"), "status", "reason")
+
+
 _LOOKUP_WINDOWS = "WITH w AS (SELECT o_custkey, min(o_orderkey) AS first_key FROM orders GROUP BY 1), n AS (SELECT o_custkey, CAST(row_number() OVER (ORDER BY first_key) - 1 AS BIGINT) AS sequence_number FROM w), o AS (SELECT n.sequence_number, o_orderkey AS k, o_orderkey % 4 <> 0 AS answered FROM orders JOIN n ON orders.o_custkey = n.o_custkey) "
 
 
