@@ -135,7 +135,8 @@ def format_conversations(messages: DataFrame, *, conv_col: str = "conv_id", turn
     result; other columns are dropped.
     """
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("unknown")).alias("role"), F.col(text_col).cast("string").alias("text"))
-    parsed = parse_quotes(rows)
+    # parsed once: three plans read it, and filters that Spark infers for an exploded array would parse it again
+    parsed = stage_table(parse_quotes(rows).drop("text"), "parsed")
     links = stage_table(link_quotes(parsed), "quotes")
     outer = stage_table(links.groupBy("conv", "turn").agg(F.max_by("original", -F.col("level")).alias("parent"), F.count(F.lit(1)).alias("n_linked_levels")), "parents")
     known = reply_order(outer).join(outer, ["conv", "turn"], "left").withColumnRenamed("conv", "conv_id")
