@@ -71,7 +71,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     # one document in five stands where a directory keeps its licence, so that directories have some to hand down
     name = F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("LICENSE-")).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt"))
-    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/d"), F.expr("CAST(doc_id DIV 1000 AS STRING)"), F.lit("/"), F.expr("CAST(doc_id DIV 100 AS STRING)"), F.lit("/"), name)
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/d"), F.expr("CAST(doc_id DIV 1000 AS STRING)"), F.lit("/"), name)
     return license_scan(table(spark, sf_dir, "documents").withColumn("path", path))
 
 
@@ -157,7 +157,7 @@ tw AS (SELECT template, license, unnest(regexp_extract_all(lower(body), '[a-z0-9
 df AS (SELECT word, count(DISTINCT template) AS df FROM tw GROUP BY 1),
 ttf AS (SELECT template, license, tw.word, count(*) * (ln(({len(TEMPLATES)} + 1.0) / (1.0 + any_value(df.df))) + 1.0) AS w FROM tw JOIN df ON tw.word = df.word GROUP BY 1, 2, 3),
 tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM ttf GROUP BY 1),
-files AS (SELECT doc_id, coalesce(source, '') || '/d' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id // 100 AS VARCHAR) || '/' || CASE WHEN doc_id % 5 = 0 THEN 'LICENSE-' ELSE '' END || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents),
+files AS (SELECT doc_id, coalesce(source, '') || '/d' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CASE WHEN doc_id % 5 = 0 THEN 'LICENSE-' ELSE '' END || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents),
 cue AS (SELECT * FROM files WHERE regexp_matches(text, '{CUES}')),
 units AS (SELECT doc_id, i AS unit, ls[i + 1] AS body FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM cue)) WHERE regexp_matches(ls[i + 1], '{CUES}')
           UNION ALL SELECT doc_id, -2 - i, ps[i + 1] FROM (SELECT doc_id, ps, unnest(range(len(ps))) AS i FROM (SELECT doc_id, string_split_regex(text, '{PARTING}') AS ps FROM cue)) WHERE regexp_matches(ps[i + 1], '{CUES}') AND contains(ps[i + 1], chr(10))
