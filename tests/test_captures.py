@@ -92,3 +92,14 @@ def test_a_growing_capture_is_a_stream(spark, tmp_path):
         run()
     run()
     assert of(got) == sequential(data)
+
+
+def test_packets_in_memory_are_observations(spark):
+    from flowlark.operators.decoding import checked_observations, decode_packets
+    from flowlark.sources.memory import observations_of
+
+    packets = observations_of(spark, [datagram(True, b"a"), datagram(False, b"bc")], source="tap", now_us=7)
+    rows = decode_packets(checked_observations(packets)).orderBy("packet_index").collect()
+    assert [(r.packet_index, r.ts_us, r.source, r.protocol, r.failure_classification) for r in rows] == [(0, 7, "tap", 17, None), (1, 7, "tap", 17, None)]
+    with pytest.raises(ValueError, match="blank"):
+        observations_of(spark, [], source=" ")
