@@ -96,5 +96,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), name)
+        docs = stage_table(stage(spark, docs, sf_dir), name, wide=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -58,12 +58,21 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 #: Bytes of a row group of staged tables. A task holds one of those it reads and one of those it writes on the heap; Spark's 128 MB is more than a core may have.
 ROW_GROUP = 1 << 24
+#: Rows of a row group of tables whose rows hold whole texts or sets. Spark's reader holds the values of 4,096 rows in one array, if a row group has as many, and doubles it as it grows.
+WIDE_ROWS = 512
 
 
-def stage_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+def stage_table(df: DataFrame, label: str, *, wide: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Rows are ``wide`` if they hold whole texts or sets: their row groups are
+    short, as memory of a task that reads them goes with rows times their size.
+    """
     path = fresh_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    if wide:
+        writer = writer.option("parquet.block.row.count.limit", WIDE_ROWS)
+    writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

@@ -313,14 +313,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, most: int =
 def _searchable(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, factor: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Tables of the rows with their classes, of the lists' entries, of the ids in them and of these ids' sets."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    index = stage_table(texts.mapInArrow(_index(size, num, den, factor), INDEX_SCHEMA), "ngrams")
+    index = stage_table(texts.mapInArrow(_index(size, num, den, factor), INDEX_SCHEMA), "ngrams", wide=True)
     # grouped by three keys, joined by two: both sides are dealt anew, and a hot class can be split
     classes = index.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("class_id")).select("s1", "s2", "class_id")
     members = index.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     members = stage_table(members.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "members")
     reps = members.where("n_shingles > 0 AND doc_id = class_id").select("doc_id").distinct()
     heads = index.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "cls")
-    heads = stage_table(heads.select("cls", "n_shingles", "keep", "tokens", "bits"), "heads")
+    heads = stage_table(heads.select("cls", "n_shingles", "keep", "tokens", "bits"), "heads", wide=True)
     discard(index)
 
     postings = heads.select("cls", (F.size("tokens") - F.col("keep")).alias("spare"), F.explode("tokens").alias("token"))
@@ -337,7 +337,7 @@ def _searchable(docs: DataFrame, id_col: str, text_col: str, size: int, num: int
     searched = stage_table(entries.select("cls").distinct(), "searched")
     bitmap = docs.sparkSession.sparkContext.broadcast(id_bitmap(searched, "cls"))
     sets = texts.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets(size, bitmap), "cls long, tokens binary")
-    sets = stage_table(sets.join(searched, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    sets = stage_table(sets.join(searched, "cls", "left_semi").dropDuplicates(["cls"]), "sets", wide=True)
     return members, entries, searched, sets
 
 
