@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from flowlark.errors import FlowError, PacketAnalysisError
 from flowlark.functions.wire import DECODED, decode
-from flowlark.schemas import DECODED_COLUMNS
 
 
 class InadmissiblePacket(FlowError):
@@ -34,12 +33,18 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
-def decode_packets(observations: DataFrame) -> DataFrame:
+#: What admission and identity need of a decoded packet, and its payload.
+FLOW_FIELDS = ("failure_classification", "src_addr", "dst_addr", "src_port", "dst_port", "protocol", "icmp_echo_id", "payload", "admitted")
+
+
+def decode_packets(observations: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
     """Adds the decoded columns (null where a layer is absent) and the classification of packets that fail.
 
     One Arrow pass, no shuffle, some bytes at a time; ``raw_bytes`` does not
-    come back from Python.
+    come back from Python. Where ``fields`` names the decoded columns that are
+    wanted, only these come back.
     """
+    wanted = tuple(n for n in DECODED if fields is None or n in fields)
     kept = [c for c in observations.columns if c not in DECODED]
     rows = observations.select(*[c for c in kept if c != "raw_bytes"], F.col("raw_bytes").alias("_raw"))
     names = [c for c in rows.columns if c != "_raw"]
@@ -47,13 +52,13 @@ def decode_packets(observations: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in _pieces(whole, len(names))):
             try:
-                found = decode(batch.column(names.index("link_type")), batch.column(len(names)))
+                found = decode(batch.column(names.index("link_type")), batch.column(len(names)), wanted)
             except Exception as error:  # every property of a packet has a classification
                 raise PacketAnalysisError(f"packets cannot be decoded: {error}") from error
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), *found.columns], names=[*names, *found.schema.names])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
-    return rows.mapInArrow(run, f"{schema}, {DECODED_COLUMNS}")
+    return rows.mapInArrow(run, ", ".join([schema, *(f"{n} {DECODED[n]}" for n in wanted)]))
 
 
 def valid_observation() -> Column:

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlark.functions.dns_batch import Messages
 from flowlark.functions.folds import CLOSED, LIMIT, PENDING_REQUESTS
-from flowlark.functions.messages import COMPLETE, parse_dns
 from flowlark.runtime import written
 from flowlark.schemas import WINDOW_KEY
 
@@ -32,15 +32,9 @@ def complete_messages(packets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heads, keep = [], []
-            for k, raw in enumerate(batch.column(at).to_pylist()):
-                m = parse_dns(raw or b"")
-                if m.status == COMPLETE:
-                    asks = hashlib.sha1(repr((m.opcode, m.question_key())).encode()).digest()
-                    heads.append((m.header["id"], m.header["flags"], asks))
-                    keep.append(k)
-            own = batch.take(pa.array(keep, pa.int64()))
-            added = [pa.array([h[k] for h in heads], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+            places, ids, flags, asks = Messages(batch.column(at)).heads()
+            own = batch.take(pa.array(places, pa.int64()))
+            added = [pa.array(ids, pa.int32()), pa.array(flags, pa.int32()), pa.array([hashlib.sha1(x).digest() for x in asks], pa.binary())]
             yield pa.RecordBatch.from_arrays([*own.columns, *added], names=[*batch.schema.names, *names])
 
     return packets.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in packets.dtypes), _HEADS]))

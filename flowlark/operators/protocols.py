@@ -9,9 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from flowlark.functions.dns_batch import Messages
 from flowlark.functions.folds import WindowFold, regular_streams
-from flowlark.functions.messages import parse_dns, parse_hello, parse_ldap, parse_tcp_options
+from flowlark.functions.messages import parse_hello, parse_ldap, parse_tcp_options
 from flowlark.operators.flows import sessionize
 from flowlark.runtime import written
 from flowlark.schemas import IDENTITY, WINDOW_KEY
@@ -153,11 +155,6 @@ LDAP_TYPE = "struct<remaining_bytes:int,limit_reached:boolean,messages:array<str
 OPTIONS_TYPE = "struct<kinds:array<int>,mss:array<int>,window_scale:array<int>,sack_blocks:int>"
 
 
-def _dns_value(data: bytes) -> dict:
-    m = parse_dns(data)
-    return {"status": m.status, "reason": m.reason, "failure_offset": m.failure_offset, "limit_reached": m.limit_reached, "parsed_length": m.parsed_length, "remaining_bytes": m.remaining_bytes, **(m.header or {}), "questions": m.questions, "records": m.records, "edns": m.edns}
-
-
 def _with(df: DataFrame, column: str, name: str, kind: str, parse) -> DataFrame:
     """Adds ``name`` of type ``kind``: ``parse`` of each distinct binary value of a batch; null stays null."""
     rows = df.withColumn(name, F.lit(None).cast(kind))
@@ -179,8 +176,36 @@ def _with(df: DataFrame, column: str, name: str, kind: str, parse) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def with_dns(df: DataFrame, column: str = "raw", name: str = "dns") -> DataFrame:
-    return _with(df, column, name, DNS_TYPE, _dns_value)
+def _part(kind: T.StructType, fields: tuple[str, ...]) -> T.StructType:
+    """The struct with only the named fields, ``entries.field`` for a field of a list's entries."""
+    wanted: dict[str, list[str]] = {}
+    for f in fields:
+        wanted.setdefault(f.split(".")[0], []).extend(f.split(".")[1:])
+    out = []
+    for f in kind:
+        if f.name in wanted:
+            inner = wanted[f.name]
+            out.append(T.StructField(f.name, T.ArrayType(_part(f.dataType.elementType, tuple(inner))) if inner else f.dataType))
+    return T.StructType(out)
+
+
+def with_dns(df: DataFrame, column: str = "raw", name: str = "dns", fields: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the messages as structs; with ``fields`` only these (``records.ttl``: of entries) come back from Python, which is most of the work."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    whole = df.withColumn(name, F.lit(None).cast(DNS_TYPE))
+    kind = _part(whole.schema[name].dataType, fields) if fields else whole.schema[name].dataType
+    # the bytes themselves go no further if only some fields are wanted
+    own = [c for c in df.columns if c != column or not fields]
+    rows = df.select(*own, F.col(column).alias("_message"))
+    schema = T.StructType([*df.select(*own).schema, T.StructField(name, kind)])
+    target = to_arrow_type(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], Messages(batch.column(batch.num_columns - 1)).array(target)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def with_hello(df: DataFrame, kind: int, column: str = "raw", name: str = "hello") -> DataFrame:
@@ -235,11 +260,11 @@ def ldap_flow_statistics(packets: DataFrame) -> DataFrame:
     return counted.join(limited, list(WINDOW_KEY))
 
 
-def dns_messages(events: DataFrame) -> DataFrame:
-    """The parsed messages that finished transactions count: of a match both request and response, else one."""
+def dns_messages(events: DataFrame, *fields: str) -> DataFrame:
+    """The parsed messages that finished transactions count: of a match both request and response, else one; of each the named ``fields``, or all."""
     final = events.where("kind = 'dns_transaction' AND status <> 'pending'")
     both = final.select(*WINDOW_KEY, F.explode(F.array_compact(F.array("request_raw", "raw"))).alias("raw"))
-    return with_dns(both)
+    return with_dns(both, fields=fields)
 
 
 def _spread(value: Column, name: str) -> list[Column]:
