@@ -35,6 +35,8 @@ def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 #: What admission and identity need of a decoded packet, and its payload.
 FLOW_FIELDS = ("failure_classification", "src_addr", "dst_addr", "src_port", "dst_port", "protocol", "icmp_echo_id", "payload", "admitted")
+#: What protocol folds need besides.
+STREAM_FIELDS = (*FLOW_FIELDS, "tcp_seq", "syn", "fin", "rst", "is_fragment")
 
 
 def decode_packets(observations: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:

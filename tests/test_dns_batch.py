@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from flowlark.functions.dns_batch import Messages, asked, dns_value
 from flowlark.functions.messages import COMPLETE, parse_dns
 from flowlark.operators.protocols import DNS_TYPE, with_dns
+from flowlark.plans import wire_queries
 
 
 def _name(r):
@@ -73,3 +74,11 @@ def test_only_wanted_fields_come_back(spark):
     assert part.schema["dns"].dataType.simpleString() == "struct<flags:int,questions:array<struct<labels:array<binary>>>,records:array<struct<section:int,rdlength:int>>>"
     rows = lambda d: sorted(d.select("k", "dns.flags", "dns.questions.labels", "dns.records.section", "dns.records.rdlength").collect())
     assert repr(rows(part)) == repr(rows(with_dns(df)))
+
+
+def test_lookups_are_decoded_once(spark, sf_dir, monkeypatch):
+    """Windows go through their packets twice, so these have to be a table, not a plan with the decoder in it."""
+    seen = []
+    monkeypatch.setattr(wire_queries.W, "sessionize", lambda packets, **_: seen.append(packets._jdf.queryExecution().executedPlan().toString()) or (packets, packets))
+    wire_queries._lookups(spark, sf_dir)
+    assert len(seen) == 1 and "MapInArrow" not in seen[0]
