@@ -3,13 +3,13 @@
 Windows close by observation only: at the next packet of their flow, when they
 have to give way, or when the capture ends. Each micro-batch is judged packet by
 packet, cut into windows and aggregated as any batch is; the aggregated parts,
-one row for a flow's window, go through a stateful query (``windows``), which
-keeps one aggregate of fixed size for each open window in Spark's state store.
-So neither the state nor a batch's work grows with the packets that a flow has
-had before.
+one row for a flow's window, meet the table of open windows (``windows``), one
+aggregate of fixed size each, in one join. So neither the state nor a batch's
+work grows with the packets that a flow has had before; a batch reads and writes
+all open windows.
 
 A folder holds what joins the batches: the parts of the batch at work, the
-number of each window by the batch that opened it, and for each session the next
+windows that are open after it, the number of each window by the batch that opened it, and for each session the next
 free number and the latest time. Marks tell what a batch has done, so a new
 object on the same folder goes on where the last one stopped, and a batch that
 is run again gives the same findings and delivers only what was not delivered.
@@ -31,7 +31,7 @@ from flowlark.plans.pipeline import STATE_COLUMNS, DetectionSettings
 from flowlark.runtime import passing, shared_folder, with_rank, written
 from flowlark.schemas import IDENTITY
 from flowlark.streaming import matching, windows
-from flowlark.streaming.folder import Folder, with_rocks
+from flowlark.streaming.folder import Folder
 
 #: Takes findings and the number of their batch.
 Consumer = Callable[[DataFrame, int], None]
@@ -59,7 +59,6 @@ class DetectionStream:
         self.last = max((n for n in self.folder.numbers("batch-") if self.folder.marked(f"batch-{n}/committed")), default=-1)
         columns = ", ".join(f"{n} {t}" for n, t in flows.column_types(STATE_COLUMNS))
         self.columns, self.schema = columns, windows.part_schema(spark, columns)
-        self.at = self.last
 
     @property
     def finished(self) -> bool:
@@ -77,6 +76,8 @@ class DetectionStream:
         for old in self.folder.numbers("batch-"):
             for table in ("sessions", "seen", "closed") if old < self.last else ():
                 self.folder.remove(f"batch-{old}/{table}")
+            if old < self.last:
+                self.folder.remove(f"windows/batch-{old}")
         self.last = number
 
     def batch(self, observations: DataFrame, number: int | None = None) -> None:
@@ -122,7 +123,7 @@ class DetectionStream:
 
     def _parted(self, packets: DataFrame, number: int) -> None:
         parts = windows.window_parts(packets, timeout_us=self.settings.timeout_us, batch=number, evicted=self._evicted(packets))
-        self.folder.put(f"parts/batch-{number}", parts.select(*self.schema.names))
+        self.folder.put(f"parts/batch-{number}", parts.select(*windows.marked_schema(self.schema).names))
         seen = packets.groupBy("session").agg(F.max("ts_us").alias("top"))
         after = self._sessions().join(seen, "session", "full_outer").select("session", F.coalesce("next_number", F.lit(0).cast("bigint")).alias("next_number"), F.greatest("frontier_us", "top").alias("frontier_us"))
         self.folder.put(f"batch-{number}/seen", after)
@@ -142,39 +143,33 @@ class DetectionStream:
         return written(flows.evictions(packets, timeout_us=self.settings.timeout_us, max_active=limit, open_=open_), "evictions")
 
     def _held(self) -> DataFrame | None:
-        return windows.open_windows(self.spark, f"{self.folder.path}/windows") if self.folder.marked("windows/state") else None
+        return windows.open_windows(self.spark, f"{self.folder.path}/windows", self.last) if self.folder.marked(f"windows/batch-{self.last}") else None
 
     def _close(self, number: int) -> None:
-        """Bring the batch's parts to the state and deliver what closes."""
-        self.at = number
-        with with_rocks(self.spark):
-            parts = self.spark.readStream.schema(self.schema).option("recursiveFileLookup", "true").parquet(f"{self.folder.path}/parts")
-            events = windows.window_events(parts, self.schema, self.settings.timeout_us)
-            query = events.writeStream.foreachBatch(self._numbered).option("checkpointLocation", f"{self.folder.path}/windows").trigger(availableNow=True).start()
-            query.awaitTermination()
-        if not self.folder.marked(f"batch-{number}/sessions"):  # nothing came to the state
-            self.folder.put(f"batch-{number}/sessions", self.folder.get(f"batch-{number}/seen", _SESSIONS))
+        """Bring the batch's parts to the open windows and deliver what closes."""
+        self._numbered(number)
         self._deliver_closed(number)
 
-    def _numbered(self, events: DataFrame, _epoch: int) -> None:
+    def _numbered(self, number: int) -> None:
         """Windows opened in this batch take the next free numbers of their sessions, in the order of their first packets; windows closed in it have theirs from the batch that opened them."""
-        number = self.at
         with passing(self.spark):
-            events = written(events, f"events-{number}")
+            parts = self.folder.get(f"parts/batch-{number}", windows.marked_schema(self.schema))
+            after = written(windows.advanced(self._held(), parts, self.schema, self.settings.timeout_us), f"windows-{number}")
             sessions = self.folder.get(f"batch-{number}/seen", _SESSIONS)
-            opened = with_rank(events.where(F.col("kind") == "open").select("session", "first_packet_index"), "rank", "session", "first_packet_index")
+            opened = with_rank(after.where("fresh").select("session", "first_packet_index"), "rank", "session", "first_packet_index")
             first = opened.groupBy("session").agg(F.min("rank").alias("from"), F.count(F.lit(1)).alias("more"))
             base = first.join(sessions, "session").select("session", "from", "more", F.col("next_number"))
             numbers = opened.join(base, "session").select("session", "first_packet_index", (F.col("next_number") + F.col("rank") - F.col("from")).alias("number"))
             self.folder.put(f"numbers/first_batch={number}", numbers)
             self.folder.put(f"batch-{number}/sessions", sessions.join(first, "session", "left").select("session", (F.col("next_number") + F.coalesce("more", F.lit(0))).alias("next_number"), "frontier_us"))
-            self._put_closed(events.where(F.col("kind") == "closed"), number)
+            self.folder.put(f"windows/batch-{number}", after.where("closure_reason IS NULL").select(*windows.held_schema(self.schema).names))
+            self._put_closed(after.where("closure_reason IS NOT NULL").drop("fresh"), number)
 
     def _put_closed(self, closed: DataFrame, number: int) -> None:
         # only numbers of batches that opened one of these are read
         numbers = self.spark.read.schema(_NUMBERS).parquet(f"{self.folder.path}/numbers")
         state = closed.join(numbers, ["session", "first_packet_index", "first_batch"]).withColumnRenamed("number", "sequence_number").withColumn("ip_version", flows.ip_version())
-        self.folder.put(f"batch-{number}/closed", state.drop("kind"))
+        self.folder.put(f"batch-{number}/closed", state)
 
     def _deliver_closed(self, number: int) -> None:
         if self.folder.marked(f"batch-{number}/closed"):

@@ -1,30 +1,30 @@
-"""Windows of a stream as keyed state: one mergeable aggregate for each flow, whatever number of packets it has seen.
+"""Windows of a stream as mergeable state: one aggregate for each open window, whatever number of packets it has seen.
 
 A micro-batch is cut into windows and aggregated as any batch is; what goes to
-the state are these parts, one row for a flow's window. The state holds a flow's
-open window as sums, extrema, and the times of its first and last packets. A
-part that follows within the timeout is merged, with the gaps between the two;
-any other closes the open window and opens the next.
+the state are these parts, one row for a flow's window. The state is a table of
+open windows as sums, extrema, and the times of their first and last packets. A
+flow's first part of a batch is merged with its open window if it follows within
+the timeout, with the gaps between the two; else it closes that one. All later
+parts of the flow are windows of their own. So a batch is one join by flow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from flowlark.operators import aggregates, flows
-from flowlark.schemas import CLOSED_BY_CAPACITY, CLOSED_BY_END, CLOSED_BY_INACTIVITY, IDENTITY, WINDOW_KEY
+from flowlark.schemas import CLOSED_BY_END, CLOSED_BY_INACTIVITY, IDENTITY, WINDOW_KEY
+from flowlark.streaming.folder import Folder
 
 _SIDES = ("forward", "reverse")
 #: First and last packets of each direction, from which gaps to what follows are made.
 _EDGES = tuple(f"{side}_{end}_us" for side in _SIDES for end in ("first", "last"))
 _OPEN, _CLOSED = "open", "closed"
-STATE = "window"
+LEADING = "leading"
 
 
 def flow_key() -> Column:
@@ -36,7 +36,7 @@ def flow_key() -> Column:
 def window_parts(packets: DataFrame, *, timeout_us: int, batch: int, evicted: DataFrame | None = None) -> DataFrame:
     """The windows of one batch's packets, aggregated: rows with ``flow``, ``batch``, identity, closing and statistics.
 
-    ``evicted`` are control rows of ``flows.evictions``. One that closes a
+    ``leading`` marks the first window of its flow in the batch. ``evicted`` are control rows of ``flows.evictions``. One that closes a
     window of an earlier batch becomes a row of its own, without statistics.
     """
     controls = None
@@ -46,10 +46,10 @@ def window_parts(packets: DataFrame, *, timeout_us: int, batch: int, evicted: Da
         controls = evicted.where("packet_index >= _start").drop("_start")
     placed, windows = flows.windows_between(packets, timeout_us, controls)
     edges = [f(F.when(F.col("is_forward") if side == "forward" else ~F.col("is_forward"), F.col("ts_us"))).alias(f"{side}_{end}_us") for side in _SIDES for end, f in (("first", F.min), ("last", F.max))]
-    own = windows.select(*WINDOW_KEY, *IDENTITY, "closure_reason", "closed_at", "first_packet_index", "last_packet_index")
+    own = windows.select(*WINDOW_KEY, *IDENTITY, "closure_reason", "closed_at", "first_packet_index", "last_packet_index", (F.col("segment") == 1).alias(LEADING))
     parts = own.join(aggregates.statistics(placed, *edges), list(WINDOW_KEY)).drop("sequence_number")
-    # the end of a batch closes nothing, and inactivity is found again by whoever merges
-    cut = F.col("closure_reason") == CLOSED_BY_CAPACITY
+    # the end of a batch closes nothing
+    cut = F.col("closure_reason") != CLOSED_BY_END
     parts = parts.withColumns({"closure_reason": F.when(cut, F.col("closure_reason")), "closed_at": F.when(cut, F.col("closed_at"))})
     if evicted is not None:
         before = evicted.where("packet_index < _start").select("session", *IDENTITY, F.col("reason").alias("closure_reason"), "closed_at")
@@ -100,10 +100,6 @@ def merged(window: dict, part: dict) -> dict:
     return out
 
 
-def event_schema(parts: StructType) -> StructType:
-    return StructType([StructField("kind", StringType()), StructField("first_batch", LongType()), *parts.fields])
-
-
 def advance(window: dict | None, parts: list[dict], timeout_us: int) -> tuple[dict | None, list[dict]]:
     """The open window after ``parts`` of one flow, in order, and what happened: windows opened and closed."""
     events = []
@@ -132,39 +128,86 @@ def advance(window: dict | None, parts: list[dict], timeout_us: int) -> tuple[di
     return window, events
 
 
-class OpenWindow(StatefulProcessor):
-    """Keeps one open window a flow; gives out windows opened and closed."""
-
-    def __init__(self, parts: StructType, timeout_us: int) -> None:
-        self.names, self.timeout_us = parts.names, timeout_us
-        self.kept = StructType([f for f in event_schema(parts).fields if f.name != "kind"])
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(STATE, self.kept)
-
-    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
-        held = self.state.get() if self.state.exists() else None
-        before = None if held is None else dict(zip(self.kept.names, held))
-        # the state holds copies of bytes as bytearrays; a closing is given out as it came
-        window, events = advance(before, [{n: r[n] for n in self.names} for r in rows], self.timeout_us)
-        if window is not None:
-            self.state.update(tuple(window.get(n) for n in self.kept.names))
-        elif before is not None:
-            self.state.clear()
-        fields = ("kind", "first_batch", *self.names)
-        for e in events:
-            yield Row(**{n: e.get(n) for n in fields})
-
-    def close(self) -> None:
-        pass
-
-
-def window_events(parts: DataFrame, schema: StructType, timeout_us: int) -> DataFrame:
-    """Streaming: windows opened and closed (``kind``) by the parts of ``window_parts``."""
-    return parts.groupBy("session", "flow").transformWithState(OpenWindow(schema, timeout_us), event_schema(schema), "Append", "None")
-
-
-def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """The windows that a query's state holds, as closed by the end of the capture."""
-    held = spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint).select("value.*")
+def held_schema(parts: StructType) -> StructType:
+    return StructType([StructField("first_batch", LongType()), *parts.fields])
+
+
+def marked_schema(parts: StructType) -> StructType:
+    return StructType([*parts.fields, StructField(LEADING, BooleanType())])
+
+
+def _merged(n: str, kind: str) -> Column:
+    """As ``merged``: the value of a column of an open window (``h_``) and the part that follows it."""
+    mine, its = F.col(f"h_{n}"), F.col(n)
+    side = next((d for d in _SIDES if n.startswith(f"{d}_")), None)
+    rest = n.removeprefix(f"{side}_") if side else n
+    count = f"{side}_packet_count" if side else "packet_count"
+    gap = F.col(f"{side}_first_us") - F.col(f"h_{side}_last_us") if side else F.col("first_us") - F.col("h_last_us")
+    if rest in ("min_captured_length", "min_original_length"):
+        return F.when((F.col(f"h_{count}") > 0) & (F.col(count) > 0), F.least(mine, its)).otherwise(mine + its)
+    if rest in ("max_captured_length", "max_original_length"):
+        return F.greatest(mine, its)
+    if rest in ("gap_us_min", "gap_us_max"):
+        return (F.least if rest == "gap_us_min" else F.greatest)(mine, its, gap)
+    if rest == "gap_count":
+        return mine + its + gap.isNotNull().cast("bigint")
+    if rest == "gap_us_sum":
+        return mine + its + F.coalesce(gap, F.lit(0))
+    if rest == "gap_square_sum":
+        square = gap.cast("decimal(19,0)") * gap.cast("decimal(19,0)")
+        return mine + its + F.coalesce(square.cast(kind), F.lit(0).cast(kind))
+    if n in ("last_packet_index", "batch"):
+        return its
+    if n == "last_us":
+        return F.greatest(mine, its)
+    if side and rest == "first_us":
+        return F.coalesce(mine, its)
+    if side and rest == "last_us":
+        return F.coalesce(its, mine)
+    if n.endswith(("_count", "_bytes", "_square_sum")):
+        return mine + its
+    return mine
+
+
+def advanced(held: DataFrame | None, parts: DataFrame, schema: StructType, timeout_us: int) -> DataFrame:
+    """As ``advance``, of all flows at once: their windows after ``parts``, which are those of one batch.
+
+    ``fresh`` are those opened in the batch; without a ``closure_reason`` a window is open.
+    """
+    names, keys = schema.names, ["session", "flow"]
+    own = ["first_batch", *names, "fresh"]
+    begun = parts.where("first_packet_index IS NOT NULL").withColumns({"first_batch": F.col("batch"), "fresh": F.lit(True)})
+    if held is None:
+        return begun.select(*own)
+    gone = parts.where("first_packet_index IS NULL").groupBy(*keys).agg(F.min(F.struct("closed_at", "closure_reason")).alias("gone"))
+    before = held.select(*keys, F.lit(True).alias("h_open"), *[F.col(n).alias(f"h_{n}") for n in held.columns if n not in keys])
+    rows = before.join(begun.where(LEADING), keys, "full_outer").join(gone, keys, "left")
+    open_, led = F.col("h_open").isNotNull(), F.col("first_packet_index").isNotNull()
+    follows = open_ & led & F.col("gone").isNull() & (F.col("first_us") - F.col("h_last_us") < timeout_us)
+    old, new, both = F.lit(0), F.lit(1), F.lit(2)
+    which = F.when(follows, F.array(both)).when(open_ & led, F.array(old, new)).when(open_, F.array(old)).otherwise(F.array(new))
+    rows = rows.withColumn("which", F.explode(which))
+    is_old, is_both = F.col("which") == 0, F.col("which") == 2
+    ended = {
+        "closure_reason": F.when(F.col("gone").isNotNull(), F.col("gone.closure_reason")).when(led, F.lit(CLOSED_BY_INACTIVITY)),
+        "closed_at": F.when(F.col("gone").isNotNull(), F.col("gone.closed_at")).when(led, F.col("first_packet_index")),
+    }
+
+    def value(f: StructField) -> Column:
+        if f.name in keys:
+            return F.col(f.name)
+        if f.name in ended:
+            return F.when(is_old, ended[f.name]).otherwise(F.col(f.name)).alias(f.name)
+        kind = f.dataType.simpleString()
+        return F.when(is_both, _merged(f.name, kind)).when(is_old, F.col(f"h_{f.name}")).otherwise(F.col(f.name)).cast(kind).alias(f.name)
+
+    first = F.when(F.col("which") == 1, F.col("first_batch")).otherwise(F.col("h_first_batch")).alias("first_batch")
+    led_rows = rows.select(first, *[value(f) for f in schema.fields], (F.col("which") == 1).alias("fresh"))
+    return led_rows.unionByName(begun.where(f"NOT {LEADING}").select(*own))
+
+
+def open_windows(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The windows that are open after a batch (without its number: the last one), as closed by the end of the capture."""
+    number = max(Folder(spark, path).numbers("batch-")) if number is None else number
+    held = spark.read.parquet(f"{path}/batch-{number}")
     return held.withColumns({"closure_reason": F.lit(CLOSED_BY_END), "closed_at": F.lit(None).cast("bigint")})

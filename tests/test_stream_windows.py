@@ -2,6 +2,7 @@
 
 import os
 import random
+from decimal import Decimal
 
 import pytest
 from frames import SYN, datagram, rows_of, segment
@@ -13,7 +14,7 @@ from flowlark.plans import pipeline
 from flowlark.runtime import passing, written
 from flowlark.schemas import OBSERVATION
 from flowlark.streaming.detection import DetectionStream
-from flowlark.streaming.windows import advance, open_windows
+from flowlark.streaming.windows import advance, advanced, held_schema, marked_schema, open_windows, part_schema
 
 
 def settings(**more):
@@ -99,3 +100,45 @@ def test_tables_of_a_block_go_with_it(spark):
     assert not os.path.exists(path)
     outside = written(spark.range(3), "outside")
     assert outside.count() == 3
+
+
+def test_a_batch_meets_the_open_windows_in_one_join_without_python(spark):
+    columns = ", ".join(f"{n} {t}" for n, t in flows.column_types(pipeline.STATE_COLUMNS))
+    schema, rng = part_schema(spark, columns), random.Random(11)
+    counts = [f.name for f in schema.fields if f.dataType.simpleString().startswith(("bigint", "decimal")) and f.name not in ("batch", "closed_at", "first_packet_index", "last_packet_index") and not f.name.endswith(("_first_us", "_last_us"))]
+    cell = lambda n: Decimal(rng.randrange(9)) if "square" in n else None if n.endswith(("us_min", "us_max")) and rng.random() < 0.3 else rng.randrange(3)
+
+    def part(flow, batch, index, us, reason, at):
+        row = dict.fromkeys(schema.names) | {n: cell(n) for n in counts} | {"flow": flow, "session": "s", "batch": batch, "first_packet_index": index, "last_packet_index": index + 1, "first_us": us, "last_us": us + 3, "closure_reason": reason, "closed_at": at}
+        for side in ("forward", "reverse"):
+            row |= dict(zip((f"{side}_first_us", f"{side}_last_us"), (us, us + 2) if rng.random() < 0.6 else (None, None)))
+        return row
+
+    held, plain = None, {}
+    for batch in range(3):
+        parts = []
+        for k in range(40):
+            if rng.random() < 0.25:  # the flow has a closing of a window from before, or nothing
+                parts += [dict.fromkeys([*schema.names]) | {"flow": f"f{k}", "session": "s", "batch": batch, "closure_reason": "capacity", "closed_at": batch * 1000, "leading": None}] if rng.random() < 0.5 else []
+                if rng.random() < 0.5:
+                    continue
+            index, us = batch * 1000 + 2 * k, batch * 20 + rng.randrange(20)
+            own = [part(f"f{k}", batch, index + 200 * n, us + 30 * n, None, None) for n in range(rng.randrange(1, 4))]
+            for one, after in zip(own, own[1:]):
+                one |= {"closure_reason": "inactivity", "closed_at": after["first_packet_index"]}
+            parts += [one | {"leading": one is own[0]} for one in own]
+        table = spark.createDataFrame([tuple(p[n] for n in marked_schema(schema).names) for p in parts], marked_schema(schema))
+        after = advanced(held, table, schema, 25)
+        assert "Python" not in after._jdf.queryExecution().toString().replace("PythonRDD", "")
+        got = [r.asDict() for r in after.collect()]
+        want, opened = [], 0
+        for flow in {p["flow"] for p in parts}:
+            plain[flow], events = advance(plain.get(flow), [{n: p[n] for n in schema.names} for p in parts if p["flow"] == flow], 25)
+            want += [e for e in events if e["kind"] == "closed"]
+            opened += sum(e["kind"] == "open" for e in events)
+        line = lambda r: tuple(str(r[n]) for n in ("first_batch", *schema.names))
+        assert sorted(line(r) for r in got if r["closure_reason"]) == sorted(map(line, want))
+        still = [w for w in plain.values() if w is not None]
+        assert sorted(line(r) for r in got if not r["closure_reason"]) == sorted(map(line, still))
+        assert sum(r["fresh"] for r in got) == opened
+        held = spark.createDataFrame([tuple(r[n] for n in held_schema(schema).names) for r in got if not r["closure_reason"]], held_schema(schema))
