@@ -98,6 +98,8 @@ def column_types(names: tuple[str, ...]) -> list[tuple[str, str]]:
 
 #: Packets of a capture that are numbered together; a flow is cut at these places while its windows are found.
 SLICE = 1 << 22
+#: Those that the eviction scan goes through in one task, row by row in Python.
+SCAN_SLICE = 1 << 19
 
 
 def _local(packets: DataFrame, timeout_us: int, controls: DataFrame | None, slice_packets: int) -> DataFrame:
@@ -189,7 +191,7 @@ def sessionize(packets: DataFrame, *, timeout_us: int, max_active: int | None =
     if max_active is not None:
         many = packets.select("session", *IDENTITY).distinct().groupBy("session").count().where(F.col("count") > max_active).limit(1).count()
         if many:
-            evicted = written(evictions(packets, timeout_us=timeout_us, max_active=max_active, controls=controls, slice_packets=slice_packets), "evictions")
+            evicted = written(evictions(packets, timeout_us=timeout_us, max_active=max_active, controls=controls, slice_packets=min(slice_packets, SCAN_SLICE)), "evictions")
             both = evicted if controls is None else evicted.unionByName(controls.withColumn("reason", F.lit(CLOSED_BY_REQUEST)).withColumn("closed_at", F.col("packet_index")), allowMissingColumns=True)
             return _windows(packets, timeout_us, both, slice_packets)
     marked = None if controls is None else controls.withColumn("reason", F.lit(CLOSED_BY_REQUEST)).withColumn("closed_at", F.col("packet_index"))
