@@ -96,23 +96,35 @@ def column_types(names: tuple[str, ...]) -> list[tuple[str, str]]:
     return [(n, known.get(n) or _IDENTITY_TYPES[n]) for n in names]
 
 
-#: Packets of a capture that are numbered together; a flow is cut at these places while its windows are found.
+#: A flow with more packets than this is cut at these places of the capture while its windows are found.
 SLICE = 1 << 22
+#: Flows are counted by groups of their hashes; only those in a group with more than a slice's packets can be that long.
+FLOW_GROUPS = 1 << 13
 #: Those that the eviction scan goes through in one task, row by row in Python.
 SCAN_SLICE = 1 << 19
 
 
-def _local(packets: DataFrame, timeout_us: int, controls: DataFrame | None, slice_packets: int) -> DataFrame:
-    """Gaps, breaks and the last packet of the same direction, within each flow's slice.
-
-    ``_seg`` counts the breaks after the slice's first row; ``_own`` is the
-    (``_seg``, time) of the last packet of the row's direction.
-    """
+def _rows(packets: DataFrame, controls: DataFrame | None) -> DataFrame:
+    """Packets and control rows with the hash of their flow: one number to deal and sort by, before the flow itself."""
     rows = packets.withColumn("_control", F.lit(False))
     if controls is not None:
         rows = rows.unionByName(controls.withColumn("_control", F.lit(True)), allowMissingColumns=True)
-    rows = rows.withColumn("_slice", F.floor(F.col("packet_index") / slice_packets))
-    order = Window.partitionBy("session", *IDENTITY, "_slice").orderBy("packet_index", "_control")
+    return rows.withColumn("_flow", F.xxhash64("session", *IDENTITY))
+
+
+def _long_groups(rows: DataFrame, slice_packets: int) -> list[int]:
+    """Groups of flows that have more than a slice's packets together, fewer than the capture has slices; any other flow is shorter than that."""
+    counts = rows.where("NOT _control").groupBy(F.pmod("_flow", F.lit(FLOW_GROUPS)).alias("_group")).count()
+    return sorted(r[0] for r in counts.where(F.col("count") > slice_packets).select("_group").collect())
+
+
+def _local(rows: DataFrame, timeout_us: int, keys: tuple[str, ...]) -> DataFrame:
+    """Gaps, breaks and the last packet of the same direction, among the rows of the same ``keys``: a flow, or its slice.
+
+    ``_seg`` counts the breaks after the first of these rows; ``_own`` is the
+    (``_seg``, time) of the last packet of the row's direction.
+    """
+    order = Window.partitionBy(*keys).orderBy("packet_index", "_control")
     last_ts, after_control = F.lag("ts_us").over(order), F.lag("_control").over(order)
     first = F.lag("packet_index").over(order).isNull()
     rows = rows.withColumn("_first", first).withColumn("_break", ~F.col("_control") & ~first & (after_control | last_ts.isNull() | (F.col("ts_us") - last_ts >= timeout_us)))
@@ -142,30 +154,51 @@ def _carried(local: DataFrame, timeout_us: int) -> DataFrame:
     return slices.select(*keys, "_fresh", "_before_us", "_base", F.last(shifted("fwd"), ignorenulls=True).over(before).alias("_fwd"), F.last(shifted("rev"), ignorenulls=True).over(before).alias("_rev"))
 
 
-def _segmented(packets: DataFrame, timeout_us: int, controls: DataFrame | None, slice_packets: int = SLICE) -> DataFrame:
-    """``segment``: number of the window within its identity (from 1), and gaps to the packets before in the window."""
-    local = _local(packets, timeout_us, controls, slice_packets)
-    ends = packets.agg(F.min("packet_index"), F.max("packet_index")).first()
-    helpers = ("_slice", "_first", "_break", "_gap", "_seg", "_own")
-    if ends[0] is None or ends[0] // slice_packets == ends[1] // slice_packets:
-        fresh, before, base = ~F.col("_control"), F.lit(None).cast("bigint"), F.lit(1).cast("bigint")
-        earlier = F.lit(None).cast("struct<_seg:bigint,ts_us:bigint>")
-    else:
-        local = written(local, "slices")
-        carried, match = _carried(local, timeout_us), F.lit(True)
-        keys = ["session", *IDENTITY, "_slice"]
-        carried = carried.select(*[F.col(k).alias(f"_c{k}") for k in keys], "_fresh", "_before_us", "_base", "_fwd", "_rev")
-        for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"_c{k}"))
-        local = local.join(carried, match).drop(*[f"_c{k}" for k in keys])
-        helpers += ("_fresh", "_before_us", "_base", "_fwd", "_rev")
-        fresh, before, base = F.col("_fresh"), F.col("_before_us"), F.col("_base")
-        earlier = F.when(F.col("is_forward"), F.col("_fwd")).otherwise(F.col("_rev"))
+def _segmented(packets: DataFrame, timeout_us: int, controls: DataFrame | None, slice_packets: int = SLICE) -> tuple[DataFrame, bool]:
+    """(rows with ``_flow``, ``segment``: number of the window within its identity (from 1), and gaps to the packets before in the window; whether flows lie whole in a task, in order).
+
+    They do unless some flow may have more than ``slice_packets`` packets. Such
+    flows are cut; what a slice takes over comes from a narrow table of theirs.
+    """
+    rows = _rows(packets, controls)
+    long, flow = _long_groups(rows, slice_packets), ("_flow", "session", *IDENTITY)
+    helpers = ("_first", "_break", "_gap", "_seg", "_own")
+    if not long:
+        local = _local(rows.repartition("_flow"), timeout_us, flow)
+        return _joined(local, ~F.col("_control"), F.lit(None).cast("bigint"), F.lit(1).cast("bigint"), F.lit(None).cast("struct<_seg:bigint,ts_us:bigint>")).drop(*helpers), True
+    cut = F.pmod("_flow", F.lit(FLOW_GROUPS)).isin(long)
+    rows = rows.withColumn("_slice", F.when(cut, F.floor(F.col("packet_index") / slice_packets)).otherwise(0))
+    local, match = written(_local(rows, timeout_us, (*flow, "_slice")), "slices"), F.lit(True)
+    keys = ["session", *IDENTITY, "_slice"]
+    carried = _carried(local.where(cut), timeout_us)
+    carried = carried.select(*[F.col(k).alias(f"_c{k}") for k in keys], "_fresh", "_before_us", "_base", "_fwd", "_rev")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_c{k}"))
+    sliced = local.where(cut).join(carried, match).drop(*[f"_c{k}" for k in keys])
+    sliced = _joined(sliced, F.col("_fresh"), F.col("_before_us"), F.col("_base"), F.when(F.col("is_forward"), F.col("_fwd")).otherwise(F.col("_rev")))
+    whole = _joined(local.where(~cut), ~F.col("_control"), F.lit(None).cast("bigint"), F.lit(1).cast("bigint"), F.lit(None).cast("struct<_seg:bigint,ts_us:bigint>"))
+    return whole.drop(*helpers, "_slice").unionByName(sliced.drop(*helpers, "_slice", "_fresh", "_before_us", "_base", "_fwd", "_rev")), False
+
+
+def _joined(local: DataFrame, fresh: Column, before: Column, base: Column, earlier: Column) -> DataFrame:
+    """``local`` with what its rows' slice takes over."""
     segment = base + F.col("_seg")
     gap = F.when(F.col("_first"), F.when(~fresh, F.col("ts_us") - before)).when(~F.col("_break"), F.col("_gap"))
     own = F.when(F.col("_own").isNotNull(), F.struct((base + F.col("_own")["_seg"]).alias("_seg"), F.col("_own")["ts_us"].alias("ts_us"))).otherwise(earlier)
-    out = local.withColumn("segment", segment).withColumn("gap_us", gap).withColumn("direction_gap_us", F.when(own["_seg"] == segment, F.col("ts_us") - own["ts_us"]))
-    return out.drop(*helpers)
+    return local.withColumn("segment", segment).withColumn("gap_us", gap).withColumn("direction_gap_us", F.when(own["_seg"] == segment, F.col("ts_us") - own["ts_us"]))
+
+
+def flow_segments(packets: DataFrame, *, timeout_us: int, slice_packets: int = SLICE) -> DataFrame:
+    """Packets with ``segment``, the number of their window within its flow (from 1): each window whole in a task, its packets in order, one window after the other.
+
+    These are the windows of ``sessionize`` without a limit of active ones, and
+    without the numbers that they have in their session.
+    """
+    rows, together = _segmented(packets, timeout_us, None, slice_packets)
+    flow = ("_flow", "session", *IDENTITY)
+    # where flows lie whole in a task they are in this order already, and Spark leaves the sort out
+    rows = rows.sortWithinPartitions(*flow, "packet_index") if together else rows.repartition(*flow, "segment").sortWithinPartitions(*flow, "segment", "packet_index")
+    return rows.select(*packets.columns, "segment")
 
 
 def sessionize(packets: DataFrame, *, timeout_us: int, max_active: int | None = MAX_ACTIVE_WINDOWS, controls: DataFrame | None = None, slice_packets: int = SLICE) -> tuple[DataFrame, DataFrame]:
@@ -185,8 +218,9 @@ def sessionize(packets: DataFrame, *, timeout_us: int, max_active: int | None =
     Otherwise a narrow scan in packet order, with a state of ``max_active``
     entries, finds the evictions; they become control rows.
 
-    Flows are followed in slices of ``slice_packets`` packets of the capture, so
-    that a flow with most of them is the work of many tasks.
+    Flows with more than ``slice_packets`` packets are followed in slices of as
+    many packets of the capture, so that a flow with most of them is the work of
+    many tasks.
     """
     if max_active is not None:
         many = packets.select("session", *IDENTITY).distinct().groupBy("session").count().where(F.col("count") > max_active).limit(1).count()
@@ -205,7 +239,7 @@ def windows_between(packets: DataFrame, timeout_us: int, controls: DataFrame | N
 
 def _windows(packets: DataFrame, timeout_us: int, controls: DataFrame | None, slice_packets: int) -> tuple[DataFrame, DataFrame]:
     rows = packets.withColumn("reason", F.lit(None).cast("string")).withColumn("closed_at", F.lit(None).cast("bigint"))
-    segmented = written(_segmented(rows, timeout_us, controls, slice_packets), "segments")
+    segmented = written(_segmented(rows, timeout_us, controls, slice_packets)[0].drop("_flow"), "segments")
     keys = ["session", *IDENTITY, "segment"]
     closing = F.when(F.col("_control"), F.struct("packet_index", "reason", "closed_at"))
     firsts = segmented.where("segment > 0").groupBy(*keys).agg(F.min(F.when(~F.col("_control"), F.col("packet_index"))).alias("first_packet_index"), F.max(F.when(~F.col("_control"), F.col("packet_index"))).alias("last_packet_index"), F.min("ts_us").alias("first_us"), F.max(F.when(~F.col("_control"), F.col("ts_us"))).alias("last_us"), F.min(closing).alias("closing"))

@@ -14,31 +14,41 @@ from pyspark.sql import types as T
 from flowlark.functions.dns_batch import Messages
 from flowlark.functions.folds import WindowFold, regular_streams
 from flowlark.functions.messages import parse_hello, parse_ldap, parse_tcp_options
-from flowlark.operators.flows import sessionize
+from flowlark.operators.flows import SLICE, flow_segments, sessionize
 from flowlark.runtime import written
 from flowlark.schemas import IDENTITY, WINDOW_KEY
 
 EVENT_FIELDS = {"kind": pa.string(), "is_forward": pa.bool_(), "ts_us": pa.int64(), "status": pa.string(), "reason": pa.string(), "relation": pa.string(), "operation": pa.string(), "message_id": pa.int64(), "code": pa.int64(), "length": pa.int64(), "response_count": pa.int64(), "latency_us": pa.int64(), "raw": pa.binary(), "request_raw": pa.binary()}
-EVENTS = "session string, sequence_number bigint, packet_index bigint, kind string, is_forward boolean, ts_us bigint, status string, reason string, relation string, operation string, message_id bigint, code bigint, length bigint, response_count bigint, latency_us bigint, raw binary, request_raw binary"
+EVENTS = "packet_index bigint, kind string, is_forward boolean, ts_us bigint, status string, reason string, relation string, operation string, message_id bigint, code bigint, length bigint, response_count bigint, latency_us bigint, raw binary, request_raw binary"
 PACKET_FIELDS = ("packet_index", "ts_us", "is_forward", "protocol", "a_port", "b_port", "tcp_seq", "syn", "fin", "rst", "is_fragment", "payload")
-_SCHEMA = pa.schema([("session", pa.string()), ("sequence_number", pa.int64()), ("packet_index", pa.int64()), *EVENT_FIELDS.items()])
+#: Key of a window by its flow, without the number it has in its session.
+SEGMENT_KEY = ("session", *IDENTITY, "segment")
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before; null is like null."""
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    codes = column.fill_null(0) if pa.types.is_integer(column.type) else column.dictionary_encode().indices.fill_null(-1)
+    codes = codes.to_numpy(zero_copy_only=False)
+    return (codes[1:] != codes[:-1]) | (null[1:] != null[:-1])
 
 
 class _Folder:
-    """Folds windows that come one after the other; the last of a batch stays open, as it may go on in the next."""
+    """Folds windows that come one after the other; the last of a batch stays open, as it may go on in the next. ``keys`` name a window."""
 
-    def __init__(self, segments: bool) -> None:
-        self.segments = segments
+    def __init__(self, segments: bool, keys: tuple[str, ...], types: list[pa.DataType]) -> None:
+        self.segments, self.keys = segments, keys
+        self.schema = pa.schema([*zip(keys, types), ("packet_index", pa.int64()), *EVENT_FIELDS.items()])
         self.key: tuple | None = None
         self.fold: WindowFold | None = None
         self.rows: list[dict] = []
 
     def _put(self, key: tuple, events: list, index: list | None = None, ts: list | None = None) -> None:
         for k, kind, fields in events:
-            own = {"session": key[0], "sequence_number": key[1], "kind": kind}
+            own = {"kind": kind}
             if k >= 0:
                 own |= {"packet_index": index[k], "ts_us": ts[k]}
-            self.rows.append(own | fields)
+            self.rows.append(own | fields | dict(zip(self.keys, key)))
 
     def close(self) -> None:
         if self.fold is not None:
@@ -47,7 +57,7 @@ class _Folder:
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in self.rows], t) for n, t in zip(_SCHEMA.names, _SCHEMA.types)], schema=_SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in self.rows], t) for n, t in zip(self.schema.names, self.schema.types)], schema=self.schema)
             self.rows = []
 
     def batch(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -57,14 +67,17 @@ class _Folder:
         column = lambda c: batch.column(batch.schema.names.index(c))
         bits = lambda c: column(c).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
         number = lambda c: column(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        session, window = column("session").dictionary_encode().indices.to_numpy(zero_copy_only=False), number("sequence_number")
-        starts = np.flatnonzero(np.append(True, (session[1:] != session[:-1]) | (window[1:] != window[:-1])))
+        fresh = np.zeros(n, dtype=bool)
+        fresh[0] = True
+        for c in self.keys:
+            fresh[1:] |= _changes(column(c))
+        starts = np.flatnonzero(fresh)
         stops = np.append(starts[1:], n)
         protocol, a_port, b_port = number("protocol"), number("a_port"), number("b_port")
         forward, size = bits("is_forward"), pc.fill_null(pc.binary_length(column("payload")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         flags = {c: bits(c) for c in ("syn", "fin", "rst", "is_fragment")}
         first = (number("tcp_seq") + flags["syn"]) % (1 << 32)
-        name = lambda k: (column("session")[k].as_py(), int(window[k]))
+        name = lambda k: tuple(column(c)[k].as_py() for c in self.keys)
 
         # windows that begin and end in this batch and that no protocol reads: all at once
         whole = np.ones(len(starts), dtype=bool)
@@ -81,10 +94,10 @@ class _Folder:
         keep = settled[group // 2]
         if keep.any():
             at = starts[group[keep] // 2]
-            made = {"session": column("session").take(pa.array(at)), "sequence_number": pa.array(window[at]), "kind": pa.array(["stream"] * len(at)), "is_forward": pa.array(group[keep] % 2 == 0), "status": pa.array(status[keep]), "length": pa.array(total[keep]), "response_count": pa.array(np.zeros(len(at), dtype=np.int64))}
-            yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else pa.nulls(len(at), f.type) for f in _SCHEMA], schema=_SCHEMA)
+            made = {c: column(c).take(pa.array(at)) for c in self.keys} | {"kind": pa.array(["stream"] * len(at)), "is_forward": pa.array(group[keep] % 2 == 0), "status": pa.array(status[keep]), "length": pa.array(total[keep]), "response_count": pa.array(np.zeros(len(at), dtype=np.int64))}
+            yield pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else pa.nulls(len(at), f.type) for f in self.schema], schema=self.schema)
 
-        # the others one after the other
+        # the others one after the other; a batch's last window is one of them, so what was open before it is closed here
         for k in np.flatnonzero(~settled).tolist():
             a, b = int(starts[k]), int(stops[k])
             if name(a) != self.key:
@@ -95,8 +108,6 @@ class _Folder:
             self._put(self.key, self.fold.take(part | {c: f[a:b] for c, f in flags.items()}), index, ts)
             if len(self.rows) >= 4096:
                 yield from self.flush()
-        if settled[0] and self.key is not None:
-            self.close()
 
 
 def in_windows(packets: DataFrame, *, timeout_us: int, max_active: int | None = None) -> DataFrame:
@@ -120,6 +131,11 @@ def with_windows(packets: DataFrame, *, timeout_us: int, max_active: int | None
     return wide.join(numbers, match).drop(*[f"_{k}" for k in keys]), windows
 
 
+def _read(packets: DataFrame) -> DataFrame:
+    """The packets that a protocol fold reads: TCP, and DNS over UDP."""
+    return packets.where("protocol = 6 OR (protocol = 17 AND (a_port = 53 OR b_port = 53))")
+
+
 def fold_windows(packets: DataFrame, *, segments: bool = False) -> DataFrame:
     """Events of all state machines. Windows stream through a task one after the other; only TCP and DNS packets go.
 
@@ -127,23 +143,42 @@ def fold_windows(packets: DataFrame, *, segments: bool = False) -> DataFrame:
     TCP payloads are all dealt with their window, as retransmitted bytes are
     compared. ``segments`` asks for an event of each TCP packet too.
     """
-    wanted = packets.where("protocol = 6 OR (protocol = 17 AND (a_port = 53 OR b_port = 53))")
-    rows = wanted.select(*WINDOW_KEY, *PACKET_FIELDS).repartition(*WINDOW_KEY).sortWithinPartitions(*WINDOW_KEY, "packet_index")
+    rows = _read(packets).select(*WINDOW_KEY, *PACKET_FIELDS).repartition(*WINDOW_KEY).sortWithinPartitions(*WINDOW_KEY, "packet_index")
+    return _folded(rows, WINDOW_KEY, segments)
+
+
+def fold_flows(packets: DataFrame, *, timeout_us: int, segments: bool = False, slice_packets: int = SLICE) -> DataFrame:
+    """As ``fold_windows`` of ``in_windows``, but windows are named by ``SEGMENT_KEY`` and not by their number in the session.
+
+    Payloads go along while windows are found, so packets are dealt once, and
+    nothing is ranked or joined.
+    """
+    own = tuple(c for c in PACKET_FIELDS if c not in IDENTITY)
+    rows = written(_read(packets).select("session", *IDENTITY, *own), "packets")
+    return _folded(flow_segments(rows, timeout_us=timeout_us, slice_packets=slice_packets), SEGMENT_KEY, segments)
+
+
+def _folded(rows: DataFrame, keys: tuple[str, ...], segments: bool) -> DataFrame:
+    """Events of rows whose windows come whole and one after the other in each task."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = [to_arrow_type(rows.schema[c].dataType) for c in keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = _Folder(segments)
+        folder = _Folder(segments, keys, types)
         for batch in batches:
             yield from folder.batch(batch)
             yield from folder.flush()
         folder.close()
         yield from folder.flush()
 
-    return rows.mapInArrow(run, EVENTS)
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in keys), EVENTS]))
 
 
-def tcp_streams(events: DataFrame) -> DataFrame:
+def tcp_streams(events: DataFrame, *, by: tuple[str, ...] = WINDOW_KEY) -> DataFrame:
     """Final status, observed and consumed bytes of each direction."""
-    return events.where("kind = 'stream'").select(*WINDOW_KEY, "is_forward", "status", F.col("length").alias("stream_bytes"), F.col("response_count").alias("consumed_bytes"), F.col("reason").alias("framing_status"))
+    return events.where("kind = 'stream'").select(*by, "is_forward", "status", F.col("length").alias("stream_bytes"), F.col("response_count").alias("consumed_bytes"), F.col("reason").alias("framing_status"))
 
 
 # --- messages as columns ------------------------------------------------------------------------------------------
