@@ -14,13 +14,15 @@ from pyspark.sql import types as T
 from flowlark.functions.dns_batch import Messages
 from flowlark.functions.folds import WindowFold, regular_streams
 from flowlark.functions.messages import parse_hello, parse_ldap, parse_tcp_options
-from flowlark.operators.flows import SLICE, flow_segments, sessionize
+from flowlark.operators.flows import flow_segments, sessionize
 from flowlark.runtime import written
 from flowlark.schemas import IDENTITY, WINDOW_KEY
 
 EVENT_FIELDS = {"kind": pa.string(), "is_forward": pa.bool_(), "ts_us": pa.int64(), "status": pa.string(), "reason": pa.string(), "relation": pa.string(), "operation": pa.string(), "message_id": pa.int64(), "code": pa.int64(), "length": pa.int64(), "response_count": pa.int64(), "latency_us": pa.int64(), "raw": pa.binary(), "request_raw": pa.binary()}
 EVENTS = "packet_index bigint, kind string, is_forward boolean, ts_us bigint, status string, reason string, relation string, operation string, message_id bigint, code bigint, length bigint, response_count bigint, latency_us bigint, raw binary, request_raw binary"
 PACKET_FIELDS = ("packet_index", "ts_us", "is_forward", "protocol", "a_port", "b_port", "tcp_seq", "syn", "fin", "rst", "is_fragment", "payload")
+#: A flow with more packets than this is cut while its windows are found with the payloads, of which a task keeps a flow's (or a slice's) on disk at most.
+FOLD_SLICE = 1 << 19
 #: Key of a window by its flow, without the number it has in its session.
 SEGMENT_KEY = ("session", *IDENTITY, "segment")
 
@@ -147,7 +149,7 @@ def fold_windows(packets: DataFrame, *, segments: bool = False) -> DataFrame:
     return _folded(rows, WINDOW_KEY, segments)
 
 
-def fold_flows(packets: DataFrame, *, timeout_us: int, segments: bool = False, slice_packets: int = SLICE) -> DataFrame:
+def fold_flows(packets: DataFrame, *, timeout_us: int, segments: bool = False, slice_packets: int = FOLD_SLICE) -> DataFrame:
     """As ``fold_windows`` of ``in_windows``, but windows are named by ``SEGMENT_KEY`` and not by their number in the session.
 
     Payloads go along while windows are found, so packets are dealt once, and

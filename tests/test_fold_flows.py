@@ -42,7 +42,7 @@ def test_windows_are_folded_where_they_are_found(spark, segments):
     packets = spark.createDataFrame(streams(3 + segments), SCHEMA).repartition(5)
     want = of_windows(P.fold_windows(P.in_windows(packets, timeout_us=8), segments=segments), WINDOW_KEY)
     assert len(want) > 60
-    for size in (flows.SLICE, 200, 7):  # no flow is long, one is, most are
+    for size in (P.FOLD_SLICE, 200, 7):  # no flow is long, one is, most are
         got = of_windows(P.fold_flows(packets, timeout_us=8, segments=segments, slice_packets=size), P.SEGMENT_KEY)
         # without a session no window has a number
         assert [x for x in got if "(None," not in x] == [x for x in want if "(None," not in x]
